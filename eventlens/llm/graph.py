@@ -20,6 +20,8 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     edges = scratch.keep(
         links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     )
+    digest = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u"))).first()
+    before = digest(edges)
     for _ in range(most_rounds):
         # large-star: every larger neighbour (and v itself) moves to v's smallest neighbour
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).union(edges.select("v", "u"))
@@ -35,11 +37,11 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
             .distinct()
         )
         after = scratch.keep(small)
-        changed = after.exceptAll(edges).union(edges.exceptAll(after)).limit(1).count()
         scratch.drop(edges)
-        edges = after
-        if not changed:
+        edges, now = after, digest(after)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     out = edges.groupBy("v").agg(F.min("u").alias("component")).select(F.col("v").alias("node"), "component")

@@ -10,49 +10,18 @@ are verified exactly, in waves of pivots, and links become components.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import Scratch, blank_words_of, table, words_of
+from eventlens.llm.common import Scratch, table
 from eventlens.llm.graph import components
-
-_MEMO_WORDS = 1_000_000
-_memo: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; a worker remembers those it met."""
-    if len(_memo) > _MEMO_WORDS:
-        _memo.clear()
-    for w in set(words).difference(_memo):
-        _memo[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(words: list[bytes], width: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of ``width`` words; fewer words make one; none, none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    n = max(1, len(words) - width + 1)
-    out = np.full(n, np.uint64(min(len(words), width)))
-    for i in range(min(width, len(words))):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
-
+from eventlens.llm.shingles import mix, shingle_sets
 
 def enough(common: int, a: int, b: int, percent: int) -> bool:
     """Whether common / union is at least percent / 100."""
@@ -98,36 +67,44 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     signatures of their prefix tokens, one of which two linked sets share.
     """
     n = len(s)
-    out: list[np.ndarray] = []
     if n == 0:
         return np.empty(0, np.int64)
-    total = mix(s).sum(dtype=np.uint64)
+    out: list[np.ndarray] = []
+    scrambled = mix(s)
     small = least_banded(percent)
+    total = scrambled.sum(dtype=np.uint64) if n <= small else np.uint64(0)
+    # smaller sets link to supersets of one more element at most
     if n < small and enough(n, n, n + 1, percent):
-        out.append(mix(np.array([total + np.uint64(n)])))
+        out.append(np.array([total + np.uint64(n)]))
     if 1 < n <= small and enough(n - 1, n - 1, n, percent):
-        out.append(mix(total - mix(s) + np.uint64(n - 1)))
+        out.append(total - scrambled + np.uint64(n - 1))
     if n >= small:
         levels = bands(percent, 1 << int(n).bit_length())
-        at = next(i for i, b in enumerate(levels) if b[0] <= n <= b[1])
+        at = bisect_right(levels, (n, 1 << 62)) - 1
         for i in (at - 1, at):
             if i < 0 or not enough(levels[i][1], levels[i][1], max(n, levels[i][1]), percent):
                 continue
             low, _, parts, spare = levels[i]
             # equal ranges of the hash domain; the elements are sorted, so each range is a slice
-            edge = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
-            cuts = np.concatenate(([0], np.searchsorted(s, edge), [n]))
-            full = np.flatnonzero(cuts[1:] > cuts[:-1])
-            sums = np.add.reduceat(mix(s), cuts[full])
-            salt = np.uint64(low) << np.uint64(32)
-            out.append(mix(mix(sums) + salt + full.astype(np.uint64)))
+            cuts = np.empty(parts + 1, np.int64)
+            cuts[0], cuts[-1] = 0, n
+            cuts[1:-1] = s.searchsorted(_edges(parts))
+            full = (cuts[1:] > cuts[:-1]).nonzero()[0]
+            sums = np.add.reduceat(scrambled, cuts[full])
+            salt = np.uint64(low << 32)
+            out.append(sums * _BASE + (salt + full.astype(np.uint64)))
             if parts - len(full) > spare:
                 must = n - -(-n * percent // 100) + 1
-                out.append(mix(s[:must] ^ (salt + np.uint64(1 << 31))))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+                out.append(scrambled[:must] ^ (salt + np.uint64(1 << 31)))
+    return mix(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
-_SPLIT = {"blank": blank_words_of, "ascii": words_of}
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+@lru_cache(maxsize=256)
+def _edges(parts: int) -> np.ndarray:
+    return (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
 
 
 def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, words: str = "blank") -> DataFrame:
@@ -147,45 +124,49 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    split = _SPLIT[words]
+    coded = "n long, fp binary, sigs array<long>"
 
-    @F.pandas_udf("n long, fp binary")
+    @F.pandas_udf(coded)
     def outline(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [shingle_set(split(t), width) for t in texts]
-            yield pd.DataFrame({"n": [len(s) for s in sets], "fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]})
-
-    # 1. size and fingerprint of each set; equal sets are one class, named by the smallest key
-    seen = scratch.keep(docs.select("id", outline("text").alias("o")).select("id", "o.n", "o.fp"))
-    classes = scratch.keep(seen.where("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
-    member = scratch.keep(seen.join(classes, "fp", "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")))
-
-    # 2. signatures of one member of each class
-    @F.pandas_udf("array<long>")
-    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            sets = shingle_sets(texts.tolist(), words, width)
+            yield pd.DataFrame({
+                "n": [len(s) for s in sets],
+                "fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                "sigs": [signatures(s, percent) for s in sets],
+            })
+
+    @F.pandas_udf("n long, s binary")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([signatures(shingle_set(split(t), width), percent) for t in texts])
-
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    chosen = docs.join(reps.hint("shuffle_hash"), "id", "left_semi")
-    each = chosen.select("id", F.explode(signed("text")).alias("sig"))
-    bucket = Window.partitionBy("sig")
-    live = scratch.keep(each.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket)).where("low < high").select("sig", "id").distinct())
+            sets = shingle_sets(texts.tolist(), words, width)
+            yield pd.DataFrame({"n": [len(s) for s in sets], "s": [s.tobytes() for s in sets]})
 
-    # 3. waves: compare the first members of each bucket with the others, then forget them
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        last, kept = None, None
         for left, right in batches:
             out = []
             for a, b in zip(left, right):
-                if a != last:
-                    last, kept = a, shingle_set(split(a), width)
-                other = shingle_set(split(b), width)
-                out.append(enough(len(np.intersect1d(kept, other, assume_unique=True)), len(kept), len(other), percent))
-            yield pd.Series(out)
+                both = np.sort(np.concatenate((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))), kind="stable")
+                out.append(enough(int(np.count_nonzero(both[1:] == both[:-1])), len(a) // 8, len(b) // 8, percent))
+            yield pd.Series(out, dtype=bool)
+
+    # 1. size, fingerprint and signatures of each set; equal sets are one class, named by the smallest key
+    seen = scratch.keep(docs.select("id", outline("text").alias("o")).select("id", "o.*"))
+    classes = scratch.keep(seen.where("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
+    member = scratch.keep(seen.select("id", "n", "fp").join(classes, "fp", "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")))
+
+    # 2. buckets of the signatures of one member of each class; those with one member are done
+    reps = classes.select(F.col("rep").alias("id")).distinct()
+    each = seen.select("id", "sigs").join(reps.hint("shuffle_hash"), "id", "left_semi").select("id", F.explode("sigs").alias("sig"))
+    bucket = Window.partitionBy("sig")
+    live = scratch.keep(each.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket)).where("low < high").select("sig", "id").distinct())
+    scratch.drop(seen)
+    wanted = live.select("id").distinct().hint("shuffle_hash")
+    sets = scratch.keep(docs.join(wanted, "id", "left_semi").select("id", whole("text").alias("w")).select("id", "w.*"))
 
-    # rows of one key with different sets are one node
+    # 3. waves: compare the first members of each bucket with the others, then forget them.
+    # Rows of one key with different sets are one node.
     links = scratch.keep(member.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
     comps, pivots, done = None, 1, None
     while live.limit(1).count():
@@ -199,21 +180,19 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
-        texts_of = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi")
-        texts_of = scratch.keep(texts_of)
-        compared = pairs.join(texts_of.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts_of.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        found = compared.select("a", "b", linked("ta", "tb").alias("ok")).where("ok").select("a", "b")
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+        compared = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        found = compared.select("a", "b", linked("sa", "sb").alias("ok")).where("ok").select("a", "b")
         links = scratch.keep(links.union(found))
-        scratch.drop(texts_of)
-        comps = components(links, scratch)
-        comps = scratch.keep(comps)
+        comps = scratch.keep(components(links, scratch))
         done = pairs if done is None else scratch.keep(done.union(pairs))
         rest = ranked.where(F.col("r") > pivots).select("sig", "id")
         rest = rest.join(comps.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
         open_ = rest.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").select("sig", "id", "c")
         after = scratch.keep(open_)
         scratch.drop(live)
-        live, pivots = after, pivots * 2
+        live, pivots = after, pivots * 4
+    scratch.drop(sets)
     comps = comps if comps is not None else components(links, scratch)
     got = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
