@@ -76,6 +76,9 @@ SPARSE = replace(
     short_window=5 * DAY,
     min_samples=2,
     maturity=(3, 6, 10),
+    retained=6,
+    points=6,
+    trajectories=2,
     policy_cooldown=DAY,
     cap_window=7 * DAY,
     before=5 * DAY,
