@@ -1,0 +1,272 @@
+"""Learner intelligence: roll-ups, evidence and gaps, access, and answers to batches of questions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from eventlens.settings import DEFAULT, Settings
+
+#: The scope of each kind of evidence, and the scopes of each role.
+KIND_SCOPE = {
+    "provenance": "sources", "event": "evidence", "context": "evidence", "feature": "focus_engine", "baseline": "focus_engine", "temporal": "focus_engine",
+    "prediction": "focus_engine", "uncertainty": "focus_engine", "policy": "focus_engine", "authority": "authority", "intervention": "interventions",
+    "outcome": "outcomes", "evaluation": "outcomes", "subject": "evidence", "change": "focus_engine", "fusion": "focus_engine",
+}
+ROLES = {
+    "student": ("profile", "evidence", "missing_data", "sources"),
+    "teacher": ("profile", "evidence", "focus_engine", "interventions", "outcomes", "authority", "missing_data", "sources"),
+    "admin": ("profile", "evidence", "focus_engine", "interventions", "outcomes", "authority", "missing_data", "sources"),
+}
+#: Subject names that a question may hold, and the ordered word lists of the intents: the first hit wins.
+SUBJECTS = ("algebra", "geometry", "reading")
+INTENTS = (
+    ("current_state", ("current state", "current status", "state right now", "latest state")),
+    ("gaps", ("gaps", "missing evidence", "evidence is missing")),
+    ("comparison", ("compare", "contradict", "both subjects")),
+    ("explanation", ("why has", "why did", "reason for", "cause of")),
+    ("outcome", ("what happened after", "did it work", "outcome")),
+    ("change", ("changed", "trend", "over time", "progress")),
+    ("intervention", ("intervention", "recap", "delivered")),
+    ("timeline", ("timeline", "sequence", "day by day")),
+    ("missing", ("missing", "unknown", "lack")),
+    ("authority", ("permitted", "allowed to", "permission")),
+    ("autonomy", ("autonom", "how far", "authority")),
+    ("subject", ("algebra", "geometry", "reading", "performance in")),
+    ("evidence", ("evidence", "sources", "what is known")),
+    ("explain", ("why", "explain", "reason")),
+    ("profile", ("overview", "profile", "describe", "student")),
+)
+#: Kinds without which an intent has no answer, and the kinds that an answer quotes.
+REQUIRED = {
+    "profile": ("event",), "evidence": ("event",), "timeline": ("event",), "explain": ("temporal", "uncertainty"), "explanation": ("change", "temporal", "uncertainty"), "autonomy": ("authority",), "authority": ("authority",),
+    "current_state": ("temporal",), "change": ("change",), "comparison": ("fusion", "subject"), "subject": ("subject",), "intervention": ("intervention",), "outcome": ("intervention", "outcome"),
+}
+QUOTED = {
+    "profile": ("event", "subject", "change"), "explain": ("temporal", "prediction", "uncertainty", "policy", "provenance"), "explanation": ("temporal", "change", "prediction", "uncertainty", "policy", "provenance"), "missing": ("event", "baseline", "provenance"),
+    "autonomy": ("authority", "policy", "intervention", "provenance"), "authority": ("authority", "policy", "intervention", "provenance"), "current_state": ("temporal",), "change": ("change", "fusion"), "comparison": ("fusion", "subject"),
+    "subject": ("subject",), "intervention": ("intervention",), "outcome": ("outcome", "intervention"), "timeline": ("event", "context"), "evidence": ("event", "context", "provenance"),
+}
+GRADES = ("unknown", "low", "medium", "high")
+
+
+def _pairs(table: dict[str, tuple[str, ...]], a: str, b: str, spark) -> DataFrame:
+    return spark.createDataFrame([(k, v) for k, vs in table.items() for v in vs], f"{a} string, {b} string")
+
+
+def _case(col: Column, values: dict[str, Column | str | tuple]) -> Column:
+    out = F.when(F.lit(False), next(iter(values.values())) if isinstance(next(iter(values.values())), Column) else F.lit(None))
+    for k, v in values.items():
+        out = out.when(col == k, v)
+    return out
+
+
+def session_readings(events: DataFrame) -> DataFrame:
+    """Per session with answers: answered, correct, mean response and mean difficulty (of the last start of the
+    question in the session, 0.5 when unknown)."""
+    w = Window.partitionBy("learner_id", "session_id", "question_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a = events.withColumn("_d", F.last(F.when(F.col("event_type") == "question_started", F.col("difficulty")), True).over(w)).where("event_type = 'question_answered'")
+    return a.groupBy("learner_id", "session_id").agg(
+        F.count("*").alias("answered"), F.count_if("correct").alias("n_correct"), F.avg("response_seconds").alias("mean_response"), F.avg(F.coalesce("_d", F.lit(0.5))).alias("mean_difficulty"), F.min("us").alias("first_us"),
+    ).withColumn("accuracy", F.col("n_correct") / F.col("answered"))
+
+
+def subject_rollups(events: DataFrame, now_us: int, s: Settings = DEFAULT) -> DataFrame:
+    """Per learner and subject (topic of the latest start of the question, else unknown): answers, accuracy,
+    accuracy of the last third, last seen, sessions, sufficient, stale."""
+    w = Window.partitionBy("learner_id", "question_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a = events.withColumn("_t", F.last(F.when(F.col("event_type") == "question_started", F.struct("topic", "difficulty")), True).over(w)).where("event_type = 'question_answered'")
+    a = a.withColumn("subject", F.coalesce("_t.topic", F.lit("unknown"))).withColumn("_d", F.coalesce("_t.difficulty", F.lit(0.5)))
+    by = Window.partitionBy("learner_id", "subject")
+    a = a.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy(F.desc("us"), F.desc("event_id"))))
+    c = F.col("correct").cast("int")
+    g = a.groupBy("learner_id", "subject").agg(
+        F.count("*").alias("answered"), F.sum(c).alias("n_correct"), F.avg(c).alias("accuracy"), F.avg(F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 3)), c)).alias("recent"),
+        F.avg("_d").alias("mean_difficulty"), F.max("us").alias("last_us"), F.count_distinct("session_id").alias("sessions"),
+    )
+    return g.withColumns({"sufficient": (F.col("answered") >= s.subject_answers) & (F.col("sessions") >= s.subject_sessions), "stale": (now_us - F.col("last_us")) / 1e6 > s.stale_after, "signal": subject_signal(F.col("recent"), F.col("accuracy"), s)})
+
+
+def subject_signal(recent: Column, overall: Column, s: Settings = DEFAULT) -> Column:
+    """I3."""
+    d = F.round(recent - overall, 9)
+    return F.when(d <= -s.subject_step, "declining").when(d >= s.subject_step, "improving").otherwise("stable")
+
+
+def classify_change(readings: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """I4: per learner the change over quarters of the sessions, in order; early and late means of response."""
+    w = Window.partitionBy("learner_id").orderBy("first_us", "session_id")
+    r = readings.withColumns({"_j": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy("learner_id"))})
+    r = r.withColumn("_q", F.ceil(4 * F.col("_j") / F.col("_n")).cast("int"))
+    q = lambda i: F.avg(F.when(F.col("_q") == i, F.col("accuracy")))
+    half = lambda late: F.avg(F.when((F.col("_j") > F.floor(F.col("_n") / 2)) == F.lit(late), F.col("mean_response")))
+    g = r.groupBy("learner_id").agg(F.count("*").alias("sessions"), *[q(i).alias(f"q{i}") for i in (1, 2, 3, 4)], F.stddev_pop("accuracy").alias("sigma"), half(False).alias("early_response"), half(True).alias("late_response"))
+    d = lambda a, b: F.round(F.col(a) - F.col(b), 9)
+    x = s.subject_step
+    change = F.when(F.col("sessions") < 4, "insufficient_evidence").when((d("q1", "q2") >= x) & (d("q3", "q4") <= -x), "recovering").when(d("q1", "q4") >= x, "declining").when(d("q4", "q1") >= x, "improving").when(F.col("sigma") > s.volatile, "volatile").otherwise("stable")
+    return g.withColumn("change", change)
+
+
+def subject_fusion(rollups: DataFrame) -> DataFrame:
+    """Per learner whether the sufficient subjects agree."""
+    ok = F.col("sufficient")
+    down, up = F.bool_or(ok & (F.col("signal") == "declining")), F.bool_or(ok & (F.col("signal") == "improving"))
+    case = F.when(~F.bool_or(ok), "unavailable").when(down & up, "contradictory").when(down, "supporting").otherwise("neutral")
+    return rollups.groupBy("learner_id").agg(case.alias("agreement"), F.array_sort(F.collect_list(F.when(ok, F.concat_ws(":", "subject", "signal")))).alias("signals"))
+
+
+def evidence_rows(df: DataFrame, kind: str, statement: Column, reliability: Column | str, source: str, subject: Column | None = None, klass: str = "derived") -> DataFrame:
+    """Rows of one stage: evidence_id, learner_id, kind, class, reliability, statement, source, subject."""
+    grade = F.lit(reliability) if isinstance(reliability, str) else reliability
+    subject = F.lit(None).cast("string") if subject is None else subject
+    return df.select(F.concat_ws(":", F.lit(kind), "learner_id", F.coalesce(subject, F.lit(""))).alias("evidence_id"), "learner_id", F.lit(kind).alias("kind"), F.lit(klass).alias("class"), grade.alias("reliability"), statement.alias("statement"), F.lit(source).alias("source"), subject.alias("subject"))
+
+
+def evidence_table(counts: DataFrame, rollups: DataFrame, change: DataFrame, fusion: DataFrame, states: DataFrame) -> DataFrame:
+    """One long table of what the stages say of each learner."""
+    parts = [
+        evidence_rows(counts, "event", F.format_string("%d events in %d sessions", "n_events", "n_sessions"), "high", "log", klass="observed"),
+        evidence_rows(counts, "provenance", F.format_string("origin %s", "origin_label"), "high", "log", klass="observed"),
+        evidence_rows(rollups.where("sufficient"), "subject", F.format_string("%s: %d of %d correct", "subject", "n_correct", "answered"), F.when(F.col("stale"), "low").otherwise("medium"), "rollup", F.col("subject")),
+        evidence_rows(change.where("change <> 'insufficient_evidence'"), "change", F.format_string("change %s", "change"), "medium", "sessions"),
+        evidence_rows(fusion.where("agreement <> 'unavailable'"), "fusion", F.format_string("subjects are %s", "agreement"), F.when(F.col("agreement") == "contradictory", "low").otherwise("medium"), "rollup"),
+        evidence_rows(states.where("state <> 'insufficient_data'"), "temporal", F.format_string("state %s, %s", "state", "direction"), F.when(F.col("weakest_maturity") >= 2, "high").otherwise("medium"), "baseline"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def gap_table(rollups: DataFrame, change: DataFrame, fusion: DataFrame, states: DataFrame) -> DataFrame:
+    """Typed gaps with priority: gap_id, learner_id, gap, priority, subject."""
+    def rows(df: DataFrame, gap: str, priority: int, subject: Column | None = None) -> DataFrame:
+        subject = F.lit(None).cast("string") if subject is None else subject
+        return df.select(F.concat_ws(":", F.lit(gap), "learner_id", F.coalesce(subject, F.lit(""))).alias("gap_id"), "learner_id", F.lit(gap).alias("gap"), F.lit(priority).alias("priority"), subject.alias("subject"))
+
+    return (
+        rows(states.where("weakest_maturity = 0"), "immature_baseline", 2).unionByName(rows(change.where("change = 'insufficient_evidence'"), "too_few_sessions", 3)).unionByName(rows(fusion.where("agreement = 'unavailable'"), "no_subject", 5))
+        .unionByName(rows(rollups.where("NOT sufficient"), "low_coverage", 6, F.col("subject"))).unionByName(rows(rollups.where("stale"), "stale_subject", 7, F.col("subject"))).unionByName(rows(fusion.where("agreement = 'contradictory'"), "conflicting", 8))
+    )
+
+
+def _scoped(evidence: DataFrame) -> DataFrame:
+    spark = evidence.sparkSession
+    return evidence.join(F.broadcast(spark.createDataFrame(list(KIND_SCOPE.items()), "kind string, scope string")), "kind")
+
+
+def visible_evidence(evidence: DataFrame, roles: list[str]) -> DataFrame:
+    """I8: a row for each piece of evidence and role that may see it."""
+    grants = _pairs({r: ROLES[r] for r in roles}, "role", "scope", evidence.sparkSession)
+    return _scoped(evidence).join(F.broadcast(grants), "scope").drop("scope")
+
+
+def restricted_gaps(evidence: DataFrame, role: str) -> DataFrame:
+    """One gap for each learner and kind that has evidence but is withheld from the role."""
+    grants = _pairs({role: ROLES[role]}, "role", "scope", evidence.sparkSession)
+    held = _scoped(evidence).join(F.broadcast(grants), "scope", "left_anti").select("learner_id", "kind").distinct()
+    return held.select("learner_id", F.lit("privilege_restricted").alias("gap"), "kind")
+
+
+def authorise_requests(requests: DataFrame) -> DataFrame:
+    """Adds allowed and denial: unknown and absent roles are denied, students but for their own id."""
+    role = F.lower(F.trim("role"))
+    why = F.when(role.isNull() | (role == ""), "no_role").when(~role.isin(*ROLES), "unknown_role").when((role == "student") & F.col("requester_id").isNull(), "no_identity").when((role == "student") & (F.col("requester_id") != F.col("learner_id")), "other_learner")
+    return requests.withColumn("denial", why).withColumn("allowed", why.isNull())
+
+
+def classify_intent(question: Column) -> Column:
+    """The first intent that has a word in the question, else unknown."""
+    q, out = F.lower(F.coalesce(question, F.lit(""))), F.when(F.lit(False), "")
+    for name, words in INTENTS:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(q, F.lit(w))
+        out = out.when(hit, name)
+    return out.otherwise("unknown")
+
+
+def resolve_subject(question: Column) -> tuple[Column, Column]:
+    """(subjects named, all / one / ambiguous)."""
+    q = F.lower(F.coalesce(question, F.lit("")))
+    named = F.array_compact(F.array(*[F.when(F.contains(q, F.lit(x)), F.lit(x)) for x in SUBJECTS]))
+    n = F.size(named)
+    return named, F.when(n == 0, "all").when(n == 1, "one").otherwise("ambiguous")
+
+
+def sufficiency(requests: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Adds sufficiency of each request (role, learner_id, intent) from the kinds that exist and those it may see."""
+    spark = evidence.sparkSession
+    kinds = evidence.groupBy("learner_id").agg(F.collect_set("kind").alias("kinds"))
+    may = spark.createDataFrame([(r, [k for k, sc in KIND_SCOPE.items() if sc in scopes]) for r, scopes in ROLES.items()], "role string, may array<string>")
+    need = spark.createDataFrame([(i, list(REQUIRED.get(i, ()))) for i, _ in INTENTS], "intent string, need array<string>")
+    none = F.array().cast("array<string>")
+    j = requests.join(kinds, "learner_id", "left").join(F.broadcast(may), "role", "left").join(F.broadcast(need), "intent", "left")
+    have, need_, may_ = F.coalesce("kinds", none), F.coalesce("need", none), F.coalesce("may", none)
+    case = F.when(F.col("intent") == "unknown", "unsupported").when(F.size(F.array_except(need_, have)) > 0, "missing_data").when(F.size(F.array_except(need_, may_)) > 0, "privilege_restricted").otherwise("ok")
+    return j.withColumn("sufficiency", case).drop("kinds", "may", "need")
+
+
+def select_evidence(requests: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(request columns, evidence columns): visible evidence of the intent's kinds; a subject question that names
+    subjects gets theirs alone."""
+    spark = evidence.sparkSession
+    kinds = _pairs(QUOTED, "intent", "kind", spark)
+    named, _ = resolve_subject(F.col("question"))
+    r = requests.withColumn("_named", named).join(F.broadcast(kinds), "intent")
+    seen = visible_evidence(evidence, list(ROLES))
+    j = r.join(seen, ["learner_id", "role", "kind"])
+    return j.where((F.col("intent") != "subject") | (F.size("_named") == 0) | F.array_contains("_named", F.coalesce("subject", F.lit("")))).drop("_named")
+
+
+def _rank(col: Column) -> Column:
+    return _case(col, {g: F.lit(i) for i, g in enumerate(GRADES)})
+
+
+def answer_quality(selected: DataFrame) -> DataFrame:
+    """Per request the worst reliability and the confidence; predicted or unavailable evidence makes it low."""
+    g = selected.groupBy("request_id").agg(F.min(_rank(F.col("reliability"))).alias("_g"), F.bool_or(F.col("class").isin("predicted", "unavailable")).alias("_p"), F.count("*").alias("n_evidence"))
+    grade = F.get(F.array(*map(F.lit, GRADES)), F.col("_g"))
+    return g.select("request_id", grade.alias("reliability"), F.when(F.col("_p"), "low").otherwise(grade).alias("confidence"), "n_evidence")
+
+
+def answer_type(selected: DataFrame) -> DataFrame:
+    """Per request the type of claim and the limitations, in order."""
+    has = lambda c: F.bool_or(c)
+    g = selected.groupBy("request_id", "intent").agg(has(F.col("class") == "predicted").alias("p"), has(F.col("class") == "observed").alias("o"), has(F.col("class") == "derived").alias("d"), has(F.col("reliability") == "low").alias("low"))
+    kind = F.when(F.col("p"), "prediction").when(F.col("d") & F.col("o"), "mixed").when(F.col("d"), "inference").otherwise("observation")
+    limits = F.array_compact(F.array(F.when(F.col("low"), "low_reliability"), F.when(F.col("d"), "derived_from_log"), F.when(F.col("intent").isin("autonomy", "authority"), "scope_of_envelope")))
+    return g.select("request_id", kind.alias("answer_type"), limits.alias("limitations"))
+
+
+def answer_questions(requests: DataFrame, evidence: DataFrame, gaps: DataFrame) -> DataFrame:
+    """I16: one row for each request: status (answered, refused or denied), reason and text, which only quotes
+    stored statements, gaps and fixed lines."""
+    r = authorise_requests(requests.withColumn("intent", classify_intent(F.col("question"))))
+    r = sufficiency(r.withColumn("role", F.lower(F.trim("role"))), evidence)
+    ok = r.where("allowed AND sufficiency = 'ok'")
+    quoted = select_evidence(ok.select("request_id", "learner_id", "role", "intent", "question"), evidence)
+    text = quoted.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("evidence_id", "statement"))), lambda x: x["statement"]), "\n").alias("body"))
+    per = gaps.groupBy("learner_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("priority", "gap_id", "gap"))), lambda x: x["gap"]), "\n").alias("gap_lines"))
+    j = r.join(text, "request_id", "left").join(per, "learner_id", "left")
+    asks_gaps = F.col("intent").isin("gaps", "missing")
+    answer = F.when(asks_gaps, F.coalesce(F.concat(F.lit("Data gaps relevant to this question:\n"), "gap_lines"), F.lit("No known data gaps for this learner."))).otherwise(F.concat(F.lit("Evidence:\n"), F.coalesce("body", F.lit(""))))
+    status = F.when(~F.col("allowed"), "denied").when(F.col("sufficiency") != "ok", "refused").otherwise("answered")
+    return j.withColumn("status", status).withColumn("reason", F.when(~F.col("allowed"), F.col("denial")).when(F.col("sufficiency") != "ok", F.col("sufficiency"))).withColumn("answer", F.when(F.col("status") == "answered", answer))
+
+
+def diagnose(decisions: DataFrame) -> DataFrame:
+    """(decision_id, layer, role, detail): what limited each result, else one row no_restriction.
+
+    ``verdict, binding, reason, state, level, ece`` as the earlier layers gave them; the binding ceiling is named.
+    """
+    cell = lambda layer, role, detail: F.struct(F.lit(layer).alias("layer"), F.lit(role).alias("role"), detail.alias("detail"))
+    rows = F.array_compact(F.array(
+        F.when(F.col("verdict") != "resolved", cell("uncertainty", "constraint", F.col("verdict"))),
+        F.when((F.col("verdict") == "resolved") & (F.col("confidence_value") < 0.6), cell("confidence", "caveat", F.col("binding"))),
+        F.when(F.col("state") == "insufficient_data", cell("temporal", "constraint", F.col("state"))),
+        F.when(F.col("reason").isNotNull() & (F.col("reason") != "not_resolved"), cell("policy", "constraint", F.col("reason"))),
+        F.when(F.col("level") != "allowed", cell("authority", "constraint", F.col("level"))),
+    ))
+    none = F.array(cell("none", "caveat", F.lit("no_restriction")))
+    return decisions.select("decision_id", F.inline(F.when(F.size(rows) > 0, rows).otherwise(none)))
