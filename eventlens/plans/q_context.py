@@ -13,7 +13,7 @@ ID = ["event_id"]
 
 
 def _at(step, *cols):
-    return lambda s, d: step(events(s, d)).select(*ID, *cols)
+    return lambda s, d: step(events(s, d)).selectExpr(*ID, *cols)
 
 
 def features(s, d):
@@ -32,14 +32,14 @@ def f15(s, d):
 
 
 QUERIES = {
-    "c1_session_progress": _at(lambda e: C.session_progress(e, SPARSE), F.round("elapsed_seconds", 6).alias("elapsed_seconds"), F.round("position", 6).alias("position"), "event_count", "start_inferred", "has_ended"),
+    "c1_session_progress": _at(lambda e: C.session_progress(e, SPARSE), "round(elapsed_seconds, 6) AS elapsed_seconds", "round(position, 6) AS position", "event_count", "start_inferred", "has_ended"),
     "c2_current_content": _at(C.current_content, "content_kind", "content_ref", "content_difficulty"),
-    "c3_recent_performance": _at(lambda e: C.recent_performance(e, SPARSE), "answer_count", F.round("recent_accuracy", 6).alias("recent_accuracy"), F.round("recent_response", 6).alias("recent_response")),
+    "c3_recent_performance": _at(lambda e: C.recent_performance(e, SPARSE), "answer_count", "round(recent_accuracy, 6) AS recent_accuracy", "round(recent_response, 6) AS recent_response"),
     "c3_at_end": lambda s, d: C.recent_performance_at_end(events(s, d), SPARSE).select("session_id", "answer_count", F.round("recent_accuracy", 6).alias("recent_accuracy"), F.round("recent_response", 6).alias("recent_response")),
-    "c4_intervention_status": _at(lambda e: C.intervention_status(e, SPARSE), "interventions", "last_intervention_type", "last_outcome", F.round("seconds_since_last", 6).alias("seconds_since_last"), "in_cooldown", F.round("cooldown_remaining", 6).alias("cooldown_remaining")),
+    "c4_intervention_status": _at(lambda e: C.intervention_status(e, SPARSE), "interventions", "last_intervention_type", "last_outcome", "round(seconds_since_last, 6) AS seconds_since_last", "in_cooldown", "round(cooldown_remaining, 6) AS cooldown_remaining"),
     "c5_missing_keys": lambda s, d: C.missing_keys(C.session_context(events(s, d), SPARSE)).select("event_id", F.array_join("missing_keys", ",").alias("missing"), F.array_join("blocking_keys", ",").alias("blocking"), "interpretable"),
     "c6_origin_label": _at(C.origin_label, "origin_label", "synthetic_only"),
-    "c7_seen_event_types": _at(C.seen_event_types, F.array_join("seen_types", ",").alias("seen")),
+    "c7_seen_event_types": _at(C.seen_event_types, "array_join(seen_types, ',') AS seen"),
     "f1_session_elapsed_seconds": _feature("session_elapsed_seconds"),
     "f2_session_position": _feature("session_position"),
     "f3_session_event_count": _feature("session_event_count"),
