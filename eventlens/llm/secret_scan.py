@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,7 @@ ASSIGN_LEAST = 8
 #: Kind of the spans that the automata add, and what a candidate looks like.
 INFERRED = "inferred"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+ORDINARY, ORDINARY_SHARE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}"), 1 / 64
 _DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
 
@@ -157,8 +159,8 @@ def examples(documents: DataFrame, text: str = "text", most: int = EXAMPLES) ->
     """(kind, value): up to ``most`` distinct labelled tokens of each kind and of ordinary ones.
 
     All documents are read; the values of smallest hash are taken, whatever the partitions.
-    Ordinary tokens are long words that no pattern matches and that hold a letter alone or a
-    digit alone, URLs' parts included.
+    Ordinary tokens are those of 8 characters or more outside all matches; of these only such
+    whose crc32 is among the lowest ORDINARY_SHARE leave the scan, which bounds what is shuffled.
     """
 
     @F.pandas_udf("array<struct<kind:string,value:string>>")
@@ -167,9 +169,11 @@ def examples(documents: DataFrame, text: str = "text", most: int = EXAMPLES) ->
             rows = []
             for t in texts:
                 found = base_spans(t) if t else []
-                got = {(k, v) for _, k, _, v in found if k != "hex" or all(k2 != "assign" for _, k2, _, _ in found)}
-                taken = [(s, e) for s, _, e, _ in found]
-                got |= {("ordinary", m[0]) for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", t or "") if not any(m.start() < e and s < m.end() for s, e in taken)} if t and len(rows) % 16 == 0 or found else set()
+                assigned = any(k == "assign" for _, k, _, _ in found)
+                got = {(k, v) for _, k, _, v in found if k != "hex" or not assigned}
+                for m in ORDINARY.finditer(t or ""):
+                    if crc32(m[0].encode()) < ORDINARY_SHARE * 2**32 and not any(m.start() < e and s < m.end() for s, _, e, _ in found):
+                        got.add(("ordinary", m[0]))
                 rows.append([{"kind": k, "value": v} for k, v in sorted(got)])
             yield pd.Series(rows)
 
@@ -177,6 +181,7 @@ def examples(documents: DataFrame, text: str = "text", most: int = EXAMPLES) ->
     # dealt by hash first, so that no task ranks all values of a kind
     h = F.xxhash64("kind", "value")
     part = each.withColumn("h", h).withColumn("part", F.pmod("h", F.lit(64)))
+    # of each part, its smallest; then those of all parts: at most 64 * most rows of a kind meet
     near = part.withColumn("r", F.row_number().over(Window.partitionBy("kind", "part").orderBy("h", "value"))).where(F.col("r") <= most)
     return near.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))).where(F.col("r") <= most).select("kind", "value")
 
