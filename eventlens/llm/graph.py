@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import Scratch
 
+#: Most links (counted) of which a table of one row for each node is broadcast.
+BROADCAST_LINKS = 50_000
+
 
 def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of ``links(a, b)``: (node, component).
@@ -23,20 +26,17 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     digest = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u"))).first()
     before = digest(edges)
     for _ in range(most_rounds):
+        small = before[0] <= BROADCAST_LINKS
+        held = F.broadcast if small else (lambda df: df)
         # large-star: every larger neighbour (and v itself) moves to v's smallest neighbour
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).union(edges.select("v", "u"))
         low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        large = both.join(low, "n").where("m > n").select(F.col("m").alias("v"), F.col("low").alias("u")).distinct()
+        large = both.join(held(low), "n").where("m > n").select(F.col("m").alias("v"), F.col("low").alias("u"))
         # small-star: v's smaller neighbours move to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("low"))
-        small = (
-            large.join(least, "v")
-            .select(F.explode(F.array(F.struct("v", F.col("low").alias("u")), F.struct(F.col("u").alias("v"), F.col("low").alias("u")))).alias("e"))
-            .select("e.v", "e.u")
-            .where("v <> u")
-            .distinct()
-        )
-        after = scratch.keep(small)
+        pair = lambda v: F.struct(F.col(v).alias("v"), F.col("low").alias("u"))
+        moved = large.join(held(least), "v").select(F.explode(F.array(pair("v"), pair("u"))).alias("e")).select("e.v", "e.u")
+        after = scratch.keep(moved.where("v <> u").distinct())
         scratch.drop(edges)
         edges, now = after, digest(after)
         if now == before:
@@ -44,5 +44,6 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         before = now
     else:
         raise RuntimeError("components did not settle")
-    out = edges.groupBy("v").agg(F.min("u").alias("component")).select(F.col("v").alias("node"), "component")
+    # each node but the smallest of its component now has one link, to that smallest one
+    out = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return out.union(out.select("component", "component").distinct())

@@ -101,6 +101,20 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
+#: 64-bit words of a parity sketch.
+SKETCH = 8
+
+
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * SKETCH ranges of scrambled hashes holds an odd number of elements.
+
+    An element that only one of two sets has flips one bit, so the bits in which two sketches
+    differ are a lower bound of the sets' Hamming distance.
+    """
+    at = mix(s ^ _BASE) >> np.uint64(64 - 9)
+    bits = (np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
 
 @lru_cache(maxsize=256)
 def _edges(parts: int) -> np.ndarray:
@@ -136,11 +150,11 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
                 "sigs": [signatures(s, percent) for s in sets],
             })
 
-    @F.pandas_udf("n long, s binary")
+    @F.pandas_udf("n long, sketch array<long>, s binary")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = shingle_sets(texts.tolist(), words, width)
-            yield pd.DataFrame({"n": [len(s) for s in sets], "s": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"n": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets], "s": [s.tobytes() for s in sets]})
 
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -168,30 +182,35 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     # 3. waves: compare the first members of each bucket with the others, then forget them.
     # Rows of one key with different sets are one node.
     links = scratch.keep(member.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
-    comps, pivots, done = None, 1, None
+    parity = [f"k{i}" for i in range(SKETCH)]
+    outer = sets.select("id", "n", *[F.get("sketch", F.lit(i)).alias(k) for i, k in enumerate(parity)])
+    first = scratch.keep(live.join(outer, "id").withColumn("c", F.col("id")))
+    scratch.drop(live)
+    live, comps, pivots, done = first, None, 1, None
+    # the set sizes and sketches of a pair bound its distance from below: most pairs that can't link end here
+    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"a{k}"))) for k in parity), F.lit(0))
+    may_link = (100 * F.least("n", "an") >= percent * F.greatest("n", "an")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("an")))
     while live.limit(1).count():
-        rank = Window.partitionBy("sig").orderBy("id")
-        ranked = live.withColumn("r", F.row_number().over(rank))
-        heads = ranked.where(F.col("r") <= pivots).select("sig", F.col("id").alias("a"), *([F.col("c").alias("ca")] if comps else []))
-        pairs = ranked.join(heads, "sig").where("a < id")
-        if comps:
-            pairs = pairs.where("ca <> c")
-        pairs = pairs.select("a", F.col("id").alias("b")).distinct()
+        ranked = live.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("id")))
+        heads = ranked.where(F.col("r") <= pivots).select("sig", *[F.col(x).alias(f"a{x}") for x in ("id", "c", "n", *parity)])
+        near = ranked.join(heads, (ranked["sig"] == heads["sig"]) & (F.col("aid") < F.col("id")) & (F.col("ac") != F.col("c")) & may_link)
+        pairs = near.select(F.col("aid").alias("a"), F.col("id").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
-        compared = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
+        compared = pairs.join(side("b"), "b").join(side("a"), "a")
         found = compared.select("a", "b", linked("sa", "sb").alias("ok")).where("ok").select("a", "b")
-        links = scratch.keep(links.union(found))
-        comps = scratch.keep(components(links, scratch))
+        known, links = links, scratch.keep(links.union(found))
+        if comps is None or links.count() > known.count():
+            comps = scratch.keep(components(links, scratch))
         done = pairs if done is None else scratch.keep(done.union(pairs))
-        rest = ranked.where(F.col("r") > pivots).select("sig", "id")
-        rest = rest.join(comps.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c"))
-        open_ = rest.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").select("sig", "id", "c")
+        rest = ranked.where(F.col("r") > pivots).drop("r", "c")
+        rest = rest.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        open_ = rest.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").drop("lo", "hi")
         after = scratch.keep(open_)
         scratch.drop(live)
-        live, pivots = after, pivots * 4
+        live, pivots = after, pivots * 64
     scratch.drop(sets)
     comps = comps if comps is not None else components(links, scratch)
     got = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -204,3 +223,21 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard}
+
+ORACLES = {
+    "op7_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ln AS (SELECT a, b FROM pr JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.b FROM reach r JOIN edges l ON r.y = l.a)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON x = d.doc_id GROUP BY d.doc_id
+"""
+}
