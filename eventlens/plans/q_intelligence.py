@@ -12,6 +12,7 @@ from eventlens.plans.canon import events, pick, r6, steady, table
 from eventlens.plans.q_baseline import TRACK, history
 from eventlens.plans.q_policy import DEC, TYPES, authorised
 from eventlens.settings import SPARSE
+from eventlens.sources.shared import saved
 
 NOW = 1706572800000000  # 2024-01-30
 
@@ -36,12 +37,24 @@ def counts(s, d):
     return events(s, d).groupBy("learner_id").agg(F.count("*").alias("n_events"), F.count_distinct("session_id").alias("n_sessions"), origin_of(F.bool_or(F.col("origin") == "real"), F.bool_or(F.col("origin") == "synthetic")).alias("origin_label"))
 
 
-def evidence(s, d):
-    return I.evidence_table(counts(s, d), rollups(s, d), change(s, d), fusion(s, d), states(s, d))
+def stages(s, d):
+    """What evidence and gaps are drawn from, each computed once."""
+    r = saved(rollups(s, d))
+    return r, saved(change(s, d)), saved(I.subject_fusion(r)), saved(states(s, d))
 
 
-def gaps(s, d):
-    return I.gap_table(rollups(s, d), change(s, d), fusion(s, d), states(s, d))
+def evidence(s, d, parts=None):
+    r, c, f, st = parts or stages(s, d)
+    return saved(I.evidence_table(counts(s, d), r, c, f, st))
+
+
+def gaps(s, d, parts=None):
+    return I.gap_table(*(parts or stages(s, d)))
+
+
+def answers(s, d):
+    parts = stages(s, d)
+    return I.answer_questions(requests(s, d), evidence(s, d, parts), gaps(s, d, parts))
 
 
 _ASK = ("What is the current state?", "Which gaps are there?", "Compare both subjects", "How has it changed over time?", "How is performance in algebra?", "Reading or geometry?", "Show the timeline", "What is permitted?", "Describe the student", "Blue skies")
@@ -96,7 +109,7 @@ QUERIES = {
     "i13_select_evidence": lambda s, d: selected(s, d).select("request_id", "evidence_id"),
     "i14_answer_quality": lambda s, d: I.answer_quality(selected(s, d)),
     "i15_answer_type": lambda s, d: I.answer_type(selected(s, d)).select("request_id", "answer_type", F.array_join("limitations", ",").alias("limitations")),
-    "i16_answer_questions": lambda s, d: I.answer_questions(requests(s, d), evidence(s, d), gaps(s, d)).select("request_id", "status", "reason", F.sha2("answer", 256).alias("answer_sha")),
+    "i16_answer_questions": lambda s, d: answers(s, d).select("request_id", "status", "reason", F.sha2("answer", 256).alias("answer_sha")),
     "i17_resolve_subject": lambda s, d: requests(s, d).select("request_id", F.array_join(I.resolve_subject(F.col("question"))[0], ",").alias("named"), I.resolve_subject(F.col("question"))[1].alias("scope")),
     "i18_diagnose": i18,
     "i19_pipeline": i19,

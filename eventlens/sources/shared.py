@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -15,3 +15,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="spark-eventlens-")
         spark.conf.set("eventlens.shared.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "saved") -> DataFrame:
+    """The frame, written to the shared folder and read back: later plans don't compute it again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
