@@ -25,7 +25,7 @@ from eventlens.llm.common import table
 
 #: Most fragments and bytes of fragments in each of a worker's two memos: when the first is full,
 #: it takes the place of the second, from which fragments that come again are taken back.
-MEMO_FRAGMENTS, MEMO_BYTES = 250_000, 32_000_000
+MEMO_FRAGMENTS, MEMO_BYTES = 200_000, 24_000_000
 
 #: Rows that are encoded, decoded and handed on together: bounds a worker's memory.
 SLICE = 256

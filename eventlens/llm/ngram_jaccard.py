@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from eventlens.llm.common import Scratch, table
 from eventlens.llm.graph import components
 from eventlens.llm.shingles import mix, shingle_sets
+#: Texts whose sets a worker holds at once.
+SLICE = 256
+
 
 def enough(common: int, a: int, b: int, percent: int) -> bool:
     """Whether common / union is at least percent / 100."""
@@ -143,12 +146,11 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     @F.pandas_udf(coded)
     def outline(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = shingle_sets(texts.tolist(), words, width)
-            yield pd.DataFrame({
-                "n": [len(s) for s in sets],
-                "fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                "sigs": [signatures(s, percent) for s in sets],
-            })
+            rows = []
+            for lo in range(0, len(texts), SLICE):
+                for s in shingle_sets(texts.iloc[lo : lo + SLICE].tolist(), words, width):
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signatures(s, percent)))
+            yield pd.DataFrame(rows, columns=["n", "fp", "sigs"])
 
     @F.pandas_udf("n long, sketch array<long>, s binary")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

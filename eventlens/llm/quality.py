@@ -23,7 +23,7 @@ from eventlens.llm.common import table
 SAMPLE, BUCKETS, DIM, EPOCHS, RATE, SEED = 2000, 1 << 17, 8, 10, 0.5, 7
 
 #: Words that a worker remembers before it starts afresh.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 #: The bucket that stands for a word which repeats the one before it.
 _REPEAT = BUCKETS
