@@ -9,14 +9,14 @@ from eventlens.settings import DEFAULT, Settings
 
 #: The scope of each kind of evidence, and the scopes of each role.
 KIND_SCOPE = {
-    "provenance": "sources", "event": "evidence", "context": "evidence", "feature": "focus_engine", "baseline": "focus_engine", "temporal": "focus_engine",
-    "prediction": "focus_engine", "uncertainty": "focus_engine", "policy": "focus_engine", "authority": "authority", "intervention": "interventions",
-    "outcome": "outcomes", "evaluation": "outcomes", "subject": "evidence", "change": "focus_engine", "fusion": "focus_engine",
+    "provenance": "sources", "event": "evidence", "context": "evidence", "feature": "engine", "baseline": "engine", "temporal": "engine",
+    "prediction": "engine", "uncertainty": "engine", "policy": "engine", "authority": "authority", "intervention": "interventions",
+    "outcome": "outcomes", "evaluation": "outcomes", "subject": "evidence", "change": "engine", "fusion": "engine",
 }
 ROLES = {
     "student": ("profile", "evidence", "missing_data", "sources"),
-    "teacher": ("profile", "evidence", "focus_engine", "interventions", "outcomes", "authority", "missing_data", "sources"),
-    "admin": ("profile", "evidence", "focus_engine", "interventions", "outcomes", "authority", "missing_data", "sources"),
+    "teacher": ("profile", "evidence", "engine", "interventions", "outcomes", "authority", "missing_data", "sources"),
+    "admin": ("profile", "evidence", "engine", "interventions", "outcomes", "authority", "missing_data", "sources"),
 }
 #: Subject names that a question may hold, and the ordered word lists of the intents: the first hit wins.
 SUBJECTS = ("algebra", "geometry", "reading")
