@@ -3,7 +3,9 @@
 Texts are cut into paragraphs at places that only nearby words decide, so that a passage is cut
 alike wherever it stands.  Equal paragraphs are grouped by hash; longer ones also get MinHash
 bands tuned for high recall, colliding ones are joined and verified by exact Jaccard, and links
-become components.  Runs of paragraphs that other documents hold too are the passages.
+become components.  Beside them, every window of WINDOW words that two documents hold is found
+exactly, wherever it begins: windows whose least hash of ANCHOR words is shared are grouped by
+their own hash.  Runs of paragraphs and windows that other documents hold too are the passages.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import Scratch, table
@@ -28,6 +31,9 @@ SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 6, 3
 #: of a paragraph that may stand between two repeated ones of a passage.
 LEAST, LEAST_NEAR, LEAST_PASSAGE, GAP = 5, 13, 30, 12
 
+#: Words of a window that is found wherever it begins, and of the runs whose least hash stands for it.
+WINDOW, ANCHOR = 50, 20
+
 #: The same words in a text that is not lower-cased yet.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _ODD = np.random.default_rng(9).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,16 +104,114 @@ def _together(low: list[np.ndarray], salt: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text, of each of its windows in order: the least hash of ANCHOR words inside, and the hash of all WINDOW words.
+
+    Both depend on the window's words alone, so equal windows agree, in long runs of one word too.
+    """
+    for h, bounds in word_runs(texts, "ascii"):
+        n = len(h)
+        count = max(0, n - WINDOW + 1)
+        up, down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, b)))) for b in _BASES)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:n])))
+        of = lambda width: mix((total[width:] - total[: max(0, n - width + 1)]) * down[: max(0, n - width + 1)])  # noqa: E731, B023
+        low, width, most = of(ANCHOR), 1, WINDOW - ANCHOR + 1
+        while 2 * width <= most:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low = np.minimum(low[:count], low[most - width : most - width + count]).view(np.int64)
+        own = of(WINDOW).view(np.int64)
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            z = max(a, z - WINDOW + 1)
+            yield low[a:z], own[a:z]
+
+
+_BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+#: Rows of windows that a worker hands over at once.
+_ROWS_OUT = 100_000
+
+
+def _batches(rows: Iterator[tuple[pa.Scalar, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Record batches of (key, array, ...): each key is repeated for its arrays' values."""
+    keys, parts, size = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        ids = pa.array(keys, keys[0].type).take(pa.array(np.repeat(np.arange(len(keys)), [len(p[0]) for p in parts])))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x)) for x in zip(*parts))], names)
+
+    for key, *arrays in rows:
+        keys.append(key)
+        parts.append(arrays)
+        size += len(arrays[0])
+        if size >= _ROWS_OUT:
+            yield batch()
+            keys, parts, size = [], [], 0
+    if keys:
+        yield batch()
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(id, start, end, lo) of the windows of ``docs(id, text)`` that two ids hold; lo is the least of these.
+
+    Equal windows that stand one word apart, as in a run of one word, are one row.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b["id"], windows(b["text"].to_pylist()))
+            yield from _batches(((i, np.unique(low)) for i, (low, _) in rows if len(low)), ["id", "h"])
+
+    def owns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+            for i, (low, own), hs in zip(b["id"], windows(b["text"].to_pylist()), b["hs"]):
+                at = np.flatnonzero(np.isin(low, hs.values.to_numpy()))
+                if len(at):
+                    first = np.flatnonzero(np.concatenate(([True], (at[1:] > at[:-1] + 1) | (own[at[1:]] != own[at[:-1]]))))
+                    last = np.append(first[1:], len(at)) - 1
+                    yield i, at[first].astype(np.int32), (at[last] + WINDOW).astype(np.int32), own[at[first]]
+
+        for b in batches:
+            yield from _batches(rows(b), ["id", "start", "end", "h"])
+
+    by = Window.partitionBy("h")
+    shared = lambda df: df.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where("lo < hi")
+    asked = shared(docs.select("id", "text").mapInArrow(lows, f"id {kind}, h long")).groupBy("id").agg(F.collect_set("h").alias("hs"))
+    found = docs.join(asked.hint("shuffle_hash"), "id").select("id", "text", "hs").mapInArrow(owns, f"id {kind}, start int, end int, h long")
+    return shared(found).select("id", "start", "end", "lo")
+
+
+def passages_of(start: np.ndarray, end: np.ndarray, lo: np.ndarray, own: np.ndarray, least: int) -> Iterator[tuple]:
+    """(start, end, repeated words, least key, keep) of the runs of one document's repeated stretches.
+
+    A stretch joins the run if at most GAP words stand between; own: whether lo is the document.
+    """
+    order = np.argsort(start, kind="stable")
+    start, end, lo, own = start[order], end[order], lo[order], own[order]
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.concatenate(([True], start[1:] - reach[:-1] > GAP)))
+    last = np.append(first[1:], len(start)) - 1
+    base, size = start[0], reach[-1] - start[0] + 1
+    held = np.cumsum(np.bincount(start - base, minlength=size) - np.bincount(end - base, minlength=size)) > 0
+    for a, z in zip(first.tolist(), last.tolist()):
+        s, e = int(start[a]), int(reach[z])
+        n = int(np.count_nonzero(held[s - base : e - base]))
+        if n >= least:
+            low = a + min(range(z - a + 1), key=lo[a : z + 1].__getitem__)
+            yield s, e, n, lo[low], bool(own[low])
+
+
 _UNITS = "array<struct<start:int,words:int,h:long,bands:array<long>>>"
 
 
 def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_PASSAGE) -> DataFrame:
     """(key, passage, start_word, end_word, n_words, component, keep): every passage that another document holds too.
 
-    A passage is a run of repeated paragraphs, with at most one short other paragraph between
+    A passage is a run of repeated paragraphs and windows, with at most GAP other words between
     two, and at least ``least`` repeated words.  start_word and end_word count the words of the
     text from 0, end exclusive; n_words counts the repeated ones.  component is the smallest key
-    of any document that holds one of its paragraphs, or one that is linked to it; keep is true
+    of any document that holds one of its paragraphs or windows, or a paragraph that is linked to it; keep is true
     where the document itself is that smallest one: the first of all copies stays.
 
     Null, empty and short texts have no passage.  Rows that share a key count as one document.
@@ -160,27 +264,23 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     shared = scratch.keep(known.select("h", "c").join(by_class.select("c", "lo"), "c").select("h", "lo"))
     marked = each.select("id", "start", "words", "h").join(shared, "h")
 
-    unit = F.struct("start", (F.col("start") + F.col("words")).alias("end"), F.col("lo"))
-    per = marked.groupBy("id").agg(F.array_sort(F.collect_set(unit)).alias("us"))
-    # runs, in order of place: a paragraph joins the run if at most GAP words stand between
-    fresh = lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), (u["end"] - u["start"]).alias("n"), u["lo"].alias("lo"))
-    last = lambda a: F.element_at(a, -1)
-
-    def join(a: Column, u: Column) -> Column:
-        grown = F.struct(
-            last(a)["start"].alias("start"), F.greatest(last(a)["end"], u["end"]).alias("end"),
-            (last(a)["n"] + F.greatest(u["end"] - F.greatest(last(a)["end"], u["start"]), F.lit(0))).alias("n"),
-            F.least(last(a)["lo"], u["lo"]).alias("lo"),
-        )
-        near_by = (F.size(a) > 0) & (u["start"] - F.try_element_at(a, F.lit(-1))["end"] <= GAP)
-        return F.when(near_by, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(a, F.array(fresh(u))))
-
-    empty = F.expr(f"cast(array() as array<struct<start:int,end:int,n:int,lo:{dict(per.select('us').schema['us'].dataType.elementType.jsonValue()['fields'][2])['type']}>>)")
-    runs = per.select("id", F.posexplode(F.filter(F.aggregate("us", empty, join), lambda r: r["n"] >= least)).alias("passage", "r"))
-    return runs.select(
-        F.col("id").alias(key), "passage", F.col("r.start").alias("start_word"), F.col("r.end").alias("end_word"), F.col("r.n").alias("n_words"),
-        F.col("r.lo").alias("component"), (F.col("r.lo") == F.col("id")).alias("keep"),
-    )
+    units = marked.select("id", "start", (F.col("start") + F.col("words")).alias("end"), "lo").union(repeated_windows(docs))
+    per = units.groupBy("id").agg(F.collect_list(F.struct("start", "end", "lo", (F.col("lo") == F.col("id")).alias("own"))).alias("us"))
+    kind = docs.schema["id"].dataType.simpleString()
+    names = ["id", "passage", "start_word", "end_word", "n_words", "component", "keep"]
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, us in zip(b["id"], b["us"]):
+                of = us.values.flatten()
+                found = passages_of(*(x.to_numpy(zero_copy_only=False) for x in of), least)
+                rows += [(i.as_py(), k, *r) for k, r in enumerate(found)]
+            kinds = [b["id"].type, *[pa.int32()] * 4, b["id"].type, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+
+    found = per.mapInArrow(runs, f"id {kind}, passage int, start_word int, end_word int, n_words int, component {kind}, keep boolean")
+    return found.withColumnRenamed("id", key)
 
 
 def remove_passages(documents: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -274,6 +274,27 @@ def test_near_paragraphs_join_a_class(spark):
     assert {r["doc_id"] for r in got} == {0, 1}
 
 
+def test_windows_off_the_cuts_are_found(spark):
+    rng = np.random.default_rng(91)
+    say = lambda n: [f"w{x}" for x in rng.integers(5000, size=n)]
+    texts = [" ".join(say(200)) for _ in range(12)]
+    for k in range(6):  # 50 to 55 words in the middle of a sentence, at other places
+        shared, a, b = say(50 + k), say(70 + k), say(90 - k)
+        texts += [" ".join(a[:33] + shared + a[33:]) + ".", " ".join(b[:52] + shared + b[52:])]
+    texts += [" ".join(say(30) + ["same"] * 300 + say(9)), " ".join(say(7) + ["same"] * 60 + say(30)), " ".join(say(20) + ["same"] * 25), None, "", "Few words."]
+    holders, wins = collections.defaultdict(set), {}
+    for i, t in enumerate(texts):
+        ws = words(t)
+        wins[i] = [tuple(ws[j : j + 50]) for j in range(len(ws) - 49)]
+        for w in wins[i]:
+            holders[w].add(i)
+    want = {i: {p for j, w in enumerate(ws) if len(holders[w]) > 1 for p in range(j, j + 50)} for i, ws in wins.items()}
+    got = collections.defaultdict(set)
+    for r in substring_dedup.repeated_passages(frame(spark, texts)).collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert all(want[i] <= got[i] for i in want) and sum(map(bool, want.values())) == 14 and all(bool(want[i]) == bool(got[i]) for i in want)
+
+
 def test_word_runs_agree_with_a_plain_split():
     for kind, plain in (("blank", lambda t: t.encode().lower().split()), ("ascii", lambda t: [w.encode() for w in words(t)])):
         texts = [t for t in ODD if t is None or "\x00" not in t]
