@@ -182,24 +182,29 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return shared(found).select("id", "start", "end", "lo")
 
 
-def passages_of(start: np.ndarray, end: np.ndarray, lo: np.ndarray, own: np.ndarray, least: int) -> Iterator[tuple]:
+def passages_of(start: np.ndarray, end: np.ndarray, lo: np.ndarray, own: np.ndarray, cut: np.ndarray, least: int) -> Iterator[tuple]:
     """(start, end, repeated words, least key, keep) of the runs of one document's repeated stretches.
 
-    A stretch joins the run if at most GAP words stand between; own: whether lo is the document.
+    A stretch joins the run if at most GAP words stand between; own: whether lo is the document;
+    cut: whether it is a paragraph.  Runs are split where keep changes: a paragraph's own decides
+    for its words, windows' for those outside paragraphs, which stay if any of their windows does.
     """
     order = np.argsort(start, kind="stable")
-    start, end, lo, own = start[order], end[order], lo[order], own[order]
+    start, end, lo, own, cut = start[order], end[order], lo[order], own[order], cut[order]
     reach = np.maximum.accumulate(end)
     first = np.flatnonzero(np.concatenate(([True], start[1:] - reach[:-1] > GAP)))
     last = np.append(first[1:], len(start)) - 1
     base, size = start[0], reach[-1] - start[0] + 1
-    held = np.cumsum(np.bincount(start - base, minlength=size) - np.bincount(end - base, minlength=size)) > 0
+    cover = lambda s, e: np.cumsum(np.bincount(s - base, minlength=size) - np.bincount(e - base, minlength=size)) > 0
+    held = cover(start, end)
+    kept = np.where(cover(start[cut], end[cut]), cover(start[cut & own], end[cut & own]), cover(start[own], end[own]))
     for a, z in zip(first.tolist(), last.tolist()):
-        s, e = int(start[a]), int(reach[z])
-        n = int(np.count_nonzero(held[s - base : e - base]))
-        if n >= least:
-            low = a + min(range(z - a + 1), key=lo[a : z + 1].__getitem__)
-            yield s, e, n, lo[low], bool(own[low])
+        at = np.flatnonzero(held[start[a] - base : reach[z] - base]) + start[a]
+        if len(at) >= least:
+            low, keep = min(lo[a : z + 1]), kept[at - base]
+            piece = np.flatnonzero(np.concatenate(([True], keep[1:] != keep[:-1])))
+            for i, k in zip(piece.tolist(), np.append(piece[1:], len(at)).tolist()):
+                yield int(at[i]), int(at[k - 1]) + 1, k - i, low, bool(keep[i])
 
 
 _UNITS = "array<struct<start:int,words:int,h:long,bands:array<long>>>"
@@ -211,8 +216,12 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     A passage is a run of repeated paragraphs and windows, with at most GAP other words between
     two, and at least ``least`` repeated words.  start_word and end_word count the words of the
     text from 0, end exclusive; n_words counts the repeated ones.  component is the smallest key
-    of any document that holds one of its paragraphs or windows, or a paragraph that is linked to it; keep is true
-    where the document itself is that smallest one: the first of all copies stays.
+    of any document that holds one of its paragraphs or windows, or a paragraph that is linked to it.
+
+    keep is decided for each paragraph: true where the document itself is the first that holds it
+    or one linked to it, so that the first of all copies stays; words outside repeated paragraphs
+    stay if the document is the first that holds some window over them.  A passage is split where
+    keep changes; pieces may have fewer than ``least`` words.
 
     Null, empty and short texts have no passage.  Rows that share a key count as one document.
     Rows with a null key take no part.  Paragraphs under LEAST words are never repeats by themselves.
@@ -264,8 +273,9 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     shared = scratch.keep(known.select("h", "c").join(by_class.select("c", "lo"), "c").select("h", "lo"))
     marked = each.select("id", "start", "words", "h").join(shared, "h")
 
-    units = marked.select("id", "start", (F.col("start") + F.col("words")).alias("end"), "lo").union(repeated_windows(docs))
-    per = units.groupBy("id").agg(F.collect_list(F.struct("start", "end", "lo", (F.col("lo") == F.col("id")).alias("own"))).alias("us"))
+    cuts = marked.select("id", "start", (F.col("start") + F.col("words")).alias("end"), "lo", F.lit(True).alias("cut"))
+    units = cuts.union(repeated_windows(docs).withColumn("cut", F.lit(False)))
+    per = units.groupBy("id").agg(F.collect_list(F.struct("start", "end", "lo", (F.col("lo") == F.col("id")).alias("own"), "cut")).alias("us"))
     kind = docs.schema["id"].dataType.simpleString()
     names = ["id", "passage", "start_word", "end_word", "n_words", "component", "keep"]
 

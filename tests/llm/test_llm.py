@@ -274,6 +274,21 @@ def test_near_paragraphs_join_a_class(spark):
     assert {r["doc_id"] for r in got} == {0, 1}
 
 
+def test_first_copy_of_each_paragraph_stays(spark):
+    rng = np.random.default_rng(92)
+    say = lambda n: " ".join(" ".join(f"v{rng.integers(3000)}" for _ in range(8)).capitalize() + "." for _ in range(n))
+    header, one, two = say(2), say(8), say(8)
+    texts = [header + " " + say(6), header + "\n" + one, header + "\n" + one + " " + two, say(3) + "\n" + two, header + "\n" + two + " " + one]
+    df = frame(spark, texts)
+    got = substring_dedup.repeated_passages(df)
+    out = [r["text"] for r in substring_dedup.remove_passages(df, got).orderBy("doc_id").collect()]
+    left = [" ".join(words(t)) for t in out]
+    for part, home in ((header, 0), (one, 1), (two, 2)):
+        held = [i for i, t in enumerate(left) if " ".join(words(part)) in t]
+        assert held == [home]
+    assert left[4] == ""
+
+
 def test_windows_off_the_cuts_are_found(spark):
     rng = np.random.default_rng(91)
     say = lambda n: [f"w{x}" for x in rng.integers(5000, size=n)]
