@@ -2,8 +2,8 @@
 
 Texts are cut into paragraphs at places that only nearby words decide, so that a passage is cut
 alike wherever it stands.  Equal paragraphs are grouped by hash; longer ones also get MinHash
-bands tuned for high recall, colliding ones are joined and verified by exact Jaccard, and links
-become components.  Beside them, every window of WINDOW words that two documents hold is found
+bands tuned for high recall, colliding ones are joined and verified by exact Jaccard in waves of
+pivots until each bucket is exhausted, and links become components.  Beside them, every window of WINDOW words that two documents hold is found
 exactly, wherever it begins: windows whose least hash of ANCHOR words is shared are grouped by
 their own hash.  Runs of paragraphs and windows that other documents hold too are the passages.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import Scratch, table
 from eventlens.llm.graph import components
+from eventlens.llm.ngram_jaccard import SKETCH, parity_sketch
 from eventlens.llm.shingles import mix, word_runs
 
 #: Words in a shingle, similarity of near paragraphs in percent, and their MinHash bands and rows.
@@ -247,25 +248,56 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     once = each.where("bands IS NOT NULL").join(classes.select("h", "first"), "h").where((F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start")))
     bands = once.select("h", F.explode("bands").alias("band"))
     bucket = Window.partitionBy("band")
-    pairs = scratch.keep(bands.withColumn("a", F.min("h").over(bucket)).where("a < h").select("a", F.col("h").alias("b")).distinct())
+    met = bands.withColumn("lo", F.min("h").over(bucket)).withColumn("hi", F.max("h").over(bucket)).where("lo < hi")
+    live = scratch.keep(met.select("band", "h").distinct())
+    outlined, each = each, scratch.keep(each.drop("bands"))
+    scratch.drop(outlined)
 
-    @F.pandas_udf("array<struct<h:long,s:array<long>>>")
+    @F.pandas_udf("array<struct<h:long,s:array<long>,k:array<long>>>")
     def sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, wanted in batches:
             out = []
             for o, hs in zip(outlines(texts.tolist(), False), wanted):
                 want = {int(x) for x in hs}
-                out.append([{"h": x, "s": o.set_of(i).view(np.int64)} for i, x in enumerate(o.h.tolist()) if x in want])
+                of = [(x, o.set_of(i)) for i, x in enumerate(o.h.tolist()) if x in want]
+                out.append([{"h": x, "s": s.view(np.int64), "k": parity_sketch(s)} for x, s in of])
             yield pd.Series(out)
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes.select("h", F.col("first.id").alias("id")), "h")
+    asked = live.select("h").distinct().join(classes.select("h", F.col("first.id").alias("id")), "h")
     asked = asked.groupBy("id").agg(F.collect_set("h").alias("hs"))
-    sized = docs.join(asked.hint("shuffle_hash"), "id").select(F.explode(sets("text", "hs")).alias("x")).select("x.h", "x.s").dropDuplicates(["h"])
-    sized = scratch.keep(sized)
-    compared = pairs.join(sized.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b").join(sized.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a")
+    sized = docs.join(asked.hint("shuffle_hash"), "id").select(F.explode(sets("text", "hs")).alias("x")).select("x.*").dropDuplicates(["h"])
+    sized = scratch.keep(sized.withColumn("n", F.size("s")))
+
+    # waves: compare the first paragraphs of each bucket with the others, then forget them
+    # and the buckets of one component.  Sizes and sketches bound the distance of a pair from below.
+    parity = [f"k{i}" for i in range(SKETCH)]
+    outer = sized.select("h", "n", *[F.get("k", F.lit(i)).alias(k) for i, k in enumerate(parity)])
+    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"a{k}"))) for k in parity), F.lit(0))
+    may_link = (100 * F.least("n", "an") >= PERCENT * F.greatest("n", "an")) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n") + F.col("an")))
     common = F.size(F.array_intersect("sa", "sb"))
-    links = compared.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    near = components(scratch.keep(links), scratch)
+    side = lambda x: sized.select(F.col("h").alias(x), F.col("s").alias(f"s{x}"))
+    near = spark.createDataFrame([], "node long, component long")
+    links, n_links, pivots = None, 0, 1
+    while live.limit(1).count():
+        ranked = live.withColumn("r", F.row_number().over(bucket.orderBy("h"))).join(near.withColumnRenamed("node", "h"), "h", "left")
+        ranked = ranked.select("band", "h", "r", F.coalesce("component", "h").alias("c")).join(outer, "h")
+        heads = ranked.where(F.col("r") <= pivots).select("band", *[F.col(x).alias(f"a{x}") for x in ("h", "c", "n", *parity)])
+        pairs = ranked.join(heads, "band").where((F.col("ah") < F.col("h")) & (F.col("ac") != F.col("c")) & may_link)
+        pairs = pairs.select(F.col("ah").alias("a"), F.col("h").alias("b")).distinct()
+        compared = pairs.join(side("b"), "b").join(side("a"), "a")
+        found = compared.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        links = scratch.keep(found if links is None else links.union(found))
+        if links.count() > n_links:
+            n_links = links.count()
+            near = scratch.keep(components(links, scratch))
+        rest = live.withColumn("r", F.row_number().over(bucket.orderBy("h"))).where(F.col("r") > pivots).select("band", "h")
+        rest = rest.join(near.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h"))
+        open_ = rest.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").select("band", "h")
+        after = scratch.keep(open_)
+        scratch.drop(live)
+        live, pivots = after, pivots * 64
+    scratch.drop(sized)
+    spark._jvm.System.gc()  # shuffle files of the stages so far can go
 
     # the class of a paragraph: itself or its component; kept if two documents hold it
     known = classes.join(near.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("c"), F.col("first.id").alias("lo"), F.col("last").alias("hi"))

@@ -310,6 +310,32 @@ def test_windows_off_the_cuts_are_found(spark):
     assert all(want[i] <= got[i] for i in want) and sum(map(bool, want.values())) == 14 and all(bool(want[i]) == bool(got[i]) for i in want)
 
 
+def test_near_paragraphs_of_one_template_all_link(spark):
+    # one fixed pivot misses pairs in buckets that a dissimilar member of the family heads
+    rng = np.random.default_rng(93)
+    many = [f"t{i}" for i in range(3000)]
+    whole = [w for w, h in zip(many, next(shingles.word_runs([" ".join(many)], "ascii"))[0]) if h % np.uint64(16)]  # words that don't cut
+    base, other, texts = whole[:100], iter(whole[100:]), []
+    for _ in range(100):
+        mine = list(base)
+        p = int(rng.integers(6, 48))
+        for at in (p, int(rng.integers(52, min(94, p + 49)))):  # no window of 50 words stays common
+            mine[at] = next(other)
+        texts += [" ".join(x) + "." for x in (mine, [*mine[:-1], next(other)])]
+    sets = [{tuple(w[i : i + 5]) for i in range(96)} for w in map(words, texts)]
+    up = list(range(len(texts)))
+    root = lambda x: x if up[x] == x else root(up[x])
+    collide = [set(o.bands[0].tolist()) for o in substring_dedup.outlines(texts)]
+    for a in range(len(texts)):
+        for b in range(a):
+            if collide[a] & collide[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    want = {i: root(i) for i in range(len(texts))}
+    got = {r["doc_id"]: r["component"] for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    alone = {i for i in want if list(want.values()).count(want[i]) == 1}
+    assert got == {i: c for i, c in want.items() if i not in alone}
+
+
 def test_word_runs_agree_with_a_plain_split():
     for kind, plain in (("blank", lambda t: t.encode().lower().split()), ("ascii", lambda t: [w.encode() for w in words(t)])):
         texts = [t for t in ODD if t is None or "\x00" not in t]
