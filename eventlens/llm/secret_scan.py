@@ -31,7 +31,7 @@ ASSIGN_LEAST = 8
 #: Kind of the spans that the automata add, and what a candidate looks like.
 INFERRED = "inferred"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ORDINARY, ORDINARY_SHARE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}"), 1 / 64
+ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
 
@@ -159,27 +159,33 @@ def examples(documents: DataFrame, text: str = "text", most: int = EXAMPLES) ->
     """(kind, value): up to ``most`` distinct labelled tokens of each kind and of ordinary ones.
 
     All documents are read; the values of smallest hash are taken, whatever the partitions.
-    Ordinary tokens are those of 8 characters or more outside all matches; of these only such
-    whose crc32 is among the lowest ORDINARY_SHARE leave the scan, which bounds what is shuffled.
+    Ordinary tokens are those of 8 characters or more outside all matches, by smallest crc32; of
+    these only the ``most`` smallest of each partition leave the scan, which bounds what is shuffled.
     """
 
     @F.pandas_udf("array<struct<kind:string,value:string>>")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        least: list[tuple[int, str]] = []  # of the ordinary tokens so far
         for texts in batches:
-            rows = []
+            rows, fresh = [], set()
             for t in texts:
                 found = base_spans(t) if t else []
                 assigned = any(k == "assign" for _, k, _, _ in found)
                 got = {(k, v) for _, k, _, v in found if k != "hex" or not assigned}
                 for m in ORDINARY.finditer(t or ""):
-                    if crc32(m[0].encode()) < ORDINARY_SHARE * 2**32 and not any(m.start() < e and s < m.end() for s, _, e, _ in found):
-                        got.add(("ordinary", m[0]))
+                    x = crc32(m[0].encode()), m[0]
+                    if (len(least) < most or x < least[-1]) and not any(m.start() < e and s < m.end() for s, _, e, _ in found):
+                        fresh.add(x)
                 rows.append([{"kind": k, "value": v} for k, v in sorted(got)])
+                if fresh and (len(fresh) > most or len(rows) == len(texts)):
+                    known, least = set(least), sorted(fresh.union(least))[:most]
+                    rows[-1] += [{"kind": "ordinary", "value": v} for x, v in least if (x, v) not in known]
+                    fresh = set()
             yield pd.Series(rows)
 
     each = documents.select(F.explode(label(text)).alias("x")).select("x.kind", "x.value").distinct()
     # dealt by hash first, so that no task ranks all values of a kind
-    h = F.xxhash64("kind", "value")
+    h = F.when(F.col("kind") == "ordinary", F.crc32("value")).otherwise(F.xxhash64("kind", "value"))
     part = each.withColumn("h", h).withColumn("part", F.pmod("h", F.lit(64)))
     # of each part, its smallest; then those of all parts: at most 64 * most rows of a kind meet
     near = part.withColumn("r", F.row_number().over(Window.partitionBy("kind", "part").orderBy("h", "value"))).where(F.col("r") <= most)
@@ -192,7 +198,10 @@ def fit_grammar(labelled: DataFrame) -> Grammar:
     for kind, value in sorted((r[0], r[1]) for r in labelled.collect()):
         if value and all(c in _CLASS for c in value):
             by.setdefault(kind, []).append(value)
-    ordinary = Automaton.infer(by.pop("ordinary", []))
+    plain = by.pop("ordinary", [])
+    ordinary = Automaton.infer(plain)
+    if not plain:  # nothing to compare a token with: no spans are inferred
+        return Grammar([], ordinary)
     return Grammar([Automaton.infer(v) for _, v in sorted(by.items())], ordinary)
 
 

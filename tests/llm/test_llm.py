@@ -135,6 +135,19 @@ def test_grammar_prefers_its_format():
     assert len([1 for r in a.seen if r]) > 1 and min(g.score(key()) for _ in range(20)) > 0.9 and g.score("thisisanordinaryword12") < 0.5
 
 
+def test_ordinary_tokens_of_small_corpora(spark):
+    tokens = [f"ordinary{i}" for i in range(40)]
+    df = frame(spark, [" ".join(tokens[i : i + 10]) for i in range(0, 40, 5)] + [None, "", "password=hunter2hunter2"])
+    def got(d, most):
+        return {r["value"] for r in secret_scan.examples(d, most=most).collect() if r["kind"] == "ordinary"}
+
+    assert got(df, 300) == set(tokens)
+    want = set(sorted(tokens, key=lambda t: zlib.crc32(t.encode()))[:7])
+    assert got(df.repartition(3), 7) == got(df.coalesce(1), 7) == want
+    bare = secret_scan.fit_grammar(secret_scan.examples(frame(spark, ["password=hunter2hunter2"])))
+    assert bare.score("release20240101notes7") == 0.0
+
+
 # 6 -----------------------------------------------------------------------------------------------
 def naive_hits(texts, items, width=10):
     win = collections.defaultdict(set)
