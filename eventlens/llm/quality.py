@@ -58,18 +58,19 @@ class _Scorer:
     def __init__(self, model: QualityModel):
         self.model, self.number, self.sums, self.counts = model, {}, [], []
         self.arrays = (np.empty(0), np.empty(0))
+        self.filled = 0
 
     def __call__(self, text: str | None) -> float:
         words = text.split() if text else []
         if len(self.number) > MEMO_WORDS:
-            self.number, self.sums, self.counts = {}, [], []
+            self.number, self.sums, self.counts, self.filled = {}, [], [], 0
         number, w = self.number, self.model.weight
         for x in set(words).difference(number):
             at = features(x)
             number[x] = len(self.sums)
             self.sums.append(float(w[at].sum()))
             self.counts.append(len(at))
-        if len(self.arrays[0]) != len(self.sums):
+        if self.filled != len(self.sums):
             self._grow()
         total = n = 0.0
         if words:
@@ -83,11 +84,11 @@ class _Scorer:
     def _grow(self) -> None:
         # arrays are kept larger than the lists, so that new words seldom copy all
         have, need = self.arrays[0], len(self.sums)
-        if need > len(have) or need < getattr(self, "filled", 0):
+        if need > len(have):
             size = max(1024, 2 * need)
             self.arrays = (np.zeros(size), np.zeros(size))
             self.filled = 0
-        done = getattr(self, "filled", 0)
+        done = self.filled
         self.arrays[0][done:need] = self.sums[done:]
         self.arrays[1][done:need] = self.counts[done:]
         self.filled = need

@@ -365,6 +365,19 @@ def test_word_runs_agree_with_a_plain_split():
 
 
 # 10 ----------------------------------------------------------------------------------------------
+def test_scores_do_not_depend_on_the_memo(monkeypatch):
+    model = quality.QualityModel(np.random.default_rng(10).normal(size=quality.BUCKETS + 1), 0.1)
+    say = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    fresh = lambda t: quality._Scorer(model)(t)
+    worker = quality._Scorer(model)
+    worker("one")
+    assert worker(say("w", 1023)) == fresh(say("w", 1023))  # as many words as the arrays hold
+    monkeypatch.setattr(quality, "MEMO_WORDS", 10)
+    worker = quality._Scorer(model)
+    worker(say("a", 20))
+    assert worker(say("b", 30)) == fresh(say("b", 30))  # more words than before the restart
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
