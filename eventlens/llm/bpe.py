@@ -27,8 +27,10 @@ from eventlens.llm.common import table
 #: it takes the place of the second, from which fragments that come again are taken back.
 MEMO_FRAGMENTS, MEMO_BYTES = 200_000, 24_000_000
 
-#: Rows that are encoded, decoded and handed on together: bounds a worker's memory.
-SLICE = 256
+#: Rows that are encoded, decoded and handed on together, and most fragments that are learnt at once:
+#: both bound a worker's memory.
+SLICE, STEP = 256, 50_000
+
 
 def default_path() -> str:
     """The word-end BPE vocabulary of the installed tokenizer files."""
@@ -102,18 +104,17 @@ class Encoder:
         at = np.flatnonzero(self.cuts[low[:-1], low[1:]]) + 1
         return (np.insert(np.frombuffer(raw, np.uint8), at, 32).tobytes() if len(at) else raw).split()
 
-    def _learn(self, fragments: set[bytes]) -> None:
-        if len(self.memo) + len(fragments) > MEMO_FRAGMENTS or self.memo_bytes > MEMO_BYTES:
-            self.old, self.memo, self.memo_bytes = self.memo, {}, 0
-        self.memo.update((f, self.old[f]) for f in fragments if f in self.old)
-        new = sorted(f for f in fragments if f not in self.memo)
+    def _learn(self, fragments: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of each of the fragments, which the first memo holds afterwards."""
+        got = {f: self.old[f] for f in fragments if f in self.old}
+        new = sorted(fragments.difference(got))
         texts = [f.decode("utf-8") for f in new]
         # ASCII letters alone are one pre-token, which normalization only lower-cases: the model takes it as it is
         plain, pack, known = self.library.model.tokenize, _PACK, set()
         for i, t in enumerate(texts):
             if t.isalpha() and t.isascii():
                 ids = [x.id for x in plain(t.lower())]
-                self.memo[new[i]] = pack[len(ids)](*ids) if len(ids) < len(pack) else np.asarray(ids, "<u4").tobytes()
+                got[new[i]] = pack[len(ids)](*ids) if len(ids) < len(pack) else np.asarray(ids, "<u4").tobytes()
                 known.add(i)
         # other letters alone are one pre-token each, too: many are encoded as one text, and its ids are
         # parted after the tokens that end a word
@@ -125,13 +126,19 @@ class Encoder:
             if len(stop) == len(part) and stop[-1] == len(ids):
                 packed = ids.tobytes()
                 for i, a, z in zip(part, [0, *stop], stop):
-                    self.memo[new[i]] = packed[4 * a : 4 * z]
-        rest = [i for i, f in enumerate(new) if f not in self.memo]
+                    got[new[i]] = packed[4 * a : 4 * z]
+        rest = [i for i, f in enumerate(new) if f not in got]
         for lo in range(0, len(rest), 1000):
             part = rest[lo : lo + 1000]
             for i, e in zip(part, self.library.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)):
-                self.memo[new[i]] = np.asarray(e.ids, "<u4").tobytes()
-        self.memo_bytes += sum(len(f) + len(self.memo[f]) for f in new)
+                got[new[i]] = np.asarray(e.ids, "<u4").tobytes()
+        size = sum(len(f) + len(x) for f, x in got.items())
+        if len(self.memo) + len(got) > MEMO_FRAGMENTS or self.memo_bytes + size > MEMO_BYTES:
+            self.old, self.memo, self.memo_bytes = self.memo, {}, 0
+        if len(got) <= MEMO_FRAGMENTS and size <= MEMO_BYTES:
+            self.memo.update(got)
+            self.memo_bytes += size
+        return got
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -142,21 +149,22 @@ class Encoder:
         parts = [self.fragments(t) if t else [] for t in texts]
         found = [list(map(self.memo.get, p)) for p in parts]
         if open_ := [i for i, got in enumerate(found) if None in got]:
-            self._learn({f for i in open_ for f, x in zip(parts[i], found[i]) if x is None})
-            for i in open_:
-                found[i] = list(map(self.memo.get, parts[i]))
-                if None in found[i]:  # the first memo was full
-                    found[i] = [self._alone(parts[i])]
+            missing = {f for i in open_ for f, x in zip(parts[i], found[i]) if x is None}
+            if len(missing) <= STEP:
+                fresh = self._learn(missing)
+                for i in open_:
+                    found[i] = [fresh[f] if x is None else x for f, x in zip(parts[i], found[i])]
+            else:  # many new fragments: text by text, in steps
+                for i in open_:
+                    found[i] = list(self._in_steps(parts[i]))
         return [b"".join(got) for got in found]
 
-    def _alone(self, fragments: list[bytes]) -> bytes:
-        out = []
-        for lo in range(0, len(fragments), 50_000):
-            part = fragments[lo : lo + 50_000]
-            for _ in range(2):  # the first may fill the memo
-                self._learn(set(part).difference(self.memo))
-            out.append(b"".join(map(self.memo.__getitem__, part)))
-        return b"".join(out)
+    def _in_steps(self, fragments: list[bytes]) -> Iterator[bytes]:
+        for lo in range(0, len(fragments), STEP):
+            part = fragments[lo : lo + STEP]
+            known = {f: x for f in part if (x := self.memo.get(f)) is not None}
+            known.update(self._learn(set(part).difference(known)))
+            yield b"".join(map(known.__getitem__, part))
 
     def decode(self, ids: bytes) -> str:
         """As the library without a decoder: the tokens, joined by spaces."""
