@@ -1,16 +1,15 @@
 """Quality classifier: supervised subword embeddings.
 
-Hashed word and character n-gram vectors are averaged over a document and fed to a softmax
-over two classes, trained by numpy stochastic gradient descent.  The model is linear in the
-averaged vectors, so after training each feature has one number, and a word the sum of its
-features' numbers: scoring a text is a look-up and a mean.
+Hashed vectors of words, word pairs and character trigrams are averaged over a document and fed
+to a softmax over two classes, trained by numpy stochastic gradient descent.  The model is linear
+in the averaged vectors, so after training each bucket has one number: scoring a text is hashing
+its features, all at once in numpy, and a mean.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -18,21 +17,68 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import table
+from eventlens.llm.shingles import mix
 
 #: Most labelled rows that are fitted (those of smallest hash), buckets, vector size, and training.
 SAMPLE, BUCKETS, DIM, EPOCHS, RATE, SEED = 2000, 1 << 17, 8, 10, 0.5, 7
 
-#: Words that a worker remembers before it starts afresh.
-MEMO_WORDS = 200_000
+#: Code points that are hashed together: bounds the arrays, at about 80 bytes for each.
+CHUNK = 1 << 19
 
-#: The bucket that stands for a word which repeats the one before it.
-_REPEAT = BUCKETS
+_PRIME, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 17)
+_KIND = {k: np.uint64(i << 60) for i, k in enumerate(("word", "pair", "trigram"), 1)}
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word: itself and its character trigrams, with both ends marked."""
-    marked = f"<{word}>".encode("utf-8", "replace").decode("utf-8")
-    return [crc32(g.encode()) % BUCKETS for g in (marked, *map("".join, zip(marked, marked[1:], marked[2:])))]
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Runs of (numbers of texts, parts of them) of about CHUNK code points.
+
+    A longer text is cut at the last blank of each CHUNK code points (without a blank, after them).
+    """
+    at, run, size = [], [], 0
+    for k, t in enumerate(texts):
+        t, lo = t or "", 0
+        while lo < len(t) or lo == 0:
+            hi = len(t)
+            if hi - lo > CHUNK:
+                hi = max(t.rfind(" ", lo + 1, lo + CHUNK), t.rfind("\n", lo + 1, lo + CHUNK))
+                hi = hi if hi > 0 else lo + CHUNK
+            if run and size + hi - lo > CHUNK:
+                yield at, run
+                at, run, size = [], [], 0
+            at.append(k)
+            run.append(t[lo:hi])
+            size += hi - lo + 1
+            lo = max(hi, 1)
+    if run:
+        yield at, run
+
+
+def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of a text, bucket) of every feature of the texts, in runs.
+
+    Words stand between ASCII white space.  A word gives itself, its character trigrams with both
+    ends marked, and a pair with the word before it, whose bucket depends on the difference of the
+    two words' hashes.  Pairs across a cut of a long text are no features.
+    """
+    for at, run in _pieces(texts):
+        size = np.fromiter(map(len, run), np.int64, len(run)) + 1
+        owner = np.repeat(np.asarray(at), size)
+        c = np.frombuffer(("\n" + "\n".join(run) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        c[((c >= 9) & (c <= 13)) | (c == 32)] = 0
+        inner = np.flatnonzero(c[1:]) + 1  # each letter is the middle of a trigram
+        if not len(inner):
+            continue
+        three = (c[inner - 1] * _PRIME + c[inner]) * _PRIME + c[inner + 1]
+        first = np.flatnonzero(c[inner - 1] == 0)
+        place = np.arange(len(inner)) - np.repeat(first, np.diff(first, append=len(inner)))
+        word = mix(np.add.reduceat(mix(c[inner] + (place.astype(np.uint64) << np.uint64(32))), first))
+        of = owner[inner - 1]
+        of_word = of[first]
+        piece = np.repeat(np.arange(len(run)), size)[inner - 1][first]
+        same = np.flatnonzero(piece[1:] == piece[:-1])
+        pair = word[same + 1] - word[same]
+        codes = np.concatenate((word ^ _KIND["word"], pair ^ _KIND["pair"], three ^ _KIND["trigram"]))
+        yield np.concatenate((of_word, of_word[same], of)), (mix(codes) >> _SHIFT).astype(np.int64)
 
 
 @dataclass
@@ -42,81 +88,27 @@ class QualityModel:
     weight: np.ndarray
     bias: float
 
-    def scorer(self) -> _Scorer:
-        """The worker's scorer of this model; it remembers words from task to task."""
-        key = (self.bias, crc32(np.ascontiguousarray(self.weight)))
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(self)
-        return _scorers[key]
-
-
-_scorers: dict[tuple[float, int], _Scorer] = {}
-
-
-class _Scorer:
-    def __init__(self, model: QualityModel):
-        self.model, self.number, self.sums, self.counts = model, {}, [], []
-        self.arrays = (np.empty(0), np.empty(0))
-        self.filled = 0
-
-    def __call__(self, text: str | None) -> float:
-        words = text.split() if text else []
-        if len(self.number) > MEMO_WORDS:
-            self.number, self.sums, self.counts, self.filled = {}, [], [], 0
-        number, w = self.number, self.model.weight
-        for x in set(words).difference(number):
-            at = features(x)
-            number[x] = len(self.sums)
-            self.sums.append(float(w[at].sum()))
-            self.counts.append(len(at))
-        if self.filled != len(self.sums):
-            self._grow()
-        total = n = 0.0
-        if words:
-            ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            same = int(np.count_nonzero(ids[1:] == ids[:-1]))
-            total = float(self.arrays[0][ids].sum()) + same * REPEAT_FEATURES * float(w[_REPEAT])
-            n = float(self.arrays[1][ids].sum()) + same * REPEAT_FEATURES
-        z = self.model.bias + (total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-    def _grow(self) -> None:
-        # arrays are kept larger than the lists, so that new words seldom copy all
-        have, need = self.arrays[0], len(self.sums)
-        if need > len(have):
-            size = max(1024, 2 * need)
-            self.arrays = (np.zeros(size), np.zeros(size))
-            self.filled = 0
-        done = self.filled
-        self.arrays[0][done:need] = self.sums[done:]
-        self.arrays[1][done:need] = self.counts[done:]
-        self.filled = need
-
-
-#: How many features a repeated word adds, about as many as a word has.
-REPEAT_FEATURES = 8
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of label 1 of each text; a text without words has the bias alone."""
+        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for of, bucket in features(texts):
+            total += np.bincount(of, self.weight[bucket], len(texts))
+            n += np.bincount(of, minlength=len(texts))
+        z = self.bias + total / np.maximum(n, 1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(texts: list[str | None], labels: list[int]) -> QualityModel:
     """Trains vectors and softmax by stochastic gradient descent; the same rows give the same model."""
     rng = np.random.default_rng(SEED)
-    known: dict[str, list[int]] = {}
     rows = []
     for t in texts:
-        words = (t or "").split()
-        weights: dict[int, int] = {}
-        for i, x in enumerate(words):
-            for b in known.get(x) or known.setdefault(x, features(x)):
-                weights[b] = weights.get(b, 0) + 1
-            if i and words[i - 1] == x:
-                weights[_REPEAT] = weights.get(_REPEAT, 0) + REPEAT_FEATURES
-        at = np.fromiter(weights, np.int64, len(weights))
-        n = np.fromiter(weights.values(), np.float64, len(weights))
-        rows.append((at, n / n.sum() if len(n) else n))
+        many = [bucket for _, bucket in features([t])]
+        at, n = np.unique(np.concatenate(many) if many else np.empty(0, np.int64), return_counts=True)
+        rows.append((at, n / n.sum() if len(n) else n.astype(float)))
     y = np.asarray(labels, float)
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-    vectors = rng.uniform(-1, 1, (BUCKETS + 1, DIM)) / DIM
+    vectors = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
     out, bias = np.zeros((DIM, 2)), np.log([1 - share, share])
     steps, step = max(1, EPOCHS * len(rows)), 0
     for _ in range(EPOCHS):
@@ -140,11 +132,12 @@ def fit(texts: list[str | None], labels: list[int]) -> QualityModel:
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> tuple[list, list]:
     """Texts and labels of up to ``most`` labelled documents, those whose key has the smallest hash.
 
-    The chosen keys are bounded by ``most``, so they are broadcast and no text is shuffled.
+    The chosen keys are bounded by ``most``, so they are broadcast and no text is shuffled; of the
+    joined rows, too, ``most`` reach the driver, however often a key is repeated in either table.
     """
-    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(key, label).orderBy(F.xxhash64(key), key).limit(most)
-    got = documents.select(key, text).join(F.broadcast(chosen), key).collect()
-    got = sorted(got, key=lambda r: (r[0], r[1] or "", r[2]))[:most]
+    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(key, label).orderBy(F.xxhash64(key), key, label).limit(most)
+    got = documents.select(key, text).join(F.broadcast(chosen), key).orderBy(F.xxhash64(key), key, F.xxhash64(text), text, label).limit(most).collect()
+    got = sorted(got, key=lambda r: (r[0], r[1] or "", r[2]))
     return [r[1] for r in got], [int(r[2]) for r in got]
 
 
@@ -154,9 +147,9 @@ def score_quality(text: Column | str, model: QualityModel) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = QualityModel(weight.astype(np.float64), bias).scorer()
+        held = QualityModel(weight.astype(np.float64), bias)
         for texts in batches:
-            yield pd.Series([scorer(t) for t in texts], dtype="float64")
+            yield pd.Series(held.score(texts.tolist()), dtype="float64")
 
     return run(text)
 

@@ -78,10 +78,35 @@ def test_bpe_equals_the_library(spark):
 
 
 def test_small_memo_gives_the_same_ids(monkeypatch):
-    e, texts = bpe.Encoder(bpe.default_path()), ["one two three, four's five!", "six seven", " ".join(f"w{i}" for i in range(300))]
+    e, texts = bpe.Encoder(bpe.default_path()), ["one two three, four's five!", "six seven", " ".join(f"w{i}" for i in range(300)), "one w1 w2 new w3 one", None]
     want = e.encode_many(texts)
-    monkeypatch.setattr(bpe, "MEMO_FRAGMENTS", 5)
-    assert bpe.Encoder(bpe.default_path()).encode_many(texts) == want
+    t = library()
+    assert [np.frombuffer(x, "<u4").tolist() for x in want] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for fragments, size, step in ((5, 24_000_000, 50_000), (5, 60, 7), (40, 200, 3), (1, 1, 1)):
+        for name, value in (("MEMO_FRAGMENTS", fragments), ("MEMO_BYTES", size), ("STEP", step)):
+            monkeypatch.setattr(bpe, name, value)
+        small = bpe.Encoder(bpe.default_path())
+        for _ in range(2):  # met and new fragments mix, and the memo turns between
+            assert small.encode_many(texts[::-1])[::-1] == want and small.encode_many(texts) == want
+            assert len(small.memo) <= fragments and small.memo_bytes <= size
+
+
+def test_very_long_text_with_met_fragments():
+    rng = np.random.default_rng(4)
+    text = " ".join(f"q{x}" for x in rng.integers(0, 400_000, 900_000).tolist())
+    e, t = bpe.Encoder(bpe.default_path()), library()
+    e.encode_many([text[:2_000_000]])
+    got = np.frombuffer(e.encode(text), "<u4")
+    want = np.concatenate([t.encode(text[lo:hi], add_special_tokens=False).ids for lo, hi in cut_at_blanks(text, 1_000_000)])
+    assert np.array_equal(got, want)
+
+
+def cut_at_blanks(text, size):
+    lo = 0
+    while lo < len(text):
+        hi = text.rfind(" ", lo + 1, lo + size) if len(text) - lo > size else len(text)
+        yield lo, hi
+        lo = hi
 
 
 def test_length_histogram(spark):
@@ -365,17 +390,58 @@ def test_word_runs_agree_with_a_plain_split():
 
 
 # 10 ----------------------------------------------------------------------------------------------
-def test_scores_do_not_depend_on_the_memo(monkeypatch):
-    model = quality.QualityModel(np.random.default_rng(10).normal(size=quality.BUCKETS + 1), 0.1)
-    say = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
-    fresh = lambda t: quality._Scorer(model)(t)
-    worker = quality._Scorer(model)
-    worker("one")
-    assert worker(say("w", 1023)) == fresh(say("w", 1023))  # as many words as the arrays hold
-    monkeypatch.setattr(quality, "MEMO_WORDS", 10)
-    worker = quality._Scorer(model)
-    worker(say("a", 20))
-    assert worker(say("b", 30)) == fresh(say("b", 30))  # more words than before the restart
+def plain_features(text):
+    """Buckets of a text, one feature after the other."""
+    full = (1 << 64) - 1
+    prime = int(quality._PRIME)
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    out, before = [], None
+    for w in re.split("[ \t\n\x0b\x0c\r]+", text or ""):
+        if not w:
+            continue
+        c = [0, *map(ord, w), 0]
+        h = mix(sum(mix(x + (i << 32)) for i, x in enumerate(c[1:-1])) & full)
+        codes = [h ^ 1 << 60]
+        if before is not None:
+            codes.append(((h - before) & full) ^ 2 << 60)
+        codes += [(((a * prime + b) * prime + z) & full) ^ 3 << 60 for a, b, z in zip(c, c[1:], c[2:])]
+        out += [mix(x) >> 47 for x in codes]
+        before = h
+    return out
+
+
+def test_scores_equal_a_plain_version():
+    model = quality.QualityModel(np.random.default_rng(10).normal(size=quality.BUCKETS), 0.1)
+    texts = [t for t in ODD if t is None or "\x00" not in t] + ["same same same other", "\na\u00a0b\tc "]
+    for t, got in zip(texts, model.score(texts)):
+        w = model.weight[plain_features(t)]
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(0.1 + (w.mean() if len(w) else 0), -30, 30))))
+        assert model.score([t])[0] == pytest.approx(got)
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 50)
+    model = quality.QualityModel(np.random.default_rng(10).normal(size=quality.BUCKETS), 0.1)
+    text = " ".join(f"word{i}" for i in range(40))
+    pieces = [x for _, run in quality._pieces([text]) for x in run]
+    assert "".join(pieces) == text and max(map(len, pieces)) <= 50 and len(pieces) > 5
+    assert "".join(x for _, run in quality._pieces(["y" * 175]) for x in run) == "y" * 175
+    w = model.weight[[b for p in pieces for b in plain_features(p)]]
+    assert model.score(["a", text, ""])[1] == pytest.approx(1 / (1 + np.exp(-0.1 - w.mean())))
+
+
+def test_sample_is_bounded_by_rows_and_clean_of_nulls(spark):
+    d = spark.createDataFrame([(1, "good words")] * 30 + [(2, "bad!!"), (None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, 1), (4, None), (5, 1)], "doc_id long, quality int")
+    texts, marks = quality.labelled_sample(d, labels, most=7)
+    assert len(texts) == len(marks) == 7
+    texts, marks = quality.labelled_sample(d, labels, most=100)
+    assert sorted(zip(map(str, texts), marks)) == sorted([("good words", 1), ("good words", 0)] * 30 + [("bad!!", 0), ("None", 1)])
 
 
 def test_quality_held_out(spark):
@@ -390,7 +456,7 @@ def test_quality_held_out(spark):
     assert a.bias == b.bias and np.array_equal(a.weight, b.weight)  # held-out labels are not read
     odd = frame(spark, ODD).select(quality.score_quality("text", a).alias("s")).toPandas()["s"]
     assert odd.between(0, 1).all() and odd[0] == odd[1]
-    assert quality.train_quality(d.limit(0), labels).scorer()("x") is not None
+    assert 0 <= quality.train_quality(d.limit(0), labels).score(["x"])[0] <= 1
 
 
 # pipeline ----------------------------------------------------------------------------------------
@@ -409,8 +475,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             assert now.columns == all_docs.columns
     good, one_each, clean, masked, coded = frames
     model = quality.train_quality(all_docs, table(spark, SF, "labels"))
-    score = model.scorer()
-    assert set(good["doc_id"]) == {i for i, t in by.items() if score(t) >= 0.5}
+    assert set(good["doc_id"]) == {i for (i, t), s in zip(by.items(), model.score(list(by.values()))) if s >= 0.5}
     ids = sorted(good["doc_id"])
     comp = [c for _, c in naive_components([by[i] for i in ids], 5, 80)]
     assert sorted(one_each["doc_id"]) == sorted({ids[c] for c in comp})
