@@ -1,10 +1,11 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-The domain of shingle hashes is cut into partitions; two sets whose Hamming distance is at
-most k agree on at least one of k + 1 partitions, so they share the signature made of that
-partition's elements.  Sizes are banded, since a Jaccard threshold bounds both the sizes and
-the distance of a pair.  Small sets enumerate the subsets that lack one element.  Candidates
-are verified exactly, in waves of pivots, and links become components.
+The domain of shingle hashes is cut into partitions, and these into parts; subsets of two of a
+partition's three parts are enumerated.  Of two sets at a Hamming distance of at most k, some
+partition holds at most one difference, so they agree on a subset and share the signature made of
+its elements.  Sizes are banded, since a Jaccard threshold bounds both the sizes and the distance
+of a pair.  Very small sets enumerate the subsets that lack one element.  Candidates are verified
+exactly, in waves of pivots, and links become components.
 """
 
 from __future__ import annotations
@@ -16,21 +17,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.llm.buckets import enough, hot_buckets, in_sample, link_in_waves, parity_sketch, shared
 from eventlens.llm.common import Scratch, table
-from eventlens.llm.graph import components
 from eventlens.llm.shingles import mix, shingle_sets
+
 #: Texts whose sets a worker holds at once.
 SLICE = 256
 
 
-def enough(common: int, a: int, b: int, percent: int) -> bool:
-    """Whether common / union is at least percent / 100."""
-    return 100 * common >= percent * (a + b - common)
-
-
 def least_banded(percent: int) -> int:
     """Smallest size of which two sets that differ in two elements can link.
 
@@ -39,25 +36,34 @@ def least_banded(percent: int) -> int:
     return -(-2 * percent // (100 - percent))
 
 
+#: Largest distance of a size band at which first-level partitions are cut again and pairs of
+#: their THREE parts are enumerated; beyond, a first-level partition is one part.
+ENUMERATED, THREE = 48, 3
+
+
 @lru_cache(maxsize=None)
-def bands(percent: int, upto: int) -> tuple[tuple[int, int, int, int], ...]:
-    """Size bands (low, high, partitions, spare) that reach ``upto``.
+def bands(percent: int, upto: int) -> tuple[tuple[int, int, int, int, int], ...]:
+    """Size bands (low, high, first-level partitions, parts of each, spare) that reach ``upto``.
 
-    A pair of sizes s <= r belongs to s's band.  Of n = k + 1 + spare partitions, a pair at
-    distance k agrees on 1 + spare or more.
+    A pair of sizes s <= r belongs to s's band; its distance is at most k.  With one part to a
+    partition, the pair agrees on all but k of them.  With three, partitions that hold at most one
+    difference, of which all but k // 2 are, agree on two parts of the three.  Either way
+    1 + spare partitions or more have an agreeing subset.
     """
     out, low = [], least_banded(percent)
     while low <= upto:
-        high = max(low, low * 100 // percent)
+        high = max(low, low * 100 // percent * 100 // percent)
         most = high * 100 // percent
         k = (100 - percent) * (high + most) // (100 + percent)
+        parts = THREE if k <= ENUMERATED else 1
+        apart = k // 2 if parts == THREE else k
         spare = 1
-        for _ in range(4):  # about the number of partitions that stay empty in a set of size low
-            n = k + 1 + spare
-            empty = n * np.exp(-low / n)
+        for _ in range(4):  # about the number of partitions with an empty subset in a set of size low
+            n = apart + 1 + spare
+            empty = 3 * n * np.exp(-2 * low / (3 * n)) if parts == THREE else n * np.exp(-low / n)
             spare = int(np.ceil(empty + 3 * np.sqrt(empty)))
-        spare = max(1, min(spare, k + 1))
-        out.append((low, high, k + 1 + spare, spare))
+        spare = max(1, min(spare, apart + 1))
+        out.append((low, high, apart + 1 + spare, parts, spare))
         low = high + 1
     return tuple(out)
 
@@ -65,8 +71,8 @@ def bands(percent: int, upto: int) -> tuple[tuple[int, int, int, int], ...]:
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a sorted set: any two sets that link, and differ, share one.
 
-    A partition that is empty in a set gives no signature.  As long as a set has at most
-    ``spare`` empty partitions, some agreeing partition is not empty; sets with more add the
+    An empty subset of parts gives no signature.  As long as a set has at most ``spare``
+    partitions with empty subsets, some agreeing subset is not empty; sets with more add the
     signatures of their prefix tokens, one of which two linked sets share.
     """
     n = len(s)
@@ -84,19 +90,23 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     if n >= small:
         levels = bands(percent, 1 << int(n).bit_length())
         at = bisect_right(levels, (n, 1 << 62)) - 1
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(scrambled)))
         for i in (at - 1, at):
             if i < 0 or not enough(levels[i][1], levels[i][1], max(n, levels[i][1]), percent):
                 continue
-            low, _, parts, spare = levels[i]
+            low, _, parts, each, spare = levels[i]
             # equal ranges of the hash domain; the elements are sorted, so each range is a slice
-            cuts = np.empty(parts + 1, np.int64)
+            cuts = np.empty(parts * each + 1, np.int64)
             cuts[0], cuts[-1] = 0, n
-            cuts[1:-1] = s.searchsorted(_edges(parts))
-            full = (cuts[1:] > cuts[:-1]).nonzero()[0]
-            sums = np.add.reduceat(scrambled, cuts[full])
+            cuts[1:-1] = s.searchsorted(_edges(parts * each))
+            held, sums = np.diff(cuts).reshape(parts, each), (upto[cuts[1:]] - upto[cuts[:-1]]).reshape(parts, each)
+            if each == THREE:  # subsets of two of the three parts
+                held, sums = held + np.roll(held, 1, 1), sums + np.roll(sums, 1, 1)
             salt = np.uint64(low << 32)
-            out.append(sums * _BASE + (salt + full.astype(np.uint64)))
-            if parts - len(full) > spare:
+            number = salt + np.arange(parts * each, dtype=np.uint64)
+            full = held.ravel() > 0
+            out.append(sums.ravel()[full] * _BASE + number[full])
+            if np.count_nonzero((held == 0).any(1)) > spare:
                 must = n - -(-n * percent // 100) + 1
                 out.append(scrambled[:must] ^ (salt + np.uint64(1 << 31)))
     return mix(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
@@ -104,21 +114,6 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-#: 64-bit words of a parity sketch.
-SKETCH = 8
-
-
-def parity_sketch(s: np.ndarray) -> np.ndarray:
-    """Whether each of 64 * SKETCH ranges of scrambled hashes holds an odd number of elements.
-
-    An element that only one of two sets has flips one bit, so the bits in which two sketches
-    differ are a lower bound of the sets' Hamming distance.
-    """
-    at = mix(s ^ _BASE) >> np.uint64(64 - 9)
-    bits = (np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
-
-
 @lru_cache(maxsize=256)
 def _edges(parts: int) -> np.ndarray:
     return (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
@@ -156,16 +151,7 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = shingle_sets(texts.tolist(), words, width)
-            yield pd.DataFrame({"n": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets], "s": [s.tobytes() for s in sets]})
-
-    @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            out = []
-            for a, b in zip(left, right):
-                both = np.sort(np.concatenate((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))), kind="stable")
-                out.append(enough(int(np.count_nonzero(both[1:] == both[:-1])), len(a) // 8, len(b) // 8, percent))
-            yield pd.Series(out, dtype=bool)
+            yield pd.DataFrame({"n": [len(x) for x in sets], "sketch": [parity_sketch(x) for x in sets], "s": [x.tobytes() for x in sets]})
 
     # 1. size, fingerprint and signatures of each set; equal sets are one class, named by the smallest key
     seen = scratch.keep(docs.select("id", outline("text").alias("o")).select("id", "o.*"))
@@ -174,47 +160,16 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
 
     # 2. buckets of the signatures of one member of each class; those with one member are done
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    each = seen.select("id", "sigs").join(reps.hint("shuffle_hash"), "id", "left_semi").select("id", F.explode("sigs").alias("sig"))
-    bucket = Window.partitionBy("sig")
-    live = scratch.keep(each.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket)).where("low < high").select("sig", "id").distinct())
+    signed = lambda some: seen.where(some).select("id", "sigs").join(reps.where(some).hint("shuffle_hash"), "id", "left_semi").select("id", F.explode("sigs").alias("sig"))
+    hot = hot_buckets(signed(in_sample("id")))
+    live = scratch.keep(shared(signed(F.lit(True)), hot))
     scratch.drop(seen)
     wanted = live.select("id").distinct().hint("shuffle_hash")
     sets = scratch.keep(docs.join(wanted, "id", "left_semi").select("id", whole("text").alias("w")).select("id", "w.*"))
 
-    # 3. waves: compare the first members of each bucket with the others, then forget them.
-    # Rows of one key with different sets are one node.
+    # 3. candidates are verified in waves; rows of one key with different sets are one node
     links = scratch.keep(member.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
-    parity = [f"k{i}" for i in range(SKETCH)]
-    outer = sets.select("id", "n", *[F.get("sketch", F.lit(i)).alias(k) for i, k in enumerate(parity)])
-    first = scratch.keep(live.join(outer, "id").withColumn("c", F.col("id")))
-    scratch.drop(live)
-    live, comps, pivots, done = first, None, 1, None
-    # the set sizes and sketches of a pair bound its distance from below: most pairs that can't link end here
-    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"a{k}"))) for k in parity), F.lit(0))
-    may_link = (100 * F.least("n", "an") >= percent * F.greatest("n", "an")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("an")))
-    while live.limit(1).count():
-        ranked = live.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("id")))
-        heads = ranked.where(F.col("r") <= pivots).select("sig", *[F.col(x).alias(f"a{x}") for x in ("id", "c", "n", *parity)])
-        near = ranked.join(heads, (ranked["sig"] == heads["sig"]) & (F.col("aid") < F.col("id")) & (F.col("ac") != F.col("c")) & may_link)
-        pairs = near.select(F.col("aid").alias("a"), F.col("id").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
-        compared = pairs.join(side("b"), "b").join(side("a"), "a")
-        found = compared.select("a", "b", linked("sa", "sb").alias("ok")).where("ok").select("a", "b")
-        known, links = links, scratch.keep(links.union(found))
-        if comps is None or links.count() > known.count():
-            comps = scratch.keep(components(links, scratch))
-        done = pairs if done is None else scratch.keep(done.union(pairs))
-        rest = ranked.where(F.col("r") > pivots).drop("r", "c")
-        rest = rest.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        open_ = rest.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").drop("lo", "hi")
-        after = scratch.keep(open_)
-        scratch.drop(live)
-        live, pivots = after, pivots * 64
-    scratch.drop(sets)
-    comps = comps if comps is not None else components(links, scratch)
+    comps = link_in_waves(live, sets, links, percent, scratch)
     got = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return got.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))

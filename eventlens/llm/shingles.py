@@ -70,20 +70,42 @@ def word_runs(texts: list[str | None], kind: str, ends: bool = False) -> Iterato
     for run in _chunks(texts):
         size = np.fromiter(map(len, run), np.int64, len(run)) + 1
         text_at = np.concatenate(([0], np.cumsum(size)))
-        raw = np.frombuffer(b"\n".join(run) + b"\n", np.uint8)
-        b = table[raw]
-        kept = b != 0
-        first = kept.copy()
-        first[1:] &= ~kept[:-1]
-        starts = np.flatnonzero(first)
+        raw = b"\n".join(run) + b"\n"
+        hashes, starts, stops, lo = [], [], [], 0
+        while lo < len(raw):
+            hi = _piece_end(raw, lo, table)
+            part = np.frombuffer(raw, np.uint8, hi - lo, lo)
+            b = table[part]
+            kept = b != 0
+            first = kept.copy()
+            first[1:] &= ~kept[:-1]
+            at = np.flatnonzero(first)
+            starts.append(at + lo)
+            hashes.append(_hashes(b[kept], np.flatnonzero(first[kept])) if len(at) else np.empty(0, np.uint64))
+            if ends:
+                stop = _STOP[part]
+                stop[:-1] &= ~kept[1:]
+                if hi < len(raw):
+                    stop[-1:] &= table[raw[hi]] == 0
+                stops.append(np.flatnonzero(stop | (part == 10)) + lo)
+            lo = hi
+        h, starts = np.concatenate(hashes), np.concatenate(starts)
         bounds = np.searchsorted(starts, text_at)
-        h = _hashes(b[kept], np.flatnonzero(first[kept])) if len(starts) else np.empty(0, np.uint64)
-        if not ends:
+        if ends:
+            yield h, bounds, np.searchsorted(starts, np.concatenate(stops))
+        else:
             yield h, bounds
-            continue
-        stop = _STOP[raw]
-        stop[:-1] &= ~kept[1:]
-        yield h, bounds, np.searchsorted(starts, np.flatnonzero(stop | (raw == 10)))
+
+
+def _piece_end(raw: bytes, lo: int, table: np.ndarray) -> int:
+    """Where the bytes that are hashed together end: after about CHUNK of them, not inside a word."""
+    hi = lo + 2 * CHUNK
+    while hi < len(raw):
+        gap = np.flatnonzero(table[np.frombuffer(raw[hi : hi + CHUNK], np.uint8)] == 0)
+        if len(gap):
+            return hi + int(gap[0]) + 1
+        hi += CHUNK
+    return len(raw)
 
 
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])

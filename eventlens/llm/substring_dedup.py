@@ -1,11 +1,13 @@
 """Substring deduplication of passages that documents share.
 
-Texts are cut into paragraphs at places that only nearby words decide, so that a passage is cut
-alike wherever it stands.  Equal paragraphs are grouped by hash; longer ones also get MinHash
-bands tuned for high recall, colliding ones are joined and verified by exact Jaccard in waves of
-pivots until each bucket is exhausted, and links become components.  Beside them, every window of WINDOW words that two documents hold is found
-exactly, wherever it begins: windows whose least hash of ANCHOR words is shared are grouped by
-their own hash.  Runs of paragraphs and windows that other documents hold too are the passages.
+Texts are cut into paragraphs at sentence ends and line breaks that only nearby words decide, so
+that a passage is cut alike wherever it stands.  Equal paragraphs are one class; classes get
+MinHash bands tuned for high recall, colliding ones are joined and verified by exact Jaccard in
+waves of pivots until each bucket is exhausted, and links become components.  So that a passage
+which doesn't begin and end at cuts isn't lost, every window of WINDOW words that two documents
+hold is found as well, wherever it begins: windows whose least hash of ANCHOR words is shared are
+grouped by it and their own hash.  Runs of paragraphs and windows that other documents hold too
+are the passages.
 """
 
 from __future__ import annotations
@@ -17,20 +19,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.llm.buckets import hot_buckets, in_sample, link_in_waves, parity_sketch, shared
 from eventlens.llm.common import Scratch, table
-from eventlens.llm.graph import components
-from eventlens.llm.ngram_jaccard import SKETCH, parity_sketch
 from eventlens.llm.shingles import mix, word_runs
 
-#: Words in a shingle, similarity of near paragraphs in percent, and their MinHash bands and rows.
-SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 6, 3
+#: Words in a shingle, similarity of near paragraphs in percent, and their MinHash bands and rows:
+#: two paragraphs at the threshold share a band with a probability of 0.997.
+SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 8, 3
 
-#: Fewest words of a paragraph, of one that is compared by MinHash, and of a passage; most words
-#: of a paragraph that may stand between two repeated ones of a passage.
-LEAST, LEAST_NEAR, LEAST_PASSAGE, GAP = 5, 13, 30, 12
+#: Words between two cuts, at least, so that a paragraph with one changed word inside is still near
+#: enough; fewest words of a paragraph (texts have shorter ends) and of a passage; most words that
+#: may stand between two repeated stretches of a passage.
+REACH, LEAST, LEAST_PASSAGE, GAP = 48, 5, 30, 12
 
 #: Words of a window that is found wherever it begins, and of the runs whose least hash stands for it.
 WINDOW, ANCHOR = 50, 20
@@ -43,12 +46,13 @@ _MAX = np.uint64(2**64 - 1)
 
 @dataclass
 class Outline:
-    """Paragraphs of one text: first words, numbers of words, content hashes, MinHash bands (of the
-    longer ones, in order), and the hash of the shingle that begins at each word."""
+    """Paragraphs of one text: first words, numbers of words, two content hashes, MinHash bands, and
+    the hash of the shingle that begins at each word of the text."""
 
     start: np.ndarray
     words: np.ndarray
     h: np.ndarray
+    g: np.ndarray
     bands: np.ndarray
     shingles: np.ndarray
 
@@ -57,32 +61,54 @@ class Outline:
         return np.unique(self.shingles[self.start[i] : self.start[i] + self.words[i] - SHINGLE + 1])
 
 
-def outlines(texts: list[str | None], banded: bool = True) -> Iterator[Outline]:
-    """Paragraphs of each text.
+def paragraph_starts(h: np.ndarray, bounds: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First words of the paragraphs of a run of texts (see word_runs).
 
-    A sentence end or line break cuts if four words or more stand since the one before it;
-    in stretches of more than 40 words without a cut, words whose hash is divisible by 16 cut.
-    Whatever stands 40 words away or further has no influence on a cut.
+    Sentence ends and line breaks are places for a cut if four words or more stand since the one
+    before; in stretches of more than 40 words without one, words whose hash is divisible by 16 are.
+    A place is a cut if the hash of its next two words is the least of all places within REACH
+    words (of equal ones, the first), so whatever stands further away has no influence on it.
+    Texts begin with a cut, which is no place: it hides no other.
     """
+    n = len(h)
+    marks = np.unique(np.concatenate((bounds, ends)))
+    kept = np.ones(len(marks), bool)
+    kept[1:] = np.diff(marks) >= 4
+    places = np.union1d(marks[kept], bounds)
+    soft = np.flatnonzero(h % np.uint64(16) == 0)
+    at = np.searchsorted(places, soft, "right")
+    inner = (at > 0) & (at < len(places))
+    soft, at = soft[inner], at[inner]
+    places = np.union1d(places, soft[places[at] - places[at - 1] > 40]) if len(soft) else places
+    first = bounds[:-1][np.diff(bounds) > 0]
+    places = np.setdiff1d(places[places < n], bounds)
+    if not len(places):
+        return first
+    # texts are moved apart, so that their places don't meet
+    of = np.searchsorted(bounds, places, "right") - 1
+    spot = places + of * REACH
+    value = mix(h[places] * _ODD[60] + h[np.minimum(places + 1, n - 1)] * np.where(places + 1 < bounds[of + 1], _ODD[61], np.uint64(0)))
+    low = np.full(int(spot[-1]) + 2 * REACH + 1, _MAX)
+    low[spot + REACH] = value
+    left, width = low, 1  # at each spot, the least of the REACH values from it on
+    while 2 * width <= REACH:
+        left = np.minimum(left[:-width], left[width:])
+        width *= 2
+    left = np.minimum(left[: len(left) - (REACH - width)], left[REACH - width :])
+    return np.union1d(first, places[(value < left[spot]) & (value <= left[spot + REACH + 1])])
+
+
+def outlines(texts: list[str | None], banded: bool = True) -> Iterator[Outline]:
+    """Paragraphs of each text."""
     for h, bounds, ends in word_runs(texts, "ascii", True):
         n = len(h)
-        marks = np.unique(np.concatenate((bounds, ends)))
-        cut = np.ones(len(marks), bool)
-        cut[1:] = np.diff(marks) >= 4
-        edge = np.union1d(marks[cut], bounds)
-        soft = np.flatnonzero(h % np.uint64(16) == 0)
-        at = np.searchsorted(edge, soft, "right")
-        soft = soft[(at > 0) & (at < len(edge))]
-        at = np.searchsorted(edge, soft, "right")
-        edge = np.union1d(edge, soft[edge[at] - edge[at - 1] > 40]) if len(soft) else edge
-        first = edge[edge < n]
+        first = paragraph_starts(h, bounds, ends)
         size = np.diff(first, append=n)
         if n:
-            place = np.arange(n) - np.repeat(first, size)
-            sums = np.add.reduceat(mix(h + place.astype(np.uint64) * _ODD[63]), first)
-            code = mix(sums + size.astype(np.uint64)).view(np.int64)
+            place = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
+            code, other = (mix(np.add.reduceat(mix(h + place * odd), first) + size.astype(np.uint64)).view(np.int64) for odd in _ODD[62:])
         else:
-            code = np.empty(0, np.int64)
+            code = other = np.empty(0, np.int64)
         s = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
         for i in range(SHINGLE):
             s += h[i : i + len(s)] * _ODD[i]
@@ -95,7 +121,7 @@ def outlines(texts: list[str | None], banded: bool = True) -> Iterator[Outline]:
         unit = np.searchsorted(first, bounds)
         for k in range(len(bounds) - 1):
             a, z = unit[k], unit[k + 1]
-            yield Outline(first[a:z] - bounds[k], size[a:z], code[a:z], bands[a:z], s[bounds[k] : bounds[k + 1]])
+            yield Outline(first[a:z] - bounds[k], size[a:z], code[a:z], other[a:z], bands[a:z], s[bounds[k] : bounds[k + 1]])
 
 
 def _together(low: list[np.ndarray], salt: int) -> np.ndarray:
@@ -152,7 +178,7 @@ def _batches(rows: Iterator[tuple[pa.Scalar, ...]], names: list[str]) -> Iterato
         yield batch()
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, start, end, lo) of the windows of ``docs(id, text)`` that two ids hold; lo is the least of these.
 
     Equal windows that stand one word apart, as in a run of one word, are one row.
@@ -162,43 +188,47 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b["id"], windows(b["text"].to_pylist()))
-            yield from _batches(((i, np.unique(low)) for i, (low, _) in rows if len(low)), ["id", "h"])
+            yield from _batches(((i, np.unique(low)) for i, (low, _) in rows if len(low)), ["id", "low"])
 
     def owns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(b: pa.RecordBatch) -> Iterator[tuple]:
-            for i, (low, own), hs in zip(b["id"], windows(b["text"].to_pylist()), b["hs"]):
-                at = np.flatnonzero(np.isin(low, hs.values.to_numpy()))
+            for i, (low, own), lows in zip(b["id"], windows(b["text"].to_pylist()), b["lows"]):
+                at = np.flatnonzero(np.isin(low, lows.values.to_numpy()))
                 if len(at):
                     first = np.flatnonzero(np.concatenate(([True], (at[1:] > at[:-1] + 1) | (own[at[1:]] != own[at[:-1]]))))
                     last = np.append(first[1:], len(at)) - 1
-                    yield i, at[first].astype(np.int32), (at[last] + WINDOW).astype(np.int32), own[at[first]]
+                    at, to = at[first], at[last]
+                    yield i, at.astype(np.int32), (to + WINDOW).astype(np.int32), low[at], own[at]
 
         for b in batches:
-            yield from _batches(rows(b), ["id", "start", "end", "h"])
+            yield from _batches(rows(b), ["id", "start", "end", "low", "own"])
 
-    by = Window.partitionBy("h")
-    shared = lambda df: df.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where("lo < hi")
-    asked = shared(docs.select("id", "text").mapInArrow(lows, f"id {kind}, h long")).groupBy("id").agg(F.collect_set("h").alias("hs"))
-    found = docs.join(asked.hint("shuffle_hash"), "id").select("id", "text", "hs").mapInArrow(owns, f"id {kind}, start int, end int, h long")
-    return shared(found).select("id", "start", "end", "lo")
+    # counted by groups, which are added up before they are shuffled; then joined, which splits large groups
+    each = scratch.keep(docs.select("id", "text").mapInArrow(lows, f"id {kind}, low long"))
+    twice = lambda df, *by: df.groupBy(*by).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
+    asked = each.join(twice(each, "low").select("low"), "low").groupBy("id").agg(F.collect_set("low").alias("lows"))
+    found = scratch.keep(docs.join(asked.hint("shuffle_hash"), "id").select("id", "text", "lows").mapInArrow(owns, f"id {kind}, start int, end int, low long, own long"))
+    scratch.drop(each)
+    out = scratch.keep(found.join(twice(found, "low", "own"), ["low", "own"]).select("id", "start", "end", "lo"))
+    scratch.drop(found)
+    return out
 
 
-def passages_of(start: np.ndarray, end: np.ndarray, lo: np.ndarray, own: np.ndarray, cut: np.ndarray, least: int) -> Iterator[tuple]:
+def passages_of(start: np.ndarray, end: np.ndarray, lo: np.ndarray, own: np.ndarray, least: int) -> Iterator[tuple]:
     """(start, end, repeated words, least key, keep) of the runs of one document's repeated stretches.
 
-    A stretch joins the run if at most GAP words stand between; own: whether lo is the document;
-    cut: whether it is a paragraph.  Runs are split where keep changes: a paragraph's own decides
-    for its words, windows' for those outside paragraphs, which stay if any of their windows does.
+    A stretch joins the run if at most GAP words stand between; own: whether lo is the document.
+    Runs are split where keep changes: a word stays if all stretches over it are the document's own.
     """
     order = np.argsort(start, kind="stable")
-    start, end, lo, own, cut = start[order], end[order], lo[order], own[order], cut[order]
+    start, end, lo, own = start[order], end[order], lo[order], own[order]
     reach = np.maximum.accumulate(end)
     first = np.flatnonzero(np.concatenate(([True], start[1:] - reach[:-1] > GAP)))
     last = np.append(first[1:], len(start)) - 1
     base, size = start[0], reach[-1] - start[0] + 1
     cover = lambda s, e: np.cumsum(np.bincount(s - base, minlength=size) - np.bincount(e - base, minlength=size)) > 0
     held = cover(start, end)
-    kept = np.where(cover(start[cut], end[cut]), cover(start[cut & own], end[cut & own]), cover(start[own], end[own]))
+    kept = ~cover(start[~own], end[~own])
     for a, z in zip(first.tolist(), last.tolist()):
         at = np.flatnonzero(held[start[a] - base : reach[z] - base]) + start[a]
         if len(at) >= least:
@@ -208,106 +238,85 @@ def passages_of(start: np.ndarray, end: np.ndarray, lo: np.ndarray, own: np.ndar
                 yield int(at[i]), int(at[k - 1]) + 1, k - i, low, bool(keep[i])
 
 
-_UNITS = "array<struct<start:int,words:int,h:long,bands:array<long>>>"
-
-
-def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_PASSAGE) -> DataFrame:
-    """(key, passage, start_word, end_word, n_words, component, keep): every passage that another document holds too.
-
-    A passage is a run of repeated paragraphs and windows, with at most GAP other words between
-    two, and at least ``least`` repeated words.  start_word and end_word count the words of the
-    text from 0, end exclusive; n_words counts the repeated ones.  component is the smallest key
-    of any document that holds one of its paragraphs or windows, or a paragraph that is linked to it.
+_UNITS = "array<struct<start:int,words:int,h:long,g:long,bands:array<long>>>"
 
-    keep is decided for each paragraph: true where the document itself is the first that holds it
-    or one linked to it, so that the first of all copies stays; words outside repeated paragraphs
-    stay if the document is the first that holds some window over them.  A passage is split where
-    keep changes; pieces may have fewer than ``least`` words.
 
-    Null, empty and short texts have no passage.  Rows that share a key count as one document.
-    Rows with a null key take no part.  Paragraphs under LEAST words are never repeats by themselves.
-    """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "passages")
-    docs = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+def linked_paragraphs(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, start, end, lo) of the paragraphs of ``docs(id, text)`` that two ids hold, or near ones; lo is the least of these."""
 
     @F.pandas_udf(_UNITS)
     def units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
             for o in outlines(texts.tolist()):
-                rows = zip(o.start.tolist(), o.words.tolist(), o.h.tolist(), o.bands.tolist())
-                out.append([{"start": s, "words": n, "h": x, "bands": b if n >= LEAST_NEAR else None} for s, n, x, b in rows if n >= LEAST])
+                rows = zip(o.start.tolist(), o.words.tolist(), o.h.tolist(), o.g.tolist(), o.bands.tolist())
+                out.append([{"start": s, "words": n, "h": x, "g": y, "bands": b} for s, n, x, y, b in rows if n >= LEAST])
             yield pd.Series(out)
 
     each = scratch.keep(docs.select("id", F.explode(units("text")).alias("u")).select("id", "u.*"))
-    # one row for each distinct paragraph: where it first stands, and whether another document has it
-    classes = scratch.keep(each.groupBy("h").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last")))
-
-    # near paragraphs: MinHash bands of one of each class of the longer ones
-    once = each.where("bands IS NOT NULL").join(classes.select("h", "first"), "h").where((F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start")))
-    bands = once.select("h", F.explode("bands").alias("band"))
-    bucket = Window.partitionBy("band")
-    met = bands.withColumn("lo", F.min("h").over(bucket)).withColumn("hi", F.max("h").over(bucket)).where("lo < hi")
-    live = scratch.keep(met.select("band", "h").distinct())
+    # one row for each distinct paragraph, by 128 bits: where it first stands, and whether another document has it
+    classes = each.groupBy("h", "g").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
+    first = classes.select("h", "g", "node", "first.*")
+    once = scratch.keep(each.join(first, ["h", "g", "id", "start"]).groupBy("node").agg(F.any_value("bands").alias("bands")))
     outlined, each = each, scratch.keep(each.drop("bands"))
     scratch.drop(outlined)
 
-    @F.pandas_udf("array<struct<h:long,s:array<long>,k:array<long>>>")
+    # near paragraphs: classes that share a MinHash band, verified by their sets
+    signed = lambda some: once.where(some).select(F.col("node").alias("id"), F.explode("bands").alias("sig"))
+    live = scratch.keep(shared(signed(F.lit(True)), hot_buckets(signed(in_sample("node")))))
+    scratch.drop(once)
+
+    @F.pandas_udf("array<struct<id:long,n:int,sketch:array<long>,s:binary>>")
     def sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, wanted in batches:
             out = []
-            for o, hs in zip(outlines(texts.tolist(), False), wanted):
-                want = {int(x) for x in hs}
-                of = [(x, o.set_of(i)) for i, x in enumerate(o.h.tolist()) if x in want]
-                out.append([{"h": x, "s": s.view(np.int64), "k": parity_sketch(s)} for x, s in of])
+            for o, asked in zip(outlines(texts.tolist(), False), wanted):
+                at = dict(zip(o.start.tolist(), range(len(o.start))))
+                of = [(x["node"], o.set_of(at[x["start"]])) for x in asked]
+                out.append([{"id": x, "n": len(s), "sketch": parity_sketch(s), "s": s.tobytes()} for x, s in of])
             yield pd.Series(out)
 
-    asked = live.select("h").distinct().join(classes.select("h", F.col("first.id").alias("id")), "h")
-    asked = asked.groupBy("id").agg(F.collect_set("h").alias("hs"))
-    sized = docs.join(asked.hint("shuffle_hash"), "id").select(F.explode(sets("text", "hs")).alias("x")).select("x.*").dropDuplicates(["h"])
-    sized = scratch.keep(sized.withColumn("n", F.size("s")))
-
-    # waves: compare the first paragraphs of each bucket with the others, then forget them
-    # and the buckets of one component.  Sizes and sketches bound the distance of a pair from below.
-    parity = [f"k{i}" for i in range(SKETCH)]
-    outer = sized.select("h", "n", *[F.get("k", F.lit(i)).alias(k) for i, k in enumerate(parity)])
-    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"a{k}"))) for k in parity), F.lit(0))
-    may_link = (100 * F.least("n", "an") >= PERCENT * F.greatest("n", "an")) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n") + F.col("an")))
-    common = F.size(F.array_intersect("sa", "sb"))
-    side = lambda x: sized.select(F.col("h").alias(x), F.col("s").alias(f"s{x}"))
-    near = spark.createDataFrame([], "node long, component long")
-    links, n_links, pivots = None, 0, 1
-    while live.limit(1).count():
-        ranked = live.withColumn("r", F.row_number().over(bucket.orderBy("h"))).join(near.withColumnRenamed("node", "h"), "h", "left")
-        ranked = ranked.select("band", "h", "r", F.coalesce("component", "h").alias("c")).join(outer, "h")
-        heads = ranked.where(F.col("r") <= pivots).select("band", *[F.col(x).alias(f"a{x}") for x in ("h", "c", "n", *parity)])
-        pairs = ranked.join(heads, "band").where((F.col("ah") < F.col("h")) & (F.col("ac") != F.col("c")) & may_link)
-        pairs = pairs.select(F.col("ah").alias("a"), F.col("h").alias("b")).distinct()
-        compared = pairs.join(side("b"), "b").join(side("a"), "a")
-        found = compared.where(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-        links = scratch.keep(found if links is None else links.union(found))
-        if links.count() > n_links:
-            n_links = links.count()
-            near = scratch.keep(components(links, scratch))
-        rest = live.withColumn("r", F.row_number().over(bucket.orderBy("h"))).where(F.col("r") > pivots).select("band", "h")
-        rest = rest.join(near.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h"))
-        open_ = rest.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").select("band", "h")
-        after = scratch.keep(open_)
-        scratch.drop(live)
-        live, pivots = after, pivots * 64
-    scratch.drop(sized)
-    spark._jvm.System.gc()  # shuffle files of the stages so far can go
+    asked = first.join(live.select(F.col("id").alias("node")).distinct(), "node").groupBy("id").agg(F.collect_list(F.struct("node", "start")).alias("asked"))
+    sized = docs.join(asked.hint("shuffle_hash"), "id").select(F.explode(sets("text", "asked")).alias("x")).select("x.*")
+    near = link_in_waves(live, scratch.keep(sized.dropDuplicates(["id"])), None, PERCENT, scratch)
 
     # the class of a paragraph: itself or its component; kept if two documents hold it
-    known = classes.join(near.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("c"), F.col("first.id").alias("lo"), F.col("last").alias("hi"))
+    known = classes.join(near, "node", "left").select("h", "g", F.coalesce("component", "node").alias("c"), F.col("first.id").alias("lo"), F.col("last").alias("hi"))
     by_class = known.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    shared = scratch.keep(known.select("h", "c").join(by_class.select("c", "lo"), "c").select("h", "lo"))
-    marked = each.select("id", "start", "words", "h").join(shared, "h")
+    repeated = known.select("h", "g", "c").join(by_class.select("c", "lo"), "c").select("h", "g", "lo")
+    out = scratch.keep(each.join(repeated, ["h", "g"]).select("id", "start", (F.col("start") + F.col("words")).alias("end"), "lo"))
+    scratch.drop(each)
+    return out
+
+
+def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_PASSAGE) -> DataFrame:
+    """(key, passage, start_word, end_word, n_words, component, keep): every passage that another document holds too.
+
+    A passage is a run of repeated paragraphs and windows, with at most GAP other words between
+    two, and at least ``least`` repeated words.  start_word and end_word count the words of the
+    text from 0, end exclusive; n_words counts the repeated ones.  component is the smallest key
+    of any document that holds one of its paragraphs or windows, or a paragraph that is linked to it.
 
-    cuts = marked.select("id", "start", (F.col("start") + F.col("words")).alias("end"), "lo", F.lit(True).alias("cut"))
-    units = cuts.union(repeated_windows(docs).withColumn("cut", F.lit(False)))
-    per = units.groupBy("id").agg(F.collect_list(F.struct("start", "end", "lo", (F.col("lo") == F.col("id")).alias("own"), "cut")).alias("us"))
+    keep is decided for each word: false where a paragraph or window over it also stands (or
+    nearly) in a document of smaller key.  What is removed thus always stands in a document of
+    smaller key, so the first of all copies stays.  A passage is split where keep changes; pieces
+    may have fewer than ``least`` words.
+
+    Null, empty and short texts have no passage.  Rows with a null key take no part, nor do rows of
+    a key that has different texts, as their places couldn't be told apart; rows that repeat key
+    and text count as one document.
+    """
+    scratch = Scratch(documents.sparkSession, "passages")
+    docs = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    hashed = docs.groupBy("id").agg(*[f(F.xxhash64("text")).alias(f.__name__) for f in (F.min, F.max)])
+    torn = scratch.keep(hashed.where("min <> max").select("id"))
+    if torn.limit(1).count():
+        docs = docs.join(torn, "id", "left_anti")
+
+    paragraphs = linked_paragraphs(docs, scratch)
+    documents.sparkSession._jvm.System.gc()  # shuffle files of the stages so far can go
+    per = paragraphs.union(repeated_windows(docs, scratch)).groupBy("id").agg(F.collect_list(F.struct("start", "end", "lo", (F.col("lo") == F.col("id")).alias("own"))).alias("us"))
     kind = docs.schema["id"].dataType.simpleString()
     names = ["id", "passage", "start_word", "end_word", "n_words", "component", "keep"]
 

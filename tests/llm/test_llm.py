@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from eventlens.llm import ann, bpe, decontaminate, license_scan, ngram_jaccard, quality, secret_scan, shingles, substring_dedup, token_counts, url_filter
+from eventlens.llm import ann, bpe, buckets, decontaminate, license_scan, ngram_jaccard, quality, secret_scan, shingles, substring_dedup, token_counts, url_filter
 from eventlens.llm.common import Scratch, table
 from eventlens.llm.graph import components
 
@@ -250,9 +250,9 @@ def test_linked_sets_share_a_signature():
             b = a[rng.random(len(a)) > rng.random() * 0.2]
             b = np.unique(np.concatenate((b, rng.integers(0, 1 << 63, int(rng.integers(0, 3)), np.uint64))))
             both = len(np.intersect1d(a, b))
-            apart = sum(int(x).bit_count() for x in (ngram_jaccard.parity_sketch(a) ^ ngram_jaccard.parity_sketch(b)).view(np.uint64))
+            apart = sum(int(x).bit_count() for x in (buckets.parity_sketch(a) ^ buckets.parity_sketch(b)).view(np.uint64))
             assert apart <= len(a) + len(b) - 2 * both
-            if len(a) and len(b) and not np.array_equal(a, b) and ngram_jaccard.enough(both, len(a), len(b), percent):
+            if len(a) and len(b) and not np.array_equal(a, b) and buckets.enough(both, len(a), len(b), percent):
                 assert np.intersect1d(ngram_jaccard.signatures(a, percent), ngram_jaccard.signatures(b, percent)).size
 
 
@@ -315,7 +315,7 @@ def test_near_paragraphs_join_a_class(spark):
 def test_first_copy_of_each_paragraph_stays(spark):
     rng = np.random.default_rng(92)
     say = lambda n: " ".join(" ".join(f"v{rng.integers(3000)}" for _ in range(8)).capitalize() + "." for _ in range(n))
-    header, one, two = say(2), say(8), say(8)
+    header, one, two = say(8), say(8), say(8)
     texts = [header + " " + say(6), header + "\n" + one, header + "\n" + one + " " + two, say(3) + "\n" + two, header + "\n" + two + " " + one]
     df = frame(spark, texts)
     got = substring_dedup.repeated_passages(df)
@@ -374,6 +374,88 @@ def test_near_paragraphs_of_one_template_all_link(spark):
     assert got == {i: c for i, c in want.items() if i not in alone}
 
 
+def test_paragraph_cuts_depend_on_nearby_words_only():
+    rng = np.random.default_rng(94)
+    say = lambda n: " ".join(" ".join(f"v{rng.integers(3000)}" for _ in range(int(rng.integers(3, 20)))) + "." for _ in range(n))
+    inside = say(60)
+    n = len(words(inside))
+    texts = [inside, say(30) + " " + inside, say(3) + "\n" + inside + " " + say(40), "x " * 300, "", None, "one", say(9)]
+    found = [o.start for o in substring_dedup.outlines(texts)]
+    for o in found:
+        assert not len(o) or o[0] == 0
+        assert (np.diff(o)[1:-1] > substring_dedup.REACH).all()
+    cuts = set(found[0][1:].tolist())
+    for k, before in ((1, len(words(texts[1])) - n), (2, len(words(texts[2])) - n - 0)):
+        before = before if k == 1 else len(words(texts[2].split("\n")[0]))
+        moved = {int(x) - before for x in found[k]}
+        assert {x for x in cuts if 100 < x < n - 100} == {x for x in moved if 100 < x < n - 100}
+    assert len(cuts) > 3 and len(found[3]) == 1
+
+
+def test_near_paragraphs_recall():
+    """Edited paragraphs in other surroundings collide in some band nearly always."""
+    rng = np.random.default_rng(95)
+    say = lambda n: [f"v{x}" for x in rng.integers(9000, size=n)]
+    met = near = 0
+    for _ in range(150):
+        base = say(int(rng.integers(60, 140)))
+        edited = list(base)
+        for at in rng.integers(5, len(base) - 5, int(rng.integers(1, 3))):
+            edited[int(at)] = say(1)[0]
+        a, b = substring_dedup.outlines([" ".join(base) + ".", " ".join(edited) + "."])
+        for i in range(len(a.start)):
+            for j in range(len(b.start)):
+                x, y = a.set_of(i), b.set_of(j)
+                both = len(np.intersect1d(x, y))
+                if 100 * both >= 80 * (len(x) + len(y) - both):
+                    near += 1
+                    met += bool(set(a.bands[i].tolist()) & set(b.bands[j].tolist()))
+    assert near > 100 and met >= 0.95 * near
+
+
+def test_torn_and_repeated_keys_of_passages(spark):
+    t = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, t), (1, t), (2, "intro words here " + t), (3, t), (3, "other text"), (None, t), (4, t + " " + t)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["keep"]) for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == {(1, True), (2, False), (4, False)}
+    out = sorted((str(r["doc_id"]), len(words(r["text"]))) for r in substring_dedup.remove_passages(df, substring_dedup.repeated_passages(df)).collect())
+    assert [k for k, _ in out] == sorted(str(r[0]) for r in rows) and dict(out)["2"] == 3
+    names = df.withColumnRenamed("doc_id", "name").withColumn("name", F.col("name").cast("string"))
+    assert {r["name"] for r in substring_dedup.repeated_passages(names, key="name").collect()} == {"1", "2", "4"}
+
+
+def test_every_repeated_window_stays_somewhere(spark):
+    rng = np.random.default_rng(96)
+    parts = [[f"p{k}x{x}" for x in rng.integers(400, size=70)] for k in range(7)]
+    texts = [" ".join(w for k in rng.permutation(7)[: int(rng.integers(1, 5))] for w in parts[k]) for _ in range(25)]
+    df = frame(spark, texts)
+    out = [r["text"] for r in substring_dedup.remove_passages(df, substring_dedup.repeated_passages(df)).orderBy("doc_id").collect()]
+    left = " | ".join(" ".join(words(t)) for t in out)
+    for k, p in enumerate(parts):
+        used = any(" ".join(p) in t for t in texts)
+        assert left.count(" ".join(p)) == used, k
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    texts = ["Some words. And more, of them!\nA line " * 40, None, "z" * 900 + " end. Of it"]
+    want = list(shingles.word_runs(texts, "ascii", True))
+    monkeypatch.setattr(shingles, "_piece_end", lambda raw, lo, table: next((i + 1 for i in range(lo + 7, len(raw)) if table[raw[i]] == 0), len(raw)))
+    for a, b in zip(want, shingles.word_runs(texts, "ascii", True)):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b))
+
+
+def test_hot_buckets_only_route(spark, monkeypatch):
+    rows = [(1, i) for i in range(300)] + [(2, 5), (2, 6), (3, 7)] + [(4, i) for i in range(0, 300, 2)]
+    each = spark.createDataFrame(rows, "sig long, id long")
+    want = {r for r in rows if r[0] != 3}
+    monkeypatch.setattr(buckets, "HOT_SAMPLE", 4)
+    hot = buckets.hot_buckets(each.where(buckets.in_sample("id")))
+    assert set(hot) == {1, 4}
+    for h in ([], hot, [1]):
+        assert {tuple(r) for r in buckets.shared(each, h).select("sig", "id").collect()} == want
+
+
 def test_word_runs_agree_with_a_plain_split():
     for kind, plain in (("blank", lambda t: t.encode().lower().split()), ("ascii", lambda t: [w.encode() for w in words(t)])):
         texts = [t for t in ODD if t is None or "\x00" not in t]
