@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -28,9 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # AKIA[A-Z0-9]+ of 16 characters or m
 HEX = re.compile(r"[0-9a-f]{32,}")  # [0-9a-f]+ of 32 characters or more
 ASSIGN_LEAST = 8
 
-#: Kind of the spans that the automata add, and what a candidate looks like.
+#: Kind of the spans that the automata add.  A candidate is any token of as many characters as a value
+#: must have, with a letter and a digit among them; every candidate is scored.
 INFERRED = "inferred"
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
@@ -40,6 +42,11 @@ EXAMPLES, ALPHA, THRESHOLD = 300, 0.05, 0.9
 
 _GROUPS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
 _CLASS = {c: i for i, g in enumerate(_GROUPS) for c in g}
+#: A token's form: one letter for each class.  Automata see only this.
+_FORM = str.maketrans({c: chr(97 + i) for c, i in _CLASS.items()})
+
+#: Forms whose scores a worker remembers before it starts afresh.
+MEMO_FORMS = 100_000
 _SPREAD = [math.log(len(g)) for g in _GROUPS]
 
 
@@ -131,11 +138,20 @@ class Grammar:
 
     kinds: list[Automaton]
     ordinary: Automaton
+    memo: dict[str, float] = field(default_factory=dict)
 
     def score(self, token: str) -> float:
         """0 to 1: how much a credential format explains the token better than ordinary text."""
         if not self.kinds:
             return 0.0
+        form = token.translate(_FORM)
+        if (known := self.memo.get(form)) is None:
+            if len(self.memo) >= MEMO_FORMS:
+                self.memo.clear()
+            known = self.memo[form] = self._score(token)
+        return known
+
+    def _score(self, token: str) -> float:
         gain = (max(k.mean_log(token) for k in self.kinds) - self.ordinary.mean_log(token)) * min(len(token), 40)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, gain - 4.0))))
 
@@ -148,17 +164,35 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
     return out + [(m.start(), "hex", m.end(), m[0]) for m in HEX.finditer(text)]
 
 
-def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+class _Taken:
+    """Stretches that spans take, merged, so that asking for one costs a binary search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s), self.ends.append(e)
+
+    def meets(self, lo: int, hi: int) -> bool:
+        at = bisect_right(self.ends, lo)
+        return at < len(self.starts) and self.starts[at] < hi
+
+
+def _candidates(text: str, taken: _Taken) -> Iterator[tuple[int, int, str]]:
+    if not _DIGIT.search(text):
+        return
     for m in CANDIDATE.finditer(text):
-        lo, hi = m.span()
-        if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not any(lo < e and s < hi for s, e in taken):
-            yield lo, hi, m[0]
+        if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not taken.meets(*m.span()):
+            yield *m.span(), m[0]
 
 
 def examples(documents: DataFrame, text: str = "text", most: int = EXAMPLES) -> DataFrame:
     """(kind, value): up to ``most`` distinct labelled tokens of each kind and of ordinary ones.
 
     All documents are read; the values of smallest hash are taken, whatever the partitions.
+    A hex match counts as one unless an assignment holds it.
     Ordinary tokens are those of 8 characters or more outside all matches, by smallest crc32; of
     these only the ``most`` smallest of each partition leave the scan, which bounds what is shuffled.
     """
@@ -170,11 +204,12 @@ def examples(documents: DataFrame, text: str = "text", most: int = EXAMPLES) ->
             rows, fresh = [], set()
             for t in texts:
                 found = base_spans(t) if t else []
-                assigned = any(k == "assign" for _, k, _, _ in found)
-                got = {(k, v) for _, k, _, v in found if k != "hex" or not assigned}
+                assigned = _Taken([(s, e) for s, k, e, _ in found if k == "assign"])
+                got = {(k, v) for s, k, e, v in found if k != "hex" or not assigned.meets(s, e)}
+                taken = _Taken([(s, e) for s, _, e, _ in found])
                 for m in ORDINARY.finditer(t or ""):
                     x = crc32(m[0].encode()), m[0]
-                    if (len(least) < most or x < least[-1]) and not any(m.start() < e and s < m.end() for s, _, e, _ in found):
+                    if (len(least) < most or x < least[-1]) and not taken.meets(*m.span()):
                         fresh.add(x)
                 rows.append([{"kind": k, "value": v} for k, v in sorted(got)])
                 if fresh and (len(fresh) > most or len(rows) == len(texts)):
@@ -211,8 +246,7 @@ _SPANS = "array<struct<start:int,kind:string,end:int,score:double>>"
 def find(text: str, grammar: Grammar, threshold: float = THRESHOLD) -> list[tuple[int, str, int, float]]:
     """Base spans (score 1) and the spans that the automata add, which overlap no base span."""
     found = [(s, k, e, 1.0) for s, k, e, _ in base_spans(text)]
-    taken = [(s, e) for s, _, e, _ in found]
-    for lo, hi, token in _candidates(text, taken):
+    for lo, hi, token in _candidates(text, _Taken([(s, e) for s, _, e, _ in found])):
         if (score := grammar.score(token)) >= threshold:
             found.append((lo, INFERRED, hi, score))
     order = {k: i for i, k in enumerate((*KINDS, INFERRED))}

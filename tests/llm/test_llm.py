@@ -160,6 +160,54 @@ def test_grammar_prefers_its_format():
     assert len([1 for r in a.seen if r]) > 1 and min(g.score(key()) for _ in range(20)) > 0.9 and g.score("thisisanordinaryword12") < 0.5
 
 
+def test_automata_add_spans_to_the_base(spark):
+    """The formats of labelled credentials are found bare, in other lengths and surroundings; ordinary tokens aren't."""
+    rng = np.random.default_rng(51)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    draw = lambda n, of=letters: "".join(rng.choice(list(of), n))
+    key, digest = (lambda: "ghq_" + draw(32)), (lambda: draw(24, "0123456789abcdef"))
+    plain = lambda: " ".join([f"release-{rng.integers(9)}.{rng.integers(20)} getUserName MAX_BUFFER_SIZE chapter12section", *(draw(int(rng.integers(8, 13)), "etaoinshrdlu") for _ in range(12))])
+    taught = [f'{plain()}\ntoken = "{key()}"' for _ in range(60)] + [f"{plain()} {draw(40, '0123456789abcdef')} end" for _ in range(60)]
+    bare = [(f"{plain()} see {x} there", x) for x in [key() for _ in range(20)] + [digest() for _ in range(20)]]
+    texts = taught + [t for t, _ in bare] + [plain() for _ in range(40)] + [None, "", "a1" * 4, "password=hunter2hunter2 hunter2hunter2"]
+    df = frame(spark, texts)
+    g = secret_scan.fit_grammar(secret_scan.examples(df))
+    got = [r["s"] for r in df.select("doc_id", secret_scan.scan_secrets("text", g).alias("s")).orderBy("doc_id").collect()]
+    found = [{texts[i][s["start"] : s["end"]] for s in spans if s["kind"] == "inferred"} for i, spans in enumerate(got)]
+    hit = [x in found[len(taught) + i] for i, (_, x) in enumerate(bare)]
+    assert sum(hit) >= 0.9 * len(hit) and all(naive_secrets(t) == [] for t, _ in bare)  # the base has none of them
+    wrong = [x for i, f in enumerate(found) for x in f if not any(x == y for _, y in bare[max(0, i - len(taught)) :][:1])]
+    assert len(wrong) <= 2
+    alone = secret_scan.Grammar(g.kinds, g.ordinary)._score  # a plain version: each token by itself
+    for t, spans in zip(texts, got):
+        tokens = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]{8,}", t or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        free = [m for m in tokens if all(m.end() <= s or e <= m.start() for s, _, e in naive_secrets(t))]
+        assert [(s["start"], s["end"]) for s in spans if s["kind"] == "inferred"] == [m.span() for m in free if alone(m[0]) >= secret_scan.THRESHOLD]
+
+
+def test_digests_of_secrets_equal_a_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = dict(zip(*[docs(spark)[c] for c in ("doc_id", "text")]))
+    for r in secret_scan.op5_secret_scan(spark, sf).collect():
+        base = naive_secrets(texts[r["doc_id"]] or "")
+        listed = [f"{k}:{s}:{e}" for s, k, e in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert [x for x in r["spans"].split(",") if x and not x.startswith("inferred")] == listed
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for _, k, _ in base) for x in ("assign", "access", "hex")]
+
+
+def test_hex_beside_an_assignment_is_an_example(spark):
+    df = frame(spark, ["password=hunter2hunter2 " + "0123456789abcdef" * 2, "token=" + "fedcba9876543210" * 2])
+    got = {(r["kind"], r["value"]) for r in secret_scan.examples(df).collect() if r["kind"] != "ordinary"}
+    assert got == {("assign", "hunter2hunter2"), ("hex", "0123456789abcdef" * 2), ("assign", "fedcba9876543210" * 2)}
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = " ".join(f"token=abcdefgh{i} word{i}xyz" for i in range(60_000))
+    g = secret_scan.Grammar([secret_scan.Automaton.infer(["ab12cd34"] * 5)], secret_scan.Automaton.infer(["wordwords"] * 5))
+    assert sum(k == "assign" for _, k, _, _ in secret_scan.find(text, g)) == 60_000
+
+
 def test_ordinary_tokens_of_small_corpora(spark):
     tokens = [f"ordinary{i}" for i in range(40)]
     df = frame(spark, [" ".join(tokens[i : i + 10]) for i in range(0, 40, 5)] + [None, "", "password=hunter2hunter2"])
