@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,34 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import table, words_of
+from eventlens.llm.license_texts import TEMPLATES
 
 #: Fixed by the contract: phrase -> label; every place counts.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices as commonly written in file headers: label -> texts.
-TEMPLATES = {
-    "mit": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    ),
-    "apache": (
-        "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind, either express or implied.",
-    ),
-    "gpl": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
-    ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "cc": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
-}
-
-#: Words a match must have to be chained, words that may lie between two chained matches,
-#: and the covered words that a chain must have to give its label.
-MIN_MATCH, MAX_GAP, MIN_COVER = 4, 12, 5
+#: Words a match must have to be chained, and words that may lie between two chained matches.
+MIN_MATCH, MAX_GAP = 4, 12
+
+#: A chain gives its label if it covers this share of its template's words, or so many of them.
+SHARE, COVER = 0.4, 40
+
+#: Most words that all templates may have: every worker builds the automaton, of at most twice as
+#: many states.
+TEMPLATE_WORDS = 200_000
 
 
 @dataclass
@@ -54,14 +41,17 @@ class Automaton:
     step: list[dict[int, int]]
     link: list[int]
     length: list[int]
-    labels: list[frozenset[str]]
+    ends: list[dict[int, int]]  #: of each state: template -> where the state's words first end in it
+    templates: list[tuple[str, int]]  #: label and number of words
     phrases: list[tuple[tuple[int, str], ...]]
-    starts: np.ndarray  #: pairs of word numbers that stand side by side in a template
+    pairs: np.ndarray  #: sorted codes of word numbers that stand side by side in a template
     single: bool  #: whether a phrase of one word exists
 
     @classmethod
     def build(cls, templates: dict[str, tuple[str, ...]], phrases: dict[str, str]) -> Automaton:
         texts = [(words_of(t), label) for label, many in templates.items() for t in many] + [(words_of(p), label) for p, label in phrases.items()]
+        if (n := sum(len(ws) for ws, _ in texts)) > TEMPLATE_WORDS:
+            raise ValueError(f"templates have {n} words, more than {TEMPLATE_WORDS}")
         vocabulary: dict[bytes, int] = {}
         coded = [([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], label) for ws, label in texts]
         step, link, length = [{}], [-1], [0]
@@ -94,15 +84,15 @@ class Automaton:
             last = 0
             for c in ws:
                 last = extend(last, c)
-        # the labels of a state: of all templates that it occurs in, by walking each text again
-        labels: list[set[str]] = [set() for _ in step]
-        for ws, label in coded:
+        # the templates of a state and where it ends in them, by walking each text again
+        ends: list[dict[int, int]] = [{} for _ in step]
+        for t, (ws, _) in enumerate(coded):
             v = 0
-            for c in ws:
+            for i, c in enumerate(ws, 1):
                 v = step[v][c]
                 u = v
-                while u > 0 and label not in labels[u]:
-                    labels[u].add(label)
+                while u > 0 and t not in ends[u]:
+                    ends[u][t] = i
                     u = link[u]
         at: list[list[tuple[int, str]]] = [[] for _ in step]
         for p, label in phrases.items():
@@ -113,81 +103,116 @@ class Automaton:
         known: list[tuple[tuple[int, str], ...]] = [()] * len(step)
         for v in sorted(range(1, len(step)), key=lambda v: length[v]):
             known[v] = known[link[v]] + tuple(at[v])
-        starts = np.zeros((len(vocabulary) + 1,) * 2, bool)
-        for ws, _ in coded:
-            starts[ws[:-1], ws[1:]] = True
-        return cls(vocabulary, step, link, length, [frozenset(x) for x in labels], known, starts, any(len(words_of(p)) == 1 for p in phrases))
-
-    def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
-        """Words, phrase places (label, start, words) and spans (label, start, end, covered words)."""
+        wide = len(vocabulary) + 1
+        pairs = np.unique(np.array([a * wide + b for ws, _ in coded for a, b in zip(ws, ws[1:])], np.int64))
+        return cls(vocabulary, step, link, length, ends, [(label, len(ws)) for ws, label in coded], known, pairs, any(len(words_of(p)) == 1 for p in phrases))
+
+    def _runs(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Stretches of words that may match: a match of two words or more consists of pairs of a template."""
+        if self.single:
+            hot = np.flatnonzero(ids)
+        else:
+            hot = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+            code = ids[hot] * (len(self.vocabulary) + 1) + ids[hot + 1]
+            at = np.searchsorted(self.pairs, code)
+            hot = hot[(at < len(self.pairs)) & (self.pairs[np.minimum(at, len(self.pairs) - 1)] == code)] if len(self.pairs) else hot[:0]
+        if len(hot):
+            for run in np.split(hot, np.flatnonzero(np.diff(hot) > 1) + 1):
+                yield int(run[0]), int(run[-1]) + (1 if self.single else 2)
+
+    def statistics(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(i, length, state) at each word i whose longest match with some template has two words or more (or one, if a phrase has one)."""
         get = self.vocabulary.get
-        words = words_of(text)
-        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-        places: list[tuple[str, int, int]] = []
-        matches: list[tuple[int, int, frozenset[str]]] = []
-        # a match of two words or more consists of pairs of a template
-        hot = np.flatnonzero(ids) if self.single else np.flatnonzero(self.starts[ids[:-1], ids[1:]]) if len(ids) > 1 else np.empty(0, int)
-        if not len(hot):
-            return len(words), places, []
-        breaks = np.flatnonzero(np.diff(hot) > 1) + 1
-        for run in np.split(hot, breaks):
-            lo, hi = int(run[0]), int(run[-1]) + (1 if self.single else 2)
+        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        for lo, hi in self._runs(ids):
             v = l = 0
             for i in range(lo, hi):
                 c = int(ids[i])
-                was_v, was_l = v, l
                 while v and c not in self.step[v]:
                     v = self.link[v]
                     l = self.length[v]
                 if c in self.step[v]:
                     v, l = self.step[v][c], l + 1
-                if l <= was_l and was_l >= MIN_MATCH:
-                    matches.append((i - was_l, i, self.labels[was_v]))
-                for n, label in self.phrases[v]:
-                    if n <= l:
-                        places.append((label, i - n + 1, n))
-            if l >= MIN_MATCH:
-                matches.append((hi - l, hi, self.labels[v]))
-        return len(words), places, chain(matches)
-
-
-def chain(matches: list[tuple[int, int, frozenset[str]]]) -> list[tuple[str, int, int, int]]:
-    """Chains each label's matches, with gaps of at most MAX_GAP words, into spans."""
-    spans = []
-    for label in sorted({x for _, _, many in matches for x in many}):
-        run: list[int] = []  # start, end, covered
-        for lo, hi, many in sorted((m for m in matches if label in m[2]), key=lambda m: m[:2]):
-            if run and lo - run[1] <= MAX_GAP:
-                run = [run[0], max(run[1], hi), run[2] + max(0, hi - max(lo, run[1]))]
-            else:
-                if run and run[2] >= MIN_COVER:
-                    spans.append((label, *run))
-                run = [lo, hi, hi - lo]
-        if run and run[2] >= MIN_COVER:
-            spans.append((label, *run))
-    return spans
-
-
-_KIND = "n_words long, places array<struct<label:string,start:int,words:int>>, spans array<struct<label:string,start:int,end:int,covered:int>>"
+                yield i, l, v
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int]], list[tuple[str, int, int, int, float]]]:
+        """Words, phrase places (label, start, words) and spans (label, start, end, covered words, share of the template)."""
+        words = words_of(text)
+        places: list[tuple[str, int, int]] = []
+        matches: list[tuple[int, int, int]] = []  # start, end, state of matches that no next word extends
+        before = (-1, 0, 0)
+        for i, l, v in self.statistics(words):
+            j, m, u = before
+            if m >= MIN_MATCH and (i != j + 1 or l <= m):
+                matches.append((j + 1 - m, j + 1, u))
+            before = i, l, v
+            for n, label in self.phrases[v]:
+                if n <= l:
+                    places.append((label, i - n + 1, n))
+        j, m, u = before
+        if m >= MIN_MATCH:
+            matches.append((j + 1 - m, j + 1, u))
+        return len(words), places, self.chain(matches)
+
+    def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, float]]:
+        """Spans: each template's matches, with gaps of at most MAX_GAP words, that cover enough of it.
+
+        Where spans of several labels overlap, those that cover the most words stay; of one label's, one.
+        """
+        open_: dict[int, list] = {}  # template -> start, end, covered words of it
+        done: list[tuple[int, int, int, str, float]] = []
+
+        def close(t: int) -> None:
+            start, end, covered = open_.pop(t)
+            label, n = self.templates[t]
+            if len(covered) >= min(COVER, max(MIN_MATCH, SHARE * n)):
+                done.append((-len(covered), start, end, label, len(covered) / n))
+
+        for lo, hi, v in matches:
+            for t, end in self.ends[v].items():
+                if t in open_ and lo - open_[t][1] > MAX_GAP:
+                    close(t)
+                run = open_.setdefault(t, [lo, hi, set()])
+                run[1] = max(run[1], hi)
+                run[2].update(range(end - (hi - lo), end))
+        for t in list(open_):
+            close(t)
+        kept: list[tuple[int, int, int, str, float]] = []
+        for x in sorted(done, key=lambda x: (x[0], -x[4], *x[1:4])):
+            over = [k for k in kept if x[1] < k[2] and k[1] < x[2]]
+            if not any(k[3] == x[3] or k[0] < x[0] or k[4] > x[4] for k in over):
+                kept.append(x)
+        return sorted((label, start, end, -covered, share) for covered, start, end, label, share in kept)
+
+
+@lru_cache(maxsize=4)
+def _automaton(templates: tuple[tuple[str, tuple[str, ...]], ...], phrases: tuple[tuple[str, str], ...]) -> Automaton:
+    return Automaton.build(dict(templates), dict(phrases))
+
+
+_KIND = "n_words long, places array<struct<label:string,start:int,words:int>>, spans array<struct<label:string,start:int,end:int,covered:int,share:double>>"
 
 
 def scan_licenses(text: Column | str, templates: dict[str, tuple[str, ...]] | None = None, phrases: dict[str, str] | None = None) -> Column:
     """Struct of n_words, places (every place of a phrase) and spans (covered template spans).
 
     Positions count words from 0, ends are exclusive.  Whole texts are scanned; null counts
-    as empty and gives no places.  The automaton is as large as the templates, never as the data.
+    as empty and gives no places.  The automaton is as large as the templates, never as the
+    data: more than TEMPLATE_WORDS words are refused.
     """
-    automaton = Automaton.build(templates or TEMPLATES, PHRASES if phrases is None else phrases)
+    held = tuple((k, tuple(v)) for k, v in (TEMPLATES if templates is None else templates).items()), tuple((PHRASES if phrases is None else phrases).items())
+    _automaton(*held)  # refuses too many words before any task runs
 
     @F.pandas_udf(_KIND)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        automaton = _automaton(*held)
         for texts in batches:
             rows = [automaton.scan(t) for t in texts]
             yield pd.DataFrame(
                 {
                     "n_words": [r[0] for r in rows],
                     "places": [[dict(zip(("label", "start", "words"), p)) for p in r[1]] for r in rows],
-                    "spans": [[dict(zip(("label", "start", "end", "covered"), s)) for s in r[2]] for r in rows],
+                    "spans": [[dict(zip(("label", "start", "end", "covered", "share"), s)) for s in r[2]] for r in rows],
                 }
             )
 

@@ -132,6 +132,67 @@ def test_license_places(spark):
     assert license_scan.Automaton.build({}, {"x": "one", "x y": "two"}).scan("x y x")[1] == [("one", 0, 1), ("two", 0, 2), ("one", 2, 1)]
 
 
+def test_matching_statistics_against_brute_force():
+    rng = np.random.default_rng(31)
+    templates = {k: tuple(" ".join(rng.choice(list("abcde"), int(rng.integers(3, 25)))) for _ in range(3)) for k in ("one", "two")}
+    automaton = license_scan.Automaton.build(templates, {"a b": "ab"})
+    known = [t.encode().split() for many in templates.values() for t in many] + [[b"a", b"b"]]
+    inside = {tuple(ws[i:j]) for ws in known for i in range(len(ws)) for j in range(i + 1, len(ws) + 1)}
+    for _ in range(40):
+        text = rng.choice([b"a", b"b", b"c", b"d", b"e", b"other"], int(rng.integers(0, 60))).tolist()
+        want = {i: max((n for n in range(1, i + 2) if tuple(text[i + 1 - n : i + 1]) in inside), default=0) for i in range(len(text))}
+        got = {i: l for i, l, _ in automaton.statistics(text)}
+        assert all(got[i] == want[i] for i in got) and all(want[i] < 2 for i in want if i not in got)
+        for i, l, v in automaton.statistics(text):
+            if l:  # the state's templates are those that hold the match, and its place is the first
+                for t, ws in enumerate(known):
+                    ends = [j for j in range(l, len(ws) + 1) if ws[j - l : j] == text[i + 1 - l : i + 1]]
+                    assert automaton.ends[v].get(t) == (ends[0] if ends else None)
+
+
+def test_planted_licence_variants(spark):
+    """Texts that hold no base phrase: the method alone labels them, though words are changed, left out or put in."""
+    rng = np.random.default_rng(32)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(4000, size=n))
+    texts, want = [], []
+    for label, many in license_scan.TEMPLATES.items():
+        for t in many:
+            ws = t.split()
+            if len(words(t)) >= 20:
+                for at in rng.choice(len(ws), max(1, len(ws) // 20), replace=False):
+                    ws[at] = ["", say(1), ws[at] + " " + say(2)][int(rng.integers(3))]
+            texts.append(f"{say(40)}\n{' '.join(ws).upper() if rng.integers(2) else ' '.join(ws)}\n{say(40)}")
+            want.append(label)
+    plain = [say(300), "permission is required", "licensed under the terms of the house", "free software for any purpose", None, ""]
+    spans = [r["s"]["spans"] for r in frame(spark, texts + plain).select("doc_id", license_scan.scan_licenses("text").alias("s")).orderBy("doc_id").collect()]
+    assert [{s["label"] for s in got} for got in spans] == [{x} for x in want] + [set()] * len(plain)
+    for t, got in zip(texts, spans):  # the span is the planted stretch, but for changed words at its ends
+        n = len(words(t))
+        assert len(got) == 1 and 36 <= got[0]["start"] <= 60 and n - 65 <= got[0]["end"] <= n - 36 and 0 < got[0]["share"] <= 1
+    none = frame(spark, texts[:1]).select(license_scan.scan_licenses("text", {}, {}).alias("s")).first()["s"]
+    assert none["places"] == none["spans"] == []
+
+
+def test_too_many_template_words_are_refused():
+    with pytest.raises(ValueError):
+        license_scan.scan_licenses("text", {"x": ("w " * (license_scan.TEMPLATE_WORDS + 1),)})
+
+
+def test_license_query(spark, tmp_path):
+    notes = ["x y Licensed under CC BY-NC 4.0.", "MIT license, then the MIT  LICENSE", None, license_scan.TEMPLATES["isc"][0]]
+    d = docs(spark)["text"].tolist() + notes
+    frame(spark, d).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in license_scan.op3_license_scan(spark, str(tmp_path)).collect():
+        w = words(d[r["doc_id"]])
+        places = sorted((k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        base = sorted({label for _, label in places})
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(places), ",".join(base))
+        assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert r["labels"] == ",".join(sorted({*base, *(s["label"] for s in r["spans"])})) and 0 <= r["score"] < 1
+        if r["doc_id"] >= len(d) - 4:
+            assert r["labels"] == ["cc-by-nc", "mit", "", "isc"][r["doc_id"] - len(d) + 4]
+
+
 # 5 -----------------------------------------------------------------------------------------------
 def naive_secrets(t):
     assign = re.compile(r"""(?:(?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
