@@ -159,59 +159,70 @@ _BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1
 _ROWS_OUT = 100_000
 
 
-def _batches(rows: Iterator[tuple[pa.Scalar, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Record batches of (key, array, ...): each key is repeated for its arrays' values."""
+def _repeated(rows: Iterator[tuple[pa.Scalar, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Record batches of (id, low): each key is repeated for its array's values."""
     keys, parts, size = [], [], 0
-
-    def batch() -> pa.RecordBatch:
-        ids = pa.array(keys, keys[0].type).take(pa.array(np.repeat(np.arange(len(keys)), [len(p[0]) for p in parts])))
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x)) for x in zip(*parts))], names)
-
-    for key, *arrays in rows:
+    for key, values in rows:
         keys.append(key)
-        parts.append(arrays)
-        size += len(arrays[0])
+        parts.append(values)
+        size += len(values)
         if size >= _ROWS_OUT:
-            yield batch()
+            yield _spread(keys, parts, ["low"])
             keys, parts, size = [], [], 0
     if keys:
-        yield batch()
+        yield _spread(keys, parts, ["low"])
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, start, end, lo) of the windows of ``docs(id, text)`` that two ids hold; lo is the least of these.
+def _spread(keys: list[pa.Scalar], parts: list, names: list[str]) -> pa.RecordBatch:
+    parts = [p if isinstance(p, tuple) else (p,) for p in parts]
+    ids = pa.array(keys, keys[0].type).take(pa.array(np.repeat(np.arange(len(keys)), [len(p[0]) for p in parts])))
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x)) for x in zip(*parts))], ["id", *names])
 
-    Equal windows that stand one word apart, as in a run of one word, are one row.
-    """
-    kind = docs.schema["id"].dataType.simpleString()
+
+def least_hashes(docs: DataFrame) -> DataFrame:
+    """(id, low): the distinct least hashes of the windows of ``docs(id, text)``."""
 
     def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b["id"], windows(b["text"].to_pylist()))
-            yield from _batches(((i, np.unique(low)) for i, (low, _) in rows if len(low)), ["id", "low"])
-
-    def owns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(b: pa.RecordBatch) -> Iterator[tuple]:
-            for i, (low, own), lows in zip(b["id"], windows(b["text"].to_pylist()), b["lows"]):
-                at = np.flatnonzero(np.isin(low, lows.values.to_numpy()))
-                if len(at):
-                    first = np.flatnonzero(np.concatenate(([True], (at[1:] > at[:-1] + 1) | (own[at[1:]] != own[at[:-1]]))))
-                    last = np.append(first[1:], len(at)) - 1
-                    at, to = at[first], at[last]
-                    yield i, at.astype(np.int32), (to + WINDOW).astype(np.int32), low[at], own[at]
+            yield from _repeated((i, np.unique(low)) for i, (low, _) in rows if len(low))
 
-        for b in batches:
-            yield from _batches(rows(b), ["id", "start", "end", "low", "own"])
+    return docs.select("id", "text").mapInArrow(lows, f"id {docs.schema['id'].dataType.simpleString()}, low long")
 
-    # counted by groups, which are added up before they are shuffled; then joined, which splits large groups
-    each = scratch.keep(docs.select("id", "text").mapInArrow(lows, f"id {kind}, low long"))
-    twice = lambda df, *by: df.groupBy(*by).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
-    asked = each.join(twice(each, "low").select("low"), "low").groupBy("id").agg(F.collect_set("low").alias("lows"))
-    found = scratch.keep(docs.join(asked.hint("shuffle_hash"), "id").select("id", "text", "lows").mapInArrow(owns, f"id {kind}, start int, end int, low long, own long"))
-    scratch.drop(each)
-    out = scratch.keep(found.join(twice(found, "low", "own"), ["low", "own"]).select("id", "start", "end", "lo"))
-    scratch.drop(found)
-    return out
+
+def copied(units: list[dict]) -> Iterator[tuple[int, int]]:
+    """Stretches of a document that stand alike in one document of smaller key: paragraphs (start,
+    words, first, at) that follow each other in both documents, merged."""
+    run = None
+    for u in sorted(units, key=lambda u: u["start"]):
+        lo, hi, at = u["start"], u["start"] + u["words"], u["at"]
+        if run and (run[1], run[2], run[3]) == (lo, u["first"], at):
+            run = [run[0], hi, run[2], at + u["words"]]
+        else:
+            if run:
+                yield run[0], run[1]
+            run = [lo, hi, u["first"], at + u["words"]]
+    if run:
+        yield run[0], run[1]
+
+
+def shared_windows(text: str | None, lows: np.ndarray, units: list[dict]) -> tuple[np.ndarray, ...] | None:
+    """(start, end, low, own hash) of the windows whose least hash is among ``lows``.
+
+    Equal windows that stand one word apart, as in a run of one word, are one row.  Windows inside
+    a stretch that is copied from a document of smaller key are left out: all words there are of
+    repeated paragraphs already, and that document has the same windows.
+    """
+    low, own = next(windows([text]))
+    want = np.isin(low, lows)
+    for a, z in copied(units):
+        want[a : max(a, z - WINDOW + 1)] = False
+    at = np.flatnonzero(want)
+    if not len(at):
+        return None
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] > at[:-1] + 1) | (own[at[1:]] != own[at[:-1]]))))
+    at, to = at[first], at[np.append(first[1:], len(at)) - 1]
+    return at.astype(np.int32), (to + WINDOW).astype(np.int32), low[at], own[at]
 
 
 def passages_of(start: np.ndarray, end: np.ndarray, lo: np.ndarray, own: np.ndarray, least: int) -> Iterator[tuple]:
@@ -241,8 +252,8 @@ def passages_of(start: np.ndarray, end: np.ndarray, lo: np.ndarray, own: np.ndar
 _UNITS = "array<struct<start:int,words:int,h:long,g:long,bands:array<long>>>"
 
 
-def linked_paragraphs(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, start, end, lo) of the paragraphs of ``docs(id, text)`` that two ids hold, or near ones; lo is the least of these."""
+def outlined(docs: DataFrame) -> DataFrame:
+    """(id, start, words, h, g, bands) of the paragraphs of ``docs(id, text)``."""
 
     @F.pandas_udf(_UNITS)
     def units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -253,40 +264,104 @@ def linked_paragraphs(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 out.append([{"start": s, "words": n, "h": x, "g": y, "bands": b} for s, n, x, y, b in rows if n >= LEAST])
             yield pd.Series(out)
 
-    each = scratch.keep(docs.select("id", F.explode(units("text")).alias("u")).select("id", "u.*"))
+    return docs.select("id", F.explode(units("text")).alias("u")).select("id", "u.*")
+
+
+def sets_and_windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """What is asked of each text, which is read once: (node, n, sketch, s) of paragraphs, and (id, start, end, low, own) of windows.
+
+    ``asked(id, paragraphs, lows, units)``: paragraphs (node, start) whose sets are wanted, least
+    hashes of windows, and paragraphs of smaller documents (see ``copied``).
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    names = ["start", "end", "low", "own"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, parts, size = [], [], 0
+            for i, text, paragraphs, lows, units in zip(*(b[x] for x in ("id", "text", "paragraphs", "lows", "units"))):
+                text = text.as_py()
+                if len(paragraphs):
+                    (o,) = outlines([text], False)
+                    at = dict(zip(o.start.tolist(), range(len(o.start))))
+                    yield from _sets([(x["node"], o.set_of(at[x["start"]])) for x in paragraphs.as_py()], i.type)
+                if len(lows) and (found := shared_windows(text, lows.values.to_numpy(), units.as_py())):
+                    keys.append(i)
+                    parts.append(found)
+                    size += len(found[0])
+                if size >= _ROWS_OUT:
+                    yield _filled(_spread(keys, parts, names))
+                    keys, parts, size = [], [], 0
+            if keys:
+                yield _filled(_spread(keys, parts, names))
+
+    return docs.join(asked.hint("shuffle_hash"), "id").select("id", "text", "paragraphs", "lows", "units").mapInArrow(run, f"id {kind}, {_BOTH}")
+
+
+_BOTH = "start int, end int, low long, own long, node long, n int, sketch array<long>, s binary"
+_SET_TYPES = {"node": pa.int64(), "n": pa.int32(), "sketch": pa.list_(pa.int64()), "s": pa.binary()}
+
+
+def _filled(found: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of windows, with the columns of sets empty."""
+    none = [pa.nulls(found.num_rows, t) for t in _SET_TYPES.values()]
+    return pa.RecordBatch.from_arrays([*found.columns, *none], [*found.schema.names, *_SET_TYPES])
+
+
+def _sets(sets: list[tuple[int, np.ndarray]], key: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows of sets, with the columns of windows empty."""
+    none = [pa.nulls(len(sets), t) for t in (key, pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+    values = [x for x, _ in sets], [len(s) for _, s in sets], [parity_sketch(s) for _, s in sets], [s.tobytes() for _, s in sets]
+    yield pa.RecordBatch.from_arrays([*none, *(pa.array(v, t) for v, t in zip(values, _SET_TYPES.values()))], ["id", "start", "end", "low", "own", *_SET_TYPES])
+
+
+def repeated_stretches(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, start, end, lo) of the paragraphs and windows of ``docs(id, text)`` that two ids hold; lo is the least of these.
+
+    A near paragraph counts as the same.  Of the windows, those inside a copied stretch are left out.
+    """
+    each = scratch.keep(outlined(docs))
     # one row for each distinct paragraph, by 128 bits: where it first stands, and whether another document has it
     classes = each.groupBy("h", "g").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"))
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
     first = classes.select("h", "g", "node", "first.*")
     once = scratch.keep(each.join(first, ["h", "g", "id", "start"]).groupBy("node").agg(F.any_value("bands").alias("bands")))
-    outlined, each = each, scratch.keep(each.drop("bands"))
-    scratch.drop(outlined)
+    banded, each = each, scratch.keep(each.drop("bands"))
+    scratch.drop(banded)
 
-    # near paragraphs: classes that share a MinHash band, verified by their sets
+    # near paragraphs: classes that share a MinHash band
     signed = lambda some: once.where(some).select(F.col("node").alias("id"), F.explode("bands").alias("sig"))
     live = scratch.keep(shared(signed(F.lit(True)), hot_buckets(signed(in_sample("node")))))
     scratch.drop(once)
 
-    @F.pandas_udf("array<struct<id:long,n:int,sketch:array<long>,s:binary>>")
-    def sets(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, wanted in batches:
-            out = []
-            for o, asked in zip(outlines(texts.tolist(), False), wanted):
-                at = dict(zip(o.start.tolist(), range(len(o.start))))
-                of = [(x["node"], o.set_of(at[x["start"]])) for x in asked]
-                out.append([{"id": x, "n": len(s), "sketch": parity_sketch(s), "s": s.tobytes()} for x, s in of])
-            yield pd.Series(out)
-
-    asked = first.join(live.select(F.col("id").alias("node")).distinct(), "node").groupBy("id").agg(F.collect_list(F.struct("node", "start")).alias("asked"))
-    sized = docs.join(asked.hint("shuffle_hash"), "id").select(F.explode(sets("text", "asked")).alias("x")).select("x.*")
-    near = link_in_waves(live, scratch.keep(sized.dropDuplicates(["id"])), None, PERCENT, scratch)
-
+    # windows: counted by groups, which are added up before they are shuffled; then joined, which splits large groups
+    lows = scratch.keep(least_hashes(docs))
+    twice = lambda df, *by: df.groupBy(*by).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
+    met = lows.join(twice(lows, "low").select("low"), "low")
+    wanted = first.join(live.select(F.col("id").alias("node")).distinct(), "node")
+    later = each.join(classes.where("first.id < last").select("h", "g", "first"), ["h", "g"]).where("id > first.id")
+
+    paragraph, unit = F.struct("node", "start"), F.struct("start", "words", F.col("first.id").cast("string").alias("first"), F.col("first.start").alias("at"))
+    kinds = {"paragraph": "struct<node:bigint,start:int>", "low": "bigint", "unit": "struct<start:int,words:int,first:string,at:int>"}
+    rows = lambda df, **have: df.select("id", *[have.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
+    every = rows(wanted, paragraph=paragraph).union(rows(met, low=F.col("low"))).union(rows(later, unit=unit))
+    asked = every.groupBy("id").agg(F.collect_list("paragraph").alias("paragraphs"), F.collect_set("low").alias("lows"), F.collect_list("unit").alias("units"))
+    both = scratch.keep(sets_and_windows(docs, asked.where("size(paragraphs) > 0 OR size(lows) > 0")))
+    scratch.drop(lows)
+    docs.sparkSession._jvm.System.gc()  # shuffle files of the stages so far can go
+
+    sets = scratch.keep(both.where("node IS NOT NULL").select(F.col("node").alias("id"), "n", "sketch", "s").dropDuplicates(["id"]))
+    near = link_in_waves(live, sets, None, PERCENT, scratch)
     # the class of a paragraph: itself or its component; kept if two documents hold it
     known = classes.join(near, "node", "left").select("h", "g", F.coalesce("component", "node").alias("c"), F.col("first.id").alias("lo"), F.col("last").alias("hi"))
     by_class = known.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     repeated = known.select("h", "g", "c").join(by_class.select("c", "lo"), "c").select("h", "g", "lo")
-    out = scratch.keep(each.join(repeated, ["h", "g"]).select("id", "start", (F.col("start") + F.col("words")).alias("end"), "lo"))
-    scratch.drop(each)
+    paragraphs = each.join(repeated, ["h", "g"]).select("id", "start", (F.col("start") + F.col("words")).alias("end"), "lo")
+
+    found = both.where("node IS NULL").select("id", "start", "end", "low", "own")
+    out = scratch.keep(paragraphs.union(found.join(twice(found, "low", "own"), ["low", "own"]).select("id", "start", "end", "lo")))
+    for df in (each, both):
+        scratch.drop(df)
     return out
 
 
@@ -296,7 +371,8 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     A passage is a run of repeated paragraphs and windows, with at most GAP other words between
     two, and at least ``least`` repeated words.  start_word and end_word count the words of the
     text from 0, end exclusive; n_words counts the repeated ones.  component is the smallest key
-    of any document that holds one of its paragraphs or windows, or a paragraph that is linked to it.
+    of any document that holds one of its paragraphs, or one linked to it, or one of its windows
+    (of those inside a stretch copied from a smaller document, that document counts alone).
 
     keep is decided for each word: false where a paragraph or window over it also stands (or
     nearly) in a document of smaller key.  What is removed thus always stands in a document of
@@ -314,9 +390,7 @@ def repeated_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
     if torn.limit(1).count():
         docs = docs.join(torn, "id", "left_anti")
 
-    paragraphs = linked_paragraphs(docs, scratch)
-    documents.sparkSession._jvm.System.gc()  # shuffle files of the stages so far can go
-    per = paragraphs.union(repeated_windows(docs, scratch)).groupBy("id").agg(F.collect_list(F.struct("start", "end", "lo", (F.col("lo") == F.col("id")).alias("own"))).alias("us"))
+    per = repeated_stretches(docs, scratch).groupBy("id").agg(F.collect_list(F.struct("start", "end", "lo", (F.col("lo") == F.col("id")).alias("own"))).alias("us"))
     kind = docs.schema["id"].dataType.simpleString()
     names = ["id", "passage", "start_word", "end_word", "n_words", "component", "keep"]
 

@@ -385,7 +385,7 @@ def test_nearest_neighbours(spark):
     m[300:420] = m[5]
     rows = [(i, [float(x) for x in v], i) for i, v in enumerate(m)] + [(900, None, 0), (901, [0.0] * 16, 0), (902, [None] + [1.0] * 15, 0), (903, [float("nan")] * 16, 0), (905, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    got = ann.nearest_by_inner_product(df, df.where("vec_id % 20 = 0").select("vec_id"), shards=3).toPandas()
+    got = ann.nearest_by_inner_product(df, df.where("vec_id % 20 = 0").select("vec_id"), shard_rows=250).toPandas()
     hit = total = 0
     big = m.astype(float)
     for q, g in got.groupby("query_id"):
@@ -400,6 +400,54 @@ def test_nearest_neighbours(spark):
     assert few.count() == 3 and ann.nearest_by_inner_product(df.limit(0), df).count() == 0
 
 
+def test_repeated_keys_and_lengths_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 2)
+    monkeypatch.setattr(ann, "BLOCKS", 1)
+    rng = np.random.default_rng(81)
+    m = rng.normal(size=(60, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(1, m[1].tolist()), (2, [-9.0] * 4), (200, [1.0, 2.0]), (201, [2.0, 1.0]), (202, [7.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest_by_inner_product(df, df.where("vec_id < 40 OR vec_id >= 200").select("vec_id"), k=5, shard_rows=20).toPandas()
+    m[2] = -9.0
+    for q in range(40):
+        s = m @ m[q]
+        want = sorted((-s[i], i) for i in range(60) if i != q)[:5]
+        g = got[got["query_id"] == q].sort_values("rank")
+        assert g["vec_id"].tolist() == [i for _, i in want] and g["rank"].tolist() == [1, 2, 3, 4, 5]
+    assert sorted(map(tuple, got[got["query_id"] >= 200][["query_id", "vec_id"]].values.tolist())) == [(200, 201), (201, 200)]
+    with pytest.raises(ValueError):
+        ann.nearest_by_inner_product(df.withColumn("vec_id", F.col("vec_id").cast("string")), df)
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_of_a_whole_shard(clustered):
+    rng = np.random.default_rng(82)
+    n, d = ann.SHARD_ROWS, 64
+    x = rng.normal(size=(n, d))
+    if clustered:
+        x = rng.normal(size=(80, d))[rng.integers(0, 80, n)] + 0.3 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph, entry = ann.build_graph(np.concatenate([x, np.zeros((n, 1))], 1).astype(np.float32))
+    row = collections.namedtuple("Row", "ids x last graph entry")(*map(ann._pack, (np.arange(n), x, np.zeros(n), graph.astype(np.int32))), entry)
+    asked = rng.choice(n, 200, replace=False)
+    at, ids, score = ann._Shard(row).search(x[asked], ann.SEARCH_BEAM, 21)
+    s = x[asked] @ x.T
+    want = np.argsort(-s, 1)[:, :21]
+    assert np.mean([len(set(want[i]) & set(ids[at == i])) / 21 for i in range(200)]) >= 0.9
+    assert np.allclose(score, s[at, ids]) and (np.bincount(at) == 21).all()
+
+
+def test_points_without_a_path_are_found():
+    rng = np.random.default_rng(83)
+    x = rng.normal(size=(50, 8))
+    graph, entry = ann.build_graph(np.concatenate([x, np.zeros((50, 1))], 1).astype(np.float32), degree=4)
+    graph[graph == 7] = -1  # nobody leads to 7
+    assert 7 in ann.unreachable(graph, entry) or entry == 7
+    row = collections.namedtuple("Row", "ids x last graph entry")(*map(ann._pack, (np.arange(50), x, np.zeros(50), graph.astype(np.int32))), entry)
+    _, ids, _ = ann._Shard(row).search(x[7][None], 60, 50)
+    assert 7 in ids and len(set(ids.tolist())) == len(ids)
+
+
 # 9 -----------------------------------------------------------------------------------------------
 def test_passages(spark):
     rng = np.random.default_rng(9)
@@ -522,6 +570,42 @@ def test_near_paragraphs_recall():
     assert near > 100 and met >= 0.95 * near
 
 
+def test_copied_stretches():
+    unit = lambda start, n, first, at: {"start": start, "words": n, "first": first, "at": at}
+    got = substring_dedup.copied([unit(50, 60, "1", 70), unit(0, 50, "1", 20), unit(110, 40, "2", 130), unit(150, 9, "2", 0), unit(170, 30, "2", 9)])
+    assert list(got) == [(0, 110), (110, 150), (150, 159), (170, 200)] and list(substring_dedup.copied([])) == []
+
+
+def test_windows_across_copied_paragraphs_and_others(spark):
+    """Whole copies, copies with one edit and windows of other documents inside them: coverage and removals as by brute force."""
+    rng = np.random.default_rng(97)
+    say = lambda n: [" ".join(f"v{rng.integers(3000)}" for _ in range(int(rng.integers(6, 14)))) + "." for _ in range(n)]
+    base, part = say(60), None
+    part = base[10:18]
+    edited = base[:30] + ["quite other words stand here."] + base[31:]
+    texts = [" ".join(x) for x in (say(5) + part + say(5), base, base, edited, base[:40], say(20) + part, say(30), base)] + [None, ""]
+    ws = [words(t) for t in texts]
+    holders = collections.defaultdict(set)
+    for i, w in enumerate(ws):
+        for j in range(len(w) - 49):
+            holders[tuple(w[j : j + 50])].add(i)
+    want, gone = collections.defaultdict(set), collections.defaultdict(set)
+    for i, w in enumerate(ws):
+        for j in range(len(w) - 49):
+            if len(h := holders[tuple(w[j : j + 50])]) > 1:
+                want[i] |= set(range(j, j + 50))
+                gone[i] |= set(range(j, j + 50)) if min(h) < i else set()
+    covered, cut = collections.defaultdict(set), collections.defaultdict(set)
+    for r in substring_dedup.repeated_passages(frame(spark, texts)).collect():
+        span = set(range(r["start_word"], r["end_word"]))
+        covered[r["doc_id"]] |= span
+        cut[r["doc_id"]] |= set() if r["keep"] else span
+    for i in range(len(texts)):
+        assert want[i] <= covered[i] and gone[i] <= cut[i]
+        if i not in (3, 4):  # a near paragraph takes its changed words along
+            assert len(covered[i] - want[i]) <= 12 and cut[i] - gone[i] <= covered[i] - want[i]
+
+
 def test_torn_and_repeated_keys_of_passages(spark):
     t = " ".join(f"w{i}" for i in range(80))
     rows = [(1, t), (1, t), (2, "intro words here " + t), (3, t), (3, "other text"), (None, t), (4, t + " " + t)]
