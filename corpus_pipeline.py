@@ -25,17 +25,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group that five-word shingles link at 0.8 or more."""
-    groups = jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
-    kept = groups.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    # rows without a key are in no group: they stay
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group that five-word shingles link at 0.8 or more: that of smallest doc_id.
+
+    A null doc_id comes after all others.  Rows that share a doc_id, or have none, are rows of
+    their own: they are numbered first, and of equal ones the first stays.
+    """
+    odd = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if not odd.limit(1).count():
+        groups = jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
+        return docs.join(groups.where("component_id = doc_id").select("doc_id"), "doc_id", "left_semi")
+    keyed = Scratch(spark, "numbered").keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = jaccard_components(keyed.select("_row", "text"), key="_row", width=5, percent=80).select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = keyed.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("least")).select("least._row")
+    return keyed.join(kept, "_row", "left_semi").drop("_row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of any benchmark item."""
-    found = contaminated_words(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("n_hit > 0 AND doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents that hold no window of any benchmark item; each row's own text decides, whatever its doc_id."""
+    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    found = contaminated_words(keyed.select("_row", "text"), table(spark, sf_dir, "benchmark"), key="_row")
+    return keyed.join(found.where("n_hit > 0").select("_row").distinct(), "_row", "left_anti").drop("_row")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
