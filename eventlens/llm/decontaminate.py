@@ -19,6 +19,9 @@ WINDOW = 10
 #: Most distinct prefix words that are filtered for in place, and most windows that are broadcast.
 PREFIX_WORDS, BROADCAST_WINDOWS = 50_000, 200_000
 
+#: Most bytes of all windows that are broadcast, and keys that documents without a place are dealt by.
+BROADCAST_BYTES, SPREAD = 64 << 20, 4096
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,11 +66,13 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, key: str = "d
     A document word inside any occurrence of a window is hit.  Each input row gives one output
     row; rows that share key and text count once each.  Null texts and items have no words,
     a null item id names no item but its windows hit.  Other columns are left out.
-    Windows are broadcast only up to a counted bound; beyond it the join shuffles on the prefix word.
+    Windows are broadcast only up to a bound of their number and bytes, which are counted; beyond it
+    the join shuffles on the prefix word (each document's own row on one of SPREAD other keys).
     """
     rare = rarest_prefix(windows(benchmark, item, text, width), documents, text).where("n > 0")
     rare = Scratch(documents.sparkSession, "windows").keep(rare.select("prefix", "at", F.size("window").alias("len"), "window", "item_id"))
-    side = F.broadcast(rare) if rare.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else rare
+    many, size = rare.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("window", " "))), F.lit(0))).first()
+    side = F.broadcast(rare) if many <= BROADCAST_WINDOWS and size <= BROADCAST_BYTES else rare
     prefixes = [r[0] for r in rare.select("prefix").distinct().limit(PREFIX_WORDS + 1).collect()]
 
     place = F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("array<string>").alias("around"))
@@ -82,7 +87,9 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, key: str = "d
     start = F.col("pos") - F.col("at")
     inside = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
     here = F.slice("around", start - F.greatest(F.col("pos") - (width - 1), F.lit(0)) + 1, F.col("len"))
-    joined = places.join(side, F.col("w") == F.col("prefix"), "left").withColumn("hit", F.coalesce(F.when(inside, F.when(inside, here) == F.col("window")), F.lit(False)))
+    # a key with a blank is no word: rows of documents meet no window there
+    meet = F.coalesce("w", F.concat(F.lit(" "), F.pmod(F.xxhash64("_key", "_text"), F.lit(SPREAD)).cast("string")))
+    joined = places.join(side, meet == F.col("prefix"), "left").withColumn("hit", F.coalesce(F.when(inside, F.when(inside, here) == F.col("window")), F.lit(False)))
     hits = joined.where((F.col("pos") < 0) | F.col("hit")).select(
         "_key", "_text", "n_words",
         F.when(F.col("hit"), F.struct(start.alias("s"), (start + F.col("len")).alias("e"))).alias("span"),

@@ -71,14 +71,31 @@ def suffix_sums(histogram: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: list[int], by: tuple[str, ...] = ()) -> DataFrame:
-    """Totals at any context limits: (by..., context_limit, n_docs, n_longer, truncated_total)."""
-    each = histogram.withColumn("context_limit", F.explode(F.array(*[F.lit(int(x)) for x in limits])))
-    over = F.col("n_tokens") > F.col("context_limit")
-    return each.groupBy(*by, "context_limit").agg(
-        F.sum("n_docs").alias("n_docs"),
-        F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("n_longer"),
-        F.sum(F.least("n_tokens", F.col("context_limit").cast("long")) * F.col("n_docs")).alias("truncated_total"),
-    )
+    """Totals at any context limits: (by..., context_limit, n_docs, n_longer, truncated_total).
+
+    A limit's answers come from the suffix sums of the least length that isn't below it (all
+    documents are shorter beyond the longest): one pass over the sums, which holds one row for
+    each limit, whatever the number of lengths.
+    """
+    sums = suffix_sums(histogram, by)
+    n, length = F.col("n_docs"), F.col("n_tokens")
+    # documents of this length or more, and their tokens
+    from_here = F.struct(length, (F.col("n_longer") + n).alias("d"), (F.col("tokens_longer") + length * n).alias("t"))
+    at = [F.min(F.when(length > limit, from_here)).alias(f"at{i}") for i, limit in enumerate(limits)]
+    met = sums.groupBy(*by).agg(F.max("docs_total").alias("n_docs"), F.max("tokens_total").alias("tokens"), *at)
+    d, t = (lambda i: F.coalesce(F.col(f"at{i}.d"), F.lit(0))), (lambda i: F.coalesce(F.col(f"at{i}.t"), F.lit(0)))
+    answer = lambda i, limit: F.struct(F.lit(int(limit)).alias("context_limit"), d(i).alias("n_longer"), (F.col("tokens") - t(i) + d(i) * int(limit)).alias("truncated_total"))
+    each = met.where("n_docs > 0").select(*by, "n_docs", F.explode(F.array(*[answer(i, limit) for i, limit in enumerate(limits)])).alias("x"))
+    return each.select(*by, "x.context_limit", "n_docs", "x.n_longer", "x.truncated_total")
+
+
+def quantiles(histogram: DataFrame, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., share, n_tokens): the smallest length that at least this share of the documents doesn't exceed."""
+    sums = suffix_sums(histogram, by)
+    least = [F.min(F.when(F.col("rank_share") >= q, F.col("n_tokens"))).alias(f"q{i}") for i, q in enumerate(shares)]
+    met = sums.groupBy(*by).agg(F.count("*").alias("_n"), *least).where("_n > 0")
+    pairs = F.array(*[F.struct(F.lit(float(q)).alias("share"), F.col(f"q{i}").alias("n_tokens")) for i, q in enumerate(shares)])
+    return met.select(*by, F.explode(pairs).alias("x")).select(*by, "x.*")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,8 +81,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     of ``pages`` named host, path, rule or verdict are replaced.
 
     Up to ``local_rules`` rules (counted first) go to every task, and no page is shuffled.
-    More rules are cut into key ranges, and the urls' distinct (host, path) pairs are joined to
-    their range, so that no task holds more than about ``local_rules`` rules and what encloses them.
+    More rules are cut into key ranges, and pages are dealt to their range and a salt (a hash of the
+    row), so that no task holds more than about ``local_rules`` rules and what encloses them.
     """
     spark = pages.sparkSession
     rules = (
@@ -109,21 +110,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     ranged = rules.repartitionByRange(2 + rules.count() // local_rules, "key").withColumn("_part", F.spark_partition_id())
     cuts = sorted(r[0] for r in ranged.groupBy("_part").agg(F.min("key").alias("k")).select("k").collect())[1:]
     segment = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("key"))).cast("int")
-    urls = pages.select(host_key(F.col("host")).alias("key"), "host", "path").distinct().withColumn("seg", segment)
     # a rule goes to each segment that its interval touches: its own, and those up to the key's last successor
     last = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/")))).cast("int")
-    held = rules.withColumn("seg", F.explode(F.sequence(segment, last)))
     tasks = 4 * spark.sparkContext.defaultParallelism
     salts = max(1, tasks // (len(cuts) + 1))
-    both = urls.select("seg", F.pmod(F.xxhash64("key", "path"), F.lit(salts)).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")).union(
-        held.select("seg", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "path", "rule", "verdict")
-    )
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # pages go through the sweep themselves, so a very common host is split by salts and nothing is joined back
+    row = F.struct(*pages.columns)
+    salt = F.pmod(F.xxhash64(*[c for c, t in pages.dtypes if "map<" not in t]), F.lit(salts)).cast("int")
+    urls = pages.select(host_key(F.col("host")).alias("key"), row.alias("row"), "path", salt.alias("salt"))
+    urls = urls.select(segment.alias("seg"), "salt", "key", F.lit(1).alias("kind"), "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), "row")
+    none = F.lit(None).cast(pages.select(row.alias("row")).schema["row"].dataType)
+    held = rules.withColumn("seg", F.explode(F.sequence(segment, last))).select("seg", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), "path", "rule", "verdict", none.alias("row"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack, here = [], None
         for b in batches:
-            rows = []
-            for seg, salt, key, kind, host, path, rule, verdict in b.itertuples(index=False):
+            at, got = [], []
+            for i, (seg, salt, key, kind, path, rule, verdict) in enumerate(zip(*(b[c].to_pylist() for c in ("seg", "salt", "key", "kind", "path", "rule", "verdict")))):
                 if (seg, salt) != here:
                     stack, here = [], (seg, salt)
                 while stack and not key.startswith(stack[-1][0]):
@@ -132,12 +135,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
                     stack.append((key, path, rule, verdict))
                     continue
                 fit = [r for r in stack if path.startswith(r[1])]
-                best = max(fit, key=lambda r: (len(r[2]), len(r[0]))) if fit else (None,) * 4
-                rows.append((host, path, best[2], best[3]))
-            yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
-
-    judged = both.repartition(tasks, "seg", "salt").sortWithinPartitions("seg", "salt", "key", "kind").mapInPandas(merge, "host string, path string, rule string, verdict string")
-    return pages.join(judged, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+                at.append(i)
+                got.append(max(fit, key=lambda r: (len(r[2]), len(r[0])))[2:] if fit else (None, None))
+            rule, verdict = (pa.array([g[k] for g in got], pa.string()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([b["row"].take(pa.array(at, pa.int64())), rule, verdict], ["row", "rule", "verdict"])
+
+    kind = pages.select(row.alias("row")).schema.add("rule", "string").add("verdict", "string")
+    judged = urls.union(held).repartition(tasks, "seg", "salt").sortWithinPartitions("seg", "salt", "key", "kind").mapInArrow(merge, kind)
+    return judged.select("row.*", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,16 @@ def test_url_rules(spark, local):
     assert url_filter.filter_urls(pages.limit(0), spark.createDataFrame(rules, "verdict string, host string, path string"), local_rules=local).count() == 0
 
 
+@pytest.mark.parametrize("local", [1000, 2])
+def test_odd_rules_and_repeated_pages(spark, local):
+    rules = [("allow", "a.org", "/x"), ("block", "A.org", "/x"), (None, "b.org", "/"), ("block", None, "/"), ("block", "c.org", None), ("block", "b.org", "/1"), ("allow", "x.b.org", "/"), ("block", "org", "/12345678")]
+    urls = ["http://a.org/x1", "http://b.org/2", "http://x.b.org/1", "http://c.org/", "http://x.b.org/12345678", None] + ["http://hot.a.org/x"] * 40
+    pages = spark.createDataFrame([(i % 44, u, {"k": "v"}) for i, u in enumerate(urls)], "page_id int, url string, extra map<string,string>")
+    got = url_filter.filter_urls(pages, spark.createDataFrame(rules, "verdict string, host string, path string"), local_rules=local).collect()
+    clean = [("block", "a.org", "/x"), ("block", "b.org", "/1"), ("allow", "x.b.org", "/"), ("block", "org", "/12345678")]
+    assert sorted(map(str, [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"], r["extra"]) for r in got])) == sorted(map(str, [(i % 44, *naive_rule(u, clean), {"k": "v"}) for i, u in enumerate(urls)]))
+
+
 # 2 and 4 -----------------------------------------------------------------------------------------
 def library():
     import public_tokenizers
@@ -117,9 +127,26 @@ def test_length_histogram(spark):
         assert (r["n_longer"], r["tokens_longer"], r["truncated_total"]) == (sum(x > L for x in every), sum(x for x in every if x > L), sum(min(x, L) for x in every))
     got = {r["context_limit"]: r["truncated_total"] for r in token_counts.at_limits(h, [5, 512]).collect()}
     assert got == {L: sum(min(x, L) for x in lengths) for L in (5, 512)}
+    every = sorted(lengths + [0])
+    for r in token_counts.at_limits(h, [0, 3, 511, 999, 1000, 5000]).collect():
+        L = r["context_limit"]
+        assert (r["n_docs"], r["n_longer"], r["truncated_total"]) == (len(every), sum(x > L for x in every), sum(min(x, L) for x in every))
+    for r in token_counts.quantiles(h, [0.0, 0.1, 0.5, 0.9, 1.0]).collect():
+        assert r["n_tokens"] == next(x for x in every if sum(y <= x for y in every) / len(every) >= r["share"] - 1e-12)
+    by = token_counts.length_histogram(spark.createDataFrame([("a", 1), ("a", 9), (None, 4)], "lang string, n_tokens long"), by=("lang",))
+    assert sorted((str(r["lang"]), r["n_longer"], r["truncated_total"]) for r in token_counts.at_limits(by, [3], ("lang",)).collect()) == [("None", 1, 3), ("a", 1, 4)]
+    assert token_counts.at_limits(h.limit(0), [4]).count() == token_counts.quantiles(h.limit(0), [0.5]).count() == 0
     assert token_counts.suffix_sums(h.limit(0)).count() == 0
 
 
+def test_token_count_query(spark, tmp_path):
+    texts, t = ODD + docs(spark)["text"].head(40).tolist(), library()
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    lengths = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    got = sorted((r["n_tokens"], r["n_docs"], r["n_longer"], r["truncated_total"]) for r in token_counts.op2_token_counts(spark, str(tmp_path)).collect())
+    assert got == [(L, lengths.count(L), sum(x > L for x in lengths), sum(min(x, L) for x in lengths)) for L in sorted(set(lengths))]
+
+
 # 3 -----------------------------------------------------------------------------------------------
 def test_license_places(spark):
     texts = ODD + ["MIT license mit LICENSE apache-license General   public license public license", "the mit", "license"] + docs(spark)["text"].tolist()
@@ -310,7 +337,10 @@ def test_decontamination(spark, monkeypatch):
         got = sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in decontaminate.contaminated_words(frame(spark, texts), bench).collect())
         assert got == [(i, *x) for i, x in enumerate(naive_hits(texts, items))]
         monkeypatch.setattr(decontaminate, "PREFIX_WORDS", 1)
-        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 1)
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 1)
+    rows = [(None, "short item"), (None, "x"), (3, "short item"), (3, "y z"), (3, "short item")]
+    odd = decontaminate.contaminated_words(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in odd) == [("3", 2, 0), ("3", 2, 2), ("3", 2, 2), ("None", 1, 0), ("None", 2, 2)]
     twice = frame(spark, ["short item"]).union(frame(spark, ["short item"]))
     assert [r["n_hit"] for r in decontaminate.contaminated_words(twice, bench).collect()] == [2, 2]
     assert decontaminate.contaminated_words(frame(spark, []), bench).count() == 0
@@ -765,5 +795,20 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(P.run(spark, SF).toPandas()["ids_sha256"]) == sorted(coded["ids_sha256"])
 
 
+def test_pipeline_stages_with_null_and_repeated_keys(spark):
+    import corpus_pipeline as P
+
+    t = " ".join(f"w{i}" for i in range(60))
+    leak = table(spark, SF, "benchmark").where("text IS NOT NULL").first()["text"]
+    rows = [(None, t), (None, t + " more"), (7, t), (7, "quite other words here"), (7, "quite other words here"), (9, "x y"), (None, "x y"), (None, None), (None, None), (4, leak), (4, "clean"), (None, leak)]
+    df = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = P.near_duplicates(spark, df, SF)
+    assert near.columns == df.columns
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in near.collect())
+    assert got == sorted([("7", t), ("7", "quite other words here"), ("9", "x y"), ("None", "None"), ("None", "None"), ("4", leak), ("4", "clean")])
+    clean = P.decontamination(spark, df, SF)
+    assert clean.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in clean.collect()) == sorted((str(i), str(x)) for i, x in rows if x != leak)
+
+
 def test_queries_hold_the_contract_columns(spark):
     assert pd.Index(token_counts.op2_token_counts(spark, SF).columns).is_unique
