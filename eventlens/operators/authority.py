@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,16 +123,26 @@ def entry_json(cols: list[str]) -> Column:
 def hash_chain(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
     """(key, place, payload, previous_hash, entry_hash): each entry's SHA-256 over the hash before it and its JSON.
 
-    Sequential by nature: one array a chain, folded in the JVM; a chain is one key's entries.
+    Sequential by nature: a chain is one key's entries, sorted into one task and streamed past the last hash.
     """
-    per = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, entry_json(cols).alias("_j")))).alias("_xs"))
-    zero = F.expr("cast(array() as array<struct<place:int,payload:string,previous_hash:string,entry_hash:string>>)")
-
-    def merge(a: Column, x: Column) -> Column:
-        before = F.coalesce(F.try_element_at(a, F.lit(-1))["entry_hash"], F.lit(""))
-        return F.concat(a, F.array(F.struct((F.size(a) + 1).alias("place"), x["_j"].alias("payload"), before.alias("previous_hash"), F.sha2(F.concat(before, F.lit(":"), x["_j"]), 256).alias("entry_hash"))))
-
-    return per.select(key, F.inline(F.aggregate("_xs", zero, merge)))
+    rows = df.select(key, *order, entry_json(cols).alias("payload"))
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order, "payload")
+    kind = f"`{key}` {rows.schema[key].dataType.simpleString()}, place int, payload string, previous_hash string, entry_hash string"
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, place, last = None, 0, ""
+        for b in batches:
+            out = []
+            for k, j in zip(b[key].to_pylist(), b["payload"].to_pylist()):
+                if not place or k != here:
+                    here, place, last = k, 0, ""
+                place += 1
+                before, last = last, hashlib.sha256(f"{last}:{j}".encode()).hexdigest()
+                out.append((place, before, last))
+            n, before, own = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b[key], pa.array(n, pa.int32()), b["payload"], pa.array(before, pa.string()), pa.array(own, pa.string())], [key, "place", "payload", "previous_hash", "entry_hash"])
+
+    return dealt.mapInArrow(link, kind)
 
 
 def verify_chain(chain: DataFrame, key: str) -> DataFrame:

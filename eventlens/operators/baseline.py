@@ -1,15 +1,21 @@
 """Personal baselines: one running centre and spread for each key and dimension.
 
 Observations are ``keys..., dimension, us, value``.  The robust fold depends on order and is no
-associative aggregate: it runs in the JVM as ``aggregate`` over each key's sorted array.  Without
-robustness the centre has a closed form and is a plain sum.
+associative aggregate: each key's observations are sorted into one task and streamed past a running
+state, so a key takes linear time and no memory for its rows.  Without robustness the centre has a
+closed form and is a plain sum.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.functions.medians import block_median
 from eventlens.settings import DEFAULT, Settings
 
 #: Dimension -> (feature that feeds it, lowest, highest), in canonical order.
@@ -76,32 +82,57 @@ def winsorised_ewma(df: DataFrame, keys: list[str], order: list[str], value: str
     the spread is taken about the new centre over the retained values.  Without ``robust``: no
     clipping, and the root mean square as spread.
     """
-    per = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("x")))).alias("_xs"))
-    state = "struct<centre:double,spread:double,kept:array<double>,rows:array<struct<n:int,centre:double,spread:double,retained:int>>>"
-    zero = F.expr(f"cast(named_struct('centre', null, 'spread', null, 'kept', array(), 'rows', array()) as {state})")
-    half = lambda a: F.concat(F.filter(a, lambda x, i: i % 2 == 1), F.when(F.size(a) % 2 == 1, F.slice(a, -1, 1)).otherwise(F.slice(a, 1, 0)))
-
-    def moved(a: Column, o: Column) -> Column:
-        step = o["x"] - a["centre"]
-        if robust:
-            limit = s.step_limit * a["spread"]
-            step = F.when(a["spread"] > 0, F.greatest(-limit, F.least(limit, step))).otherwise(step)
-        return F.coalesce(a["centre"] + s.alpha * step, o["x"])
-
-    def kept(a: Column, o: Column) -> Column:
-        grown = F.concat(a["kept"], F.array(o["x"]))
-        return F.when(F.size(grown) > s.retained, half(grown)).otherwise(grown)
-
-    def merge(a: Column, o: Column) -> Column:
-        # struct of the parts first, so that each is computed once
-        part = F.struct(moved(a, o).alias("centre"), kept(a, o).alias("kept"), a["rows"].alias("rows"))
-        with_spread = F.transform(F.array(part), lambda p: F.struct(p["centre"].alias("centre"), (mad_about if robust else rms_about)(p["kept"], p["centre"]).alias("spread"), p["kept"].alias("kept"), p["rows"].alias("rows")))
-        done = F.transform(with_spread, lambda p: F.struct(p["centre"].alias("centre"), p["spread"].alias("spread"), p["kept"].alias("kept"), F.concat(p["rows"], F.array(F.struct((F.size(p["rows"]) + 1).alias("n"), p["centre"].alias("centre"), p["spread"].alias("spread"), F.size(p["kept"]).alias("retained")))).alias("rows")))
-        return F.get(done, F.lit(0)).cast(state)
-
-    folded = per.withColumn("_f", F.aggregate("_xs", zero, merge))
-    rows = F.zip_with("_xs", "_f.rows", lambda o, r: F.struct(*[o[c].alias(c) for c in order], o["x"].alias("value"), r["n"].alias("n"), r["centre"].alias("centre"), r["spread"].alias("spread"), r["retained"].alias("retained")))
-    return folded.select(*keys, F.inline(rows))
+    rows = df.select(*keys, *order, F.col(value).cast("double").alias("value"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in (*order, "value")])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            out = []
+            for k, x in zip(zip(*(b[c].to_pylist() for c in keys)), b["value"].to_pylist()):
+                if k != key or state is None:
+                    key, state = k, RunningSpread(s, robust)
+                out.append(state.add(x))
+            columns = [pa.array(v, t) for v, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.float64(), pa.float64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "n", "centre", "spread", "retained"])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n int, centre double, spread double, retained int"
+    return dealt.mapInArrow(fold, kind)
+
+
+class RunningSpread:
+    """Centre and spread of one key; ``add`` takes time in proportion to the retained values."""
+
+    def __init__(self, s: Settings, robust: bool):
+        self.s, self.robust = s, robust
+        self.n, self.size, self.centre, self.spread = 0, 0, None, None
+        self.kept = np.empty(s.retained + 1)
+
+    def add(self, x: float | None) -> tuple[int, float | None, float | None, int]:
+        """(n, centre, spread, retained values) with one more value; a null value changes nothing but n."""
+        self.n += 1
+        if x is None:
+            return self.n, self.centre, self.spread, self.size
+        step = x - self.centre if self.centre is not None else None
+        if step is not None and self.robust and self.spread:
+            limit = self.s.step_limit * self.spread
+            step = max(-limit, min(limit, step))
+        self.centre = x if step is None else self.centre + self.s.alpha * step
+        self.kept[self.size] = x
+        self.size += 1
+        if self.size > self.s.retained:
+            half = np.concatenate((self.kept[1 : self.size : 2], self.kept[self.size - 1 : self.size] if self.size % 2 else self.kept[:0]))
+            self.size = len(half)
+            self.kept[: self.size] = half
+        if self.size >= 2:
+            away = np.abs(self.kept[: self.size] - self.centre)
+            if self.robust:
+                mid = self.size // 2
+                part = np.partition(away, (mid - 1, mid) if self.size % 2 == 0 else mid)
+                self.spread = float(MAD_SCALE * (part[mid] if self.size % 2 else (part[mid - 1] + part[mid]) / 2))
+            else:
+                self.spread = float(np.sqrt((away * away).sum() / (self.size - 1)))
+        return self.n, self.centre, self.spread, self.size
 
 
 def maturity(n: Column, s: Settings = DEFAULT) -> Column:
@@ -122,9 +153,11 @@ def basis(n: Column, s: Settings = DEFAULT) -> Column:
 def build_priors(observations: DataFrame, value: str = "value") -> DataFrame:
     """(dimension, prior_centre, prior_spread, n_reference) of a cohort: the median, and the scaled
     median distance from it; dimensions without spread give no prior."""
-    mid = observations.groupBy("dimension").agg(F.median(value).alias("prior_centre"), F.count("*").alias("n_reference"))
-    near = observations.join(F.broadcast(mid), "dimension").groupBy("dimension", "prior_centre", "n_reference").agg((MAD_SCALE * F.median(F.abs(F.col(value) - F.col("prior_centre")))).alias("prior_spread"))
-    return near.where("prior_spread > 0").select("dimension", "prior_centre", "prior_spread", "n_reference")
+    rows = observations.select("dimension", F.col(value).cast("double").alias("v"))
+    mid = block_median(rows, ["dimension"], "v").select("dimension", F.col("median").alias("prior_centre"), F.col("n").alias("n_reference"))
+    away = rows.join(F.broadcast(mid), "dimension").select("dimension", F.abs(F.col("v") - F.col("prior_centre")).alias("v"))
+    near = block_median(away, ["dimension"], "v").select("dimension", (MAD_SCALE * F.col("median")).alias("prior_spread"))
+    return mid.join(near, "dimension").where("prior_spread > 0").select("dimension", "prior_centre", "prior_spread", "n_reference")
 
 
 def baseline_reference(profile: DataFrame, priors: DataFrame, s: Settings = DEFAULT) -> DataFrame:

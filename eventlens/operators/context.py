@@ -60,12 +60,16 @@ def recent_performance(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds answer_count, correct_count, recent_accuracy and recent_response over the last n answers of
     the session; accuracy and response are null without answers."""
     answered = _is("question_answered")
-    rows = F.collect_list(F.when(answered, F.struct("correct", "response_seconds"))).over(running())
-    last = F.slice(rows, F.greatest(F.size(rows) - (s.recent_answers - 1), F.lit(1)), s.recent_answers)
-    df = df.withColumn("_a", last).withColumn("answer_count", F.size("_a"))
-    right = F.aggregate("_a", F.lit(0), lambda n, x: n + F.coalesce(x["correct"].cast("int"), F.lit(0)))
-    time = F.aggregate("_a", F.lit(0.0), lambda n, x: n + x["response_seconds"])
-    return df.withColumns({"correct_count": right, "recent_accuracy": F.try_divide(right, F.size("_a")), "recent_response": F.try_divide(time, F.size("_a"))}).drop("_a")
+    # sums over the last n answers, among answers only; each later row carries those of the answer before it
+    last = Window.partitionBy(*KEYS, "_answered").orderBy("us", "event_id").rowsBetween(1 - s.recent_answers, 0)
+    right, slow = F.sum(F.coalesce(F.col("correct").cast("int"), F.lit(0))).over(last), F.sum("response_seconds").over(last)
+    n, timed = F.count("*").over(last), F.count("response_seconds").over(last)
+    sums = F.struct(n.cast("int").alias("n"), right.cast("int").alias("right"), F.when(timed == n, slow).alias("slow"))
+    df = df.withColumn("_answered", answered).withColumn("_s", F.when(answered, sums)).withColumn("_a", F.last("_s", True).over(running()))
+    count = F.coalesce("_a.n", F.lit(0))
+    return df.withColumns({
+        "answer_count": count, "correct_count": F.coalesce("_a.right", F.lit(0)), "recent_accuracy": F.try_divide("_a.right", "_a.n"), "recent_response": F.try_divide("_a.slow", "_a.n"),
+    }).drop("_answered", "_s", "_a")
 
 
 def recent_performance_at_end(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -85,11 +89,13 @@ def intervention_status(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """
     w = running()
     start = _is("intervention_started")
-    last = F.last(F.when(start, F.struct("intervention_id", "intervention_type", "us")), True).over(w)
-    done = F.collect_list(F.when(_is("intervention_completed") & F.col("intervention_id").isNotNull(), F.struct("intervention_id", "outcome"))).over(w)
-    df = df.withColumns({"interventions": F.count_if(start).over(w), "_l": last, "_d": done})
+    # of each id in the session, the first completion: it counts from its own row on
+    done = F.min(F.when(_is("intervention_completed"), F.struct("us", "event_id", "outcome"))).over(Window.partitionBy(*KEYS, "intervention_id"))
+    df = df.withColumn("_d", F.when(F.col("intervention_id").isNotNull(), done))
+    last = F.last(F.when(start, F.struct("intervention_type", "us", F.col("_d").alias("done"))), True).over(w)
+    df = df.withColumns({"interventions": F.count_if(start).over(w), "_l": last})
     since = (F.col("us") - F.col("_l.us")) / 1e6
-    outcome = F.get(F.filter("_d", lambda x: x["intervention_id"] == F.col("_l.intervention_id")), F.lit(0))["outcome"]
+    outcome = F.when(F.struct(F.col("_l.done.us").alias("us"), F.col("_l.done.event_id").alias("event_id")) <= F.struct("us", "event_id"), F.col("_l.done.outcome"))
     cool = F.coalesce(since < s.context_cooldown, F.lit(False))
     return df.withColumns({
         "last_intervention_type": F.col("_l.intervention_type"), "last_intervention_us": F.col("_l.us"), "last_outcome": outcome, "seconds_since_last": since,

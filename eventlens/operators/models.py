@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.columns import UNIT
+from eventlens.functions.medians import block_median
 from eventlens.operators.features import CATEGORICAL, FEATURES
 
 #: Categories of the encoded features, one column each.
@@ -79,8 +80,10 @@ def design_columns(required: tuple[str, ...] = FEATURES) -> list[str]:
 
 
 def column_reference(design: DataFrame, columns: list[str]) -> DataFrame:
-    """M4: one row: the median of each column."""
-    return design.agg(*[F.median(f"`{c}`").alias(c) for c in columns])
+    """M4: one row: the median of each column; all columns are one long table, cut into blocks."""
+    long = design.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])))
+    found = block_median(long, ["name"], "v")
+    return found.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])
 
 
 @dataclass

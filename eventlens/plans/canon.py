@@ -8,9 +8,15 @@ Sessions end after 24 hours without an event.  ``us`` is the instant in microsec
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventlens.sources.shared import saved
+
 TOPICS = ("algebra", "reading", "geometry")
 CATALOGUE = ("recap", "micro_question", "pause", "reflection")
 REPORTED = ("accepted", "dismissed", "ignored", "timeout", "other")
@@ -32,8 +38,38 @@ def micros(ts):
     return F.unix_micros(ts.cast("timestamp"))
 
 
+#: Logs that the query being built has asked for: folder -> frame.
+_logs: ContextVar[dict[str, DataFrame] | None] = ContextVar("logs", default=None)
+
+
+def one_log(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query in which a log that is asked for more than once is saved, so that not each of its uses builds it."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = _logs.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _logs.reset(held)
+
+    return run
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical event log; arrival order is (us, event_id)."""
+    held = _logs.get()
+    if held is None:
+        return _built(spark, sf_dir)
+    if sf_dir not in held:  # the first use may be the only one
+        held[sf_dir] = None
+        return _built(spark, sf_dir)
+    if held[sf_dir] is None:
+        held[sf_dir] = saved(_built(spark, sf_dir), "log")
+    return held[sf_dir]
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     raw = F.col("event_type")

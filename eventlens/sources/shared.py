@@ -8,13 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder if driver and executors are one machine.
+
+    On a cluster that would lose rows, so an unset folder is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("eventlens.shared.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-eventlens-")
         spark.conf.set("eventlens.shared.dir", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str = "saved") -> DataFrame:
