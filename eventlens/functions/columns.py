@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 UNIT, RECORD = "\x1f", "\x1e"
 
-#: Words in a column's name that mark its values as sensitive.
-SENSITIVE = ("password", "secret", "token", "api_key", "authorization")
+#: Words in a column's name that mark its values as sensitive, and names that do so whole.
+SENSITIVE = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization")
+SENSITIVE_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization", "auth_secret", "access_token", "refresh_token", "session_key")
+#: Fixed values, applied in this order: private key blocks, bearer and basic headers, JWT-shaped values;
+#: then the value after a sensitive key.
+HEADERS = (
+    r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
+    r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]{8,}",
+    r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\b",
+)
+KEY_VALUE = r"""(?i)(["']?(?:password|passwd|secret|token|api[_-]?key|apikey|authorization|access[_-]?token)["']?)(\s*[=:]\s*)("[^"]*"|'[^']*'|[^\s,;&}\[\]]+)"""
 
 
 def content_digest(**cols: Column) -> Column:
@@ -35,15 +44,16 @@ def pseudonymous_ref(col: Column) -> Column:
 
 
 def redact(col: Column) -> Column:
-    """The values of ``key = value`` secrets and of bearer headers as [REDACTED]."""
-    names = "(?i)((?:password|passwd|secret|token|api_?key|authorization)[\"']?\\s*[:=]\\s*)([\"']?)(?:bearer\\s+)?[^\\s\"',;]+"
-    return F.regexp_replace(F.regexp_replace(col, names, "$1$2[REDACTED]"), "(?i)bearer\\s+[A-Za-z0-9._-]+", "[REDACTED]")
+    """Key blocks, headers, JWT-shaped values and the values of sensitive keys as [REDACTED]; doing it twice changes nothing."""
+    for pattern in HEADERS:
+        col = F.regexp_replace(col, pattern, "[REDACTED]")
+    return F.regexp_replace(col, KEY_VALUE, "$1$2[REDACTED]")
 
 
 def redact_columns(df: DataFrame, text: list[str]) -> DataFrame:
     """X5 over a frame: text columns redacted, columns with a sensitive name nulled."""
     out = {c: redact(F.col(c)) for c in text}
-    out |= {c: F.lit(None).cast(df.schema[c].dataType) for c in df.columns if any(s in c.lower() for s in SENSITIVE)}
+    out |= {c: F.lit(None).cast(df.schema[c].dataType) for c in df.columns if c.lower() in SENSITIVE_NAMES or any(s in c.lower() for s in SENSITIVE)}
     return df.withColumns(out) if out else df
 
 

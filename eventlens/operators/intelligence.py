@@ -18,26 +18,26 @@ ROLES = {
     "teacher": ("profile", "evidence", "engine", "interventions", "outcomes", "authority", "missing_data", "sources"),
     "admin": ("profile", "evidence", "engine", "interventions", "outcomes", "authority", "missing_data", "sources"),
 }
-#: Subject names that a question may hold, and the ordered word lists of the intents: the first hit wins.
-SUBJECTS = ("algebra", "geometry", "reading")
+#: Subject names that a question may hold, and the ordered word lists of the intents: the first hit wins.
+SUBJECTS = ("algebra", "geometry", "reading", "maths", "math", "science")
 INTENTS = (
-    ("current_state", ("current state", "current status", "state right now", "latest state")),
-    ("gaps", ("gaps", "missing evidence", "evidence is missing")),
-    ("comparison", ("compare", "contradict", "both subjects")),
-    ("explanation", ("why has", "why did", "reason for", "cause of")),
-    ("outcome", ("what happened after", "did it work", "outcome")),
-    ("change", ("changed", "trend", "over time", "progress")),
-    ("intervention", ("intervention", "recap", "delivered")),
-    ("timeline", ("timeline", "sequence", "day by day")),
-    ("missing", ("missing", "unknown", "lack")),
-    ("authority", ("permitted", "allowed to", "permission")),
-    ("autonomy", ("autonom", "how far", "authority")),
-    ("subject", ("algebra", "geometry", "reading", "performance in")),
-    ("evidence", ("evidence", "sources", "what is known")),
-    ("explain", ("why", "explain", "reason")),
-    ("profile", ("overview", "profile", "describe", "student")),
+    ("autonomy", ("autonom", "can the ai", "act", "allowed", "authority", "how far")),
+    ("authority", ("permitted", "authority to", "allowed to", "what can", "what may", "permission")),
+    ("outcome", ("what happened after", "has an intervention", "intervention been delivered", "did it work", "was it effective", "outcome")),
+    ("explanation", ("why has", "why did", "why have", "why the", "why this", "reason for", "cause of")),
+    ("intervention", ("intervention", "recap", "prompt was", "prompts were", "delivered")),
+    ("explain", ("why", "explain", "reason", "cause")),
+    ("gaps", ("gaps", "evidence is missing", "evidence missing", "missing evidence", "which evidence", "lack evidence", "what evidence is lacking")),
+    ("missing", ("missing", "don't know", "do we know", "unknown", "insufficient", "unavailable", "not know", "lack")),
+    ("change", ("changed", "change", "trend", "trajectory", "over time", "progress", "recover")),
+    ("current_state", ("current state", "current status", "current situation", "state right now", "latest state", "how is the student doing", "what is the state")),
+    ("comparison", ("compare", "agree", "disagree", "contradict", "signals", "consisten", "align", "both subjects")),
+    ("subject", ("algebra", "geometry", "reading", "math", "mathematics", "performance in", "performing in", "subject performance")),
+    ("timeline", ("timeline", "chronolog", "sequence", "history of events", "day by day")),
+    ("evidence", ("evidence", "sources", "provenance", "what do we know", "data points", "what is known")),
+    ("profile", ("tell me about", "overview", "profile", "describe", "summari", "who is", "about this student", "student")),
 )
-#: Kinds without which an intent has no answer, and the kinds that an answer quotes.
+#: Kinds without which an intent has no answer, and the kinds that an answer quotes.
 REQUIRED = {
     "profile": ("event",), "evidence": ("event",), "timeline": ("event",), "explain": ("temporal", "uncertainty"), "explanation": ("change", "temporal", "uncertainty"), "autonomy": ("authority",), "authority": ("authority",),
     "current_state": ("temporal",), "change": ("change",), "comparison": ("fusion", "subject"), "subject": ("subject",), "intervention": ("intervention",), "outcome": ("intervention", "outcome"),
@@ -48,6 +48,8 @@ QUOTED = {
     "subject": ("subject",), "intervention": ("intervention",), "outcome": ("outcome", "intervention"), "timeline": ("event", "context"), "evidence": ("event", "context", "provenance"),
 }
 GRADES = ("unknown", "low", "medium", "high")
+#: Priority of each type of gap.
+GAP_PRIORITY = {"missing": 1, "stale": 2, "low_coverage": 3, "low_quality": 4, "conflicting": 5, "unvalidated": 6, "not_applicable": 7, "privilege_restricted": 8}
 
 
 def _pairs(table: dict[str, tuple[str, ...]], a: str, b: str, spark) -> DataFrame:
@@ -122,15 +124,45 @@ def evidence_rows(df: DataFrame, kind: str, statement: Column, reliability: Colu
     return df.select(F.concat_ws(":", F.lit(kind), "learner_id", F.coalesce(subject, F.lit(""))).alias("evidence_id"), "learner_id", F.lit(kind).alias("kind"), F.lit(klass).alias("class"), grade.alias("reliability"), statement.alias("statement"), F.lit(source).alias("source"), subject.alias("subject"))
 
 
-def evidence_table(counts: DataFrame, rollups: DataFrame, change: DataFrame, fusion: DataFrame, states: DataFrame) -> DataFrame:
-    """One long table of what the stages say of each learner."""
+def latest(df: DataFrame, *order: str) -> DataFrame:
+    """The last row of each learner."""
+    w = Window.partitionBy("learner_id").orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def evidence_table(stages: dict[str, DataFrame]) -> DataFrame:
+    """One long table of what the stages say of each learner, of 16 kinds.
+
+    ``stages``: counts, rollups, change, fusion, states, and of each learner's last decision session
+    contexts (answer_count, event_count), features (available, required), decisions (verdict,
+    probability, threshold, confidence, evidence, reason, selected, level, context, delivery_status),
+    outcomes (measured, measures, response; null without one) and evaluations (verdict; null without one).
+    """
+    st, d, o, e = stages["states"], stages["decisions"], stages["outcomes"], stages["evaluations"]
+    rollups, fusion, counts = stages["rollups"], stages["fusion"], stages["counts"]
+    resolved, text = F.col("verdict") == "resolved", F.format_string
+    claim = F.when(resolved, text("probability %.2f against %.2f: %s", "probability", "threshold", F.when(F.col("probability") >= F.col("threshold"), "at risk").otherwise("stable")))
+    maturity = F.element_at(F.array(*map(F.lit, ("new", "early", "developing", "established"))), F.col("weakest_maturity") + 1)
     parts = [
-        evidence_rows(counts, "event", F.format_string("%d events in %d sessions", "n_events", "n_sessions"), "high", "log", klass="observed"),
-        evidence_rows(counts, "provenance", F.format_string("origin %s", "origin_label"), "high", "log", klass="observed"),
-        evidence_rows(rollups.where("sufficient"), "subject", F.format_string("%s: %d of %d correct", "subject", "n_correct", "answered"), F.when(F.col("stale"), "low").otherwise("medium"), "rollup", F.col("subject")),
-        evidence_rows(change.where("change <> 'insufficient_evidence'"), "change", F.format_string("change %s", "change"), "medium", "sessions"),
-        evidence_rows(fusion.where("agreement <> 'unavailable'"), "fusion", F.format_string("subjects are %s", "agreement"), F.when(F.col("agreement") == "contradictory", "low").otherwise("medium"), "rollup"),
-        evidence_rows(states.where("state <> 'insufficient_data'"), "temporal", F.format_string("state %s, %s", "state", "direction"), F.when(F.col("weakest_maturity") >= 2, "high").otherwise("medium"), "baseline"),
+        evidence_rows(counts, "event", text("%d events in %d sessions", "n_events", "n_sessions"), "high", "log", klass="observed"),
+        evidence_rows(counts, "provenance", text("origin %s", "origin_label"), "high", "log", klass="observed"),
+        evidence_rows(stages["contexts"], "context", text("session %s: %d recent answers, %d events", "session_id", "answer_count", "event_count"), "medium", "context"),
+        evidence_rows(stages["features"], "feature", text("%d of %d features available", "available", "required"), F.when(F.col("available") == F.col("required"), "high").otherwise("medium"), "features"),
+        evidence_rows(st, "baseline", text("baseline %s from %d observations", maturity, "observations"), "high", "baseline"),
+        evidence_rows(rollups.where("sufficient"), "subject", text("%s: %d of %d correct", "subject", "n_correct", "answered"), F.when(F.col("stale"), "low").otherwise("medium"), "rollup", F.col("subject")),
+        evidence_rows(stages["change"].where("change <> 'insufficient_evidence'"), "change", text("change %s", "change"), "medium", "sessions"),
+        evidence_rows(fusion.where("agreement <> 'unavailable'"), "fusion", text("subjects are %s", "agreement"), F.when(F.col("agreement") == "contradictory", "low").otherwise("medium"), "rollup"),
+        evidence_rows(st.where("state <> 'insufficient_data'"), "temporal", text("state %s, %s", "state", "direction"), F.when(F.col("weakest_maturity") >= 2, "high").otherwise("medium"), "baseline"),
+        # a refusal is certain; what the model says is not
+        evidence_rows(d, "prediction", F.coalesce(claim, text("prediction refused: %s", "verdict")), F.when(resolved, "low").otherwise("high"), "model", klass="predicted"),
+        evidence_rows(d, "uncertainty", text("verdict %s, confidence %s, %d evidence units", "verdict", "confidence", "evidence"), "medium", "model", klass="predicted"),
+        evidence_rows(d, "policy", F.when(F.col("selected").isNotNull(), text("selected %s", "selected")).otherwise(text("no intervention: %s", "reason")), "high", "policy"),
+        evidence_rows(d, "authority", text("level %s in %s", "level", "context"), "high", "authority", klass="system_generated"),
+        evidence_rows(d, "intervention", text("delivery status %s", "delivery_status"), "high", "policy", klass="system_generated"),
+        evidence_rows(o.where("measures IS NOT NULL"), "outcome", text("measured %d of %d: %s", "measured", "measures", "response"), F.when(F.col("measured") == F.col("measures"), "high").otherwise("medium"), "outcomes", klass="observed"),
+        evidence_rows(o.where("measures IS NULL"), "outcome", F.lit("no outcome was measured"), "medium", "outcomes", klass="unavailable"),
+        evidence_rows(e.where("verdict IS NOT NULL"), "evaluation", text("last prediction %s", "verdict"), "high", "evaluation"),
+        evidence_rows(e.where("verdict IS NULL"), "evaluation", F.lit("no prediction was evaluated"), "medium", "evaluation", klass="unavailable"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -138,16 +170,28 @@ def evidence_table(counts: DataFrame, rollups: DataFrame, change: DataFrame, fus
     return out
 
 
-def gap_table(rollups: DataFrame, change: DataFrame, fusion: DataFrame, states: DataFrame) -> DataFrame:
-    """Typed gaps with priority: gap_id, learner_id, gap, priority, subject."""
-    def rows(df: DataFrame, gap: str, priority: int, subject: Column | None = None) -> DataFrame:
+def gap_table(stages: dict[str, DataFrame]) -> DataFrame:
+    """gap_id, learner_id, gap, gap_type, priority (by type), subject; ``stages`` as for evidence_table."""
+    def rows(df: DataFrame, gap: str, kind: str, subject: Column | None = None) -> DataFrame:
         subject = F.lit(None).cast("string") if subject is None else subject
-        return df.select(F.concat_ws(":", F.lit(gap), "learner_id", F.coalesce(subject, F.lit(""))).alias("gap_id"), "learner_id", F.lit(gap).alias("gap"), F.lit(priority).alias("priority"), subject.alias("subject"))
+        return df.select(F.concat_ws(":", F.lit(gap), "learner_id", F.coalesce(subject, F.lit(""))).alias("gap_id"), "learner_id", F.lit(gap).alias("gap"), F.lit(kind).alias("gap_type"), F.lit(GAP_PRIORITY[kind]).alias("priority"), subject.alias("subject"))
 
-    return (
-        rows(states.where("weakest_maturity = 0"), "immature_baseline", 2).unionByName(rows(change.where("change = 'insufficient_evidence'"), "too_few_sessions", 3)).unionByName(rows(fusion.where("agreement = 'unavailable'"), "no_subject", 5))
-        .unionByName(rows(rollups.where("NOT sufficient"), "low_coverage", 6, F.col("subject"))).unionByName(rows(rollups.where("stale"), "stale_subject", 7, F.col("subject"))).unionByName(rows(fusion.where("agreement = 'contradictory'"), "conflicting", 8))
-    )
+    rollups, fusion, named = stages["rollups"], stages["fusion"], F.col("subject") != "unknown"
+    parts = [
+        rows(stages["decisions"].where("verdict <> 'resolved'"), "refused_prediction", "low_coverage"),
+        rows(stages["states"].where("weakest_maturity < 3"), "immature_baseline", "unvalidated"),
+        rows(stages["outcomes"].where("measures IS NULL"), "no_outcome", "missing"),
+        rows(stages["evaluations"].where("verdict IS NULL"), "no_evaluation", "missing"),
+        rows(stages["change"].where("change = 'insufficient_evidence'"), "too_few_sessions", "low_coverage"),
+        rows(fusion.where("agreement = 'unavailable'"), "no_subject", "not_applicable"),
+        rows(rollups.where(named & ~F.col("sufficient")), "low_coverage", "low_coverage", F.col("subject")),
+        rows(rollups.where(named & F.col("sufficient") & F.col("stale")), "stale_subject", "stale", F.col("subject")),
+        rows(fusion.where("agreement = 'contradictory'"), "conflicting", "conflicting"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _scoped(evidence: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ feat AS (
 fin AS (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY us DESC, event_id DESC) = 1)
 """
 
-_LONG = CTX + """, long AS (
+LONG = CTX + """, long AS (
   SELECT session_id, name, value, origin_label, has, reason FROM fin, LATERAL (VALUES
    ('session_elapsed_seconds', NULL, true, NULL), ('session_position', NULL, true, NULL), ('session_event_count', event_count || '.000000', true, NULL),
    ('content_difficulty', NULL, content_difficulty IS NOT NULL, 'missing_content_difficulty'), ('content_type_encoded', ct, ct IS NOT NULL, 'missing_content_kind'),
@@ -152,8 +152,8 @@ SELECT event_id, array_to_string(l, ',') AS missing, array_to_string(list_filter
     "f15_compute_features": CTX + """SELECT session_id, round(elapsed, 6) AS session_elapsed_seconds, round(position, 6) AS session_position, CAST(event_count AS DOUBLE) AS session_event_count, round(content_difficulty, 6) AS content_difficulty, ct AS content_type_encoded,
   round(recent_accuracy, 6) AS performance_recent_accuracy, round(recent_response, 6) AS performance_recent_response_seconds, round(acc_trend, 6) AS performance_accuracy_trend, round(resp_trend, 6) AS performance_response_trend,
   CAST(ic AS DOUBLE) AS intervention_count, CAST(cool AS DOUBLE) AS intervention_cooldown_active, round(since, 6) AS intervention_seconds_since_last, trajectory AS trajectory_encoded, maturity AS baseline_maturity_encoded FROM fin""",
-    "f16_features_long": _LONG + "SELECT * FROM lg",
+    "f16_features_long": LONG + "SELECT * FROM lg",
     "f17_validate_feature_range": CTX + "SELECT session_id, CASE WHEN elapsed > 86400 THEN 'session_elapsed_seconds' ELSE '' END AS out_of_range, CASE WHEN elapsed <= 86400 THEN round(elapsed, 6) END AS session_elapsed_seconds FROM fin",
-    "f18_feature_coverage": _LONG + "SELECT coalesce(name, 'all') AS name, coalesce(availability, 'all') AS availability, count(*) AS n FROM lg GROUP BY CUBE (name, availability)",
-    "f18_vector_coverage": _LONG + "SELECT session_id, CAST(count(*) FILTER (WHERE availability <> 'insufficient_data') AS INTEGER) AS available_count, CAST(count(*) FILTER (WHERE availability = 'insufficient_data') AS INTEGER) AS insufficient_count FROM lg GROUP BY 1",
+    "f18_feature_coverage": LONG + "SELECT coalesce(name, 'all') AS name, coalesce(availability, 'all') AS availability, count(*) AS n FROM lg GROUP BY CUBE (name, availability)",
+    "f18_vector_coverage": LONG + "SELECT session_id, CAST(count(*) FILTER (WHERE availability <> 'insufficient_data') AS INTEGER) AS available_count, CAST(count(*) FILTER (WHERE availability = 'insufficient_data') AS INTEGER) AS insufficient_count FROM lg GROUP BY 1",
 }

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventlens.operators import authority as A
+from eventlens.operators import evaluation as E
+from eventlens.operators import features as X
 from eventlens.operators import intelligence as I
 from eventlens.operators import temporal as T
-from eventlens.operators.context import origin_of
+from eventlens.operators.context import end_of_session, origin_of
 from eventlens.plans.analysis import analyse
-from eventlens.plans.canon import events, pick, r6, steady, table
-from eventlens.plans.q_baseline import TRACK, history
-from eventlens.plans.q_policy import DEC, TYPES, authorised
+from eventlens.plans.canon import CANON, events, pick, r6, steady, table
+from eventlens.plans.q_baseline import history
+from eventlens.plans.q_context import CTX, LONG, features
+from eventlens.plans.q_outcomes import OUT, measured, truths
+from eventlens.plans.q_policy import DEC, TYPES, authorised, final
 from eventlens.settings import SPARSE
 from eventlens.sources.shared import saved
 
@@ -37,19 +42,46 @@ def counts(s, d):
     return events(s, d).groupBy("learner_id").agg(F.count("*").alias("n_events"), F.count_distinct("session_id").alias("n_sessions"), origin_of(F.bool_or(F.col("origin") == "real"), F.bool_or(F.col("origin") == "synthetic")).alias("origin_label"))
 
 
+def contexts(s, d):
+    """The context at the end of each learner's last session, with its features."""
+    return I.latest(end_of_session(features(s, d)), "us", "event_id")
+
+
+def decided_last(s, d):
+    return I.latest(A.delivery_status(final(s, d)), "decided_us", "decision_id")
+
+
+def outcomes_last(s, d):
+    """Of each learner's last delivery the measures taken; nulls without a delivery."""
+    m = measured(s, d)
+    per = m.groupBy("learner_id", "intervention_id").agg(F.count("*").alias("measures"), F.count_if(F.col("status") == "measured").alias("measured"))
+    per = per.join(E.intervention_response(m), "intervention_id")
+    return counts(s, d).select("learner_id").join(I.latest(per, "intervention_id"), "learner_id", "left")
+
+
+def evaluations_last(s, d):
+    """Of each learner the verdict on the last prediction that could be evaluated; null without one."""
+    e = E.evaluate(truths(s, d)).where("verdict <> 'not_assessable'")
+    return counts(s, d).select("learner_id").join(I.latest(e, "predicted_us", "prediction_id").select("learner_id", "verdict"), "learner_id", "left")
+
+
 def stages(s, d):
     """What evidence and gaps are drawn from, each computed once."""
+    last = saved(contexts(s, d))
+    has = sum((F.col(f).isNotNull().cast("int") for f in X.FEATURES), F.lit(0))
     r = saved(rollups(s, d))
-    return r, saved(change(s, d)), saved(I.subject_fusion(r)), saved(states(s, d))
+    return {
+        "counts": counts(s, d), "rollups": r, "change": saved(change(s, d)), "fusion": saved(I.subject_fusion(r)), "states": saved(states(s, d)), "contexts": last,
+        "features": last.select("learner_id", has.alias("available"), F.lit(len(X.FEATURES)).alias("required")), "decisions": saved(decided_last(s, d)), "outcomes": saved(outcomes_last(s, d)), "evaluations": saved(evaluations_last(s, d)),
+    }
 
 
 def evidence(s, d, parts=None):
-    r, c, f, st = parts or stages(s, d)
-    return saved(I.evidence_table(counts(s, d), r, c, f, st))
+    return saved(I.evidence_table(parts or stages(s, d)))
 
 
 def gaps(s, d, parts=None):
-    return I.gap_table(*(parts or stages(s, d)))
+    return I.gap_table(parts or stages(s, d))
 
 
 def answers(s, d):
@@ -57,7 +89,10 @@ def answers(s, d):
     return I.answer_questions(requests(s, d), evidence(s, d, parts), gaps(s, d, parts))
 
 
-_ASK = ("What is the current state?", "Which gaps are there?", "Compare both subjects", "How has it changed over time?", "How is performance in algebra?", "Reading or geometry?", "Show the timeline", "What is permitted?", "Describe the student", "Blue skies")
+_ASK = (
+    "What is the current state?", "Which gaps are there?", "Compare both subjects", "Did it trend over time?", "How is performance in algebra?", "Reading or geometry?", "Show the timeline", "What is permitted?", "Describe the student", "Blue skies",
+    "Why did it fall?", "Explain it", "How far may it go?", "Was a recap sent?", "What happened after it?", "What is unknown?", "Which sources are there?", "Maths or science?",
+)
 
 
 def requests(s, d):
@@ -65,7 +100,7 @@ def requests(s, d):
     k = F.col("k")
     role = F.when(k % 7 == 0, "guest").when(k % 7 == 1, None).when(k % 7 < 4, " Student").when(k % 7 < 6, "teacher").otherwise("ADMIN")
     return events(s, d).where("event_type = 'content_opened'").select(
-        F.col("event_id").alias("request_id"), "learner_id", role.alias("role"), F.when(k % 5 == 0, None).when(k % 5 == 1, "nobody").otherwise(F.col("learner_id")).alias("requester_id"), pick(_ASK, F.col("event_id") % 10).alias("question"),
+        F.col("event_id").alias("request_id"), "learner_id", role.alias("role"), F.when(k % 5 == 0, None).when(k % 5 == 1, "nobody").otherwise(F.col("learner_id")).alias("requester_id"), pick(_ASK, F.col("event_id") % len(_ASK)).alias("question"),
     )
 
 
@@ -115,7 +150,7 @@ QUERIES = {
     "i19_pipeline": i19,
 }
 
-INT = TRACK + f""", mrk AS (SELECT *, last_value(CASE WHEN event_type = 'question_started' THEN topic END IGNORE NULLS) OVER w AS tt, last_value(CASE WHEN event_type = 'question_started' THEN difficulty END IGNORE NULLS) OVER w AS dd,
+INT = OUT + LONG.removeprefix(CTX).rstrip() + DEC.removeprefix(CANON).replace("dels", "ddels").rstrip() + f""", mrk AS (SELECT *, last_value(CASE WHEN event_type = 'question_started' THEN topic END IGNORE NULLS) OVER w AS tt, last_value(CASE WHEN event_type = 'question_started' THEN difficulty END IGNORE NULLS) OVER w AS dd,
    last_value(CASE WHEN event_type = 'question_started' THEN difficulty END IGNORE NULLS) OVER v AS ds FROM ev
    WINDOW w AS (PARTITION BY learner_id, question_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY session_id, question_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 rd AS (SELECT learner_id, session_id, count(*) AS answered, count(*) FILTER (WHERE correct) AS n_correct, avg(response_seconds) AS mr, avg(coalesce(ds, 0.5)) AS md, min(us) AS f, count(*) FILTER (WHERE correct) / count(*) AS acc FROM mrk WHERE event_type = 'question_answered' GROUP BY 1, 2),
@@ -132,36 +167,59 @@ fu AS (SELECT learner_id, CASE WHEN NOT bool_or(sufficient) THEN 'unavailable' W
    coalesce(string_agg(subject || ':' || signal, ',' ORDER BY subject) FILTER (WHERE sufficient), '') AS signals FROM ru GROUP BY 1),
 ls AS (SELECT *, (least_n >= 3)::INT + (least_n >= 6)::INT + (least_n >= 10)::INT AS wm FROM st QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY us DESC) = 1),
 cn AS (SELECT learner_id, count(*) AS n, count(DISTINCT session_id) AS s, CASE WHEN count(DISTINCT origin) = 2 THEN 'mixed' ELSE min(origin) END AS o FROM ev GROUP BY 1),
+ctxl AS (SELECT *, (SELECT count(*) FROM long l WHERE l.session_id = f.session_id AND l.has) AS available FROM fin f QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY us DESC, event_id DESC) = 1),
+ld AS (SELECT *, CASE WHEN reason IS NULL THEN ['recap', 'micro_question', 'pause', 'reflection'][best + 1] END AS selected, split_part(f, '|', 1) AS verb FROM fina QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY decided_us DESC, decision_id DESC) = 1),
+lo AS (SELECT learner_id, m.intervention_id, count(*) AS n, count(*) FILTER (WHERE status = 'measured') AS k, any_value(response) AS r FROM meas m JOIN resp USING (intervention_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY m.intervention_id DESC) = 1),
+le AS (SELECT learner_id, verdict FROM evl WHERE verdict <> 'not_assessable' QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY pus DESC, prediction_id DESC) = 1),
 evi AS (
-  SELECT 'event:' || learner_id || ':' AS evidence_id, learner_id, 'event' AS kind, 'observed' AS class, 'high' AS reliability, n || ' events in ' || s || ' sessions' AS statement, 'log' AS source, NULL AS subject FROM cn
+  SELECT 'context:' || learner_id || ':' AS evidence_id, learner_id, 'context' AS kind, 'derived' AS class, 'medium' AS reliability, 'session ' || session_id || ': ' || answer_count || ' recent answers, ' || event_count || ' events' AS statement, 'context' AS source, NULL AS subject FROM ctxl
+  UNION ALL SELECT 'feature:' || learner_id || ':', learner_id, 'feature', 'derived', CASE WHEN available = 14 THEN 'high' ELSE 'medium' END, available || ' of 14 features available', 'features', NULL FROM ctxl
+  UNION ALL SELECT 'baseline:' || learner_id || ':', learner_id, 'baseline', 'derived', 'high', 'baseline ' || ['new', 'early', 'developing', 'established'][wm + 1] || ' from ' || observations || ' observations', 'baseline', NULL FROM ls
+  UNION ALL SELECT 'prediction:' || learner_id || ':', learner_id, 'prediction', 'predicted', CASE verdict WHEN 'resolved' THEN 'low' ELSE 'high' END, CASE verdict WHEN 'resolved' THEN printf('probability %.2f against 0.50: ', probability) || CASE WHEN probability >= 0.5 THEN 'at risk' ELSE 'stable' END ELSE 'prediction refused: ' || verdict END, 'model', NULL FROM ld
+  UNION ALL SELECT 'uncertainty:' || learner_id || ':', learner_id, 'uncertainty', 'predicted', 'medium', 'verdict ' || verdict || ', confidence ' || confidence || ', ' || evidence || ' evidence units', 'model', NULL FROM ld
+  UNION ALL SELECT 'policy:' || learner_id || ':', learner_id, 'policy', 'derived', 'high', CASE WHEN selected IS NOT NULL THEN 'selected ' || selected ELSE 'no intervention: ' || reason END, 'policy', NULL FROM ld
+  UNION ALL SELECT 'authority:' || learner_id || ':', learner_id, 'authority', 'system_generated', 'high', 'level ' || level || ' in ' || context, 'authority', NULL FROM ld
+  UNION ALL SELECT 'intervention:' || learner_id || ':', learner_id, 'intervention', 'system_generated', 'high', 'delivery status ' || CASE WHEN selected IS NULL THEN 'not_selected' WHEN verb = 'allowed' THEN 'delivered' ELSE 'selected_not_delivered' END, 'policy', NULL FROM ld
+  UNION ALL SELECT 'outcome:' || learner_id || ':', learner_id, 'outcome', 'observed', CASE WHEN n = k THEN 'high' ELSE 'medium' END, 'measured ' || k || ' of ' || n || ': ' || r, 'outcomes', NULL FROM lo
+  UNION ALL SELECT 'outcome:' || learner_id || ':', learner_id, 'outcome', 'unavailable', 'medium', 'no outcome was measured', 'outcomes', NULL FROM cn WHERE learner_id NOT IN (SELECT learner_id FROM lo)
+  UNION ALL SELECT 'evaluation:' || learner_id || ':', learner_id, 'evaluation', 'derived', 'high', 'last prediction ' || verdict, 'evaluation', NULL FROM le
+  UNION ALL SELECT 'evaluation:' || learner_id || ':', learner_id, 'evaluation', 'unavailable', 'medium', 'no prediction was evaluated', 'evaluation', NULL FROM cn WHERE learner_id NOT IN (SELECT learner_id FROM le)
+  UNION ALL SELECT 'event:' || learner_id || ':' AS evidence_id, learner_id, 'event' AS kind, 'observed' AS class, 'high' AS reliability, n || ' events in ' || s || ' sessions' AS statement, 'log' AS source, NULL AS subject FROM cn
   UNION ALL SELECT 'provenance:' || learner_id || ':', learner_id, 'provenance', 'observed', 'high', 'origin ' || o, 'log', NULL FROM cn
   UNION ALL SELECT 'subject:' || learner_id || ':' || subject, learner_id, 'subject', 'derived', CASE WHEN stale THEN 'low' ELSE 'medium' END, subject || ': ' || n_correct || ' of ' || answered || ' correct', 'rollup', subject FROM ru WHERE sufficient
   UNION ALL SELECT 'change:' || learner_id || ':', learner_id, 'change', 'derived', 'medium', 'change ' || change, 'sessions', NULL FROM chg WHERE change <> 'insufficient_evidence'
   UNION ALL SELECT 'fusion:' || learner_id || ':', learner_id, 'fusion', 'derived', CASE WHEN agreement = 'contradictory' THEN 'low' ELSE 'medium' END, 'subjects are ' || agreement, 'rollup', NULL FROM fu WHERE agreement <> 'unavailable'
   UNION ALL SELECT 'temporal:' || learner_id || ':', learner_id, 'temporal', 'derived', CASE WHEN wm >= 2 THEN 'high' ELSE 'medium' END, 'state ' || state || ', ' || direction, 'baseline', NULL FROM ls WHERE state <> 'insufficient_data'),
 gp AS (
-  SELECT 'immature_baseline:' || learner_id || ':' AS gap_id, learner_id, 'immature_baseline' AS gap, 2 AS priority, NULL AS subject FROM ls WHERE wm = 0
-  UNION ALL SELECT 'too_few_sessions:' || learner_id || ':', learner_id, 'too_few_sessions', 3, NULL FROM chg WHERE change = 'insufficient_evidence'
-  UNION ALL SELECT 'no_subject:' || learner_id || ':', learner_id, 'no_subject', 5, NULL FROM fu WHERE agreement = 'unavailable'
-  UNION ALL SELECT 'low_coverage:' || learner_id || ':' || subject, learner_id, 'low_coverage', 6, subject FROM ru WHERE NOT sufficient
-  UNION ALL SELECT 'stale_subject:' || learner_id || ':' || subject, learner_id, 'stale_subject', 7, subject FROM ru WHERE stale
-  UNION ALL SELECT 'conflicting:' || learner_id || ':', learner_id, 'conflicting', 8, NULL FROM fu WHERE agreement = 'contradictory'),
+  SELECT g || ':' || learner_id || ':' || coalesce(subject, '') AS gap_id, learner_id, g AS gap, t AS gap_type, CAST(list_position(['missing', 'stale', 'low_coverage', 'low_quality', 'conflicting', 'unvalidated', 'not_applicable'], t) AS INTEGER) AS priority, subject
+  FROM (
+    SELECT learner_id, 'refused_prediction' AS g, 'low_coverage' AS t, NULL AS subject FROM ld WHERE verdict <> 'resolved'
+    UNION ALL SELECT learner_id, 'immature_baseline', 'unvalidated', NULL FROM ls WHERE wm < 3
+    UNION ALL SELECT learner_id, 'no_outcome', 'missing', NULL FROM cn WHERE learner_id NOT IN (SELECT learner_id FROM lo)
+    UNION ALL SELECT learner_id, 'no_evaluation', 'missing', NULL FROM cn WHERE learner_id NOT IN (SELECT learner_id FROM le)
+    UNION ALL SELECT learner_id, 'too_few_sessions', 'low_coverage', NULL FROM chg WHERE change = 'insufficient_evidence'
+    UNION ALL SELECT learner_id, 'no_subject', 'not_applicable', NULL FROM fu WHERE agreement = 'unavailable'
+    UNION ALL SELECT learner_id, 'low_coverage', 'low_coverage', subject FROM ru WHERE NOT sufficient AND subject <> 'unknown'
+    UNION ALL SELECT learner_id, 'stale_subject', 'stale', subject FROM ru WHERE sufficient AND stale AND subject <> 'unknown'
+    UNION ALL SELECT learner_id, 'conflicting', 'conflicting', NULL FROM fu WHERE agreement = 'contradictory')),
 rq AS (
   SELECT event_id AS request_id, learner_id, CASE WHEN k % 7 = 0 THEN 'guest' WHEN k % 7 = 1 THEN NULL WHEN k % 7 < 4 THEN 'student' WHEN k % 7 < 6 THEN 'teacher' ELSE 'admin' END AS role, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'nobody' ELSE learner_id END AS req,
-    ['current_state', 'gaps', 'comparison', 'change', 'subject', 'subject', 'timeline', 'authority', 'profile', 'unknown'][event_id % 10 + 1] AS intent, event_id % 10 AS qn FROM ev WHERE event_type = 'content_opened'),
+    ['current_state', 'gaps', 'comparison', 'change', 'subject', 'subject', 'timeline', 'authority', 'profile', 'unknown', 'explanation', 'explain', 'autonomy', 'intervention', 'outcome', 'missing', 'evidence', 'subject'][event_id % 18 + 1] AS intent, event_id % 18 AS qn FROM ev WHERE event_type = 'content_opened'),
 au AS (SELECT *, CASE WHEN role IS NULL THEN 'no_role' WHEN role = 'guest' THEN 'unknown_role' WHEN role = 'student' AND req IS NULL THEN 'no_identity' WHEN role = 'student' AND req <> learner_id THEN 'other_learner' END AS denial FROM rq),
 hk AS (SELECT learner_id, list(DISTINCT kind) AS ks FROM evi GROUP BY 1),
 su AS (
   SELECT au.*, CASE WHEN intent = 'unknown' THEN 'unsupported' WHEN NOT list_has_all(coalesce(ks, []), need) THEN 'missing_data' WHEN role = 'student' AND NOT list_has_all(['event', 'context', 'subject', 'provenance'], need) THEN 'privilege_restricted' ELSE 'ok' END AS suff
-  FROM (SELECT *, CASE intent WHEN 'current_state' THEN ['temporal'] WHEN 'comparison' THEN ['fusion', 'subject'] WHEN 'change' THEN ['change'] WHEN 'subject' THEN ['subject'] WHEN 'timeline' THEN ['event'] WHEN 'authority' THEN ['authority'] WHEN 'profile' THEN ['event'] ELSE [] END AS need FROM au WHERE denial IS NULL) au LEFT JOIN hk USING (learner_id)),
+  FROM (SELECT *, CASE intent WHEN 'current_state' THEN ['temporal'] WHEN 'comparison' THEN ['fusion', 'subject'] WHEN 'change' THEN ['change'] WHEN 'subject' THEN ['subject'] WHEN 'timeline' THEN ['event'] WHEN 'authority' THEN ['authority'] WHEN 'autonomy' THEN ['authority'] WHEN 'profile' THEN ['event'] WHEN 'evidence' THEN ['event'] WHEN 'explain' THEN ['temporal', 'uncertainty'] WHEN 'explanation' THEN ['temporal', 'change', 'uncertainty'] WHEN 'intervention' THEN ['intervention'] WHEN 'outcome' THEN ['outcome', 'intervention'] ELSE [] END AS need FROM au WHERE denial IS NULL) au LEFT JOIN hk USING (learner_id)),
 sel AS (
   SELECT r.request_id, r.intent, e.* FROM au r JOIN evi e ON e.learner_id = r.learner_id
   WHERE r.denial IS NULL AND (r.role <> 'student' OR e.kind IN ('event', 'context', 'subject', 'provenance'))
-    AND CASE r.intent WHEN 'current_state' THEN e.kind = 'temporal' WHEN 'comparison' THEN e.kind IN ('fusion', 'subject') WHEN 'change' THEN e.kind IN ('change', 'fusion') WHEN 'subject' THEN e.kind = 'subject' WHEN 'timeline' THEN e.kind IN ('event', 'context') WHEN 'authority' THEN e.kind = 'provenance' WHEN 'profile' THEN e.kind IN ('event', 'subject', 'change') ELSE false END
-    AND (r.qn <> 4 OR e.subject = 'algebra') AND (r.qn <> 5 OR e.subject IN ('reading', 'geometry')))
+    AND CASE r.intent WHEN 'current_state' THEN e.kind = 'temporal' WHEN 'comparison' THEN e.kind IN ('fusion', 'subject') WHEN 'change' THEN e.kind IN ('change', 'fusion') WHEN 'subject' THEN e.kind = 'subject' WHEN 'timeline' THEN e.kind IN ('event', 'context') WHEN 'authority' THEN e.kind IN ('authority', 'policy', 'intervention', 'provenance') WHEN 'autonomy' THEN e.kind IN ('authority', 'policy', 'intervention', 'provenance')
+      WHEN 'profile' THEN e.kind IN ('event', 'subject', 'change') WHEN 'explain' THEN e.kind IN ('temporal', 'prediction', 'uncertainty', 'policy', 'provenance') WHEN 'explanation' THEN e.kind IN ('temporal', 'change', 'prediction', 'uncertainty', 'policy', 'provenance')
+      WHEN 'missing' THEN e.kind IN ('event', 'baseline', 'provenance') WHEN 'intervention' THEN e.kind = 'intervention' WHEN 'outcome' THEN e.kind IN ('outcome', 'intervention') WHEN 'evidence' THEN e.kind IN ('event', 'context', 'provenance') ELSE false END
+    AND (r.qn <> 4 OR e.subject = 'algebra') AND (r.qn <> 5 OR e.subject IN ('reading', 'geometry')) AND (r.qn <> 17 OR e.subject IN ('maths', 'math', 'science')))
 """
 
-_INTENTSQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in I.INTENTS) + " ELSE 'unknown' END"
+_INTENTSQL = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower(text), '" + w.replace("'", "''") + "')" for w in ws) + f" THEN '{n}'" for n, ws in I.INTENTS) + " ELSE 'unknown' END"
 
 ORACLES = {
     "i1_session_readings": INT + "SELECT session_id, answered, n_correct, round(mr, 6) AS mean_response, round(md, 6) AS mean_difficulty FROM rd",
@@ -171,20 +229,20 @@ ORACLES = {
     "i5_subject_fusion": INT + "SELECT learner_id, agreement, signals FROM fu",
     "i6_evidence_table": INT + "SELECT * FROM evi",
     "i7_gap_table": INT + "SELECT * FROM gp",
-    "i8_visible_evidence": INT + "SELECT evidence_id, 'teacher' AS role FROM evi UNION ALL SELECT evidence_id, 'student' FROM evi WHERE kind IN ('event', 'provenance', 'subject')",
-    "i9_restricted_gaps": INT + "SELECT DISTINCT learner_id, 'privilege_restricted' AS gap, kind FROM evi WHERE kind NOT IN ('event', 'provenance', 'subject')",
+    "i8_visible_evidence": INT + "SELECT evidence_id, 'teacher' AS role FROM evi UNION ALL SELECT evidence_id, 'student' FROM evi WHERE kind IN ('event', 'context', 'provenance', 'subject')",
+    "i9_restricted_gaps": INT + "SELECT DISTINCT learner_id, 'privilege_restricted' AS gap, kind FROM evi WHERE kind NOT IN ('event', 'context', 'provenance', 'subject')",
     "i10_authorise_requests": INT + "SELECT request_id, denial IS NULL AS allowed, denial FROM au",
     "i11_classify_intent": f"SELECT conv_id, turn, {_INTENTSQL} AS intent FROM conversations WHERE role = 'user'",
     "i11_asked_intent": INT + "SELECT request_id, intent FROM rq",
     "i12_sufficiency": INT + "SELECT request_id, suff AS sufficiency FROM su",
     "i13_select_evidence": INT + "SELECT request_id, evidence_id FROM sel",
-    "i14_answer_quality": INT + "SELECT request_id, ['low', 'medium', 'high'][g] AS reliability, ['low', 'medium', 'high'][g] AS confidence, n_evidence FROM (SELECT request_id, min(CASE reliability WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS g, count(*) AS n_evidence FROM sel GROUP BY 1)",
-    "i15_answer_type": INT + "SELECT request_id, CASE WHEN d AND o THEN 'mixed' WHEN d THEN 'inference' ELSE 'observation' END AS answer_type, array_to_string(list_filter([CASE WHEN l THEN 'low_reliability' END, CASE WHEN d THEN 'derived_from_log' END, CASE WHEN intent = 'authority' THEN 'scope_of_envelope' END], lambda x: x IS NOT NULL), ',') AS limitations FROM (SELECT request_id, intent, bool_or(class = 'derived') AS d, bool_or(class = 'observed') AS o, bool_or(reliability = 'low') AS l FROM sel GROUP BY 1, 2)",
+    "i14_answer_quality": INT + "SELECT request_id, ['low', 'medium', 'high'][g] AS reliability, CASE WHEN p THEN 'low' ELSE ['low', 'medium', 'high'][g] END AS confidence, n_evidence FROM (SELECT request_id, bool_or(class IN ('predicted', 'unavailable')) AS p, min(CASE reliability WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS g, count(*) AS n_evidence FROM sel GROUP BY 1)",
+    "i15_answer_type": INT + "SELECT request_id, CASE WHEN p THEN 'prediction' WHEN d AND o THEN 'mixed' WHEN d THEN 'inference' ELSE 'observation' END AS answer_type, array_to_string(list_filter([CASE WHEN l THEN 'low_reliability' END, CASE WHEN d THEN 'derived_from_log' END, CASE WHEN intent IN ('authority', 'autonomy') THEN 'scope_of_envelope' END], lambda x: x IS NOT NULL), ',') AS limitations FROM (SELECT request_id, intent, bool_or(class = 'predicted') AS p, bool_or(class = 'derived') AS d, bool_or(class = 'observed') AS o, bool_or(reliability = 'low') AS l FROM sel GROUP BY 1, 2)",
     "i16_answer_questions": INT + """, body AS (SELECT request_id, string_agg(statement, chr(10) ORDER BY evidence_id) AS b FROM sel GROUP BY 1), gl AS (SELECT learner_id, string_agg(gap, chr(10) ORDER BY priority, gap_id) AS g FROM gp GROUP BY 1)
 SELECT a.request_id, CASE WHEN a.denial IS NOT NULL THEN 'denied' WHEN suff <> 'ok' THEN 'refused' ELSE 'answered' END AS status, CASE WHEN a.denial IS NOT NULL THEN a.denial WHEN suff <> 'ok' THEN suff END AS reason,
-  CASE WHEN a.denial IS NULL AND suff = 'ok' THEN sha256(CASE WHEN a.intent = 'gaps' THEN coalesce('Data gaps relevant to this question:' || chr(10) || g, 'No known data gaps for this learner.') ELSE 'Evidence:' || chr(10) || coalesce(b, '') END) END AS answer_sha
+  CASE WHEN a.denial IS NULL AND suff = 'ok' THEN sha256(CASE WHEN a.intent IN ('gaps', 'missing') THEN coalesce('Data gaps relevant to this question:' || chr(10) || g, 'No known data gaps for this learner.') ELSE 'Evidence:' || chr(10) || coalesce(b, '') END) END AS answer_sha
 FROM au a LEFT JOIN su s ON s.request_id = a.request_id LEFT JOIN body ON body.request_id = a.request_id LEFT JOIN gl ON gl.learner_id = a.learner_id""",
-    "i17_resolve_subject": INT + "SELECT request_id, CASE qn WHEN 4 THEN 'algebra' WHEN 5 THEN 'geometry,reading' ELSE '' END AS named, CASE qn WHEN 4 THEN 'one' WHEN 5 THEN 'ambiguous' ELSE 'all' END AS scope FROM rq",
+    "i17_resolve_subject": INT + "SELECT request_id, CASE qn WHEN 4 THEN 'algebra' WHEN 5 THEN 'geometry,reading' WHEN 17 THEN 'maths,math,science' ELSE '' END AS named, CASE qn WHEN 4 THEN 'one' WHEN 5 THEN 'ambiguous' WHEN 17 THEN 'ambiguous' ELSE 'all' END AS scope FROM rq",
     "i18_diagnose": DEC + """, dg AS (
   SELECT decision_id, 'uncertainty' AS layer, 'constraint' AS role, verdict AS detail FROM lvl WHERE verdict <> 'resolved'
   UNION ALL SELECT decision_id, 'confidence', 'caveat', 'evidence' FROM lvl WHERE verdict = 'resolved' AND probability - CAST(0.2 AS DOUBLE) < 0.6

@@ -21,8 +21,11 @@ def q2(s, d):
 
 
 def q8(s, d):
-    a = events(s, d).select("event_id", "us", "session_id", "event_type", "question_id", "intervention_id")
-    return Q.frames_identical(a, events(s, d).repartition(7, "us").select(*a.columns))
+    """The log against one with changed, lost and repeated rows."""
+    cols = ["event_id", "us", "session_id", "event_type", "question_id", "intervention_id"]
+    a, k = events(s, d).select(*cols, "k"), F.col("k")
+    b = a.where(k % 10 != 0).withColumn("event_type", F.when(k % 10 == 1, "changed").otherwise(F.col("event_type"))).union(a.where(k % 10 == 2))
+    return Q.frames_identical(a.select(*cols), b.select(*cols))
 
 
 def x5(s, d):
@@ -64,12 +67,14 @@ ORACLES = {
     "q5_as_of": CANON + _CUT + "SELECT event_id, learner_id, us, cut_us FROM ev JOIN cut USING (learner_id) WHERE us <= cut_us",
     "q6_decision_cut": CANON + _CUT + "SELECT * FROM cut",
     "q7_nth_answer_instant": CANON + "SELECT learner_id, us, event_id FROM ev WHERE event_type = 'question_answered' QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY us, event_id) = 5",
-    "q8_frames_identical": "SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, count(*) >= 0 AS identical FROM events",
+    "q8_frames_identical": CANON + "SELECT count(*) FILTER (WHERE k % 10 IN (0, 1)) AS only_a, count(*) FILTER (WHERE k % 10 IN (1, 2)) AS only_b, count(*) FILTER (WHERE k % 10 IN (0, 1, 2)) = 0 AS identical FROM ev",
     "x1_content_digest": """SELECT n_nationkey, sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '"}') AS digest FROM nation""",
     "x2_ordered_digest": CANON + "SELECT session_id, sha256(string_agg(event_type, chr(30) ORDER BY us, event_id)) AS digest FROM ev GROUP BY session_id",
     "x3_stable_bucket": CANON + "SELECT event_id, CAST('0x' || substr(sha256(learner_id || chr(31) || event_id), 1, 15) AS BIGINT) AS bucket FROM ev",
     "x4_pseudonymous_ref": "SELECT c_custkey, substr(c_name, 1, 4) || '#' || substr(sha256(c_name), 1, 8) AS ref FROM customer",
     "x5_redact": r"""SELECT doc_id, sha256(t) AS body_sha, contains(t, '[REDACTED]') AS redacted FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)((?:password|passwd|secret|token|api_?key|authorization)["'']?\s*[:=]\s*)(["'']?)(?:bearer\s+)?[^\s"'',;]+', '\1\2[REDACTED]', 'g'), '(?i)bearer\s+[A-Za-z0-9._-]+', '[REDACTED]', 'g') AS t FROM documents)""",
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g'),
+      '(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]{8,}', '[REDACTED]', 'g'), '\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\b', '[REDACTED]', 'g'),
+    '(?i)(["'']?(?:password|passwd|secret|token|api[_-]?key|apikey|authorization|access[_-]?token)["'']?)(\s*[=:]\s*)("[^"]*"|''[^'']*''|[^\s,;&}\[\]]+)', '\1\2[REDACTED]', 'g') AS t FROM documents)""",
     "x6_valid_version": "SELECT n_nationkey, regexp_matches(n_name || '_V' || n_regionkey, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*_V[0-9]+$') AS valid, regexp_matches(lower(n_name), '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*_V[0-9]+$') AS lower_valid FROM nation",
 }
