@@ -67,6 +67,24 @@ def shared(each: DataFrame, hot: list[int]) -> DataFrame:
     return met.union(each.where(F.col("sig").isin(hot)).select("sig", "id")) if hot else met
 
 
+def least_holders(each: DataFrame, keys: list[str], on: str) -> DataFrame:
+    """The rows of ``each(id, keys...)`` whose keys another id has too, with ``lo``, the smallest such id.
+
+    Rows are brought together by their keys, but for hot values of the key ``on``: their few groups
+    are added up before they are shuffled, and broadcast (at most HOT_MOST values, as each ``on``
+    has one group).  The list only routes rows.
+    """
+    hot = hot_buckets(each.where(in_sample("id")).select(F.col(on).alias("sig")))
+    low, high = F.min("id").alias("lo"), F.max("id").alias("hi")
+    group = Window.partitionBy(*keys)
+    met = each.where(~F.col(on).isin(hot)) if hot else each
+    met = met.withColumns({"lo": F.min("id").over(group), "hi": F.max("id").over(group)})
+    if hot:
+        warm = each.where(F.col(on).isin(hot))
+        met = met.unionByName(warm.join(F.broadcast(warm.groupBy(*keys).agg(low, high)), keys))
+    return met.where("lo < hi").drop("hi")
+
+
 def link_in_waves(live: DataFrame, sets: DataFrame, links: DataFrame | None, percent: int, scratch: Scratch) -> DataFrame:
     """(node, component) from the buckets ``live(sig, id)`` of ``sets(id, n, sketch, s)`` and links known before.
 
@@ -95,8 +113,9 @@ def link_in_waves(live: DataFrame, sets: DataFrame, links: DataFrame | None, per
     while live.limit(1).count():
         # the smallest members of each bucket: only so many of each leave a task that reads a part of it
         rank = F.row_number().over(Window.partitionBy("sig").orderBy("id"))
-        heads = live.withColumn("r", rank).where(F.col("r") <= pivots).select("sig", *[F.col(x).alias(f"a{x}") for x in ("id", "c", "n", *parity)])
-        near = live.join(heads, "sig").where((F.col("aid") < F.col("id")) & (F.col("ac") != F.col("c")) & may_link)
+        heads = live.withColumn("r", rank).where(F.col("r") <= pivots).select("sig", "r", *[F.col(x).alias(f"a{x}") for x in ("id", "c", "n", *parity)])
+        heads = scratch.keep(heads)  # a table: joins with it split large buckets, or need no shuffle
+        near = live.join(heads.drop("r"), "sig").where((F.col("aid") < F.col("id")) & (F.col("ac") != F.col("c")) & may_link)
         pairs = near.select(F.col("aid").alias("a"), F.col("id").alias("b")).distinct()
         pairs = scratch.keep(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         compared = pairs.join(side("b"), "b").join(side("a"), "a")
@@ -106,14 +125,15 @@ def link_in_waves(live: DataFrame, sets: DataFrame, links: DataFrame | None, per
         if comps is None or many > n_links:
             comps, n_links = scratch.keep(components(links, scratch)), many
         done = pairs if done is None else scratch.keep(done.union(pairs))
-        top = heads.groupBy("sig").agg(F.max("aid").alias("top"))
+        top = heads.where(F.col("r") == pivots).select("sig", F.col("aid").alias("top"))
         rest = live.drop("c").join(top, "sig").where(F.col("id") > F.col("top")).drop("top")
         rest = rest.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         rest = scratch.keep(rest)
         scratch.drop(live)
-        open_ = rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
+        open_ = scratch.keep(rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig"))
         live, pivots = scratch.keep(rest.join(open_, "sig")), pivots * 64
-        scratch.drop(rest)
+        for df in (heads, rest, open_):
+            scratch.drop(df)
     scratch.drop(sets)
     if comps is None:
         return components(links, scratch) if links is not None else live.select(F.col("id").alias("node"), F.col("id").alias("component"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventlens.sources.shared import shared_root
+
 #: Bytes -> bytes: A-Z to lower case, every other ASCII byte outside 0-9 and a-z to a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -32,17 +33,6 @@ def blank_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("eventlens.scratch.dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="spark-eventlens-")
-            spark.conf.set("eventlens.scratch.dir", found)
-    return found
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage, and lost executors cost no rework.
 
@@ -52,7 +42,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: list[str] = []
 
     def keep(self, df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm.buckets import hot_buckets, in_sample, link_in_waves, parity_sketch, shared
+from eventlens.llm.buckets import hot_buckets, in_sample, least_holders, link_in_waves, parity_sketch, shared
 from eventlens.llm.common import Scratch, table
 from eventlens.llm.shingles import mix, word_runs
 
@@ -206,14 +206,13 @@ def copied(units: list[dict]) -> Iterator[tuple[int, int]]:
         yield run[0], run[1]
 
 
-def shared_windows(text: str | None, lows: np.ndarray, units: list[dict]) -> tuple[np.ndarray, ...] | None:
-    """(start, end, low, own hash) of the windows whose least hash is among ``lows``.
+def shared_windows(low: np.ndarray, own: np.ndarray, lows: np.ndarray, units: list[dict]) -> tuple[np.ndarray, ...] | None:
+    """(start, end, low, own hash) of a text's windows (see ``windows``) whose least hash is among ``lows``.
 
     Equal windows that stand one word apart, as in a run of one word, are one row.  Windows inside
     a stretch that is copied from a document of smaller key are left out: all words there are of
     repeated paragraphs already, and that document has the same windows.
     """
-    low, own = next(windows([text]))
     want = np.isin(low, lows)
     for a, z in copied(units):
         want[a : max(a, z - WINDOW + 1)] = False
@@ -278,15 +277,16 @@ def sets_and_windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            texts, ids = b["text"].to_pylist(), b["id"]
+            at = [k for k, x in enumerate(b["paragraphs"]) if len(x)]
+            for k, o in zip(at, outlines([texts[k] for k in at], False)):
+                of = dict(zip(o.start.tolist(), range(len(o.start))))
+                yield _sets([(x["node"], o.set_of(of[x["start"]])) for x in b["paragraphs"][k].as_py()], ids.type)
+            at = [k for k, x in enumerate(b["lows"]) if len(x)]
             keys, parts, size = [], [], 0
-            for i, text, paragraphs, lows, units in zip(*(b[x] for x in ("id", "text", "paragraphs", "lows", "units"))):
-                text = text.as_py()
-                if len(paragraphs):
-                    (o,) = outlines([text], False)
-                    at = dict(zip(o.start.tolist(), range(len(o.start))))
-                    yield from _sets([(x["node"], o.set_of(at[x["start"]])) for x in paragraphs.as_py()], i.type)
-                if len(lows) and (found := shared_windows(text, lows.values.to_numpy(), units.as_py())):
-                    keys.append(i)
+            for k, (low, own) in zip(at, windows([texts[k] for k in at])):
+                if found := shared_windows(low, own, b["lows"][k].values.to_numpy(), b["units"][k].as_py()):
+                    keys.append(ids[k])
                     parts.append(found)
                     size += len(found[0])
                 if size >= _ROWS_OUT:
@@ -308,11 +308,11 @@ def _filled(found: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*found.columns, *none], [*found.schema.names, *_SET_TYPES])
 
 
-def _sets(sets: list[tuple[int, np.ndarray]], key: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _sets(sets: list[tuple[int, np.ndarray]], key: pa.DataType) -> pa.RecordBatch:
     """Rows of sets, with the columns of windows empty."""
     none = [pa.nulls(len(sets), t) for t in (key, pa.int32(), pa.int32(), pa.int64(), pa.int64())]
     values = [x for x, _ in sets], [len(s) for _, s in sets], [parity_sketch(s) for _, s in sets], [s.tobytes() for _, s in sets]
-    yield pa.RecordBatch.from_arrays([*none, *(pa.array(v, t) for v, t in zip(values, _SET_TYPES.values()))], ["id", "start", "end", "low", "own", *_SET_TYPES])
+    return pa.RecordBatch.from_arrays([*none, *(pa.array(v, t) for v, t in zip(values, _SET_TYPES.values()))], ["id", "start", "end", "low", "own", *_SET_TYPES])
 
 
 def repeated_stretches(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -334,12 +334,11 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     live = scratch.keep(shared(signed(F.lit(True)), hot_buckets(signed(in_sample("node")))))
     scratch.drop(once)
 
-    # windows: counted by groups, which are added up before they are shuffled; then joined, which splits large groups
     lows = scratch.keep(least_hashes(docs))
-    twice = lambda df, *by: df.groupBy(*by).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
-    met = lows.join(twice(lows, "low").select("low"), "low")
+    met = least_holders(lows, ["low"], "low")
     wanted = first.join(live.select(F.col("id").alias("node")).distinct(), "node")
-    later = each.join(classes.where("first.id < last").select("h", "g", "first"), ["h", "g"]).where("id > first.id")
+    copied_ = scratch.keep(classes.where("first.id < last").select("h", "g", "first"))  # a table: the join with it splits large classes
+    later = each.join(copied_, ["h", "g"]).where("id > first.id")
 
     paragraph, unit = F.struct("node", "start"), F.struct("start", "words", F.col("first.id").cast("string").alias("first"), F.col("first.start").alias("at"))
     kinds = {"paragraph": "struct<node:bigint,start:int>", "low": "bigint", "unit": "struct<start:int,words:int,first:string,at:int>"}
@@ -355,11 +354,11 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # the class of a paragraph: itself or its component; kept if two documents hold it
     known = classes.join(near, "node", "left").select("h", "g", F.coalesce("component", "node").alias("c"), F.col("first.id").alias("lo"), F.col("last").alias("hi"))
     by_class = known.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    repeated = known.select("h", "g", "c").join(by_class.select("c", "lo"), "c").select("h", "g", "lo")
+    repeated = scratch.keep(known.select("h", "g", "c").join(by_class.select("c", "lo"), "c").select("h", "g", "lo"))
     paragraphs = each.join(repeated, ["h", "g"]).select("id", "start", (F.col("start") + F.col("words")).alias("end"), "lo")
 
     found = both.where("node IS NULL").select("id", "start", "end", "low", "own")
-    out = scratch.keep(paragraphs.union(found.join(twice(found, "low", "own"), ["low", "own"]).select("id", "start", "end", "lo")))
+    out = scratch.keep(paragraphs.union(least_holders(found, ["low", "own"], "own").select("id", "start", "end", "lo")))
     for df in (each, both):
         scratch.drop(df)
     return out

@@ -679,6 +679,16 @@ def test_hot_buckets_only_route(spark, monkeypatch):
         assert {tuple(r) for r in buckets.shared(each, h).select("sig", "id").collect()} == want
 
 
+def test_least_holders(spark, monkeypatch):
+    rows = [(1, 10, i) for i in range(200)] + [(2, 20, 5), (2, 20, 6), (3, 30, 7), (3, 31, 8), (4, 40, 9), (4, 40, 9)] + [(5, 50, i) for i in range(3, 200, 2)]
+    each = spark.createDataFrame(rows, "low long, own long, id long")
+    least = {1: 0, 2: 5, 5: 3}
+    for sample in (1, 4, 10_000):
+        monkeypatch.setattr(buckets, "HOT_SAMPLE", sample)
+        got = sorted((r["low"], r["own"], r["id"], r["lo"]) for r in buckets.least_holders(each, ["low", "own"], "own").collect())
+        assert got == sorted((a, b, i, least[a]) for a, b, i in rows if a in least)
+
+
 def test_word_runs_agree_with_a_plain_split():
     for kind, plain in (("blank", lambda t: t.encode().lower().split()), ("ascii", lambda t: [w.encode() for w in words(t)])):
         texts = [t for t in ODD if t is None or "\x00" not in t]
