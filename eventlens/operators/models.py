@@ -100,6 +100,25 @@ class Fitted:
         return hashlib.sha256(UNIT.join(self.columns).encode()).hexdigest()
 
 
+@dataclass(frozen=True)
+class Logistic:
+    """A logistic model by its numbers, scored as an expression: what ``Fitted.model`` may be without training."""
+
+    weights: dict[str, float]
+    intercept: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``probability``, a vector of both classes, as a fitted pipeline does."""
+        from pyspark.ml.functions import array_to_vector
+
+        z = sum((F.lit(w) * F.col(f"`{c}`") for c, w in self.weights.items()), F.lit(self.intercept))
+        p = 1 / (1 + F.exp(-z))
+        return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+    def fitted(self, reference: dict[str, float]) -> Fitted:
+        return Fitted(self, list(self.weights), reference)
+
+
 def train(design: DataFrame, columns: list[str], label: str = "label", algorithm: str = "logistic", holdout: DataFrame | None = None) -> Fitted:
     """M5: logistic regression on standardised columns, random_forest or gradient_boosting.
 

@@ -10,10 +10,19 @@ from eventlens.operators.context import end_of_session
 from eventlens.plans.canon import CANON, NUDGE, events, r6, steady, table
 from eventlens.plans.q_context import CTX, features
 from eventlens.settings import DEFAULT
-from eventlens.sources.shared import shared_path
+from eventlens.sources.shared import saved, shared_path
 
-#: Features that the log's sessions have often enough to fit on.
+#: Features that the log's sessions have often enough to fit on; those of the scored design, and of answers for training.
 FIT = ("session_elapsed_seconds", "session_event_count", "content_type_encoded", "trajectory_encoded")
+ANSWER_FIT = ("session_elapsed_seconds", "session_event_count", "session_position", "performance_recent_accuracy", "performance_recent_response_seconds", "content_type_encoded")
+
+#: A model by its numbers, and the reference values of its columns.
+MODEL = M.Logistic(
+    {"session_elapsed_seconds": 0.00001, "session_event_count": -0.05, "content_type_encoded=question": 0.4, "content_type_encoded=video": 0.0, "content_type_encoded=reading": 0.0, "content_type_encoded=other": -0.3,
+     "trajectory_encoded=improving": -0.8, "trajectory_encoded=stable": 0.1, "trajectory_encoded=declining": 0.9, "trajectory_encoded=other": 0.2},
+    -0.25,
+)
+REFERENCE = {c: 20000.0 if c == "session_elapsed_seconds" else 4.0 if c == "session_event_count" else float(c.endswith("question") or c.endswith("stable")) for c in MODEL.weights}
 
 
 def scored(s, d):
@@ -23,19 +32,36 @@ def scored(s, d):
 
 
 def design(s, d):
+    """Sessions at their end."""
     x = end_of_session(features(s, d)).withColumn("label", (F.col("session_no") % 3 == 0).cast("int")).select("learner_id", "session_id", "us", "label", *FIT)
     return M.encode_design(x, FIT)
 
 
+def answers(s, d):
+    """Answers with their features and the label of M1, over two answers (learners have few): whether the next are worse."""
+    label = M.next_k_drop_label(events(s, d).withColumn("session_id", F.col("learner_id")), back=2, ahead=2, skip=2).select("event_id", "label")
+    return M.encode_design(features(s, d).join(label, "event_id").select("learner_id", "event_id", "us", "label", *ANSWER_FIT), ANSWER_FIT)
+
+
 def fitted(s, d):
-    return M.train(design(s, d)[0], M.design_columns(FIT))
+    return M.train(saved(answers(s, d)[0]), M.design_columns(ANSWER_FIT))
+
+
+def fixed(s, d):
+    return MODEL.fitted(REFERENCE)
 
 
 def m9(s, d):
     path = shared_path(s, "model")
     M.save_model(fitted(s, d), s, path)
-    again = M.load_model(s, path, M.design_columns(FIT))
-    return M.score(design(s, d)[0], again).select("session_id", F.round("probability", 6).alias("probability"), "predicted")
+    again = M.load_model(s, path, M.design_columns(ANSWER_FIT))
+    return M.score(answers(s, d)[0], again).select("event_id", F.round("probability", 6).alias("probability"), "predicted")
+
+
+def m6(s, d):
+    """The design with a gap: every fifth session's count is absent, so it gets a refusal."""
+    x = design(s, d)[0].withColumn("session_event_count", F.when(F.substring("session_id", -1, 1) != "5", F.col("session_event_count")))
+    return M.score(x, fixed(s, d)).select("session_id", *r6("probability"), "predicted", "refusal")
 
 
 def statuses(s, d):
@@ -52,15 +78,16 @@ def beliefs(s, d):
     )
 
 
+def explained(s, d):
+    return U.occlusion_contributions(design(s, d)[0], ["session_id"], fixed(s, d))
+
+
 def u8(s, d):
-    f = fitted(s, d)
-    return U.occlusion_contributions(design(s, d)[0], ["session_id"], f).select("session_id", F.size("contributions").alias("n"), F.size("omitted").alias("n_omitted"))
+    return explained(s, d).select("session_id", *r6("base"), F.size("contributions").alias("n"), F.array_join(F.transform("contributions", lambda c: c["feature"]), ",").alias("features"), F.array_join("omitted", ",").alias("omitted"))
 
 
 def u9(s, d):
-    f = fitted(s, d)
-    e = U.top_contributions(U.occlusion_contributions(design(s, d)[0], ["session_id"], f), 2)
-    return e.select("session_id", F.array_join(F.transform("contributions", lambda c: c["feature"]), ",").alias("top"))
+    return U.top_contributions(explained(s, d), 2).select("session_id", F.array_join(F.transform("contributions", lambda c: c["feature"]), ",").alias("top"))
 
 
 _MET = ("precision", "recall", "f1", "accuracy", "brier", "ece", "roc_auc", "pr_auc")
@@ -72,7 +99,8 @@ QUERIES = {
     "m3_rejected": lambda s, d: design(s, d)[1].select("session_id", F.array_join("lacks", ",").alias("lacks")),
     "m4_column_reference": lambda s, d: M.column_reference(design(s, d)[0], ["session_elapsed_seconds", "session_event_count"]).select(*r6("session_elapsed_seconds", "session_event_count")),
     "m5_train": lambda s, d: s.createDataFrame([(k, float(v)) for k, v in sorted(fitted(s, d).reference.items())], "column string, median double"),
-    "m6_score": lambda s, d: M.score(design(s, d)[0], fitted(s, d)).select("session_id", "probability", "predicted", "refusal"),
+    "m6_score": m6,
+    "m6_score_trained": lambda s, d: M.score(answers(s, d)[0], fitted(s, d)).select("event_id", "probability", "predicted", "refusal"),
     "m7_binary_metrics": lambda s, d: M.binary_metrics(scored(s, d), "p", "y").select("n", "positives", *r6(*_MET)),
     "m8_expected_calibration_error": lambda s, d: M.expected_calibration_error(scored(s, d), "p", "y").select(*r6("ece")),
     "m9_save_load_model": m9,
@@ -100,7 +128,24 @@ cv AS (SELECT *, least(a, c, ec, mc) AS v FROM co)
 """
 _DES = CTX + ", de AS (SELECT *, content_kind IS NOT NULL AND trajectory IS NOT NULL AS ok FROM feat QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY us DESC, event_id DESC) = 1)\n"
 
+_WEIGHTS = ", ".join(f"('{c}', {w!r}, {REFERENCE[c]!r})" for c, w in MODEL.weights.items())
+_OCC = _DES + f""", wt AS (SELECT *, row_number() OVER () - 1 AS i FROM (VALUES {_WEIGHTS}) v(col, w, ref)),
+dx AS (
+  SELECT session_id, col, w, ref, i, split_part(col, '=', 1) AS feature, CASE col WHEN 'session_elapsed_seconds' THEN elapsed WHEN 'session_event_count' THEN CAST(event_count AS DOUBLE) ELSE CAST(split_part(col, '=', 2) = CASE split_part(col, '=', 1) WHEN 'content_type_encoded' THEN ct ELSE trajectory END AS DOUBLE) END AS x
+  FROM de, wt WHERE ok),
+zs AS (SELECT session_id, {MODEL.intercept} + sum(w * x) AS z FROM dx GROUP BY 1),
+ps AS (SELECT session_id, z, 1 / (1 + exp(-z)) AS base FROM zs),
+dl AS (SELECT session_id, feature, base, i, 1 / (1 + exp(-(z + w * (ref - x)))) - base AS delta FROM dx JOIN ps USING (session_id)),
+bs AS (SELECT session_id, base, feature, arg_max(delta, (round(abs(delta), 12), -i)) AS delta FROM dl GROUP BY 1, 2, 3),
+oc AS (
+  SELECT session_id, base, count(*) FILTER (WHERE abs(delta) >= 0.001) AS n, coalesce(list(feature ORDER BY round(-abs(delta), 12), feature) FILTER (WHERE abs(delta) >= 0.001), []) AS fs,
+    coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE abs(delta) < 0.001), '') AS omitted FROM bs GROUP BY 1, 2)
+"""
+
 ORACLES = {
+    "m6_score": _OCC + ", r AS (SELECT session_id, CASE WHEN session_id[-1:] <> '5' THEN base END AS p FROM ps) SELECT session_id, round(p, 6) AS probability, CAST(p >= 0.5 AS INTEGER) AS predicted, CASE WHEN p IS NULL THEN 'absent:session_event_count' END AS refusal FROM r",
+    "u8_occlusion_contributions": _OCC + "SELECT session_id, round(base, 6) AS base, CAST(n AS INTEGER) AS n, array_to_string(fs, ',') AS features, omitted FROM oc",
+    "u9_top_contributions": _OCC + "SELECT session_id, array_to_string(fs[:2], ',') AS top FROM oc",
     "m1_next_k_drop_label": CANON + ", a AS (SELECT event_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY learner_id) AS n, avg(correct::INT) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b, avg(correct::INT) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS f FROM ev WHERE event_type = 'question_answered' WINDOW w AS (PARTITION BY learner_id ORDER BY us, event_id)) SELECT event_id, CAST(i AS INTEGER) AS i, CAST(f < b - 0.10 AS INTEGER) AS label FROM a WHERE i >= 10 AND i + 3 < n",
     "m2_group_holdout": CANON + ", f AS (SELECT learner_id, row_number() OVER (ORDER BY min(event_id)) AS r FROM ev GROUP BY 1) SELECT event_id, r % 4 = 0 AS holdout FROM ev JOIN f USING (learner_id)",
     "m3_encode_design": _DES + "SELECT session_id, CAST(ct = 'question' AS DOUBLE) AS is_question, CAST(trajectory = 'stable' AS DOUBLE) AS is_stable, CAST(event_count AS DOUBLE) AS n_events FROM de WHERE ok",

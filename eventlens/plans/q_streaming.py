@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.plans.canon import CANON, micros, steady
-from eventlens.plans.q_policy import TYPES, decisions, deliveries
+from eventlens.plans.q_policy import DEC, decisions, deliveries
 from eventlens.settings import SPARSE
 from eventlens.sources.shared import shared_path
 from eventlens.streaming import processors as P
@@ -59,9 +59,11 @@ def st4(s, d):
 
 def st5(s, d):
     path = shared_path(s, "decisions")
-    decisions(s, d).repartition(4, "learner_id").write.parquet(path)
-    stream = s.readStream.schema(s.read.parquet(path).schema).parquet(path)
-    return run(s, stream, each=P.stream_caps(deliveries(s, d), TYPES, SPARSE)).select("decision_id", "in_session", "in_window", "cap")
+    gave = deliveries(s, d).select("learner_id", "session_id", F.col("delivered_us").alias("us"), F.lit(None).cast("long").alias("decision_id"))
+    asked = decisions(s, d).select("learner_id", "session_id", F.col("decided_us").alias("us"), F.col("decision_id").cast("long").alias("decision_id"))
+    gave.union(asked).repartition(4, "learner_id").write.parquet(path)
+    stream = s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return run(s, P.stream_caps(stream, SPARSE)).select("decision_id", "in_session", "in_window", F.round("seconds_since_last", 6).alias("seconds_since_last"), "cap")
 
 
 QUERIES = {"st1_stream_ingest": st1, "st2_stream_baseline": st2, "st3_stream_state": st3, "st4_stream_context": st4, "st5_stream_caps": st5}
@@ -77,6 +79,7 @@ fold AS (
           CASE WHEN len(f.kept) + 1 > 6 THEN list_transform(range(2, len(f.kept) + 2, 2), lambda i: list_append(f.kept, o.x)[i]) || CASE WHEN len(f.kept) % 2 = 0 THEN [o.x] ELSE [] END ELSE list_append(f.kept, o.x) END AS kp
         FROM fold f JOIN ob o ON o.learner_id = f.learner_id AND o.n = f.n + 1))
 SELECT 'learner-' || learner_id AS learner_id, us, n, round(centre, 6) AS centre, round(spread, 6) AS spread, false AS refused FROM fold""",
+    "st5_stream_caps": DEC + "SELECT decision_id, in_session, in_window, round(since, 6) AS seconds_since_last, CASE WHEN since < 86400 THEN 'in_cooldown' WHEN in_session >= 3 THEN 'session_cap_reached' WHEN in_window >= 5 THEN 'window_cap_reached' END AS cap FROM hist",
     "st4_stream_context": "SELECT 'session-' || user_id || '-' || strftime(ts, '%Y%m%d') AS session_id, count(*) AS event_count, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 6) AS elapsed_seconds FROM events GROUP BY ALL",
 }
 ORACLES = {k: steady(v) if k == "st2_stream_baseline" else v for k, v in ORACLES.items()}

@@ -6,7 +6,7 @@ State is one row for each key: it is bounded by the settings' retained values an
 from __future__ import annotations
 
 import statistics
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventlens.operators.baseline import MAD_SCALE
-from eventlens.operators.policy import CATALOGUE, Candidate, decision_history
 from eventlens.operators.validation import with_violations
 from eventlens.settings import DEFAULT, Settings
 
@@ -120,12 +119,37 @@ def stream_context(stream: DataFrame, s: Settings = DEFAULT, idle_ms: int = 86_4
     )
 
 
-def stream_caps(deliveries: DataFrame, catalogue: tuple[Candidate, ...] = CATALOGUE, s: Settings = DEFAULT) -> Callable[[DataFrame], DataFrame]:
-    """ST5: what to apply to each micro-batch of decisions: the caps against the delivery table, and which binds."""
+def stream_caps(stream: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """ST5: ``(learner_id, session_id, us, decision_id)`` of deliveries (no decision_id) and decisions -> the caps on each decision.
 
-    def capped(batch: DataFrame) -> DataFrame:
-        h = decision_history(batch, deliveries, catalogue, s)
-        cap = F.when(F.col("seconds_since_last") < s.policy_cooldown, "in_cooldown").when(F.col("in_session") >= s.session_cap, "session_cap_reached").when(F.col("in_window") >= s.window_cap, "window_cap_reached")
-        return h.select("decision_id", "in_session", "in_window", "seconds_since_last", cap.alias("cap"))
+    Each decision is held against the learner's deliveries up to its instant that have arrived; those
+    of its own batch come in order of time, deliveries first.  State holds the deliveries of the
+    last two windows and those of the newest session: no delivery is read again.  A decision that is
+    late by more than a window counts what is left.
+    """
+    width = int(s.cap_window * 1e6)
 
-    return capped
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [] if not state.exists else [tuple(x) for x in zip(*state.get)]  # (us, session) of deliveries
+        rows = []
+        arrived = sorted((int(r.us), not pd.isna(r.decision_id), -1 if pd.isna(r.decision_id) else int(r.decision_id), r.session_id) for b in batches for r in b.itertuples(index=False))
+        for us, asks, decision, session in arrived:
+            if not asks:
+                held.append((us, session))
+                continue
+            past = [x for x in held if x[0] <= us]
+            inside = sum(t > us - width for t, _ in past)
+            here = sum(x == session for _, x in past)
+            since = (us - max(t for t, _ in past)) / 1e6 if past else None
+            cap = "in_cooldown" if since is not None and since < s.policy_cooldown else "session_cap_reached" if here >= s.session_cap else "window_cap_reached" if inside >= s.window_cap else None
+            rows.append((decision, here, inside, since, cap))
+        if held:
+            held.sort()
+            newest, last = held[-1][0], held[-1][1]
+            held = [x for x in held if x[0] > newest - 2 * width or x[1] == last]
+        state.update(tuple(list(x) for x in zip(*held)) if held else ([], []))
+        yield pd.DataFrame(rows, columns=["decision_id", "in_session", "in_window", "seconds_since_last", "cap"])
+
+    return stream.groupBy("learner_id").applyInPandasWithState(
+        advance, "decision_id long, in_session long, in_window long, seconds_since_last double, cap string", "us array<long>, session array<string>", "append", GroupStateTimeout.NoTimeout
+    )
