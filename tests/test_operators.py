@@ -2,21 +2,24 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from eventlens.functions import columns as X
 from eventlens.operators import authority as A
 from eventlens.operators import baseline as B
+from eventlens.operators import context as C
 from eventlens.operators import evaluation as E
 from eventlens.operators import features as FE
 from eventlens.operators import intelligence as I
+from eventlens.operators import models as M
 from eventlens.operators import outcomes as O
 from eventlens.operators import policy as P
 from eventlens.operators import temporal as T
 from eventlens.operators import uncertainty as U
 from eventlens.operators import validation as V
-from eventlens.settings import DEFAULT, Settings
+from eventlens.settings import DEFAULT, SPARSE, Settings
 
 
 def one(spark, col, value=None, kind="string"):
@@ -215,3 +218,75 @@ def test_plans_have_no_cartesian_product_and_no_python(spark):
     for name in ("f15_compute_features", "o11_measure_outcomes", "p12_decide", "t14_temporal_state"):
         text = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "BatchEvalPython" not in text and "ArrowEvalPython" not in text, name
+
+
+def test_one_busy_key_takes_linear_time(spark):
+    """A million rows of one learner and session: what was quadratic before would not end."""
+    n = 1_000_000
+    i = F.col("id")
+    e = spark.range(n).select(
+        F.lit("a").alias("learner_id"), F.lit("s").alias("session_id"), i.alias("us"), i.alias("event_id"),
+        F.when(i % 3 == 0, "question_answered").when(i % 1000 == 1, "intervention_started").when(i % 1000 == 501, "intervention_completed").otherwise("interaction").alias("event_type"),
+        (i % 2 == 0).alias("correct"), (i % 7).cast("double").alias("response_seconds"), F.when(i % 1000 == 1, i).when(i % 1000 == 501, i - 500).alias("intervention_id"), F.lit("hint").alias("intervention_type"), F.lit("accepted").alias("outcome"),
+    )
+    got = C.intervention_status(C.recent_performance(e, SPARSE), SPARSE).agg(F.count("*").alias("n"), F.sum("correct_count").alias("right"), F.sum("recent_response").alias("slow"), F.count("last_outcome").alias("known"), F.max("interventions").alias("starts")).first()
+    ids = np.arange(n)
+    answers = ids[::3]
+    right, slow = (answers % 2 == 0).astype(int), (answers % 7).astype(float)
+    last = lambda x: np.convolve(x, np.ones(SPARSE.recent_answers))[: len(x)]
+    per = np.minimum(np.arange(1, len(answers) + 1), SPARSE.recent_answers)
+    assert got["n"] == n and got["right"] == last(right)[ids // 3].sum() and abs(got["slow"] - (last(slow) / per)[ids // 3].sum()) < 1e-3
+    starts = (ids % 1000 == 1) & (ids % 3 != 0)
+    began = np.maximum.accumulate(np.where(starts, ids, -1))
+    ended = (began >= 0) & (ids >= began + 500) & ((began + 500) % 3 != 0)
+    assert got["starts"] == starts.sum() and got["known"] == ended.sum()
+
+    folded = B.winsorised_ewma(e.select("learner_id", "us", (F.col("us") % 97).alias("value")), ["learner_id"], ["us"], "value", SPARSE)
+    assert tuple(folded.agg(F.count("*"), F.max("n"), F.max("retained")).first()) == (n, n, SPARSE.retained)
+    chain = A.hash_chain(e, "learner_id", ["us"], ["event_id", "event_type"])
+    assert A.verify_chain(chain, "learner_id").first()["intact"] and chain.agg(F.count_distinct("entry_hash")).first()[0] == n
+    medians = M.column_reference(e.select("response_seconds", (F.col("us") * 37 % 1009 + 0.5).alias("b"), F.when(F.col("us") < 0, 1.0).alias("none")), ["response_seconds", "b", "none"]).first()
+    assert (medians["response_seconds"], medians["b"], medians["none"]) == (np.median(ids % 7), np.median(ids * 37 % 1009 + 0.5), None)
+
+
+def test_streamed_caps_do_not_depend_on_batches(spark, tmp_path):
+    """Deliveries and decisions in batches that are in order of time give what one batch gives."""
+    from eventlens.streaming import processors
+
+    rows = [("a", f"s{i // 7}", 40_000 * 1_000_000 * i, None if i % 3 else i) for i in range(60)] + [("b", "t", 5, 900)]
+    schema = "learner_id string, session_id string, us long, decision_id long"
+    got = []
+    for parts in (1, 6):
+        path = f"{tmp_path}/{parts}"
+        for k in range(parts):
+            some = [r for j, r in enumerate(rows) if j * parts // len(rows) == k]
+            spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        q = processors.stream_caps(stream, SPARSE).writeStream.format("memory").queryName(f"caps{parts}").option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        got.append(sorted((r["decision_id"], r["in_session"], r["in_window"], r["cap"]) for r in spark.table(f"caps{parts}").collect()))
+    want = []
+    for learner, session, us, d in rows:
+        if d is not None:
+            past = [(u, s) for x, s, u, k in rows if x == learner and k is None and u <= us]
+            inside, here = sum(u > us - int(SPARSE.cap_window * 1e6) for u, _ in past), sum(s == session for _, s in past)
+            since = (us - max(u for u, _ in past)) / 1e6 if past else None
+            want.append((d, here, inside, "in_cooldown" if since is not None and since < SPARSE.policy_cooldown else "session_cap_reached" if here >= SPARSE.session_cap else "window_cap_reached" if inside >= SPARSE.window_cap else None))
+    assert got[0] == got[1] == sorted(want)
+
+
+def test_redaction_rules(spark):
+    texts = {
+        "Authorization: Bearer abcdefgh12345678 end": "Authorization: [REDACTED] end",
+        "auth basic QWxhZGRpbjpvcGVu ok": "auth [REDACTED] ok",
+        "x eyJhbGciOiJIUzI1.eyJzdWIi.c2lnbmF0 y": "x [REDACTED] y",
+        "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY----- after": "[REDACTED] after",
+        'api-key=abc, "access_token": "q w", plain': 'api-key=[REDACTED], "access_token": [REDACTED], plain',
+        "token=[REDACTED]": "token=[REDACTED]",
+        "basic facts": "basic facts",
+    }
+    df = spark.createDataFrame([(t, "v", "w") for t in texts], "body string, session_key string, db_passwd string")
+    out = X.redact_columns(df, ["body"]).collect()
+    assert [r["body"] for r in out] == list(texts.values()) and all(r["session_key"] is r["db_passwd"] is None for r in out)
+    again = X.redact_columns(spark.createDataFrame([(v,) for v in texts.values()], "body string"), ["body"]).collect()
+    assert [r["body"] for r in again] == list(texts.values())
