@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.operators import authority as A
@@ -10,18 +10,52 @@ from eventlens.operators import baseline as B
 from eventlens.operators import evaluation as E
 from eventlens.operators import features as X
 from eventlens.operators import log_queries as Q
+from eventlens.operators import models as M
 from eventlens.operators import outcomes as O
 from eventlens.operators import policy as P
 from eventlens.operators import temporal as T
 from eventlens.operators import uncertainty as U
-from eventlens.operators.context import end_of_session
+from eventlens.operators.context import KEYS, end_of_session, recent_performance
 from eventlens.settings import DEFAULT, Settings
 
 
+CONTEXT = "free_practice"
+
+
+def calibration(past: DataFrame, s: Settings) -> DataFrame:
+    """One row ``ece``: how far the share of recent wrong answers is from what the next answer was; null on one class."""
+    answers = recent_performance(past, s).where("event_type = 'question_answered'")
+    before = F.lag(1 - F.col("recent_accuracy")).over(Window.partitionBy(*KEYS).orderBy("us", "event_id"))
+    return M.expected_calibration_error(answers.select(before.alias("p"), (~F.col("correct")).cast("int").alias("y")).where("p IS NOT NULL"), "p", "y")
+
+
+def remembered(past: DataFrame, cuts: DataFrame, history: DataFrame, s: Settings) -> DataFrame:
+    """Authority memory: how learners responded to deliveries whose windows ended before the cut."""
+    m = O.measure_outcomes(timed(past), past, history, s)
+    each = m.groupBy("learner_id", "intervention_id", "delivered_us").agg(F.first("response_class").alias("response_class")).join(E.intervention_response(m), "intervention_id")
+    outcome = F.when(F.col("response") == "improvement", "improved").when(F.col("response") == "deterioration", "deteriorated").when(F.col("response_class") == "non_response", "no_response")
+    each = each.select("learner_id", outcome.alias("outcome"), (F.col("delivered_us") + int(s.after * 1e6)).alias("recorded_us"))
+    return each.join(cuts.select("learner_id", "cut_us"), "learner_id").where("recorded_us <= cut_us AND outcome IS NOT NULL").select("learner_id", F.lit(CONTEXT).alias("context"), "outcome", F.lit(1.0).alias("weight"), "recorded_us")
+
+
+def timed(events: DataFrame) -> DataFrame:
+    """Deliveries with the time to their completion."""
+    return P.delivery_history(events).withColumn("response_seconds", (F.col("completed_us") - F.col("delivered_us")) / 1e6)
+
+
+def evaluated(decisions: DataFrame, past: DataFrame, events: DataFrame, s: Settings) -> DataFrame:
+    """Each decision's claim of a direction against what followed it."""
+    claims = decisions.select(F.col("decision_id").alias("prediction_id"), "learner_id", "session_id", F.col("decided_us").alias("predicted_us"), F.lit("direction").alias("target"), F.col("direction").alias("claim"), F.col("verdict").alias("status"))
+    snapshots = E.evidence_counts(E.prediction_snapshots(claims, s), events, s)
+    profiles = past.where("event_type = 'question_answered'").groupBy("learner_id").agg(F.avg("response_seconds").alias("centre"), F.stddev_samp("response_seconds").alias("spread"))
+    return E.evaluate(E.ground_truth(snapshots, E.post_window_reading(snapshots, events, profiles, s), s))
+
+
 def analyse(events: DataFrame, s: Settings = DEFAULT, min_after: int = 4, catalogue: tuple[P.Candidate, ...] = P.CATALOGUE) -> dict[str, DataFrame]:
     """Phase A reads events up to each learner's cut only: features, baseline, state, confidence, decision, action.
-    Phase B measures what followed deliveries, without touching A.  Without a fitted model the
-    probability is the share of recent wrong answers."""
+    Phase B measures what followed deliveries and decisions, without touching A.  Without a fitted model
+    the probability is the share of recent wrong answers; how well it was calibrated, and how learners
+    responded before, bound confidence and authority."""
     events = events.repartition("learner_id")
     cuts = Q.decision_cut(events, min_after)
     past = Q.as_of(events, cuts).drop("cut_us")
@@ -32,12 +66,14 @@ def analyse(events: DataFrame, s: Settings = DEFAULT, min_after: int = 4, catalo
     last = vectors.groupBy("learner_id").agg(F.max_by(F.struct("session_id", (1 - F.col("recent_accuracy")).alias("probability")), "us").alias("v")).select("learner_id", "v.*")
     j = cuts.select("learner_id", F.col("cut_us").alias("decided_us")).join(last, "learner_id").join(state.select("learner_id", "state", "direction", "observations", "weakest_maturity"), "learner_id", "left")
     maturity = F.element_at(F.array(*map(F.lit, B.MATURITIES)), F.coalesce("weakest_maturity", F.lit(0)) + 1)
-    j = j.withColumns({"decision_id": F.xxhash64("learner_id"), "threshold": F.lit(0.5), "ece": F.lit(0.1), "evidence": F.coalesce("observations", F.lit(0)), "maturity": maturity, "refusal": F.when(F.col("probability").isNull(), "absent:recent_accuracy")})
+    j = j.withColumns({"decision_id": F.xxhash64("learner_id"), "threshold": F.lit(0.5), "evidence": F.coalesce("observations", F.lit(0)), "maturity": maturity, "refusal": F.when(F.col("probability").isNull(), "absent:recent_accuracy")})
+    j = j.crossJoin(F.broadcast(calibration(past, s)))  # one row
     j = U.assess_confidence(U.verdict(j, s).withColumn("probability", F.col("probability")), s)
     j = j.withColumn("confidence", F.when(F.col("confidence_value").isNotNull(), U.band(F.col("confidence_value"))))
-    decided = P.decide(j, P.delivery_history(past), catalogue, s).withColumn("context", F.lit("free_practice"))
-    memory = past.where(F.lit(False)).select("learner_id", F.lit("").alias("context"), "outcome", F.lit(1.0).alias("weight"), F.col("us").alias("recorded_us"))
+    decided = P.decide(j, P.delivery_history(past), catalogue, s).withColumn("context", F.lit(CONTEXT))
+    memory = remembered(past, cuts, history, s)
     held = A.authority_level(A.clamp_authority(A.decayed_authority(memory, decided, s), s).withColumns({"risk": F.lit("low"), "reversible": F.lit(True), "high_stakes": F.lit(False)}), s)
     final = A.delivery_status(A.final_action(held.withColumns({"expires_us": F.col("decided_us") + int(s.expiry * 1e6), "high_impact": F.lit(False)}), s))
-    outcomes = O.measure_outcomes(P.delivery_history(events).withColumn("response_seconds", F.lit(None).cast("double")), events, history, s)
-    return {"decisions": final, "history": history, "outcomes": outcomes, "responses": E.intervention_response(outcomes)}
+    outcomes = O.measure_outcomes(timed(events), events, history, s)
+    claims = final.join(state.select("learner_id", F.col("direction").alias("_d")), "learner_id").withColumn("direction", F.col("_d"))
+    return {"decisions": final, "history": history, "outcomes": outcomes, "responses": E.intervention_response(outcomes), "evaluations": evaluated(claims, past, events, s)}

@@ -123,8 +123,11 @@ def i18(s, d):
 
 
 def i19(s, d):
-    x = analyse(events(s, d), SPARSE, 2, TYPES)["decisions"]
-    return x.select("learner_id", "decided_us", "state", "verdict", "reason", "selected", "final", "delivery_status")
+    """Every learner's decision, what bound it, and whether its claim held."""
+    got = analyse(saved(events(s, d)), SPARSE, 2, TYPES)
+    held = got["evaluations"].select(F.col("prediction_id").alias("decision_id"), F.col("truth"), F.col("verdict").alias("evaluation"))
+    x = got["decisions"].join(held, "decision_id", "left")
+    return x.select("learner_id", "decided_us", "state", "verdict", *r6("confidence_value", "authority"), "reason", "selected", "final", "delivery_status", "truth", "evaluation")
 
 
 QUERIES = {
