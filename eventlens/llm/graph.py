@@ -27,17 +27,27 @@ def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     before = digest(edges)
     for _ in range(most_rounds):
         small = before[0] <= BROADCAST_LINKS
-        held = F.broadcast if small else (lambda df: df)
+        made: list[DataFrame] = []
+
+        def held(df: DataFrame) -> DataFrame:
+            """Broadcast, or a table of its own, so that joins with it split the rows of a hub."""
+            if small:
+                return F.broadcast(df)
+            made.append(scratch.keep(df))
+            return made[-1]
+
         # large-star: every larger neighbour (and v itself) moves to v's smallest neighbour
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("m")).union(edges.select("v", "u"))
         low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
         large = both.join(held(low), "n").where("m > n").select(F.col("m").alias("v"), F.col("low").alias("u"))
+        large = large if small else held(large)
         # small-star: v's smaller neighbours move to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("low"))
         pair = lambda v: F.struct(F.col(v).alias("v"), F.col("low").alias("u"))
         moved = large.join(held(least), "v").select(F.explode(F.array(pair("v"), pair("u"))).alias("e")).select("e.v", "e.u")
         after = scratch.keep(moved.where("v <> u").distinct())
-        scratch.drop(edges)
+        for df in (edges, *made):
+            scratch.drop(df)
         edges, now = after, digest(after)
         if now == before:
             break

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from eventlens.llm import ann, bpe, buckets, decontaminate, license_scan, ngram_jaccard, quality, secret_scan, shingles, substring_dedup, token_counts, url_filter
+from eventlens.llm import ann, bpe, buckets, decontaminate, graph, license_scan, ngram_jaccard, quality, secret_scan, shingles, substring_dedup, token_counts, url_filter
 from eventlens.llm.common import Scratch, table
 from eventlens.llm.graph import components
 
@@ -402,7 +402,9 @@ def test_null_and_repeated_keys(spark):
     assert ngram_jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_components_of_a_long_chain(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(graph, "BROADCAST_LINKS", broadcast)
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (None, 3), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links, Scratch(spark, "t")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
