@@ -38,38 +38,54 @@ def micros(ts):
     return F.unix_micros(ts.cast("timestamp"))
 
 
-#: Logs that the query being built has asked for: folder -> frame.
-_logs: ContextVar[dict[str, DataFrame] | None] = ContextVar("logs", default=None)
+#: Frames that the query being built has asked for: (builder, folder) -> frame, or None after the first use.
+_held: ContextVar[dict[tuple[str, str], DataFrame | None] | None] = ContextVar("held", default=None)
+Builder = Callable[[SparkSession, str], DataFrame]
 
 
-def one_log(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """A query in which a log that is asked for more than once is saved, so that not each of its uses builds it."""
+def one_query(query: Builder) -> Builder:
+    """A query in which frames of ``shared`` builders are saved where they are asked for more than once."""
 
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        held = _logs.set({})
+        token = _held.set({})
         try:
             return query(spark, sf_dir)
         finally:
-            _logs.reset(held)
+            _held.reset(token)
 
     return run
 
 
+def shared(build: Builder) -> Builder:
+    """Inside a query, the frame is computed for its first use, which may be the only one, and saved for the others.
+
+    ``hold(spark, sf_dir)`` saves it at once, where many uses are to come.
+    """
+
+    @wraps(build)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held, key = _held.get(), (build.__name__, sf_dir)
+        if held is None or key not in held:
+            if held is not None:
+                held[key] = None
+            return build(spark, sf_dir)
+        if held[key] is None:
+            held[key] = saved(build(spark, sf_dir), build.__name__)
+        return held[key]
+
+    def hold(spark: SparkSession, sf_dir: str) -> None:
+        held, key = _held.get(), (build.__name__, sf_dir)
+        if held is not None and held.get(key) is None:
+            held[key] = saved(build(spark, sf_dir), build.__name__)
+
+    get.hold = hold
+    return get
+
+
+@shared
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical event log; arrival order is (us, event_id)."""
-    held = _logs.get()
-    if held is None:
-        return _built(spark, sf_dir)
-    if sf_dir not in held:  # the first use may be the only one
-        held[sf_dir] = None
-        return _built(spark, sf_dir)
-    if held[sf_dir] is None:
-        held[sf_dir] = saved(_built(spark, sf_dir), "log")
-    return held[sf_dir]
-
-
-def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     raw = F.col("event_type")

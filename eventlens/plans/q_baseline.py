@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventlens.operators import baseline as B
 from eventlens.operators import temporal as T
 from eventlens.operators.context import end_of_session
-from eventlens.plans.canon import NUDGE, events, r6, steady, table
+from eventlens.plans.canon import NUDGE, events, r6, shared, steady, table
 from eventlens.plans.q_context import CTX, features
 from eventlens.settings import SPARSE
 
@@ -32,6 +32,7 @@ def deviations(s, d):
     return dev.withColumn("z", F.when(F.col("us") % 7 != 0, F.col("z")))
 
 
+@shared
 def history(s, d):
     return T.state_history(deviations(s, d), SPARSE)
 

@@ -67,6 +67,8 @@ def evaluations_last(s, d):
 
 def stages(s, d):
     """What evidence and gaps are drawn from, each computed once."""
+    events.hold(s, d)
+    history.hold(s, d)
     last = saved(contexts(s, d))
     has = sum((F.col(f).isNotNull().cast("int") for f in X.FEATURES), F.lit(0))
     r = saved(rollups(s, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventlens.operators import evaluation as E
 from eventlens.operators import outcomes as O
 from eventlens.operators import policy as P
-from eventlens.plans.canon import events, pick, r6, steady
+from eventlens.plans.canon import events, pick, r6, shared, steady
 from eventlens.plans.q_baseline import TRACK, history
 from eventlens.settings import SPARSE
 
@@ -17,6 +17,7 @@ def log(s, d):
     return events(s, d).withColumn("event_type", F.when((F.col("event_type") == "interaction") & (F.col("k") >= 85), "session_ended").otherwise(F.col("event_type")))
 
 
+@shared
 def deliveries(s, d):
     """Deliveries with the response time that a completion reports."""
     return P.delivery_history(events(s, d)).withColumn("response_seconds", F.when(F.col("completed_us") % 3 != 0, (F.col("completed_us") % 500) / 10.0))
@@ -26,7 +27,9 @@ def facts(s, d):
     return O.window_facts(deliveries(s, d), log(s, d), SPARSE)
 
 
+@shared
 def measured(s, d):
+    events.hold(s, d)
     return O.measure_outcomes(deliveries(s, d), log(s, d), history(s, d), SPARSE)
 
 
@@ -68,6 +71,8 @@ def truths(s, d):
 
 def records(s, d):
     """Evaluations with the response to the learner's first delivery in the session."""
+    events.hold(s, d)
+    deliveries.hold(s, d)
     first = deliveries(s, d).groupBy("session_id").agg(F.min("intervention_id").alias("intervention_id"))
     r = first.join(E.intervention_response(measured(s, d)), "intervention_id").select("session_id", "response")
     return E.evaluate(truths(s, d)).join(r, "session_id", "left")
