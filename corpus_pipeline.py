@@ -74,10 +74,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    scratch = Scratch(spark, "pipeline")
+    scratch, kept = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = scratch.keep(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, kept = kept, scratch.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
