@@ -822,5 +822,49 @@ def test_pipeline_stages_with_null_and_repeated_keys(spark):
     assert clean.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in clean.collect()) == sorted((str(i), str(x)) for i, x in rows if x != leak)
 
 
+def test_bpe_query_digests(spark):
+    t, texts = library(), dict(docs(spark).itertuples(index=False))
+    rows = bpe.op4_bpe(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        decoded = t.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_nearest_query_against_brute_force(spark):
+    v = table(spark, SF, "embeddings").toPandas()
+    column = next(c for c in v.columns if c == "embedding")
+    m, ids = np.stack(v[column].to_numpy()).astype(float), v["vec_id"].to_numpy()
+    got = ann.op8_nearest(spark, SF).toPandas()
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = m @ m[q]
+        want = [ids[i] for i in np.lexsort((ids, -s)) if i != q][:20]
+        g = got[got["query_id"] == ids[q]].sort_values("rank")
+        assert len(g) == len(want) and np.allclose(g["score"], [float(s[np.flatnonzero(ids == i)[0]]) for i in g["vec_id"]])
+        hit, total = hit + len(set(want) & set(g["vec_id"])), total + len(want)
+    assert hit >= 0.9 * total and got["query_id"].nunique() == (ids % 20 == 0).sum()
+
+
+def test_passages_query_against_brute_force(spark):
+    ws = {i: words(t) for i, t in docs(spark).itertuples(index=False)}
+    holders, near = collections.defaultdict(set), collections.defaultdict(set)
+    for i, w in ws.items():
+        for j in range(len(w) - 49):
+            holders[tuple(w[j : j + 50])].add(i)
+        for j in range(len(w) - 14):
+            near[tuple(w[j : j + 15])].add(i)
+    want = {i: {p for j in range(len(w) - 49) if len(holders[tuple(w[j : j + 50])]) > 1 for p in range(j, j + 50)} for i, w in ws.items()}
+    got = collections.defaultdict(set)
+    for r in substring_dedup.op9_substring_dedup(spark, SF).collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        assert r["first_doc_id"] <= r["doc_id"] and (r["keep"] or r["first_doc_id"] < r["doc_id"])
+    assert all(want[i] <= got[i] for i in ws) and any(want.values())
+    alike = {i for h in near.values() if len(h) > 1 for i in h}
+    others = {i for i, places in got.items() if places and not want[i]}
+    assert others <= alike, others - alike  # near or shorter paragraphs
+
+
 def test_queries_hold_the_contract_columns(spark):
     assert pd.Index(token_counts.op2_token_counts(spark, SF).columns).is_unique
