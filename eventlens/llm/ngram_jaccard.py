@@ -38,7 +38,7 @@ def least_banded(percent: int) -> int:
 
 #: Largest distance of a size band at which first-level partitions are cut again and pairs of
 #: their THREE parts are enumerated; beyond, a first-level partition is one part.
-ENUMERATED, THREE = 48, 3
+ENUMERATED, THREE = 32, 3
 
 
 @lru_cache(maxsize=None)
