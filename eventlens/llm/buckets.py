@@ -58,16 +58,13 @@ def in_sample(member: Column | str) -> Column:
 def shared(each: DataFrame, hot: list[int]) -> DataFrame:
     """The rows of ``each(sig, id)`` whose bucket has two members or more.
 
-    A hot bucket has many, so its rows pass without being brought together: salts deal them out.
-    The list only routes rows, the result is the same without it.
+    A hot bucket has many, so its rows pass without being brought together; the list only routes
+    rows, the result is the same without it.  ``each`` is read twice, so it had better be a table.
     """
-    keys, live = ["sig"], F.col("low") < F.col("high")
-    if hot:
-        salt = F.when(F.col("sig").isin(hot), F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)).cast("byte"))
-        each, keys, live = each.withColumn("salt", salt), ["sig", "salt"], live | F.col("salt").isNotNull()
-    bucket = Window.partitionBy(*keys)
-    met = each.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket))
-    return met.where(live).select("sig", "id").distinct()
+    bucket = Window.partitionBy("sig")
+    met = each.where(~F.col("sig").isin(hot)) if hot else each
+    met = met.withColumn("low", F.min("id").over(bucket)).withColumn("high", F.max("id").over(bucket)).where("low < high").select("sig", "id").distinct()
+    return met.union(each.where(F.col("sig").isin(hot)).select("sig", "id")) if hot else met
 
 
 def least_holders(each: DataFrame, keys: list[str], on: str) -> DataFrame:

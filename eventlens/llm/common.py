@@ -56,3 +56,7 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def forget_shuffles(self) -> None:
+        """Lets shuffle files go of frames that are tables by now: Spark removes them when the driver collects garbage."""
+        self.spark._jvm.System.gc()

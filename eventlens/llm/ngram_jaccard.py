@@ -160,10 +160,13 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
 
     # 2. buckets of the signatures of one member of each class; those with one member are done
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    signed = lambda some: seen.where(some).select("id", "sigs").join(reps.where(some).hint("shuffle_hash"), "id", "left_semi").select("id", F.explode("sigs").alias("sig"))
-    hot = hot_buckets(signed(in_sample("id")))
-    live = scratch.keep(shared(signed(F.lit(True)), hot))
+    once = scratch.keep(seen.select("id", "sigs").join(reps.hint("shuffle_hash"), "id", "left_semi"))
     scratch.drop(seen)
+    scratch.forget_shuffles()
+    signed = lambda some: once.where(some).select("id", F.explode("sigs").alias("sig"))
+    live = scratch.keep(shared(signed(F.lit(True)), hot_buckets(signed(in_sample("id")))))
+    scratch.drop(once)
+    scratch.forget_shuffles()
     wanted = live.select("id").distinct().hint("shuffle_hash")
     sets = scratch.keep(docs.join(wanted, "id", "left_semi").select("id", whole("text").alias("w")).select("id", "w.*"))
 

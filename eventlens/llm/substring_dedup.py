@@ -347,7 +347,7 @@ def repeated_stretches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     asked = every.groupBy("id").agg(F.collect_list("paragraph").alias("paragraphs"), F.collect_set("low").alias("lows"), F.collect_list("unit").alias("units"))
     both = scratch.keep(sets_and_windows(docs, asked.where("size(paragraphs) > 0 OR size(lows) > 0")))
     scratch.drop(lows)
-    docs.sparkSession._jvm.System.gc()  # shuffle files of the stages so far can go
+    scratch.forget_shuffles()
 
     sets = scratch.keep(both.where("node IS NOT NULL").select(F.col("node").alias("id"), "n", "sketch", "s").dropDuplicates(["id"]))
     near = link_in_waves(live, sets, None, PERCENT, scratch)
