@@ -104,20 +104,23 @@ def link_in_waves(live: DataFrame, sets: DataFrame, links: DataFrame | None, per
 
     parity = [f"k{i}" for i in range(SKETCH)]
     outer = sets.select("id", "n", *[F.get("sketch", F.lit(i)).alias(k) for i, k in enumerate(parity)])
-    first = scratch.keep(live.join(outer, "id").withColumn("c", F.col("id")))
+    whole = scratch.keep(live.join(outer, "id").withColumn("c", F.col("id")))
     scratch.drop(live)
-    live, comps, pivots, done, n_links = first, None, 1, None, 0
+    live, comps, pivots, done, n_links = whole, None, 1, None, 0
     apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"a{k}"))) for k in parity), F.lit(0))
     may_link = (100 * F.least("n", "an") >= percent * F.greatest("n", "an")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("an")))
     side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
     while live.limit(1).count():
-        # the smallest members of each bucket: only so many of each leave a task that reads a part of it
+        # the smallest members of each bucket: only so many of each leave a task that reads a part of it,
+        # without their sketches, which join later; a table, with which joins split large buckets
         rank = F.row_number().over(Window.partitionBy("sig").orderBy("id"))
-        heads = live.withColumn("r", rank).where(F.col("r") <= pivots).select("sig", "r", *[F.col(x).alias(f"a{x}") for x in ("id", "c", "n", *parity)])
-        heads = scratch.keep(heads)  # a table: joins with it split large buckets, or need no shuffle
+        first = live.select("sig", "id", "c").withColumn("r", rank).where(F.col("r") <= pivots).join(outer, "id")
+        heads = scratch.keep(first.select("sig", "r", *[F.col(x).alias(f"a{x}") for x in ("id", "c", "n", *parity)]))
+        scratch.forget_shuffles()
         near = live.join(heads.drop("r"), "sig").where((F.col("aid") < F.col("id")) & (F.col("ac") != F.col("c")) & may_link)
         pairs = near.select(F.col("aid").alias("a"), F.col("id").alias("b")).distinct()
         pairs = scratch.keep(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        scratch.forget_shuffles()
         compared = pairs.join(side("b"), "b").join(side("a"), "a")
         found = compared.select("a", "b", linked("sa", "sb").alias("ok")).where("ok").select("a", "b")
         links = scratch.keep(found if links is None else links.union(found))
