@@ -9,7 +9,10 @@ from __future__ import annotations
 from eventlens.llm import (
     ann,
     bpe,
+    clustering,
     decontaminate,
+    fingerprints,
+    importance,
     license_scan,
     ngram_jaccard,
     quality,
@@ -30,6 +33,9 @@ _MODULES = (
     ann,
     substring_dedup,
     quality,
+    clustering,
+    importance,
+    fingerprints,
 )
 
 
