@@ -13,21 +13,23 @@ has one empty paragraph.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import table
 
-#: A paragraph's sha256 gives four words of 60 bits, a bit a lane.
-WORDS, BITS = 4, 60
+#: A paragraph's sha256 gives three words of 60 bits, a bit a lane.
+WORDS, BITS = 3, 60
 LANES = WORDS * BITS
 
 #: Lanes are kept modulo 2**24, six hex digits each.
 MODULUS, DIGITS = 1 << 24, 6
 
-#: Bits counted in one go: bit i and bit i + 30 of a word, each in a field of 30 bits.
-_HALF = BITS // 2
-_PICK = (1 << _HALF) + 1
+#: Three bits of a word are counted in one sum, bits i, i + 20 and i + 40, each in a field of 20 bits: enough
+#: for the paragraphs of a CHUNK.
+FIELD = 20
+_PICK = 1 | 1 << FIELD | 1 << 2 * FIELD
+CHUNK = 1 << FIELD - 1
 
 #: Ranges that documents are dealt by, for each shuffle partition, and most of all.
 RANGES, MOST_RANGES = 8, 65_536
@@ -38,28 +40,44 @@ def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"(?<=\n)|(?<=[.!?] )")
 
 
-def lanes(text: Column) -> Column:
-    """Fingerprint as an array of LANES numbers from 0 to MODULUS - 1."""
-    parts = paragraphs(text)
-    word = lambda p, k: F.conv(F.substring(F.sha2(p, 256), k * BITS // 4 + 1, BITS // 4), 16, 10).cast("long")
-    hashes = F.transform(parts, lambda p: F.array(*[word(p, k) for k in range(WORDS)]))
+def hashed(paragraph: Column) -> list[Column]:
+    """The words of BITS bits of a paragraph's sha256."""
+    return [F.conv(F.substring(F.sha2(paragraph, 256), k * BITS // 4 + 1, BITS // 4), 16, 10).cast("long") for k in range(WORDS)]
 
-    def ones(hashes: Column, n: Column) -> Column:
-        # for each word and shift two lanes: how many paragraphs have that bit
-        count = lambda k, i: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftright", F.get(h, k), i).bitwiseAND(F.lit(_PICK)))
-        place = F.sequence(F.lit(0), F.lit(WORDS * _HALF - 1))
-        both = F.transform(place, lambda j: count((j / _HALF).cast("int"), (j % _HALF).cast("int")))
-        low = F.transform(both, lambda c: c.bitwiseAND(F.lit((1 << _HALF) - 1)))
-        high = F.transform(both, lambda c: F.shiftright(c, _HALF))
-        return F.transform(F.concat(low, high), lambda c: F.pmod(2 * c - n, F.lit(MODULUS)))
 
-    # a one-element array holds the hashes, so that they are made once
-    return F.element_at(F.transform(F.array(hashes), lambda h: ones(h, F.size(h).cast("long"))), 1)
+def lane_sums(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys..., lanes): the fingerprint of each text, as an array of LANES numbers.
+
+    ``keys`` tell texts apart; a text of more than CHUNK paragraphs has a row for each chunk, to be added up.
+    This is one aggregation over paragraphs, which needs no shuffle where the frame is dealt by some of the keys.
+    """
+    parts = texts.select(*keys, F.posexplode(paragraphs(F.col(text))).alias("_i", "_p"))
+    parts = parts.select(*keys, F.floor(F.col("_i") / CHUNK).alias("_chunk"), *[h.alias(f"_h{k}") for k, h in enumerate(hashed(F.col("_p")))])
+    each = [(k, i) for k in range(WORDS) for i in range(FIELD)]
+    bits = [F.sum(F.shiftright(f"_h{k}", i).bitwiseAND(F.lit(_PICK))).alias(f"_s{k}_{i}") for k, i in each]
+    summed = parts.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"), *bits)
+    packed = F.array(*[F.col(f"_s{k}_{i}") for k, i in each])
+    field = lambda at: F.transform(packed, lambda c: F.shiftright(c, at * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1)))
+    ones = F.concat(*[field(at) for at in range(BITS // FIELD)])
+    return summed.select(*keys, F.transform(ones, lambda c: F.pmod(2 * c - F.col("_n"), F.lit(MODULUS))).alias("lanes"))
+
+
+def lanes(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys..., lanes) of each text, chunks added up."""
+    return lane_sums(texts, keys, text).groupBy(*keys).agg(in_one(F.collect_list("lanes")).alias("lanes"))
+
+
+def in_one(chunks: Column) -> Column:
+    """The sum of an array of lanes; null of none."""
+    rest = F.slice(chunks, 2, F.greatest(F.size(chunks), F.lit(1)))
+    return F.aggregate(rest, F.get(chunks, F.lit(0)), added)
 
 
 def written(vector: Column) -> Column:
-    """An array of lanes as a string of hex digits."""
-    return F.lower(F.array_join(F.transform(vector, lambda c: F.lpad(F.hex(c), DIGITS, "0")), ""))
+    """An array of lanes as a string of hex digits; two lanes are written at a time, after a leading 1."""
+    pair = lambda j: F.get(vector, 2 * j) * MODULUS + F.get(vector, 2 * j + 1) + MODULUS * MODULUS
+    digits = F.transform(F.sequence(F.lit(0), F.lit(LANES // 2 - 1)), lambda j: F.substring(F.hex(pair(j)), 2, 2 * DIGITS))
+    return F.lower(F.array_join(digits, ""))
 
 
 def read_lanes(fingerprint: Column) -> Column:
@@ -82,73 +100,111 @@ def likeness(a: Column, b: Column) -> Column:
     """Cosine of two arrays of lanes, 0 to 1, of six decimals; equal ones have 1, less than 0 counts as 0.
 
     For texts whose paragraphs are distinct it estimates the share of common paragraphs, about
-    1 / sqrt(LANES) = 0.065 off.  A paragraph that occurs more than 8 million times wraps its lanes.
+    1 / sqrt(LANES) = 0.075 off.  A paragraph that occurs more than 8 million times wraps its lanes.
     """
-    signed = lambda x: F.when(x >= MODULUS // 2, x - MODULUS).otherwise(x)
+    signed = lambda x: x - F.shiftleft(F.shiftright(x, 23), 24)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: signed(p) * signed(q)), F.lit(0).cast("long"), lambda s, p: s + p).cast("double")
     scale = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     near = F.when(scale > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(dot(a, b) / scale, 6)))).otherwise(F.lit(0.0))
     return F.when(a == b, F.lit(1.0)).otherwise(near)
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, next_text): each row with the text of the next one in descending order of an integer key.
+def followed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row with the text of the next one in descending order of an integer key, dealt by ``range``.
 
-    After the last comes the first; a single row is its own next.  Null keys come last, rows that
-    share a key in the order of a hash of their text, and of equal rows each is followed by its like.
-    Null texts are empty.  Documents are dealt to ranges of keys and each range's first row also to the
-    range before, so a text is shuffled once; the driver holds one key for each range.
+    Columns: range, at (place in the order), guest, copies, id, text, next_text.  Documents are dealt to
+    ranges of keys and each range's first row also, as a guest (1), to the range before, after the last
+    range comes the first: so a text is shuffled once.  A guest stands last in its range and has no next
+    text of its own.  The driver holds one key for each range.  Equal rows are one row with its copies.
     """
     spark = docs.sparkSession
-    clean = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    clean = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # the key and 32 bits of the text's hash as one number; a null key is less than any
-    tie = F.pmod(F.xxhash64("_text"), F.lit(1 << 32)).cast("decimal(10,0)")
-    number = F.coalesce(F.col("_id").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    tie = F.pmod(F.xxhash64("text"), F.lit(1 << 32)).cast("decimal(10,0)")
+    number = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
     placed = (number * F.lit(1 << 32).cast("decimal(10,0)") + tie).cast("decimal(38,0)")
-    keys = clean.select(placed.alias("_at"))
+    keys = clean.select(placed.alias("at"))
     parts = min(MOST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tops = keys.repartitionByRange(parts, F.desc("_at")).groupBy(F.spark_partition_id()).agg(F.max("_at").alias("top")).collect()
-    tops = sorted({r["top"] for r in tops}, reverse=True)
-    # equal rows are one row with a number of copies, where there are any
-    many = keys.groupBy("_at").count().where("count > 1").limit(1).count() > 0
-    rows = clean.groupBy("_id", "_text").agg(F.count("*").alias("_copies")) if many else clean.withColumn("_copies", F.lit(1).cast("long"))
-    rows = rows.withColumn("_at", placed)
-    if not tops:
-        return rows.select(F.col("_id").alias(key), F.col("_text").alias(text), F.col("_text").alias("next_text"))
+    tops = keys.repartitionByRange(parts, F.desc("at")).groupBy(F.spark_partition_id()).agg(F.max("at").alias("top")).collect()
+    tops = sorted({r["top"] for r in tops}, reverse=True) or [0]
+    many = keys.groupBy("at").count().where("count > 1").limit(1).count() > 0
+    rows = clean.groupBy("id", "text").agg(F.count("*").alias("copies")) if many else clean.withColumn("copies", F.lit(1).cast("long"))
+    rows = rows.withColumn("at", placed)
 
     # how many tops aren't below the key: first groups of tops, then inside one
     wide = max(1, int(len(tops) ** 0.5))
     groups = [tops[i : i + wide] for i in range(0, len(tops), wide)]
     numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<decimal(38,0)>")  # noqa: E731  folded to a literal
     nested = F.transform(F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";"), lambda g: F.split(g, ",").cast("array<decimal(38,0)>"))
-    passed = lambda xs: F.size(F.filter(xs, lambda t: t >= F.col("_at")))
-    group = F.size(F.filter(numbers([g[0] for g in groups]), lambda t: t >= F.col("_at"))) - 1
-    ranged = rows.withColumn("_group", group).withColumn("_range", F.col("_group") * wide + passed(F.get(nested, F.col("_group"))) - 1)
-    is_top = F.element_at(F.get(nested, F.col("_group")), F.col("_range") - F.col("_group") * wide + 1) == F.col("_at")
-    guest = F.when(is_top, F.pmod(F.col("_range") - 1, F.lit(len(tops))))
-    homes = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")), F.struct(guest.alias("r"), F.lit(1).alias("guest")))
-    dealt = ranged.select("_id", "_text", "_copies", "_at", F.explode(F.filter(homes, lambda h: h["r"].isNotNull())).alias("_home")).select("_id", "_text", "_copies", "_at", "_home.*")
-    followed = dealt.withColumn("_next", F.lead("_text").over(Window.partitionBy("r").orderBy("guest", F.desc("_at")))).where("guest = 0")
-    if many:
-        copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-        followed = followed.select("_id", "_text", "_next", "_copies", copy.alias("_i")).withColumn("_next", F.when(F.col("_i") < F.col("_copies"), F.col("_text")).otherwise(F.col("_next")))
-    return followed.select(F.col("_id").alias(key), F.col("_text").alias(text), F.col("_next").alias("next_text"))
+    passed = lambda xs: F.size(F.filter(xs, lambda t: t >= F.col("at")))
+    rows = rows.withColumn("_group", passed(numbers([g[0] for g in groups])) - 1)
+    inside = F.get(nested, F.col("_group"))
+    rows = rows.withColumn("range", F.col("_group") * wide + passed(inside) - 1)
+    is_top = F.get(inside, F.col("range") - F.col("_group") * wide) == F.col("at")
+    other = F.when(is_top, F.pmod(F.col("range") - 1, F.lit(len(tops))))
+    homes = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(other.alias("range"), F.lit(1).alias("guest")))
+    dealt = rows.select("at", "copies", "id", "text", F.explode(F.filter(homes, lambda h: h["range"].isNotNull())).alias("_home"))
+    dealt = dealt.select("_home.range", "at", "_home.guest", "copies", "id", "text")
+    return dealt.withColumn("next_text", F.lead("text").over(in_range()))
 
 
-def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = with_next(table(spark, sf_dir, "documents"))
-    n = F.length("text")
+def in_range() -> WindowSpec:
+    return Window.partitionBy("range").orderBy("guest", F.desc("at"))
+
+
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, next_text): each row with the text of the next one in descending order of an integer key.
+
+    After the last comes the first; a single row is its own next.  Null keys come last, rows that
+    share a key in the order of a hash of their text, and of equal rows each is followed by its like.
+    Null texts are empty.
+    """
+    own = followed(docs, key, text).where("guest = 0")
+    each = own.select("id", "text", "next_text", "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_i"))
+    return each.select(F.col("id").alias(key), F.col("text").alias(text), F.when(F.col("_i") < F.col("copies"), F.col("text")).otherwise(F.col("next_text")).alias("next_text"))
+
+
+def edited_texts(text: str, other: str) -> Column:
+    """The text with its last floor(n / 2) code points replaced by the first as many of the other."""
+    n = F.length(text)
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.col("next_text"), F.lit(1), half))
-    rows = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), lanes(F.col("text")).alias("own"), F.col("next_text"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", lanes(F.col("edited")).alias("changed"), lanes(F.col("next_text")).alias("next"))
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256",
-        written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
+    return F.concat(F.substr(F.col(text), F.lit(1), n - half), F.substr(F.col(other), F.lit(1), half))
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
+
+    Edited texts and next ones as in ``edited_texts`` and ``with_next``.  Texts are shuffled once, by
+    ranges of the order; all sums and both looks at the next row keep to that partitioning.
+    """
+    rows = followed(docs, key, text)
+    likes = F.when((F.col("guest") == 0) & (F.col("copies") > 1), F.struct(F.lit(2).alias("kind"), edited_texts("text", "text").alias("t")))
+    after = F.when(F.col("guest") == 0, F.struct(F.lit(1).alias("kind"), edited_texts("text", "next_text").alias("t")))
+    kinds = F.array_compact(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), after, likes))
+    place = ["range", "at", "guest", "copies", "id"]
+    texts = rows.select(*place, F.explode(kinds).alias("x")).select(*place, "x.kind", "x.t")
+    keys = [*place, "kind", "n_chars", "sha256"]
+    sums = lane_sums(texts.withColumns({"n_chars": F.length("t").cast("long"), "sha256": F.when(F.col("kind") > 0, F.sha2("t", 256))}), keys, "t")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    all_of = lambda kind: in_one(F.collect_list(F.when(F.col("kind") == kind, F.col("lanes"))))
+    each = sums.groupBy(*place).agg(
+        of(0, "n_chars").alias("n_chars"), all_of(0).alias("own"), all_of(1).alias("changed"), of(1, "sha256").alias("sha256"), all_of(2).alias("alike"), of(2, "sha256").alias("alike_sha256")
+    )
+    each = each.withColumn("next", F.lead("own").over(in_range())).where("guest = 0")
+    each = each.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    like = F.col("_i") < F.col("copies")  # this copy is followed by another
+    pick = lambda a, b: F.when(like, F.col(a)).otherwise(F.col(b))
+    each = each.select("id", "n_chars", "own", pick("alike", "changed").alias("changed"), pick("alike_sha256", "sha256").alias("sha256"), pick("own", "next").alias("next"))
+    return each.select(
+        F.col("id").alias(key), "n_chars", F.col("sha256").alias("edited_sha256"), written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op13_fingerprints": op13_fingerprints}
 
 
@@ -177,7 +233,7 @@ ps AS (
 hs AS (SELECT text, len(ps) AS n, {hashes} AS hs FROM ps),
 fp AS MATERIALIZED (
   SELECT text, list_transform(range({LANES}), lambda j:
-    ((2 * list_sum(list_transform(hs[(j % {LANES // 2}) // {_HALF} + 1], lambda h: (h >> (j % {_HALF} + {_HALF} * (j // {LANES // 2}))) & 1)) - n)
+    ((2 * list_sum(list_transform(hs[(j % {WORDS * FIELD}) // {FIELD} + 1], lambda h: (h >> (j % {FIELD} + {FIELD} * (j // {WORDS * FIELD}))) & 1)) - n)
      % {MODULUS} + {MODULUS}) % {MODULUS}) AS v
   FROM hs)
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
