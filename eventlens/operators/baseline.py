@@ -8,9 +8,10 @@ closed form and is a plain sum.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from math import inf
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,39 +101,78 @@ def winsorised_ewma(df: DataFrame, keys: list[str], order: list[str], value: str
     return dealt.mapInArrow(fold, kind)
 
 
+def middle_distance(ordered: list[float], centre: float) -> float:
+    """Median distance from the centre of an ascending list: both sides hold ascending distances, so that
+    one binary search finds how many of the nearer half lie below the centre."""
+    n, p = len(ordered), bisect_left(ordered, centre)
+    half = n // 2
+    lo, hi = max(0, half - (n - p)), min(p, half)
+    while lo < hi:
+        i = (lo + hi) // 2
+        if centre - ordered[p - 1 - i] < ordered[p + half - i - 1] - centre:
+            lo = i + 1
+        else:
+            hi = i
+    i, j = lo, half - lo
+    after = min(centre - ordered[p - 1 - i] if i < p else inf, ordered[p + j] - centre if j < n - p else inf)
+    if n % 2:
+        return after
+    return (max(centre - ordered[p - i] if i else 0.0, ordered[p + j - 1] - centre if j else 0.0) + after) / 2
+
+
 class RunningSpread:
-    """Centre and spread of one key; ``add`` takes time in proportion to the retained values."""
+    """Centre and spread of one key.
+
+    Retained values are held in order of arrival and in ascending order; ``add`` inserts into both and
+    reads the median distance by binary search.  Only a decimation sorts again.
+    """
 
     def __init__(self, s: Settings, robust: bool):
         self.s, self.robust = s, robust
-        self.n, self.size, self.centre, self.spread = 0, 0, None, None
-        self.kept = np.empty(s.retained + 1)
+        self.n, self.centre, self.spread = 0, None, None
+        self.kept: list[float] = []
+        self.ordered: list[float] = []
+        self.mean, self.squares = 0.0, 0.0
+
+    def resume(self, n: int, centre: float | None, spread: float | None, kept: list[float]) -> RunningSpread:
+        """The state that was left with these numbers and retained values."""
+        self.n, self.centre, self.spread = n, centre, spread
+        self._hold(list(kept))
+        return self
+
+    def arrived(self) -> list[float]:
+        return self.kept
+
+    def _hold(self, kept: list[float]) -> None:
+        self.kept, self.ordered = kept, sorted(kept)
+        self.mean = sum(kept) / len(kept) if kept else 0.0
+        self.squares = sum((x - self.mean) ** 2 for x in kept)
 
     def add(self, x: float | None) -> tuple[int, float | None, float | None, int]:
-        """(n, centre, spread, retained values) with one more value; a null value changes nothing but n."""
+        """(n, centre, spread, retained values) with one more value; a null or NaN changes nothing but n."""
         self.n += 1
-        if x is None:
-            return self.n, self.centre, self.spread, self.size
+        if x is None or x != x:
+            return self.n, self.centre, self.spread, len(self.kept)
         step = x - self.centre if self.centre is not None else None
         if step is not None and self.robust and self.spread:
             limit = self.s.step_limit * self.spread
             step = max(-limit, min(limit, step))
         self.centre = x if step is None else self.centre + self.s.alpha * step
-        self.kept[self.size] = x
-        self.size += 1
-        if self.size > self.s.retained:
-            half = np.concatenate((self.kept[1 : self.size : 2], self.kept[self.size - 1 : self.size] if self.size % 2 else self.kept[:0]))
-            self.size = len(half)
-            self.kept[: self.size] = half
-        if self.size >= 2:
-            away = np.abs(self.kept[: self.size] - self.centre)
-            if self.robust:
-                mid = self.size // 2
-                part = np.partition(away, (mid - 1, mid) if self.size % 2 == 0 else mid)
-                self.spread = float(MAD_SCALE * (part[mid] if self.size % 2 else (part[mid - 1] + part[mid]) / 2))
-            else:
-                self.spread = float(np.sqrt((away * away).sum() / (self.size - 1)))
-        return self.n, self.centre, self.spread, self.size
+        self.kept.append(x)
+        size = len(self.kept)
+        if size > self.s.retained:
+            self._hold(self.kept[1::2] + (self.kept[-1:] if size % 2 else []))
+            size = len(self.kept)
+        else:
+            insort(self.ordered, x)
+            away = x - self.mean
+            self.mean += away / size
+            self.squares += away * (x - self.mean)
+        if size >= 2 and self.robust:
+            self.spread = MAD_SCALE * middle_distance(self.ordered, self.centre)
+        elif size >= 2:
+            self.spread = ((self.squares + size * (self.mean - self.centre) ** 2) / (size - 1)) ** 0.5
+        return self.n, self.centre, self.spread, size
 
 
 def maturity(n: Column, s: Settings = DEFAULT) -> Column:

@@ -1,22 +1,34 @@
 """Online forms of the batch operators; each refuses what arrives late, as the batch forms do.
 
-State is one row for each key: it is bounded by the settings' retained values and points.
+State is bounded for each key by the settings' retained values, points and answers.  Baseline, state and
+context keep theirs in ``transformWithState`` variables, which Spark holds in RocksDB (``keep_in_rocks``).
 """
 
 from __future__ import annotations
 
 import statistics
+from bisect import insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventlens.operators.baseline import MAD_SCALE
+from eventlens.operators.baseline import DIMENSIONS, MAD_SCALE, RunningSpread
 from eventlens.operators.validation import with_violations
 from eventlens.settings import DEFAULT, Settings
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_in_rocks(spark: SparkSession) -> None:
+    """State stores in RocksDB, which ``transformWithState`` asks for, unless the session names a provider."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if not spark.conf.get(name, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(name, ROCKS)
+
 
 def stream_ingest(stream: DataFrame, delay: str = "2 hours") -> tuple[DataFrame, DataFrame]:
     """ST1: (valid events, each event_id once within the watermark of ``ts``; rejected events with their violations)."""
@@ -25,98 +37,283 @@ def stream_ingest(stream: DataFrame, delay: str = "2 hours") -> tuple[DataFrame,
     return good.drop("violations"), checked.where(F.size("violations") > 0)
 
 
-def _decimated(kept: list[float], limit: int) -> list[float]:
-    return kept if len(kept) <= limit else kept[1::2] + (kept[-1:] if len(kept) % 2 else [])
+class _Baseline(StatefulProcessor):
+    """One profile a learner: centre, spread, count, latest instant and the retained values in order of arrival."""
 
+    def __init__(self, s: Settings):
+        self.s = s
 
-def stream_baseline(stream: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """ST2: ``(learner_id, us, value)`` -> a row for each observation with centre and spread after it, or refused."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.profile = handle.getValueState("profile", "n long, last long, centre double, spread double, kept array<double>")
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        centre, spread, n, last, kept = state.get if state.exists else (None, None, 0, None, [])
-        kept, rows = list(kept), []
-        for us, x in sorted((int(r.us), float(r.value)) for b in batches for r in b.itertuples(index=False)):
-            late = last is not None and us <= last
-            if not late:
-                step = 0.0 if centre is None else x - centre
-                if spread:
-                    step = max(-s.step_limit * spread, min(s.step_limit * spread, step))
-                centre = x if centre is None else centre + s.alpha * step
-                kept = _decimated([*kept, x], s.retained)
-                spread = MAD_SCALE * statistics.median(abs(v - centre) for v in kept) if len(kept) > 1 else None
-                n, last = n + 1, us
-            rows.append((key[0], us, n, centre, spread, late))
-        state.update((centre, spread, n, last, kept))
-        yield pd.DataFrame(rows, columns=["learner_id", "us", "n", "centre", "spread", "refused"])
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n, last, centre, spread, kept = self.profile.get() if self.profile.exists() else (0, None, None, None, [])
+        fold = RunningSpread(self.s, True).resume(n, centre, spread, kept)
+        for r in sorted(rows, key=lambda r: (r["us"], r["value"] is None, r["value"] or 0.0)):
+            why = "no_learner" if key[0] is None else "late" if last is not None and r["us"] <= last else None
+            if why is None:
+                fold.add(r["value"])
+                last = r["us"]
+            yield Row(learner_id=key[0], us=r["us"], n=fold.n, centre=fold.centre, spread=fold.spread, refused=why)
+        if key[0] is not None:
+            self.profile.update((fold.n, last, fold.centre, fold.spread, fold.arrived()))
 
-    return stream.groupBy("learner_id").applyInPandasWithState(
-        advance, "learner_id string, us long, n long, centre double, spread double, refused boolean",
-        "centre double, spread double, n long, last long, kept array<double>", "append", GroupStateTimeout.NoTimeout,
+    def close(self) -> None:
+        pass
+
+
+def stream_baseline(stream: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """ST2: ``(learner_id, us, value)`` -> a row for each observation with count, centre and spread after it.
+
+    ``refused`` is null, late (not strictly after the learner's latest accepted observation) or no_learner;
+    a refused observation changes nothing, and its row shows the profile as it stood.  Within a
+    batch observations come in order of time.  ``split_refused`` parts the rows for two sinks.
+    """
+    keep_in_rocks(stream.sparkSession)
+    return stream.select("learner_id", "us", F.col("value").cast("double").alias("value")).groupBy("learner_id").transformWithState(
+        _Baseline(s), "learner_id string, us long, n long, centre double, spread double, refused string", "Append", "None"
     )
 
 
-def ladder(zs: list[float], s: Settings = DEFAULT) -> tuple[str, int]:
-    """State and run of the newest values of one dimension; the same ladder as the batch form."""
-    run, side = 0, 0.0
+def split_refused(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows without the reason, refused rows with it) of a stream of ST2 or ST3, or of one of its batches."""
+    return rows.where("refused IS NULL").drop("refused"), rows.where("refused IS NOT NULL")
+
+
+def track(zs: list[float], s: Settings = DEFAULT) -> tuple[int, float, float, str]:
+    """(run, its mean, dispersion, direction) of the measured values of one dimension, oldest first; as T2 to T5."""
+    run = 0
     for z in reversed(zs):
-        if abs(z) < s.material or (run and (z > 0) != (side > 0)):
+        if abs(z) < s.material or (run and (z > 0) != (zs[-1] > 0)):
             break
-        run, side = run + 1, z
+        run += 1
+    base = zs[-run:] if run >= 2 else zs[-5:]
+    slope = (base[-1] - base[0]) / (len(base) - 1) if len(base) >= 2 else None
+    way = "insufficient_data" if slope is None else "stable" if slope == 0 else "worsening" if (slope > 0) == (base[-1] > 0) and base[-1] != 0 else "improving"
+    mean = 0.0
+    for z in reversed(zs[len(zs) - run :]):  # newest first, as the batch form adds
+        mean += z
+    last = zs[-s.dispersion_points :]
+    spread = 0.0
+    if len(last) >= 2:
+        mid = statistics.median(last)
+        spread = MAD_SCALE * statistics.median(abs(z - mid) for z in last)
+    return run, mean / run if run else 0.0, spread, way
+
+
+def classify(zs: list[float], run: int, mean: float, way: str, s: Settings = DEFAULT) -> str:
+    """State of the dominant dimension; the same ladder as T7."""
     if len(zs) < 2:
-        return "insufficient_data", 0
+        return "insufficient_data"
     if run < s.run_length:
-        return ("stable" if run == 0 else "slight_deviation"), run
-    last = zs[-run:]
-    slope = last[-1] - last[0]
-    if abs(sum(last) / run) >= s.high_mean:
-        return "high_deviation", run
-    if slope == 0:
-        return "increasing_deviation", run
-    return ("declining" if (slope > 0) == (last[-1] > 0) else "recovering"), run
+        return "stable" if run == 0 else "slight_deviation"
+    if abs(mean) >= s.high_mean:
+        return "high_deviation"
+    return {"worsening": "declining", "improving": "recovering"}.get(way, "increasing_deviation")
 
 
-def stream_state(stream: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """ST3: ``(learner_id, us, z)`` of one dimension -> a transition for each observation that is not late."""
+class _State(StatefulProcessor):
+    """The last points of each dimension, and the learner's latest instant, state and direction."""
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, before, zs = state.get if state.exists else (None, "insufficient_data", [])
-        zs, rows = list(zs), []
-        for us, z in sorted((int(r.us), float(r.z)) for b in batches for r in b.itertuples(index=False)):
-            if last is not None and us <= last:
+    def __init__(self, s: Settings):
+        self.s = s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.points = handle.getMapState("points", "dimension string", "zs array<double>")
+        self.latest = handle.getValueState("latest", "us long, state string, direction string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, before, way = self.latest.get() if self.latest.exists() else (None, "insufficient_data", "insufficient_data")
+        held = {k[0]: list(v[0]) for k, v in self.points.iterator()}  # at most one list of points for each dimension
+        for r in sorted(rows, key=lambda r: r["us"]):
+            why = "no_learner" if key[0] is None else "late" if last is not None and r["us"] <= last else None
+            if why:
+                yield Row(learner_id=key[0], us=r["us"], from_state=None, to_state=None, run=None, dimension=None, direction=None, refused=why)
                 continue
-            zs, last = [*zs, z][-s.points :], us
-            now, run = ladder(zs, s)
-            rows.append((key[0], us, before, now, run))
-            before = now
-        state.update((last, before, zs))
-        yield pd.DataFrame(rows, columns=["learner_id", "us", "from_state", "to_state", "run"])
+            for d in r["deviations"] or []:
+                if d["dimension"] in DIMENSIONS:  # a point without z takes a place
+                    held[d["dimension"]] = [*held.get(d["dimension"], []), d["z"]][-self.s.points :]
+            best, name, zs, found = None, None, [], (0, 0.0, 0.0, "insufficient_data")
+            for i, dimension in enumerate(DIMENSIONS):
+                now = [z for z in held.get(dimension, []) if z is not None]
+                if now:
+                    got = track(now, self.s)
+                    rank = (got[0], abs(got[1]), got[2], -i)
+                    if best is None or rank > best:
+                        best, name, zs, found = rank, dimension, now, got
+            run, mean, _, toward = found
+            state = classify(zs, run, mean, toward, self.s)
+            way = toward if toward != "insufficient_data" else way
+            last = r["us"]
+            yield Row(
+                learner_id=key[0], us=last, from_state=before, to_state=state, run=0 if state == "insufficient_data" else run, dimension=name, direction=way, refused=None
+            )
+            before = state
+        if key[0] is not None and last is not None:
+            for dimension, zs in held.items():
+                self.points.updateValue((dimension,), (zs,))
+            self.latest.update((last, before, way))
 
-    return stream.groupBy("learner_id").applyInPandasWithState(
-        advance, "learner_id string, us long, from_state string, to_state string, run long", "last long, before string, zs array<double>", "append", GroupStateTimeout.NoTimeout
+    def close(self) -> None:
+        pass
+
+
+def stream_state(stream: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """ST3: ``(learner_id, us, deviations)`` -> a transition for each observation, over all four dimensions.
+
+    ``deviations`` is an array of (dimension, z) that one instant brings; a null z holds a place among
+    the points but measures nothing, other dimensions are passed over.  The dominant dimension is
+    chosen as by T6; direction is carried where nothing can be measured.  ``refused`` as in ST2.
+    """
+    keep_in_rocks(stream.sparkSession)
+    only = F.transform("deviations", lambda d: F.struct(d["dimension"].alias("dimension"), d["z"].cast("double").alias("z")))
+    return stream.select("learner_id", "us", only.alias("deviations")).groupBy("learner_id").transformWithState(
+        _State(s), "learner_id string, us long, from_state string, to_state string, run long, dimension string, direction string, refused string", "Append", "None"
     )
 
 
-def stream_context(stream: DataFrame, s: Settings = DEFAULT, idle_ms: int = 86_400_000) -> DataFrame:
-    """ST4: ``(learner_id, session_id, ts, us, event_type)`` -> session progress after each batch; a session closes on
-    session_ended, or when event time passes its last event by ``idle_ms``."""
+#: What ST4 returns after the two keys.
+CONTEXT_OUT = (
+    "event_count long, last_us long, elapsed_seconds double, position double, start_inferred boolean, has_ended boolean, content_kind string, content_ref string, content_difficulty double, "
+    "answer_count int, correct_count int, recent_accuracy double, recent_response double, interventions long, last_intervention_type string, last_intervention_us long, last_outcome string, "
+    "seconds_since_last double, in_cooldown boolean, cooldown_remaining double, closed boolean"
+)
+_CONTENT = {"question_started": "question", "video_started": "video", "content_opened": "content"}
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, n, ended = state.get if state.exists else (None, None, 0, False)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(*key, n, (last - first) / 1e6, True)], columns=["learner_id", "session_id", "event_count", "elapsed_seconds", "closed"])
-            return
-        for b in batches:
-            lo, hi = int(b["us"].min()), int(b["us"].max())
-            first, last, n = (lo if first is None else min(first, lo)), (hi if last is None else max(last, hi)), n + len(b)
-            ended = ended or bool((b["event_type"] == "session_ended").any())
-        state.update((first, last, n, ended))
-        state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(*key, n, (last - first) / 1e6, ended)], columns=["learner_id", "session_id", "event_count", "elapsed_seconds", "closed"])
-
-    return stream.withWatermark("ts", "2 hours").groupBy("learner_id", "session_id").applyInPandasWithState(
-        advance, "learner_id string, session_id string, event_count long, elapsed_seconds double, closed boolean", "first long, last long, n long, ended boolean", "update", GroupStateTimeout.EventTimeTimeout
+
+class _Context(StatefulProcessor):
+    """A session's context as order-free records: earliest, latest and newest of each kind by (us, event_id)."""
+
+    def __init__(self, s: Settings, idle_ms: int, id_kind: str, key_kind: str):
+        self.s, self.idle_ms, self.id_kind, self.key_kind = s, idle_ms, id_kind, key_kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        at = f"us long, id {self.id_kind}"
+        self.handle = handle
+        self.progress = handle.getValueState("progress", f"n long, starts long, first struct<{_fields(at)},kind:string>, last struct<{_fields(at)}>, mark struct<{_fields(at)},kind:string>")
+        self.content = handle.getValueState("content", f"{at}, kind string, ref string, difficulty double")
+        self.start = handle.getValueState("start", f"{at}, kind string, intervention_id {self.key_kind}")
+        self.answers = handle.getListState("answers", f"{at}, correct int, seconds double")
+        self.completions = handle.getMapState("completions", f"intervention_id {self.key_kind}", f"{at}, outcome string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n, starts, first, last, mark = self.progress.get() if self.progress.exists() else (0, 0, None, None, None)
+        content = tuple(self.content.get()) if self.content.exists() else None
+        start = tuple(self.start.get()) if self.start.exists() else None
+        answers = [tuple(a) for a in self.answers.get()] if self.answers.exists() else []
+        first, last, mark = (tuple(x) if x is not None else None for x in (first, last, mark))
+        done: dict = {}
+        answered = moved = False
+        for r in rows:
+            at, kind = (r["us"], r["event_id"]), r["event_type"]
+            n += 1
+            first = min(first or (*at, kind), (*at, kind))
+            last = max(last or at, at)
+            if kind in ("session_started", "session_ended"):
+                mark = max(mark or (*at, kind), (*at, kind))
+            elif kind in _CONTENT:
+                record = (*at, _CONTENT[kind], r["question_id"] if kind == "question_started" else r["content_id"], r["difficulty"])
+                if content is None or at > content[:2]:
+                    content, moved = record, True
+            elif kind == "question_answered":
+                insort(answers, (*at, int(bool(r["correct"])), r["response_seconds"]), key=lambda a: a[:2])
+                del answers[: -self.s.recent_answers]
+                answered = True
+            elif kind == "intervention_started":
+                starts += 1
+                if start is None or at > start[:2]:
+                    start = (*at, r["intervention_type"], r["intervention_id"])
+            elif kind == "intervention_completed" and r["intervention_id"] is not None:
+                k = (r["intervention_id"],)
+                before = done.get(k) or (tuple(self.completions.getValue(k)) if self.completions.containsKey(k) else None)
+                done[k] = min(before, (*at, r["outcome"]), key=lambda d: d[:2]) if before else (*at, r["outcome"])
+        ended = mark is not None and mark[2] == "session_ended"
+        self.progress.update((n, starts, first, last, mark))
+        if moved:
+            self.content.update(content)
+        if start is not None:
+            self.start.update(start)
+        if answered:
+            self.answers.put(answers)
+        for k, d in done.items():
+            self.completions.updateValue(k, d)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        # an ended session waits only for what may still arrive late
+        self.handle.registerTimer(max(last[0] // 1000 + (1 if ended else self.idle_ms), timerValues.getCurrentWatermarkInMs() + 1))
+        yield self.row(key, n, starts, first, last, ended, content, start, answers, ended)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        n, starts, first, last, mark = self.progress.get()
+        if mark is None or mark[2] != "session_ended":  # an ended one was reported as closed
+            content = tuple(self.content.get()) if self.content.exists() else None
+            start = tuple(self.start.get()) if self.start.exists() else None
+            yield self.row(key, n, starts, tuple(first), tuple(last), False, content, start, [tuple(a) for a in self.answers.get()] if self.answers.exists() else [], True)
+        for state in (self.progress, self.content, self.start, self.answers, self.completions):
+            state.clear()
+
+    def row(self, key: tuple, n, starts, first, last, ended, content, start, answers, closed) -> Row:
+        elapsed = (last[0] - first[0]) / 1e6
+        right, timed = sum(a[2] for a in answers), all(a[3] is not None for a in answers)
+        since = (last[0] - start[0]) / 1e6 if start else None
+        cool = since is not None and since < self.s.context_cooldown
+        outcome = None
+        if start and start[3] is not None and self.completions.containsKey((start[3],)):
+            outcome = self.completions.getValue((start[3],))[2]
+        return Row(
+            learner_id=key[0], session_id=key[1], event_count=n, last_us=last[0], elapsed_seconds=elapsed, position=max(0.0, min(1.0, elapsed / self.s.expected_session)),
+            start_inferred=first[2] != "session_started", has_ended=ended, content_kind=content and content[2], content_ref=content and content[3], content_difficulty=content and content[4],
+            answer_count=len(answers), correct_count=right, recent_accuracy=right / len(answers) if answers else None,
+            recent_response=sum(a[3] for a in answers) / len(answers) if answers and timed else None,
+            interventions=starts, last_intervention_type=start and start[2], last_intervention_us=start and start[0], last_outcome=outcome, seconds_since_last=since,
+            in_cooldown=cool, cooldown_remaining=self.s.context_cooldown - since if cool else None, closed=closed,
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def _fields(ddl: str) -> str:
+    return ",".join(x.strip().replace(" ", ":", 1) for x in ddl.split(","))
+
+
+CONTEXT_IN = ("event_type", "question_id", "content_id", "difficulty", "correct", "response_seconds", "intervention_id", "intervention_type", "outcome")
+
+
+def stream_context(stream: DataFrame, s: Settings = DEFAULT, idle_ms: int = 86_400_000, delay: str = "2 hours") -> DataFrame:
+    """ST4: events of known sessions -> the running context (C1 to C4) of each session that a batch touches.
+
+    A row holds what the batch forms give at the last event of those that have arrived, in whatever
+    order they came.  A session is reported as closed when session_ended is its last mark, and once the
+    watermark of ``ts`` (``delay`` behind the newest) passes its last event by ``idle_ms``; then its
+    state goes.  Events behind the watermark are dropped.  Timers expire sessions rather than a TTL, which
+    Spark offers for processing time only.  Sessions are keyed by learner_id and session_id.
+    """
+    keep_in_rocks(stream.sparkSession)
+    kinds = dict(stream.dtypes)
+    cols = [F.col(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in CONTEXT_IN]
+    double = {c: F.col(c).cast("double") for c in ("difficulty", "response_seconds")}
+    events = stream.select("learner_id", "session_id", "ts", "us", "event_id", *cols).withColumns(double)
+    held = _Context(s, idle_ms, kinds["event_id"], kinds.get("intervention_id", "string"))
+    return events.withWatermark("ts", delay).groupBy("learner_id", "session_id").transformWithState(held, f"learner_id string, session_id string, {CONTEXT_OUT}", "Update", "EventTime")
+
+
+def stream_sessions(stream: DataFrame, gap: str = "24 hours", delay: str = "2 hours") -> DataFrame:
+    """ST4 for streams without session ids: sessions end at ``gap`` without an event of the learner.
+
+    One row for each session once the watermark passes its end: progress, answers, newest content and
+    newest intervention.  Spark merges session windows; no state of ours is kept.
+    """
+    kind: Column = F.col("event_type")
+    is_ = lambda *t: kind.isin(*t)
+    at = F.struct("us", "event_id")
+    got = stream.withWatermark("ts", delay).groupBy("learner_id", F.session_window("ts", gap).alias("w")).agg(
+        F.count("*").alias("event_count"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
+        F.count_if(is_("question_answered")).alias("answers"), F.count_if(is_("question_answered") & F.coalesce(F.col("correct"), F.lit(False))).alias("correct"),
+        F.max_by(F.when(is_(*_CONTENT), kind), F.when(is_(*_CONTENT), at)).alias("content_event"), F.max_by(F.col("difficulty"), F.when(is_(*_CONTENT), at)).alias("content_difficulty"),
+        F.count_if(is_("intervention_started")).alias("interventions"), F.max_by(F.col("intervention_type"), F.when(is_("intervention_started"), at)).alias("last_intervention_type"),
     )
+    return got.select("learner_id", "first_us", "event_count", ((F.col("last_us") - F.col("first_us")) / 1e6).alias("elapsed_seconds"), "answers", "correct", "content_event", "content_difficulty", "interventions", "last_intervention_type")
 
 
 def stream_caps(stream: DataFrame, s: Settings = DEFAULT) -> DataFrame:

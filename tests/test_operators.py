@@ -72,9 +72,10 @@ def states(spark, zs, s=DEFAULT, dim="accuracy"):
 def test_ladder_of_states(spark, zs, state, direction):
     rows, df = states(spark, zs)
     assert rows[-1]["state"] == state and (direction is None or rows[-1]["direction"] == direction)
-    from eventlens.streaming.processors import ladder
+    from eventlens.streaming.processors import classify, track
 
-    assert ladder([z for z in zs if z is not None])[0] == state
+    run, mean, _, way = track([z for z in zs if z is not None])
+    assert classify([z for z in zs if z is not None], run, mean, way) == state
 
 
 def test_trajectory_once_and_points_bounded(spark):
