@@ -6,16 +6,22 @@ a reading is ``prediction_id, reading_learner, reading_us, value``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventlens.operators.baseline import DIMENSIONS, baseline_observations, deviation
+from eventlens.operators.context import end_of_session
+from eventlens.operators.features import compute_features
 from eventlens.operators.outcomes import ACTIVITY, interval_join
-from eventlens.operators.temporal import direction, sign_run
+from eventlens.operators.temporal import state_history, temporal_state
 from eventlens.settings import DEFAULT, Settings
 
 #: Claims that count as positive for the decline target.
 POSITIVE = ("declining", "increasing_deviation", "high_deviation")
 
+#: Most candidates of a catalogue.
+CATALOGUE_MOST = 1000
+
 
 def prediction_snapshots(predictions: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds window_end; resolved predictions only, claims of the vocabulary of their target."""
@@ -37,24 +43,46 @@ def evidence_counts(snapshots: DataFrame, events: DataFrame, s: Settings = DEFAU
     return snapshots.join(n, "prediction_id", "left").na.fill(0, ["evidence"])
 
 
-def post_window_reading(snapshots: DataFrame, events: DataFrame, profiles: DataFrame, s: Settings = DEFAULT, least: int = 3) -> DataFrame:
-    """Direction of response deviations over two chunks of the in-window events, against the frozen profile.
+def frozen_profiles(snapshots: DataFrame, folded: DataFrame) -> DataFrame:
+    """(prediction_id, dimension, centre, spread, n): each learner's profile as it stood at the prediction.
 
-    Events are split in time order into chunks of max(least, ceil(n / 2)); chunks of fewer than ``least``
-    are dropped and both must remain.  ``profiles(learner_id, centre, spread)`` of response seconds; a
-    chunk's value is its mean response.
+    ``folded`` has a row for each version of a profile (B3: learner_id, dimension, us, centre, spread, n).  An
+    as-of join by one sort of a learner's versions and predictions, not a join of each with each.
     """
-    from pyspark.sql import Window
-
-    j = admissible_events(snapshots, events, s)
-    w = Window.partitionBy("prediction_id").orderBy("us", "event_id")
-    n = F.count("*").over(Window.partitionBy("prediction_id"))
-    chunk = F.floor((F.row_number().over(w) - 1) / F.greatest(F.lit(least), F.ceil(n / 2)))
-    parts = j.withColumn("chunk", chunk).groupBy("prediction_id", "learner_id", "chunk").agg(F.count("*").alias("n"), F.avg("response_seconds").alias("value"), F.max("us").alias("us")).where(F.col("n") >= least)
-    z = parts.join(profiles.select("learner_id", "centre", "spread"), "learner_id").withColumn("z", F.when(F.col("spread") > 0, (F.col("value") - F.col("centre")) / F.col("spread")))
-    g = z.groupBy("prediction_id", F.col("learner_id").alias("reading_learner")).agg(F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.struct("chunk", "z"))).alias("zs"), F.max("us").alias("reading_us"))
-    g = g.where("chunks = 2").withColumn("zs", F.transform(F.filter("zs", lambda x: x["z"].isNotNull()), lambda x: x["z"]))
-    return g.select("prediction_id", "reading_learner", "reading_us", direction(F.col("zs")).alias("value"), sign_run(F.col("zs"), s)["run"].alias("run"))
+    asked = snapshots.select("learner_id", F.col("predicted_us").alias("us"), "prediction_id").withColumn("dimension", F.explode(F.array(*map(F.lit, DIMENSIONS))))
+    known = folded.select("learner_id", "dimension", "us", F.struct("centre", "spread", "n").alias("_p"))
+    w = Window.partitionBy("learner_id", "dimension").orderBy("us", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = known.withColumn("_asks", F.lit(0)).unionByName(asked.withColumn("_asks", F.lit(1)), allowMissingColumns=True)
+    held = both.withColumn("_p", F.last("_p", True).over(w)).where("_asks = 1 AND _p IS NOT NULL")
+    return held.select("prediction_id", "dimension", "_p.*")
+
+
+def window_chunks(snapshots: DataFrame, events: DataFrame, s: Settings = DEFAULT, least: int = 3) -> DataFrame:
+    """Admissible events with ``chunk``: in time order by max(least, ceil(n / 2)); predictions with fewer than two chunks' events have none."""
+    w = Window.partitionBy("prediction_id")
+    n = F.count("*").over(w)
+    chunk = F.floor((F.row_number().over(w.orderBy("us", "event_id")) - 1) / F.greatest(F.lit(least), F.ceil(n / 2)))
+    j = admissible_events(snapshots, events, s).withColumns({"chunk": chunk, "_n": n}).where(F.col("_n") >= 2 * least)
+    return j.withColumn("_c", F.count("*").over(Window.partitionBy("prediction_id", "chunk"))).where(F.col("_c") >= least).drop("_n", "_c")
+
+
+def post_window_reading(snapshots: DataFrame, events: DataFrame, folded: DataFrame, s: Settings = DEFAULT, least: int = 3) -> DataFrame:
+    """(prediction_id, reading_learner, reading_us, value, state, direction, observations) of what followed a prediction.
+
+    A new temporal state, from in-window events only: each chunk is a session of its own, whose features are
+    held against the learner's profile frozen at the prediction, in all four dimensions.  ``value`` is
+    the direction where the target is one, else the state; it is insufficient_data where nothing can be
+    measured (no profile, no spread).  Predictions whose events make no two chunks have no row.
+    """
+    parts = window_chunks(snapshots, events, s, least)
+    key = F.concat_ws(":", F.col("prediction_id").cast("string"), F.col("chunk").cast("string"))
+    vectors = end_of_session(compute_features(parts.withColumn("session_id", key), s))
+    seen = baseline_observations(vectors, ["prediction_id"]).where("NOT rejected")
+    z = seen.join(frozen_profiles(snapshots, folded), ["prediction_id", "dimension"], "left")
+    dev = z.select(F.col("prediction_id").alias("learner_id"), "us", "dimension", deviation(F.col("value"), F.col("centre"), F.col("spread"), F.col("n"))[1].alias("z"), F.coalesce("n", F.lit(0)).alias("n"))
+    state = temporal_state(state_history(dev, s)).select(F.col("learner_id").alias("prediction_id"), F.col("us").alias("reading_us"), "state", "direction", "observations")
+    about = snapshots.select("prediction_id", F.col("learner_id").alias("reading_learner"), "target")
+    return about.join(state, "prediction_id").withColumn("value", F.when(F.col("target") == "direction", F.col("direction")).otherwise(F.col("state"))).drop("target")
 
 
 def ground_truth(snapshots: DataFrame, readings: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -130,15 +158,21 @@ def response_profiles(observations: DataFrame, s: Settings = DEFAULT) -> DataFra
 
 
 def rank_candidates(profiles: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Each learner and context's candidates by success rate (0.5 unless active), then in catalogue order."""
-    from pyspark.sql import Window
+    """Each learner and context's candidates by success rate (0.5 unless active), then in catalogue order.
 
-    base = profiles.select("learner_id", "context").distinct().withColumn("_j", F.lit(1))
-    every = base.join(F.broadcast(catalogue.withColumn("_j", F.lit(1))), "_j").drop("_j")
-    j = every.join(profiles.select("learner_id", "context", "candidate", "status", "success_rate"), ["learner_id", "context", "candidate"], "left")
-    j = j.withColumn("score", F.coalesce(F.when(F.col("status") == "active", F.col("success_rate")), F.lit(0.5)))
+    The catalogue is what may be offered: a bounded list, counted before it goes to the tasks.  Each
+    learner and context is one row with its profiles in a map, and the list is unfolded beside it.
+    """
+    offered = catalogue.orderBy("priority").limit(CATALOGUE_MOST + 1).collect()
+    if len(offered) > CATALOGUE_MOST:
+        raise ValueError(f"a catalogue has at most {CATALOGUE_MOST} candidates")
+    rate = F.when(F.col("status") == "active", F.col("success_rate"))
+    known = profiles.groupBy("learner_id", "context").agg(F.map_from_entries(F.collect_list(F.struct("candidate", rate.alias("r")))).alias("_rates"))
+    cells = F.array(*[F.struct(F.lit(r["candidate"]).alias("candidate"), F.lit(r["priority"]).alias("priority")) for r in offered])
+    each = known.select("learner_id", "context", "_rates", F.inline(cells))
+    scored = each.withColumn("score", F.coalesce(F.try_element_at("_rates", F.col("candidate")), F.lit(0.5)))
     w = Window.partitionBy("learner_id", "context").orderBy(F.desc("score"), "priority")
-    return j.withColumn("rank", F.row_number().over(w)).select("learner_id", "context", "candidate", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).select("learner_id", "context", "candidate", "score", "rank")
 
 
 def profiles_for(profiles: DataFrame, learner: str) -> DataFrame:

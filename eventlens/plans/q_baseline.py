@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from eventlens.operators import baseline as B
@@ -140,6 +142,17 @@ traj AS (
   FROM trk WHERE observed AND run = 3 QUALIFY row_number() OVER (PARTITION BY learner_id, dimension ORDER BY us DESC) <= 2)
 """
 
+_TRACK_NAMES = ("pts", "grid", "g1", "g2", "g3", "g4", "g5", "trk", "dom", "st0", "st", "traj")
+
+
+def track_of(source: str, suffix: str) -> str:
+    """The same over other deviations: CTEs to follow one that defines ``source``, each name with ``suffix``."""
+    tail = TRACK[len(FOLD) :]
+    for name in _TRACK_NAMES:
+        tail = re.sub(rf"\b{name}\b", name + suffix, tail)
+    return re.sub(r"\bdev\b", source, tail)
+
+
 _PRIORS = FOLD + """, mid AS (SELECT dimension, median(x) AS c, count(*) AS n_reference FROM ob GROUP BY 1),
 priors AS (SELECT dimension, n_reference, c AS prior_centre, 1.4826 * median(abs(x - c)) AS prior_spread FROM ob JOIN mid USING (dimension) GROUP BY ALL HAVING prior_spread > 0)
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from eventlens.operators import context as C
@@ -105,6 +107,17 @@ feat AS (
 fin AS (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY us DESC, event_id DESC) = 1)
 """
 
+_CTX_NAMES = ("c1", "ansr", "perf", "tr", "done", "out1", "ctx", "feat", "fin")
+
+
+def context_of(source: str, suffix: str) -> str:
+    """The same over another log: CTEs to follow one that defines ``source``, each name with ``suffix``."""
+    tail = CTX[len(CANON) :]
+    for name in _CTX_NAMES:
+        tail = re.sub(rf"\b{name}\b", name + suffix, tail)
+    return re.sub(r"\bev\b", source, tail)
+
+
 LONG = CTX + """, long AS (
   SELECT session_id, name, value, origin_label, has, reason FROM fin, LATERAL (VALUES
    ('session_elapsed_seconds', NULL, true, NULL), ('session_position', NULL, true, NULL), ('session_event_count', event_count || '.000000', true, NULL),

@@ -8,7 +8,8 @@ from eventlens.operators import evaluation as E
 from eventlens.operators import outcomes as O
 from eventlens.operators import policy as P
 from eventlens.plans.canon import events, pick, r6, shared, steady
-from eventlens.plans.q_baseline import TRACK, history
+from eventlens.plans.q_baseline import TRACK, folded, history, track_of
+from eventlens.plans.q_context import context_of
 from eventlens.settings import SPARSE
 
 
@@ -52,11 +53,6 @@ def snapshots(s, d):
     return E.evidence_counts(predictions(s, d).withColumn("window_end", F.col("predicted_us") + int(SPARSE.horizon * 1e6)), log(s, d), SPARSE)
 
 
-def profiles(s, d):
-    answers = events(s, d).where("event_type = 'question_answered'")
-    return answers.groupBy("learner_id").agg(F.avg("response_seconds").alias("centre"), F.stddev_samp("response_seconds").alias("spread"))
-
-
 def readings(s, d):
     """Readings by rule, for the ladder: by the prediction's number some are missing, foreign, early or late."""
     k = F.col("k")
@@ -110,7 +106,7 @@ QUERIES = {
     "o12_outcome_coverage": lambda s, d: O.outcome_coverage(measured(s, d)),
     "e1_prediction_snapshots": lambda s, d: E.prediction_snapshots(predictions(s, d), SPARSE).select("prediction_id", "target", "claim", "window_end"),
     "e2_admissible_events": lambda s, d: snapshots(s, d).select("prediction_id", "evidence"),
-    "e3_post_window_reading": lambda s, d: E.post_window_reading(snapshots(s, d), log(s, d), profiles(s, d), SPARSE).select("prediction_id", "reading_us", "value"),
+    "e3_post_window_reading": lambda s, d: E.post_window_reading(snapshots(s, d), log(s, d), folded(s, d), SPARSE).select("prediction_id", "reading_us", "value", "state", "direction", "observations"),
     "e4_ground_truth": lambda s, d: truths(s, d).select("prediction_id", "truth", "truth_reason"),
     "e5_evaluate": lambda s, d: E.evaluate(truths(s, d)).select("prediction_id", "verdict", "cell"),
     "e6_intervention_response": lambda s, d: E.intervention_response(measured(s, d)),
@@ -181,6 +177,29 @@ evl AS (
 rec AS (SELECT e.*, r.response FROM evl e LEFT JOIN (SELECT session_id, min(intervention_id) AS intervention_id FROM dels GROUP BY 1) f USING (session_id) LEFT JOIN resp r ON r.intervention_id = f.intervention_id)
 """
 
+#: What followed each prediction: chunks as sessions, their features against the profile as it stood, and the state over both.
+READING = """, ch AS (
+  SELECT * FROM (
+    SELECT a.prediction_id, e.* REPLACE (a.event_id AS event_id), (row_number() OVER w - 1) // greatest(3, (count(*) OVER p + 1) // 2) AS c, count(*) OVER p AS total
+    FROM adm a JOIN ev e ON e.event_id = a.event_id WINDOW p AS (PARTITION BY a.prediction_id), w AS (PARTITION BY a.prediction_id ORDER BY a.us, a.event_id))
+  WHERE total >= 6),
+ev_rd AS (SELECT * REPLACE (prediction_id * 1000000000 + event_id AS event_id, prediction_id || ':' || c AS session_id) FROM ch)""" + context_of("ev_rd", "_rd").rstrip() + """,
+obs_rd AS (
+  SELECT prediction_id, learner_id, us, dimension, value
+  FROM fin_rd, LATERAL (VALUES ('accuracy', recent_accuracy, 1.0), ('response_seconds', recent_response, 86400.0), ('session_seconds', elapsed, 86400.0), ('content_difficulty', CAST(content_difficulty AS DOUBLE), 1.0)) v(dimension, value, hi)
+  WHERE value BETWEEN 0 AND hi),
+froz AS (
+  SELECT p.prediction_id, v.dimension, f.centre, f.spread, f.n
+  FROM prd p CROSS JOIN (VALUES ('accuracy'), ('response_seconds'), ('session_seconds'), ('content_difficulty')) v(dimension)
+  ASOF JOIN fold f ON f.learner_id = p.learner_id AND f.dimension = v.dimension AND f.us <= p.pus),
+dev_rd AS (
+  SELECT CAST(o.prediction_id AS VARCHAR) AS learner_id, o.us, o.dimension, coalesce(f.n, 0) AS n, CASE WHEN f.n >= 2 AND f.spread > 0 THEN (o.value - f.centre) / f.spread END AS z
+  FROM obs_rd o LEFT JOIN froz f ON f.prediction_id = o.prediction_id AND f.dimension = o.dimension)""" + track_of("dev_rd", "_rd").rstrip() + """,
+last_rd AS (
+  SELECT CAST(learner_id AS BIGINT) AS prediction_id, us, state, direction, observations FROM st_rd
+  QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY us DESC) = 1)
+"""
+
 _SUM = """count(*) AS n, count(*) FILTER (WHERE verdict = 'correct') AS n_correct, count(*) FILTER (WHERE verdict = 'incorrect') AS n_incorrect, count(*) FILTER (WHERE verdict = 'not_assessable') AS n_not_assessable,
   count(*) FILTER (WHERE cell = 'tp') AS tp, count(*) FILTER (WHERE cell = 'fp') AS fp, count(*) FILTER (WHERE cell = 'tn') AS tn, count(*) FILTER (WHERE cell = 'fn') AS fn, count(DISTINCT learner_id) AS learners,
   count(*) FILTER (WHERE response = 'improvement') AS response_improvement, count(*) FILTER (WHERE response = 'deterioration') AS response_deterioration, count(*) FILTER (WHERE response = 'no_change') AS response_no_change,
@@ -203,12 +222,7 @@ ORACLES = {
     "o12_outcome_coverage": OUT + "SELECT measure, direction, status, count(*) AS n FROM meas GROUP BY GROUPING SETS ((measure, direction), (measure, status))",
     "e1_prediction_snapshots": OUT + "SELECT prediction_id, target, claim, wend AS window_end FROM prd WHERE pstatus = 'resolved'",
     "e2_admissible_events": OUT + "SELECT prediction_id, evidence FROM snp",
-    "e3_post_window_reading": OUT + """, ch AS (SELECT *, (row_number() OVER (PARTITION BY prediction_id ORDER BY us, event_id) - 1) // greatest(3, (count(*) OVER (PARTITION BY prediction_id) + 1) // 2) AS c FROM adm),
-p AS (SELECT prediction_id, learner_id, c, avg(response_seconds) AS v, max(us) AS us FROM ch GROUP BY 1, 2, 3 HAVING count(*) >= 3),
-pf AS (SELECT learner_id, avg(response_seconds) AS m, stddev_samp(response_seconds) AS sd FROM ev WHERE event_type = 'question_answered' GROUP BY 1),
-zz AS (SELECT prediction_id, c, us, (v - m) / sd AS z FROM p JOIN pf USING (learner_id)),
-g AS (SELECT prediction_id, max(us) AS reading_us, count(*) AS n, max(z) FILTER (WHERE c = 0) AS z0, max(z) FILTER (WHERE c = 1) AS z1 FROM zz GROUP BY 1)
-SELECT prediction_id, reading_us, CASE WHEN z0 IS NULL OR z1 IS NULL THEN 'insufficient_data' WHEN z1 = z0 THEN 'stable' WHEN sign(z1 - z0) = sign(z1) THEN 'worsening' ELSE 'improving' END AS value FROM g WHERE n = 2""",
+    "e3_post_window_reading": OUT + READING + "SELECT p.prediction_id, r.us AS reading_us, CASE p.target WHEN 'direction' THEN direction ELSE state END AS value, state, direction, observations FROM last_rd r JOIN prd p ON p.prediction_id = r.prediction_id",
     "e4_ground_truth": OUT + "SELECT prediction_id, truth, split_part(tr, '|', 2) AS truth_reason FROM evl",
     "e5_evaluate": OUT + "SELECT prediction_id, verdict, cell FROM evl",
     "e6_intervention_response": OUT + "SELECT intervention_id, response FROM resp",

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.plans.canon import CANON, events, micros, r6, steady
 from eventlens.plans.q_baseline import FOLD, TRACK, deviations
-from eventlens.plans.q_context import CTX
+from eventlens.plans.q_context import context_of
 from eventlens.plans.q_policy import DEC, decisions, deliveries
 from eventlens.settings import SPARSE
 from eventlens.sources.shared import shared_path
@@ -158,15 +156,10 @@ UNION ALL SELECT learner_id, us, NULL, NULL, NULL, NULL, NULL, 'late' FROM seen
 
 def st4_sql() -> str:
     """C1 to C4 at the end of each session over what has arrived by each run, for the sessions that the run touches."""
-    names = ("c1", "ansr", "perf", "tr", "done", "out1", "ctx", "feat", "fin")
     text = CANON + f", evp AS (SELECT *, {_PART.format(late='event_id % 7 = 0')} AS arrival FROM ev)"
     parts = []
     for at in range(PARTS + 1):
-        tail = CTX[len(CANON):]
-        for name in names:
-            tail = re.sub(rf"\b{name}\b", f"{name}_{at}", tail)
-        tail = re.sub(r"\bev\b", f"ev_{at}", tail)
-        text += f", ev_{at} AS (SELECT * FROM evp WHERE arrival <= {at})" + tail
+        text += f", ev_{at} AS (SELECT * FROM evp WHERE arrival <= {at})" + context_of(f"ev_{at}", f"_{at}")
         parts.append(f"""SELECT session_id, {at} AS arrival, event_count, true AS start_inferred, false AS has_ended, content_kind, content_ref, content_difficulty, CAST(answer_count AS INTEGER) AS answer_count,
   interventions, last_intervention_type, last_outcome, coalesce(since < 43200, false) AS in_cooldown, round(elapsed, 6) AS elapsed_seconds, round(position, 6) AS position, round(recent_accuracy, 6) AS recent_accuracy,
   round(recent_response, 6) AS recent_response, round(since, 6) AS seconds_since_last, CASE WHEN since < 43200 THEN round(43200 - since, 6) END AS cooldown_remaining
