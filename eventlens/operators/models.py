@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.functions.columns import UNIT
 from eventlens.functions.medians import block_median
 from eventlens.operators.features import CATEGORICAL, FEATURES
 
@@ -88,16 +87,13 @@ def column_reference(design: DataFrame, columns: list[str]) -> DataFrame:
 
 @dataclass
 class Fitted:
-    """A fitted pipeline, its columns and the training medians."""
+    """A fitted pipeline or its numbers, its columns, the training medians, the feature set it takes and its threshold."""
 
     model: object
     columns: list[str]
     reference: dict[str, float]
-
-    def digest(self) -> str:
-        import hashlib
-
-        return hashlib.sha256(UNIT.join(self.columns).encode()).hexdigest()
+    feature_set: str = "1"
+    threshold: float = 0.5
 
 
 @dataclass(frozen=True)
@@ -115,8 +111,8 @@ class Logistic:
         p = 1 / (1 + F.exp(-z))
         return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
 
-    def fitted(self, reference: dict[str, float]) -> Fitted:
-        return Fitted(self, list(self.weights), reference)
+    def fitted(self, reference: dict[str, float], feature_set: str = "1", threshold: float = 0.5) -> Fitted:
+        return Fitted(self, list(self.weights), reference, feature_set, threshold)
 
 
 def train(design: DataFrame, columns: list[str], label: str = "label", algorithm: str = "logistic", holdout: DataFrame | None = None) -> Fitted:
@@ -142,12 +138,29 @@ def train(design: DataFrame, columns: list[str], label: str = "label", algorithm
     return Fitted(model, columns, column_reference(design, columns).first().asDict())
 
 
-def score(df: DataFrame, fitted: Fitted, threshold: float = 0.5) -> DataFrame:
-    """M6: adds probability and predicted; rows that lack a column's value get neither, and a refusal."""
+def logistic_numbers(fitted: Fitted) -> Logistic:
+    """A trained logistic pipeline on its own columns: weights and intercept without the standardisation."""
+    scaler, fit = fitted.model.stages[1], fitted.model.stages[2]
+    weights = [float(w) / float(d) if d else 0.0 for w, d in zip(fit.coefficients, scaler.std)]
+    return Logistic(dict(zip(fitted.columns, weights)), float(fit.intercept) - sum(w * float(m) for w, m in zip(weights, scaler.mean)))
+
+
+def score(df: DataFrame, fitted: Fitted, threshold: float | None = None) -> DataFrame:
+    """M6: adds probability and predicted; rows that lack a column's value get neither, and a refusal.
+
+    A frame with ``feature_set`` must hold one version only, the model's: a mixed batch is an error.
+    """
     from pyspark.ml.functions import vector_to_array
 
+    threshold = fitted.threshold if threshold is None else threshold
     if lacking := [c for c in fitted.columns if c not in df.columns]:
         raise ValueError(f"feature set mismatch: {lacking}")
+    if "feature_set" in df.columns:
+        kinds = [r[0] for r in df.select("feature_set").distinct().limit(2).collect()]
+        if len(kinds) > 1:
+            raise ValueError("a batch mixes versions of the feature set")
+        if kinds and kinds != [fitted.feature_set]:
+            raise ValueError(f"the model takes feature set {fitted.feature_set}, not {kinds[0]}")
     absent = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNull() | F.isnan(f"`{c}`"), F.lit(c)) for c in fitted.columns]))
     df = df.withColumn("absent", absent)
     done = fitted.model.transform(df.where(F.size("absent") == 0)).withColumn("p", vector_to_array("probability")[1]).select(*df.columns, F.col("p").alias("probability"))
@@ -155,23 +168,6 @@ def score(df: DataFrame, fitted: Fitted, threshold: float = 0.5) -> DataFrame:
     return every.withColumns({"predicted": (F.col("probability") >= threshold).cast("int"), "refusal": F.when(F.size("absent") > 0, F.concat(F.lit("absent:"), F.array_join("absent", ",")))}).drop("absent")
 
 
-def save_model(fitted: Fitted, spark, path: str) -> None:
-    """M9: the pipeline, and a row of columns, medians and digest."""
-    fitted.model.write().save(f"{path}/model")
-    spark.createDataFrame([(fitted.columns, [float(fitted.reference[c]) for c in fitted.columns], fitted.digest())], "columns array<string>, medians array<double>, digest string").write.parquet(f"{path}/schema")
-
-
-def load_model(spark, path: str, columns: list[str]) -> Fitted:
-    """M9: refuses a model whose columns differ from those expected."""
-    from pyspark.ml import PipelineModel
-
-    row = spark.read.parquet(f"{path}/schema").first()
-    fitted = Fitted(PipelineModel.load(f"{path}/model"), list(row["columns"]), dict(zip(row["columns"], row["medians"])))
-    if fitted.columns != columns or fitted.digest() != row["digest"]:
-        raise ValueError("the model was fitted on other columns")
-    return fitted
-
-
 def bin_index(p: Column, bins: int = 10) -> Column:
     """0-based bin of equal width by its edges; the last is closed.  Edges are i times the width, not floor(p * bins)."""
     edges = F.array(*[F.lit(i * (1.0 / bins)) for i in range(bins)])

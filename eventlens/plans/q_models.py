@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlens.operators import models as M
+from eventlens.operators import registry as R
 from eventlens.operators import uncertainty as U
 from eventlens.operators.context import end_of_session
 from eventlens.plans.canon import CANON, NUDGE, events, r6, steady, table
@@ -44,18 +45,74 @@ def answers(s, d):
 
 
 def fitted(s, d):
-    return M.train(saved(answers(s, d)[0]), M.design_columns(ANSWER_FIT))
+    """Trained on the learners that aren't held out."""
+    return M.train(saved(held_out(s, d)[0]), M.design_columns(ANSWER_FIT))
 
 
 def fixed(s, d):
     return MODEL.fitted(REFERENCE)
 
 
+#: Versions of one model: what their weights, feature set and threshold are.
+VERSIONS = {
+    "V1": MODEL.fitted(REFERENCE, "1", 0.5),
+    "V2": M.Logistic({c: w * 1.5 for c, w in MODEL.weights.items()}, 0.1).fitted(REFERENCE, "2", 0.6),
+    "V3": M.Logistic({c: MODEL.weights[c] - 0.02 for c in ("session_event_count", "trajectory_encoded=improving", "trajectory_encoded=declining")}, 0.3).fitted(REFERENCE, "2", 0.45),
+}
+
+#: (version, day of January 2024, status): the model's log.  V2 is withdrawn before V3 comes; V1 returns at the end.
+STATUSES = (
+    ("V1", 2, "candidate"), ("V1", 3, "production"), ("V2", 8, "validated"), ("V2", 10, "production"), ("V2", 15, "retired"), ("V3", 16, "validated"), ("V3", 18, "production"), ("V1", 26, "production"),
+)
+_DAY0 = 1704067200000000
+
+
+def registered(s, d):
+    path = shared_path(s, "registry")
+    for version, fitted_ in VERSIONS.items():
+        R.register(fitted_, s, path, "risk", version)
+    return path
+
+
+def status_log(s):
+    rows = [("risk", v, _DAY0 + (day - 1) * 86_400_000_000, i, status) for i, (v, day, status) in enumerate(STATUSES)]
+    return s.createDataFrame(rows, "model_id string, version string, us long, seq int, status string")
+
+
+def versioned(s, d):
+    """The design of each session with its model and its feature set: by its instant, but every eleventh has the other one."""
+    early = F.col("us") < _DAY0 + 9 * 86_400_000_000
+    odd = F.substring("session_id", -1, 1) == "1"
+    gap = F.when(F.substring("session_id", -1, 1) != "5", F.col("session_event_count"))
+    return design(s, d)[0].withColumns({"model_id": F.lit("risk"), "feature_set": F.when(early != odd, "1").otherwise("2"), "session_event_count": gap})
+
+
+def m6_production(s, d):
+    x = R.score_in_production(versioned(s, d), registered(s, d), status_log(s), M.design_columns(FIT))
+    return x.select("session_id", "version", *r6("probability"), "predicted", "refusal")
+
+
 def m9(s, d):
-    path = shared_path(s, "model")
-    M.save_model(fitted(s, d), s, path)
-    again = M.load_model(s, path, M.design_columns(ANSWER_FIT))
-    return M.score(answers(s, d)[0], again).select("event_id", F.round("probability", 6).alias("probability"), "predicted")
+    """A version that was saved, read again by another name of the folder's rows, and scores every session."""
+    again = R.load(s, registered(s, d), "risk", "V2", M.design_columns(FIT), "2")
+    return M.score(design(s, d)[0], again).select("session_id", *r6("probability"), "predicted")
+
+
+def held_out(s, d):
+    """(answers of learners to train on, answers of those held out): every fourth learner in order of appearance."""
+    x = M.group_holdout(answers(s, d)[0], "learner_id", "us")
+    return x.where("NOT holdout").drop("holdout"), x.where("holdout").drop("holdout")
+
+
+def m5(s, d):
+    """What training found, as what must hold of it: at the optimum the mean of (probability - label) * column is 0 for each column."""
+    rows = saved(held_out(s, d)[0])
+    model = M.train(rows, M.design_columns(ANSWER_FIT))
+    off = F.col("probability") - F.col("label")
+    scaled = [(c, F.avg(off * F.col(f"`{c}`")) / F.greatest(F.stddev_pop(f"`{c}`"), F.lit(1.0))) for c in [*model.columns]]
+    got = M.score(rows, model).agg(*[F.round(v, 3).alias(c) for c, v in scaled], F.count("*").alias("_n"), F.sum("label").alias("_pos"), F.round(F.avg(off), 3).alias("_off")).first()
+    out = [(c, float(model.reference[c]), abs(got[c]), got["_n"], int(got["_pos"]), abs(got["_off"])) for c in model.columns]
+    return s.createDataFrame(out, "column string, median double, gradient double, n long, positives long, bias double")
 
 
 def m6(s, d):
@@ -98,9 +155,11 @@ QUERIES = {
     "m3_encode_design": lambda s, d: design(s, d)[0].select("session_id", F.col("`content_type_encoded=question`").alias("is_question"), F.col("`trajectory_encoded=stable`").alias("is_stable"), F.col("session_event_count").alias("n_events")),
     "m3_rejected": lambda s, d: design(s, d)[1].select("session_id", F.array_join("lacks", ",").alias("lacks")),
     "m4_column_reference": lambda s, d: M.column_reference(design(s, d)[0], ["session_elapsed_seconds", "session_event_count"]).select(*r6("session_elapsed_seconds", "session_event_count")),
-    "m5_train": lambda s, d: s.createDataFrame([(k, float(v)) for k, v in sorted(fitted(s, d).reference.items())], "column string, median double"),
+    "m5_train": m5,
     "m6_score": m6,
-    "m6_score_trained": lambda s, d: M.score(answers(s, d)[0], fitted(s, d)).select("event_id", "probability", "predicted", "refusal"),
+    "m6_score_trained": lambda s, d: M.score(held_out(s, d)[1], fitted(s, d)).select("event_id", "probability", "predicted", "refusal"),
+    "m6_score_in_production": m6_production,
+    "m6_in_production": lambda s, d: R.model_at(events(s, d).withColumn("model_id", F.lit("risk")), status_log(s)).select("event_id", "version"),
     "m7_binary_metrics": lambda s, d: M.binary_metrics(scored(s, d), "p", "y").select("n", "positives", *r6(*_MET)),
     "m8_expected_calibration_error": lambda s, d: M.expected_calibration_error(scored(s, d), "p", "y").select(*r6("ece")),
     "m9_save_load_model": m9,
@@ -142,7 +201,44 @@ oc AS (
     coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE abs(delta) < 0.001), '') AS omitted FROM bs GROUP BY 1, 2)
 """
 
+def _version_sql() -> str:
+    """Each session's score by every version, and which one was in production then."""
+    rows = ", ".join(f"('{v}', '{c}', {w!r}, {f.model.intercept!r}, '{f.feature_set}', {f.threshold!r})" for v, f in VERSIONS.items() for c, w in f.model.weights.items())
+    log = ", ".join(f"('{v}', {_DAY0 + (day - 1) * 86_400_000_000}, {i}, '{status}')" for i, (v, day, status) in enumerate(STATUSES))
+    return _OCC + f""", vw AS (SELECT * FROM (VALUES {rows}) v(version, col, w, b, fs, th)),
+sl AS (SELECT *, lead(us) OVER (PARTITION BY version ORDER BY us, seq) AS own FROM (VALUES {log}) v(version, us, seq, status)),
+ip AS (SELECT version, us AS f, coalesce(least(own, lead(us) OVER (ORDER BY us, seq)), 9e18) AS t FROM sl WHERE status = 'production'),
+vs AS (SELECT x.session_id, v.version, any_value(th) AS th, any_value(fs) AS fs, 1 / (1 + exp(-(any_value(b) + sum(v.w * x.x)))) AS p, bool_or(v.col = 'session_event_count') AS counts FROM dx x JOIN vw v USING (col) GROUP BY 1, 2),
+se AS (SELECT d.session_id, d.us, ip.version, CASE WHEN (d.us < {_DAY0 + 9 * 86_400_000_000}) <> (d.session_id[-1:] = '1') THEN '1' ELSE '2' END AS has FROM de d LEFT JOIN ip ON d.us >= ip.f AND d.us < ip.t WHERE ok)
+"""
+
+
+def _answer_sql() -> str:
+    """Answers of the learners that aren't held out, with label and design columns."""
+    return CTX + """, lab AS (
+  SELECT event_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY learner_id) AS n, avg(correct::INT) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b, avg(correct::INT) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS f
+  FROM ev WHERE event_type = 'question_answered' WINDOW w AS (PARTITION BY learner_id ORDER BY us, event_id)),
+tr_in AS (
+  SELECT ft.learner_id, ft.us, CAST(f < b - 0.10 AS INTEGER) AS label, elapsed, CAST(event_count AS DOUBLE) AS event_count, position, recent_accuracy, recent_response, ct
+  FROM lab JOIN feat ft USING (event_id) WHERE lab.i >= 2 AND lab.i + 2 < lab.n AND ct IS NOT NULL AND recent_accuracy IS NOT NULL AND recent_response IS NOT NULL),
+fold_in AS (SELECT learner_id, row_number() OVER (ORDER BY min(us), learner_id) % 4 = 0 AS held FROM tr_in GROUP BY 1),
+rows_in AS (SELECT t.* FROM tr_in t JOIN fold_in USING (learner_id) WHERE NOT held)
+"""
+
+
+_ANSWER_COLUMNS = {
+    "session_elapsed_seconds": "elapsed", "session_event_count": "event_count", "session_position": "position", "performance_recent_accuracy": "recent_accuracy", "performance_recent_response_seconds": "recent_response",
+    **{f"content_type_encoded={v}": f"CAST(ct = '{v}' AS DOUBLE)" for v in M.VOCABULARY["content_type_encoded"]},
+}
+
 ORACLES = {
+    "m5_train": _answer_sql() + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(median({x}) AS DOUBLE) AS median, CAST(0 AS DOUBLE) AS gradient, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, CAST(0 AS DOUBLE) AS bias FROM rows_in" for c, x in _ANSWER_COLUMNS.items()),
+    "m6_in_production": _version_sql() + "SELECT event_id, version FROM ev LEFT JOIN ip ON us >= f AND us < t",
+    "m6_score_in_production": _version_sql() + """, r AS (
+  SELECT se.*, vs.p, vs.th, CASE WHEN se.version IS NULL THEN 'not_in_production' WHEN has <> fs THEN 'feature_set:' || has WHEN counts AND session_id[-1:] = '5' THEN 'absent:session_event_count' END AS refusal
+  FROM se LEFT JOIN vs USING (session_id, version))
+SELECT session_id, version, CASE WHEN refusal IS NULL THEN round(p, 6) END AS probability, CASE WHEN refusal IS NULL THEN CAST(p >= th AS INTEGER) END AS predicted, refusal FROM r""",
+    "m9_save_load_model": _version_sql() + "SELECT session_id, round(p, 6) AS probability, CAST(p >= th AS INTEGER) AS predicted FROM vs WHERE version = 'V2'",
     "m6_score": _OCC + ", r AS (SELECT session_id, CASE WHEN session_id[-1:] <> '5' THEN base END AS p FROM ps) SELECT session_id, round(p, 6) AS probability, CAST(p >= 0.5 AS INTEGER) AS predicted, CASE WHEN p IS NULL THEN 'absent:session_event_count' END AS refusal FROM r",
     "u8_occlusion_contributions": _OCC + "SELECT session_id, round(base, 6) AS base, CAST(n AS INTEGER) AS n, array_to_string(fs, ',') AS features, omitted FROM oc",
     "u9_top_contributions": _OCC + "SELECT session_id, array_to_string(fs[:2], ',') AS top FROM oc",
