@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.operators import authority as A
@@ -15,27 +17,60 @@ from eventlens.operators import outcomes as O
 from eventlens.operators import policy as P
 from eventlens.operators import temporal as T
 from eventlens.operators import uncertainty as U
-from eventlens.operators.context import KEYS, end_of_session, recent_performance
+from eventlens.operators.context import end_of_session
 from eventlens.settings import DEFAULT, Settings
+from eventlens.sources.shared import saved
+
+
+@dataclass(frozen=True)
+class Learning:
+    """What a model learns from: features that a row must have, the label's answers before and after, and the share held out."""
+
+    required: tuple[str, ...] = X.FEATURES
+    back: int = 3
+    ahead: int = 3
+    skip: int = 10
+    every: int = 4
+    algorithm: str = "logistic"
+    threshold: float = 0.5
+
 
+def labelled(past: DataFrame, vectors: DataFrame, how: Learning) -> DataFrame:
+    """Design rows of the answers before each learner's cut, with M1's label over the learner's answers, and ``holdout`` by learner."""
+    of_learner = past.withColumn("session_id", F.col("learner_id"))
+    label = M.next_k_drop_label(of_learner, back=how.back, ahead=how.ahead, skip=how.skip).select("event_id", "label")
+    rows = vectors.join(label, "event_id").select("learner_id", "event_id", "us", "label", *how.required)
+    return M.group_holdout(M.encode_design(rows, how.required)[0], "learner_id", "us", how.every)
 
-CONTEXT = "free_practice"
 
+def fitted_before(rows: DataFrame, how: Learning) -> M.Fitted:
+    """A model trained on the learners that aren't held out."""
+    fitted = M.train(rows.where("NOT holdout").drop("holdout"), M.design_columns(how.required), algorithm=how.algorithm)
+    fitted.threshold = how.threshold
+    return fitted
 
-def calibration(past: DataFrame, s: Settings) -> DataFrame:
-    """One row ``ece``: how far the share of recent wrong answers is from what the next answer was; null on one class."""
-    answers = recent_performance(past, s).where("event_type = 'question_answered'")
-    before = F.lag(1 - F.col("recent_accuracy")).over(Window.partitionBy(*KEYS).orderBy("us", "event_id"))
-    return M.expected_calibration_error(answers.select(before.alias("p"), (~F.col("correct")).cast("int").alias("y")).where("p IS NOT NULL"), "p", "y")
 
+def calibration(rows: DataFrame, fitted: M.Fitted, s: Settings) -> DataFrame:
+    """One row ``ece`` of the model on the learners held out; null on one class or without such rows."""
+    held = M.score(rows.where("holdout").drop("holdout"), fitted).where("probability IS NOT NULL")
+    return M.expected_calibration_error(held, "probability", "label", s.bins)
 
-def remembered(past: DataFrame, cuts: DataFrame, history: DataFrame, s: Settings) -> DataFrame:
-    """Authority memory: how learners responded to deliveries whose windows ended before the cut."""
+
+def scored(last: DataFrame, fitted: M.Fitted, required: tuple[str, ...]) -> DataFrame:
+    """(learner_id, probability, refusal) of each learner's last vector; features that it lacks are named."""
+    good, bad = M.encode_design(last.select("learner_id", *required), required)
+    refused = bad.select("learner_id", F.lit(None).cast("double").alias("probability"), F.concat(F.lit("absent:"), F.array_join("lacks", ",")).alias("refusal"))
+    return M.score(good, fitted).select("learner_id", "probability", "refusal").unionByName(refused)
+
+
+def remembered(past: DataFrame, cuts: DataFrame, history: DataFrame, contexts: DataFrame, s: Settings) -> DataFrame:
+    """Authority memory: how learners responded to deliveries whose windows ended before the cut, in their context."""
     m = O.measure_outcomes(timed(past), past, history, s)
     each = m.groupBy("learner_id", "intervention_id", "delivered_us").agg(F.first("response_class").alias("response_class")).join(E.intervention_response(m), "intervention_id")
     outcome = F.when(F.col("response") == "improvement", "improved").when(F.col("response") == "deterioration", "deteriorated").when(F.col("response_class") == "non_response", "no_response")
     each = each.select("learner_id", outcome.alias("outcome"), (F.col("delivered_us") + int(s.after * 1e6)).alias("recorded_us"))
-    return each.join(cuts.select("learner_id", "cut_us"), "learner_id").where("recorded_us <= cut_us AND outcome IS NOT NULL").select("learner_id", F.lit(CONTEXT).alias("context"), "outcome", F.lit(1.0).alias("weight"), "recorded_us")
+    kept = each.join(cuts.select("learner_id", "cut_us"), "learner_id").where("recorded_us <= cut_us AND outcome IS NOT NULL")
+    return kept.join(contexts.select("learner_id", "context"), "learner_id").select("learner_id", "context", "outcome", F.lit(1.0).alias("weight"), "recorded_us")
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -43,37 +78,47 @@ def timed(events: DataFrame) -> DataFrame:
     return P.delivery_history(events).withColumn("response_seconds", (F.col("completed_us") - F.col("delivered_us")) / 1e6)
 
 
-def evaluated(decisions: DataFrame, past: DataFrame, events: DataFrame, s: Settings) -> DataFrame:
-    """Each decision's claim of a direction against what followed it."""
+def evaluated(decisions: DataFrame, folded: DataFrame, events: DataFrame, s: Settings) -> DataFrame:
+    """Each decision's claim of a direction against what followed it, read by the profile frozen at the decision."""
     claims = decisions.select(F.col("decision_id").alias("prediction_id"), "learner_id", "session_id", F.col("decided_us").alias("predicted_us"), F.lit("direction").alias("target"), F.col("direction").alias("claim"), F.col("verdict").alias("status"))
     snapshots = E.evidence_counts(E.prediction_snapshots(claims, s), events, s)
-    profiles = past.where("event_type = 'question_answered'").groupBy("learner_id").agg(F.avg("response_seconds").alias("centre"), F.stddev_samp("response_seconds").alias("spread"))
-    return E.evaluate(E.ground_truth(snapshots, E.post_window_reading(snapshots, events, profiles, s), s))
+    return E.evaluate(E.ground_truth(snapshots, E.post_window_reading(snapshots, events, folded, s), s))
+
 
+def analyse(
+    events: DataFrame, contexts: DataFrame, s: Settings = DEFAULT, min_after: int = 4, catalogue: tuple[P.Candidate, ...] = P.CATALOGUE, model: M.Fitted | None = None, how: Learning = Learning(),
+    permitted: tuple[str, ...] = A.PERMITTED,
+) -> dict[str, DataFrame]:
+    """Phase A reads events up to each learner's cut only: features, baseline, state, score, confidence, decision, action.
+    Phase B measures what followed deliveries and decisions, without touching A.
 
-def analyse(events: DataFrame, s: Settings = DEFAULT, min_after: int = 4, catalogue: tuple[P.Candidate, ...] = P.CATALOGUE) -> dict[str, DataFrame]:
-    """Phase A reads events up to each learner's cut only: features, baseline, state, confidence, decision, action.
-    Phase B measures what followed deliveries and decisions, without touching A.  Without a fitted model
-    the probability is the share of recent wrong answers; how well it was calibrated, and how learners
-    responded before, bound confidence and authority."""
+    ``contexts`` has a row for each learner: context, risk, reversible, high_stakes, high_impact and
+    expires_us (null: the settings' expiry after the decision); learners without one get no decision.
+    Without ``model`` one is trained on the answers before the cuts; either is calibrated on the
+    learners held out, and its threshold is the decisions' own.  How learners responded before bounds authority.
+    """
     events = events.repartition("learner_id")
     cuts = Q.decision_cut(events, min_after)
-    past = Q.as_of(events, cuts).drop("cut_us")
-    vectors = end_of_session(X.compute_features(past, s))
-    folded = B.winsorised_ewma(B.baseline_observations(vectors).where("NOT rejected"), ["learner_id", "dimension"], ["us"], "value", s)
-    history = T.state_history(B.deviations(folded, ["learner_id", "dimension"]), s)
+    past = saved(Q.as_of(events, cuts).drop("cut_us"), "past")
+    every = saved(X.compute_features(past, s), "features")
+    vectors = end_of_session(every)
+    folded = saved(B.winsorised_ewma(B.baseline_observations(vectors).where("NOT rejected"), ["learner_id", "dimension"], ["us"], "value", s), "folded")
+    history = saved(T.state_history(B.deviations(folded, ["learner_id", "dimension"]), s), "history")
     state = T.temporal_state(history)
-    last = vectors.groupBy("learner_id").agg(F.max_by(F.struct("session_id", (1 - F.col("recent_accuracy")).alias("probability")), "us").alias("v")).select("learner_id", "v.*")
-    j = cuts.select("learner_id", F.col("cut_us").alias("decided_us")).join(last, "learner_id").join(state.select("learner_id", "state", "direction", "observations", "weakest_maturity"), "learner_id", "left")
+    rows = saved(labelled(past, every, how), "labelled")
+    model = model or fitted_before(rows, how)
+    last = vectors.groupBy("learner_id").agg(F.max_by(F.struct("session_id", *how.required), F.struct("us", "event_id")).alias("v")).select("learner_id", "v.*")
+    j = cuts.select("learner_id", F.col("cut_us").alias("decided_us")).join(last.select("learner_id", "session_id"), "learner_id").join(scored(last, model, how.required), "learner_id")
+    j = j.join(contexts, "learner_id").join(state.select("learner_id", "state", "direction", "observations", "weakest_maturity"), "learner_id", "left")
     maturity = F.element_at(F.array(*map(F.lit, B.MATURITIES)), F.coalesce("weakest_maturity", F.lit(0)) + 1)
-    j = j.withColumns({"decision_id": F.xxhash64("learner_id"), "threshold": F.lit(0.5), "evidence": F.coalesce("observations", F.lit(0)), "maturity": maturity, "refusal": F.when(F.col("probability").isNull(), "absent:recent_accuracy")})
-    j = j.crossJoin(F.broadcast(calibration(past, s)))  # one row
-    j = U.assess_confidence(U.verdict(j, s).withColumn("probability", F.col("probability")), s)
+    j = j.withColumns({"decision_id": F.xxhash64("learner_id"), "threshold": F.lit(model.threshold), "evidence": F.coalesce("observations", F.lit(0)), "maturity": maturity})
+    j = j.withColumn("ece", F.lit(calibration(rows, model, s).first()["ece"]).cast("double"))
+    j = U.assess_confidence(U.verdict(j, s), s)
     j = j.withColumn("confidence", F.when(F.col("confidence_value").isNotNull(), U.band(F.col("confidence_value"))))
-    decided = P.decide(j, P.delivery_history(past), catalogue, s).withColumn("context", F.lit(CONTEXT))
-    memory = remembered(past, cuts, history, s)
-    held = A.authority_level(A.clamp_authority(A.decayed_authority(memory, decided, s), s).withColumns({"risk": F.lit("low"), "reversible": F.lit(True), "high_stakes": F.lit(False)}), s)
-    final = A.delivery_status(A.final_action(held.withColumns({"expires_us": F.col("decided_us") + int(s.expiry * 1e6), "high_impact": F.lit(False)}), s))
+    decided = P.decide(j, P.delivery_history(past), catalogue, s)
+    memory = remembered(past, cuts, history, contexts, s)
+    held = A.authority_level(A.clamp_authority(A.decayed_authority(memory, decided, s), s), s)
+    expires = F.coalesce("expires_us", F.col("decided_us") + int(s.expiry * 1e6))
+    final = saved(A.delivery_status(A.final_action(held.withColumn("expires_us", expires), s, permitted=permitted)), "decisions")
     outcomes = O.measure_outcomes(timed(events), events, history, s)
-    claims = final.join(state.select("learner_id", F.col("direction").alias("_d")), "learner_id").withColumn("direction", F.col("_d"))
-    return {"decisions": final, "history": history, "outcomes": outcomes, "responses": E.intervention_response(outcomes), "evaluations": evaluated(claims, past, events, s)}
+    return {"decisions": final, "history": history, "outcomes": outcomes, "responses": E.intervention_response(outcomes), "evaluations": evaluated(final, folded, events, s)}

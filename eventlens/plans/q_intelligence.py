@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from eventlens.operators import authority as A
 from eventlens.operators import evaluation as E
 from eventlens.operators import features as X
 from eventlens.operators import intelligence as I
+from eventlens.operators import models as M
 from eventlens.operators import temporal as T
 from eventlens.operators.context import end_of_session, origin_of
-from eventlens.plans.analysis import analyse
+from eventlens.plans.analysis import Learning, analyse
 from eventlens.plans.canon import CANON, events, pick, r6, steady, table
 from eventlens.plans.q_baseline import history
 from eventlens.plans.q_context import CTX, LONG, features
-from eventlens.plans.q_outcomes import OUT, measured, truths
+from eventlens.plans.q_models import ANSWER_FIT
+from eventlens.plans.q_outcomes import OUT, READING, measured, truths
 from eventlens.plans.q_policy import DEC, TYPES, authorised, final
 from eventlens.settings import SPARSE
 from eventlens.sources.shared import saved
@@ -124,12 +128,36 @@ def i18(s, d):
     return I.diagnose(a)
 
 
-def i19(s, d):
+#: The chain's model by its numbers, what a row needs for it, and the label over two answers (learners have few).
+CHAIN = M.Logistic(
+    {"session_elapsed_seconds": -0.000004, "session_event_count": 0.02, "session_position": 0.3, "performance_recent_accuracy": -1.2, "performance_recent_response_seconds": 0.01, "content_type_encoded=question": 0.3,
+     "content_type_encoded=video": 0.0, "content_type_encoded=reading": 0.0, "content_type_encoded=other": 0.6},
+    0.2,
+).fitted({}, threshold=0.45)
+HOW = Learning(ANSWER_FIT, back=2, ahead=2, skip=2)
+
+
+def learner_contexts(s, d):
+    """Where each learner is: context, risk and stakes by the learner's number; some decisions have expired."""
+    k = F.col("learner_id").cast("int")
+    c = pick(("free_practice", "graded_assessment", "exam_hall", "lab"), k % 4)
+    return events(s, d).select("learner_id").distinct().select(
+        "learner_id", c.alias("context"), F.when(c == "exam_hall", "high").when(c == "graded_assessment", "medium").otherwise("low").alias("risk"), (c != "exam_hall").alias("reversible"),
+        ((c == "graded_assessment") & (k % 3 == 0)).alias("high_stakes"), (k % 6 == 0).alias("high_impact"), F.when(k % 17 == 0, F.lit(0).cast("long")).alias("expires_us"),
+    )
+
+
+def i19(s, d, model=CHAIN):
     """Every learner's decision, what bound it, and whether its claim held."""
-    got = analyse(saved(events(s, d)), SPARSE, 2, TYPES)
+    got = analyse(saved(events(s, d)), learner_contexts(s, d), SPARSE, 2, TYPES, model, HOW, ("recap", "micro_question", "pause"))
     held = got["evaluations"].select(F.col("prediction_id").alias("decision_id"), F.col("truth"), F.col("verdict").alias("evaluation"))
     x = got["decisions"].join(held, "decision_id", "left")
-    return x.select("learner_id", "decided_us", "state", "verdict", *r6("confidence_value", "authority"), "reason", "selected", "final", "delivery_status", "truth", "evaluation")
+    return x.select("learner_id", "decided_us", "state", "verdict", "refusal", "binding", *r6("probability", "confidence_value", "authority"), "level", "reason", "selected", "final", "final_reason", "delivery_status", "truth", "evaluation")
+
+
+def i19_trained(s, d):
+    """The same with a model trained on the answers before the cuts: what doesn't depend on its numbers."""
+    return i19(s, d, None).select("learner_id", "decided_us", "state", "refusal")
 
 
 QUERIES = {
@@ -153,6 +181,7 @@ QUERIES = {
     "i17_resolve_subject": lambda s, d: requests(s, d).select("request_id", F.array_join(I.resolve_subject(F.col("question"))[0], ",").alias("named"), I.resolve_subject(F.col("question"))[1].alias("scope")),
     "i18_diagnose": i18,
     "i19_pipeline": i19,
+    "i19_trained": i19_trained,
 }
 
 INT = OUT + LONG.removeprefix(CTX).rstrip() + DEC.removeprefix(CANON).replace("dels", "ddels").rstrip() + f""", mrk AS (SELECT *, last_value(CASE WHEN event_type = 'question_started' THEN topic END IGNORE NULLS) OVER w AS tt, last_value(CASE WHEN event_type = 'question_started' THEN difficulty END IGNORE NULLS) OVER w AS dd,
@@ -224,9 +253,71 @@ sel AS (
     AND (r.qn <> 4 OR e.subject = 'algebra') AND (r.qn <> 5 OR e.subject IN ('reading', 'geometry')) AND (r.qn <> 17 OR e.subject IN ('maths', 'math', 'science')))
 """
 
+def _chain_sql() -> str:
+    """The chain over what came before each learner's cut, with the fixed model; then what followed."""
+    before = CANON.replace("WITH ev0", "WITH RECURSIVE ev0", 1).replace(",\nev AS (", ",\nev_all AS (", 1) + """, sess AS (
+  SELECT learner_id, session_id, max(us) AS last_us, list(us ORDER BY us, event_id) FILTER (WHERE event_type = 'question_answered') AS a
+  FROM ev_all GROUP BY learner_id, session_id, session_no QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY session_no DESC) = 1),
+cut AS (SELECT learner_id, CASE WHEN len(a) >= 4 THEN a[len(a) // 2 + 1] ELSE last_us END AS cut_us FROM sess),
+ev AS (SELECT e.* FROM ev_all e JOIN cut USING (learner_id) WHERE us <= cut_us)"""
+    out = OUT[len(CANON.replace("WITH ev0", "WITH RECURSIVE ev0", 1)):].replace(" AND us % 7 <> 0", "")
+    out = out.replace("CASE WHEN event_type = 'interaction' AND k >= 85 THEN 'session_ended' ELSE event_type END AS event_type", "event_type AS event_type")
+    out = out.replace("CASE WHEN c.us % 3 <> 0 THEN (c.us % 500) / 10.0 END AS resp", "(c.us - a.us) / 1e6 AS resp")
+    x = {"session_elapsed_seconds": "elapsed", "session_event_count": "event_count", "session_position": "position", "performance_recent_accuracy": "recent_accuracy", "performance_recent_response_seconds": "recent_response"}
+    z = " + ".join([repr(CHAIN.model.intercept), *[f"{w!r} * {x[c] if c in x else 'CAST(ct = ' + repr(c.split('=')[1]) + ' AS INTEGER)'}" for c, w in CHAIN.model.weights.items()]])
+    lacks = "list_filter([CASE WHEN ct IS NULL THEN 'content_type_encoded' END, CASE WHEN recent_accuracy IS NULL THEN 'performance_recent_accuracy' END, CASE WHEN recent_response IS NULL THEN 'performance_recent_response_seconds' END], lambda q: q IS NOT NULL)"
+    decisions = f""", lab AS (
+  SELECT event_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY learner_id) AS n, avg(correct::INT) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b, avg(correct::INT) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS f
+  FROM ev WHERE event_type = 'question_answered' WINDOW w AS (PARTITION BY learner_id ORDER BY us, event_id)),
+lrow AS (SELECT ft.learner_id, ft.us, CAST(f < b - 0.10 AS INTEGER) AS y, 1 / (1 + exp(-({z}))) AS p FROM lab JOIN feat ft USING (event_id) WHERE lab.i >= 2 AND lab.i + 2 < lab.n AND len({lacks}) = 0),
+hold AS (SELECT learner_id FROM (SELECT learner_id, row_number() OVER (ORDER BY min(us), learner_id) % 4 = 0 AS h FROM lrow GROUP BY 1) WHERE h),
+held AS (SELECT p, y FROM lrow JOIN hold USING (learner_id)),
+bins AS (SELECT y, p, (SELECT max(i) FROM range(10) r(i) WHERE i < nb AND i * (CAST(1 AS DOUBLE) / nb) <= p) AS bin FROM held, (SELECT greatest(1, least(10, count(*))) AS nb FROM held)),
+cal AS (SELECT CASE WHEN sum(sy) > 0 AND sum(sy) < sum(n) THEN sum(abs(sy - sp)) / sum(n) END AS ece FROM (SELECT bin, count(*) AS n, sum(p) AS sp, sum(y) AS sy FROM bins GROUP BY 1)),
+vec AS (SELECT *, {lacks} AS lacks, 1 / (1 + exp(-({z}))) AS p FROM fin QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY us DESC, event_id DESC) = 1),
+las AS (SELECT *, (least_n >= 3)::INT + (least_n >= 6)::INT + (least_n >= 10)::INT AS wm FROM st QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY us DESC) = 1),
+d0 AS (
+  SELECT v.learner_id, v.session_id, c.cut_us AS decided_us, CAST(v.learner_id AS INTEGER) AS k, l.state, l.direction, coalesce(l.observations, 0) AS evidence, coalesce(l.wm, 0) AS wm, ece,
+    CASE WHEN len(lacks) > 0 THEN 'absent:' || array_to_string(lacks, ',') END AS refusal, CASE WHEN len(lacks) = 0 THEN v.p END AS p
+  FROM vec v JOIN cut c USING (learner_id) LEFT JOIN las l USING (learner_id), cal),
+d1 AS (SELECT *, CASE WHEN refusal IS NOT NULL THEN 'refused' WHEN ece IS NULL OR ece > 0.25 THEN 'unknown' WHEN evidence < 10 THEN 'insufficient_data' ELSE 'resolved' END AS verdict FROM d0),
+d2 AS (
+  SELECT *, CASE WHEN verdict = 'resolved' THEN p END AS probability, CASE WHEN p >= 0.45 THEN p ELSE 1 - p END AS a1, 1 - ece AS a2, CASE WHEN evidence < 10 THEN 0.0 WHEN evidence >= 500 THEN 1.0 ELSE 0.5 + 0.5 * ln(evidence / 10.0) / ln(50.0) END AS a3, [0.30, 0.50, 0.75, 1.0][wm + 1] AS a4 FROM d1),
+d3 AS (SELECT *, CASE WHEN verdict = 'resolved' THEN CAST(least(a1, a2, a3, a4) AS DOUBLE) END AS cv FROM d2),
+decs AS (
+  SELECT CAST(learner_id AS BIGINT) AS decision_id, *, CASE WHEN cv >= 0.8 THEN 'high' WHEN cv >= 0.6 THEN 'medium' WHEN cv IS NOT NULL THEN 'low' ELSE 'none' END AS confidence, CASE WHEN cv >= 0.8 THEN 3 WHEN cv >= 0.6 THEN 2 WHEN cv IS NOT NULL THEN 1 ELSE 0 END AS crank,
+    CASE WHEN verdict <> 'resolved' OR a1 = cv THEN 'assertion' WHEN a2 = cv THEN 'calibration' WHEN a3 = cv THEN 'evidence' ELSE 'maturity' END AS binding, ['free_practice', 'graded_assessment', 'exam_hall', 'lab'][k % 4 + 1] AS context FROM d3),
+ddels AS (
+  SELECT a.learner_id, a.session_id, a.event_id AS intervention_id, a.intervention_type, a.us AS delivered_us, c.outcome, c.us AS completed_us FROM ev a LEFT JOIN comp c ON c.intervention_id = a.event_id WHERE a.event_type = 'intervention_started'),
+mem AS (
+  SELECT b.intervention_id AS event_id, b.learner_id, ['free_practice', 'graded_assessment', 'exam_hall', 'lab'][CAST(b.learner_id AS INTEGER) % 4 + 1] AS context, 1.0 AS weight, b.a1 AS recorded_us,
+    CASE WHEN r.response = 'improvement' THEN 'improved' WHEN r.response = 'deterioration' THEN 'deteriorated' WHEN b.class = 'non_response' THEN 'no_response' END AS outcome
+  FROM base b JOIN resp r USING (intervention_id) WHERE r.response IN ('improvement', 'deterioration') OR b.class = 'non_response'),
+"""
+    policy = DEC[DEC.index("pairs AS (") :]
+    policy = policy[: policy.index("mem AS (")] + policy[policy.index("auth0 AS (") :]
+    policy = policy.replace("JOIN dels x", "JOIN ddels x").replace("WHEN state = 'insufficient_data' THEN", "WHEN coalesce(state, 'insufficient_data') = 'insufficient_data' THEN")
+    policy = policy.replace("WHEN state = 'stable' THEN", "WHEN state NOT IN ('declining', 'increasing_deviation', 'high_deviation') THEN").replace("CASE confidence WHEN 'low' THEN 0.35", "CASE confidence WHEN 'none' THEN 0.0 WHEN 'low' THEN 0.35")
+    after = """, prd_i AS (SELECT decision_id AS prediction_id, learner_id, session_id, decided_us AS pus, decided_us + 432000000000 AS wend, 'direction' AS target, direction AS claim FROM decs WHERE verdict = 'resolved' AND direction IN ('worsening', 'improving', 'stable')),
+adm_i AS (SELECT p.prediction_id, p.learner_id, e.us, e.event_id FROM prd_i p JOIN ev_all e ON e.session_id = p.session_id AND e.us >= p.pus AND e.us < p.wend AND e.event_type IN ('content_opened', 'interaction', 'question_answered', 'question_started'))"""
+    reading = re.sub(r"\bprd\b", "prd_i", re.sub(r"\badm\b", "adm_i", READING)).replace("JOIN ev e ON", "JOIN ev_all e ON")
+    truth = """, tru_i AS (
+  SELECT p.prediction_id, CASE WHEN coalesce(n, 0) < 4 THEN 'insufficient_data' WHEN r.us IS NULL OR r.direction = 'insufficient_data' THEN 'not_assessable' WHEN r.direction = p.claim THEN 'confirmed' ELSE 'refuted' END AS truth
+  FROM prd_i p LEFT JOIN (SELECT prediction_id, count(*) AS n FROM adm_i GROUP BY 1) USING (prediction_id) LEFT JOIN last_rd r ON r.prediction_id = p.prediction_id)
+"""
+    return before + out.rstrip() + decisions + policy.rstrip() + after + reading.rstrip() + truth
+
+
+_FIXED = _chain_sql()
+
 _INTENTSQL = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower(text), '" + w.replace("'", "''") + "')" for w in ws) + f" THEN '{n}'" for n, ws in I.INTENTS) + " ELSE 'unknown' END"
 
 ORACLES = {
+    "i19_pipeline": _FIXED + """SELECT f.learner_id, decided_us, state, verdict, refusal, binding, round(probability, 6) AS probability, round(cv, 6) AS confidence_value, round(authority, 6) AS authority, level, reason,
+  CASE WHEN reason IS NULL THEN ['recap', 'micro_question', 'pause', 'reflection'][best + 1] END AS selected, split_part(f, '|', 1) AS final, split_part(f, '|', 2) AS final_reason,
+  CASE WHEN reason IS NOT NULL THEN 'not_selected' WHEN f = 'allowed|cleared' THEN 'delivered' ELSE 'selected_not_delivered' END AS delivery_status, truth, CASE truth WHEN 'confirmed' THEN 'correct' WHEN 'refuted' THEN 'incorrect' ELSE CASE WHEN truth IS NOT NULL THEN 'not_assessable' END END AS evaluation
+FROM fina f LEFT JOIN tru_i t ON t.prediction_id = f.decision_id""",
+    "i19_trained": _FIXED + "SELECT learner_id, decided_us, state, refusal FROM decs",
     "i1_session_readings": INT + "SELECT session_id, answered, n_correct, round(mr, 6) AS mean_response, round(md, 6) AS mean_difficulty FROM rd",
     "i2_subject_rollups": INT + "SELECT learner_id, subject, answered, last_us, sessions, sufficient, stale, round(accuracy, 6) AS accuracy, round(recent, 6) AS recent, round(mdif, 6) AS mean_difficulty FROM ru",
     "i3_subject_signal": INT + "SELECT learner_id, subject, signal FROM ru",
