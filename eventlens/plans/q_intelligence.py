@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from eventlens.plans.q_context import CTX, LONG, features
 from eventlens.plans.q_models import ANSWER_FIT
 from eventlens.plans.q_outcomes import OUT, READING, measured, truths
 from eventlens.plans.q_policy import DEC, TYPES, authorised, final
-from eventlens.settings import SPARSE
+from eventlens.settings import DAY, SPARSE
 from eventlens.sources.shared import saved
 
 NOW = 1706572800000000  # 2024-01-30
@@ -132,10 +133,13 @@ def i18(s, d):
 CHAIN = M.Logistic(
     {"session_elapsed_seconds": -0.000004, "session_event_count": 0.02, "session_position": 0.3, "performance_recent_accuracy": -1.2, "performance_recent_response_seconds": 0.01, "content_type_encoded=question": 0.3,
      "content_type_encoded=video": 0.0, "content_type_encoded=reading": 0.0, "content_type_encoded=other": 0.6},
-    0.2,
+    0.55,
 ).fitted({}, threshold=0.45)
 HOW = Learning(ANSWER_FIT, back=2, ahead=2, skip=2)
 
+#: Acts from the model's own threshold on.
+READY = replace(SPARSE, act_probability=0.3, policy_cooldown=DAY / 4)
+
 
 def learner_contexts(s, d):
     """Where each learner is: context, risk and stakes by the learner's number; some decisions have expired."""
@@ -149,7 +153,7 @@ def learner_contexts(s, d):
 
 def i19(s, d, model=CHAIN):
     """Every learner's decision, what bound it, and whether its claim held."""
-    got = analyse(saved(events(s, d)), learner_contexts(s, d), SPARSE, 2, TYPES, model, HOW, ("recap", "micro_question", "pause"))
+    got = analyse(saved(events(s, d)), learner_contexts(s, d), READY, 2, TYPES, model, HOW, ("recap", "micro_question", "pause"))
     held = got["evaluations"].select(F.col("prediction_id").alias("decision_id"), F.col("truth"), F.col("verdict").alias("evaluation"))
     x = got["decisions"].join(held, "decision_id", "left")
     return x.select("learner_id", "decided_us", "state", "verdict", "refusal", "binding", *r6("probability", "confidence_value", "authority"), "level", "reason", "selected", "final", "final_reason", "delivery_status", "truth", "evaluation")
@@ -297,6 +301,7 @@ mem AS (
     policy = DEC[DEC.index("pairs AS (") :]
     policy = policy[: policy.index("mem AS (")] + policy[policy.index("auth0 AS (") :]
     policy = policy.replace("JOIN dels x", "JOIN ddels x").replace("WHEN state = 'insufficient_data' THEN", "WHEN coalesce(state, 'insufficient_data') = 'insufficient_data' THEN")
+    policy = policy.replace("probability < 0.65", "probability < 0.45").replace("since < 86400", "since < 21600")
     policy = policy.replace("WHEN state = 'stable' THEN", "WHEN state NOT IN ('declining', 'increasing_deviation', 'high_deviation') THEN").replace("CASE confidence WHEN 'low' THEN 0.35", "CASE confidence WHEN 'none' THEN 0.0 WHEN 'low' THEN 0.35")
     after = """, prd_i AS (SELECT decision_id AS prediction_id, learner_id, session_id, decided_us AS pus, decided_us + 432000000000 AS wend, 'direction' AS target, direction AS claim FROM decs WHERE verdict = 'resolved' AND direction IN ('worsening', 'improving', 'stable')),
 adm_i AS (SELECT p.prediction_id, p.learner_id, e.us, e.event_id FROM prd_i p JOIN ev_all e ON e.session_id = p.session_id AND e.us >= p.pus AND e.us < p.wend AND e.event_type IN ('content_opened', 'interaction', 'question_answered', 'question_started'))"""
