@@ -16,12 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import table
+from eventlens.llm.common import Scratch, table
 from eventlens.llm.shingles import mix
 
 #: Most labelled rows that are fitted (those of smallest hash), buckets, vector size, and training.
 SAMPLE, BUCKETS, DIM, EPOCHS, RATE, SEED = 2000, 1 << 17, 8, 10, 0.5, 7
 
+#: Most distinct features of all fitted rows together, 8 bytes each: what the driver holds of the sample.
+SAMPLE_FEATURES = 1 << 24
+
 #: Code points that are hashed together: bounds the arrays, at about 80 bytes for each.
 CHUNK = 1 << 19
 
@@ -57,8 +60,8 @@ def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
     """(number of a text, bucket) of every feature of the texts, in runs.
 
     Words stand between ASCII white space.  A word gives itself, its character trigrams with both
-    ends marked, and a pair with the word before it, whose bucket depends on the difference of the
-    two words' hashes.  Pairs across a cut of a long text are no features.
+    ends marked, and a pair with the word before it, hashed from both words in their order.  Pairs
+    across a cut of a long text are no features.
     """
     for at, run in _pieces(texts):
         size = np.fromiter(map(len, run), np.int64, len(run)) + 1
@@ -76,7 +79,7 @@ def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
         of_word = of[first]
         piece = np.repeat(np.arange(len(run)), size)[inner - 1][first]
         same = np.flatnonzero(piece[1:] == piece[:-1])
-        pair = word[same + 1] - word[same]
+        pair = mix(word[same]) * _PRIME + word[same + 1]
         codes = np.concatenate((word ^ _KIND["word"], pair ^ _KIND["pair"], three ^ _KIND["trigram"]))
         yield np.concatenate((of_word, of_word[same], of)), (mix(codes) >> _SHIFT).astype(np.int64)
 
@@ -98,18 +101,25 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str | None], labels: list[int]) -> QualityModel:
-    """Trains vectors and softmax by stochastic gradient descent; the same rows give the same model."""
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text, and how often each occurs."""
+    many = [bucket for _, bucket in features([text])]
+    at, n = np.unique(np.concatenate(many) if many else np.empty(0, np.int64), return_counts=True)
+    return at.astype(np.int32), n.astype(np.int32)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> QualityModel:
+    """Trains vectors and softmax by stochastic gradient descent on counted texts; the same rows give the same model.
+
+    Both classes weigh the same, however rare one is.
+    """
     rng = np.random.default_rng(SEED)
-    rows = []
-    for t in texts:
-        many = [bucket for _, bucket in features([t])]
-        at, n = np.unique(np.concatenate(many) if many else np.empty(0, np.int64), return_counts=True)
-        rows.append((at, n / n.sum() if len(n) else n.astype(float)))
-    y = np.asarray(labels, float)
+    rows = [(at, n / max(n.sum(), 1)) for at, n in rows]
+    y = np.asarray(labels, int)
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
+    weigh = 0.5 / np.array([1 - share, share])
     vectors = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
-    out, bias = np.zeros((DIM, 2)), np.log([1 - share, share])
+    out, bias = np.zeros((DIM, 2)), np.zeros(2)
     steps, step = max(1, EPOCHS * len(rows)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
@@ -119,7 +129,8 @@ def fit(texts: list[str | None], labels: list[int]) -> QualityModel:
             mean = n @ vectors[at] if len(at) else np.zeros(DIM)
             p = np.exp((z := mean @ out + bias) - z.max())
             p /= p.sum()
-            p[int(y[i])] -= 1
+            p[y[i]] -= 1
+            p *= weigh[y[i]]
             back = out @ p
             out -= rate * np.outer(mean, p)
             bias = bias - 0.1 * rate * p
@@ -129,16 +140,38 @@ def fit(texts: list[str | None], labels: list[int]) -> QualityModel:
     return QualityModel((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> tuple[list, list]:
-    """Texts and labels of up to ``most`` labelled documents, those whose key has the smallest hash.
+def labelled_sample(
+    documents: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most: int = SAMPLE, most_features: int = SAMPLE_FEATURES
+) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+    """Counted whole texts and labels of up to ``most`` labelled documents, those whose key has the smallest hash.
 
-    The chosen keys are bounded by ``most``, so they are broadcast and no text is shuffled; of the
-    joined rows, too, ``most`` reach the driver, however often a key is repeated in either table.
+    Texts are counted in the workers; the driver gets features, and of the chosen rows only as many,
+    in the same order, as have ``most_features`` distinct ones together.  The chosen keys are bounded by
+    ``most``, so they are broadcast and no text is shuffled; of the joined rows, too, ``most`` are
+    kept, however often a key is repeated in either table.
     """
+
+    @F.pandas_udf("struct<at: binary, n: binary>")
+    def count(texts: pd.Series) -> pd.DataFrame:
+        rows = [counted(t) for t in texts]
+        return pd.DataFrame({"at": [a.tobytes() for a, _ in rows], "n": [n.tobytes() for _, n in rows]})
+
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(key, label).orderBy(F.xxhash64(key), key, label).limit(most)
-    got = documents.select(key, text).join(F.broadcast(chosen), key).orderBy(F.xxhash64(key), key, F.xxhash64(text), text, label).limit(most).collect()
-    got = sorted(got, key=lambda r: (r[0], r[1] or "", r[2]))
-    return [r[1] for r in got], [int(r[2]) for r in got]
+    order = [F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(label).alias("y")]
+    got = documents.select(key, text).join(F.broadcast(chosen), key)
+    table_ = Scratch(documents.sparkSession, "sample").keep(got.select(*order, count(text).alias("f")))
+    # at most ``most`` rows, without their features
+    first = table_.select("h", "k", "t", "y", (F.octet_length("f.at") / 4).cast("long").alias("size")).orderBy("h", "k", "t", "y").limit(most)
+    kept, total = [], 0
+    for r in first.collect():
+        total += r["size"]
+        if total > most_features:
+            break
+        kept.append(r)
+    if not kept:
+        return [], []
+    upto = table_.where(F.col("h") <= kept[-1]["h"]).orderBy("h", "k", "t", "y").limit(len(kept)).collect()
+    return [(np.frombuffer(r["f"]["at"], np.int32), np.frombuffer(r["f"]["n"], np.int32)) for r in upto], [int(r["y"]) for r in upto]
 
 
 def score_quality(text: Column | str, model: QualityModel) -> Column:
