@@ -104,40 +104,61 @@ def link_in_waves(live: DataFrame, sets: DataFrame, links: DataFrame | None, per
 
     parity = [f"k{i}" for i in range(SKETCH)]
     outer = sets.select("id", "n", *[F.get("sketch", F.lit(i)).alias(k) for i, k in enumerate(parity)])
-    whole = scratch.keep(live.join(outer, "id").withColumn("c", F.col("id")))
-    scratch.drop(live)
-    live, comps, pivots, done, n_links = whole, None, 1, None, 0
+    other = outer.select(*[F.col(x).alias(f"a{x}") for x in ("id", "n", *parity)])
     apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"a{k}"))) for k in parity), F.lit(0))
     may_link = (100 * F.least("n", "an") >= percent * F.greatest("n", "an")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("an")))
     side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        compared = pairs.join(side("b"), "b").join(side("a"), "a")
+        return compared.select("a", "b", linked("sa", "sb").alias("ok")).where("ok").select("a", "b")
+
+    def opened(comps: DataFrame, pivots: int) -> DataFrame:
+        """The rows of ``live`` beyond the first members of their buckets, with their components: of buckets with several."""
+        top = F.max(F.when(F.col("r") == pivots, F.col("id")))
+        heads = live.select("sig", "id", F.row_number().over(Window.partitionBy("sig").orderBy("id")).alias("r")).where(F.col("r") <= pivots)
+        top = heads.groupBy("sig").agg(top.alias("top")).where("top IS NOT NULL") if pivots > 1 else live.groupBy("sig").agg(F.min("id").alias("top"))
+        rest = live.select("sig", "id").join(top, "sig").where(F.col("id") > F.col("top")).drop("top")
+        rest = scratch.keep(rest.join(comps.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c")))
+        open_ = scratch.keep(rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig"))
+        out = scratch.keep(rest.join(open_, "sig"))
+        for df in (live, rest, open_):
+            scratch.drop(df)
+        scratch.forget_shuffles()
+        return out
+
+    if not live.limit(1).count():
+        scratch.drop(sets)
+        return components(links, scratch) if links is not None else live.select(F.col("id").alias("node"), F.col("id").alias("component"))
+
+    # the first wave: each member meets its bucket's smallest.  A pair that links shares most of its buckets,
+    # so pairs are made distinct first, and only then get their sketches
+    least = live.groupBy("sig").agg(F.min("id").alias("aid"))
+    met = live.join(least, "sig").where(F.col("aid") < F.col("id")).select("aid", "id").distinct()
+    done = scratch.keep(met.join(outer, "id").join(other, "aid").where(may_link).select(F.col("aid").alias("a"), F.col("id").alias("b")))
+    scratch.forget_shuffles()
+    found = verified(done)
+    links = scratch.keep(found if links is None else links.union(found))
+    comps = scratch.keep(components(links, scratch))
+    scratch.forget_shuffles()
+    live, pivots = opened(comps, 1), 64
     while live.limit(1).count():
         # the smallest members of each bucket: only so many of each leave a task that reads a part of it,
         # without their sketches, which join later; a table, with which joins split large buckets
         rank = F.row_number().over(Window.partitionBy("sig").orderBy("id"))
-        first = live.select("sig", "id", "c").withColumn("r", rank).where(F.col("r") <= pivots).join(outer, "id")
-        heads = scratch.keep(first.select("sig", "r", *[F.col(x).alias(f"a{x}") for x in ("id", "c", "n", *parity)]))
+        first = live.withColumn("r", rank).where(F.col("r") <= pivots).join(outer, "id")
+        heads = scratch.keep(first.select("sig", *[F.col(x).alias(f"a{x}") for x in ("id", "c", "n", *parity)]))
+        near = live.join(outer, "id").join(heads, "sig").where((F.col("aid") < F.col("id")) & (F.col("ac") != F.col("c")) & may_link)
+        pairs = scratch.keep(near.select(F.col("aid").alias("a"), F.col("id").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
+        scratch.drop(heads)
         scratch.forget_shuffles()
-        near = live.join(heads.drop("r"), "sig").where((F.col("aid") < F.col("id")) & (F.col("ac") != F.col("c")) & may_link)
-        pairs = near.select(F.col("aid").alias("a"), F.col("id").alias("b")).distinct()
-        pairs = scratch.keep(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        # only what is new is written; the tables before it stay
+        fresh = scratch.keep(verified(pairs))
+        links, done = links.union(fresh), done.union(pairs)
+        if fresh.limit(1).count():
+            before, comps = comps, scratch.keep(components(links, scratch))
+            scratch.drop(before)
         scratch.forget_shuffles()
-        compared = pairs.join(side("b"), "b").join(side("a"), "a")
-        found = compared.select("a", "b", linked("sa", "sb").alias("ok")).where("ok").select("a", "b")
-        links = scratch.keep(found if links is None else links.union(found))
-        many = links.count()
-        if comps is None or many > n_links:
-            comps, n_links = scratch.keep(components(links, scratch)), many
-        done = pairs if done is None else scratch.keep(done.union(pairs))
-        top = heads.where(F.col("r") == pivots).select("sig", F.col("aid").alias("top"))
-        rest = live.drop("c").join(top, "sig").where(F.col("id") > F.col("top")).drop("top")
-        rest = rest.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        rest = scratch.keep(rest)
-        scratch.drop(live)
-        open_ = scratch.keep(rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig"))
-        live, pivots = scratch.keep(rest.join(open_, "sig")), pivots * 64
-        for df in (heads, rest, open_):
-            scratch.drop(df)
+        live, pivots = opened(comps, pivots), pivots * 64
     scratch.drop(sets)
-    if comps is None:
-        return components(links, scratch) if links is not None else live.select(F.col("id").alias("node"), F.col("id").alias("component"))
     return comps

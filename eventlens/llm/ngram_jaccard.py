@@ -136,16 +136,21 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    coded = "n long, fp binary, sigs array<long>"
 
-    @F.pandas_udf(coded)
+    def sets_of(texts: pd.Series) -> Iterator[np.ndarray]:
+        for lo in range(0, len(texts), SLICE):
+            yield from shingle_sets(texts.iloc[lo : lo + SLICE].tolist(), words, width)
+
+    @F.pandas_udf("n long, fp binary")
     def outline(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = []
-            for lo in range(0, len(texts), SLICE):
-                for s in shingle_sets(texts.iloc[lo : lo + SLICE].tolist(), words, width):
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signatures(s, percent)))
-            yield pd.DataFrame(rows, columns=["n", "fp", "sigs"])
+            rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in sets_of(texts)]
+            yield pd.DataFrame(rows, columns=["n", "fp"])
+
+    @F.pandas_udf("array<long>")
+    def signed_by(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([signatures(s, percent) for s in sets_of(texts)], dtype=object)
 
     @F.pandas_udf("n long, sketch array<long>, s binary")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -153,15 +158,15 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
             sets = shingle_sets(texts.tolist(), words, width)
             yield pd.DataFrame({"n": [len(x) for x in sets], "sketch": [parity_sketch(x) for x in sets], "s": [x.tobytes() for x in sets]})
 
-    # 1. size, fingerprint and signatures of each set; equal sets are one class, named by the smallest key
+    # 1. size and fingerprint of each set; equal sets are one class, named by the smallest key
     seen = scratch.keep(docs.select("id", outline("text").alias("o")).select("id", "o.*"))
     classes = scratch.keep(seen.where("n > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
-    member = scratch.keep(seen.select("id", "n", "fp").join(classes, "fp", "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")))
+    member = scratch.keep(seen.join(classes, "fp", "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")))
+    scratch.drop(seen)
 
-    # 2. buckets of the signatures of one member of each class; those with one member are done
+    # 2. buckets of the signatures of one member of each class, which are made for these alone; those with one member are done
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    once = scratch.keep(seen.select("id", "sigs").join(reps.hint("shuffle_hash"), "id", "left_semi"))
-    scratch.drop(seen)
+    once = scratch.keep(docs.join(reps.hint("shuffle_hash"), "id", "left_semi").select("id", signed_by("text").alias("sigs")))
     scratch.forget_shuffles()
     signed = lambda some: once.where(some).select("id", F.explode("sigs").alias("sig"))
     live = scratch.keep(shared(signed(F.lit(True)), hot_buckets(signed(in_sample("id")))))
@@ -169,6 +174,7 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     scratch.forget_shuffles()
     wanted = live.select("id").distinct().hint("shuffle_hash")
     sets = scratch.keep(docs.join(wanted, "id", "left_semi").select("id", whole("text").alias("w")).select("id", "w.*"))
+    scratch.forget_shuffles()
 
     # 3. candidates are verified in waves; rows of one key with different sets are one node
     links = scratch.keep(member.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b"))
