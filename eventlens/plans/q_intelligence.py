@@ -5,23 +5,27 @@ from __future__ import annotations
 import re
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventlens.operators import authority as A
+from eventlens.operators import baseline as B
 from eventlens.operators import evaluation as E
 from eventlens.operators import features as X
 from eventlens.operators import intelligence as I
 from eventlens.operators import models as M
+from eventlens.operators import policy as P
 from eventlens.operators import temporal as T
+from eventlens.operators import uncertainty as U
 from eventlens.operators.context import end_of_session, origin_of
 from eventlens.plans.analysis import Learning, analyse
 from eventlens.plans.canon import CANON, events, pick, r6, steady, table
-from eventlens.plans.q_baseline import history
+from eventlens.plans.q_baseline import FOLD, folded, history
 from eventlens.plans.q_context import CTX, LONG, features
 from eventlens.plans.q_models import ANSWER_FIT
 from eventlens.plans.q_outcomes import OUT, READING, measured, truths
-from eventlens.plans.q_policy import DEC, TYPES, authorised, final
-from eventlens.settings import DAY, SPARSE
+from eventlens.plans.q_policy import DEC, TYPES, decisions, deliveries, final
+from eventlens.settings import DAY, DEFAULT, SPARSE
 from eventlens.sources.shared import saved
 
 NOW = 1706572800000000  # 2024-01-30
@@ -44,7 +48,7 @@ def states(s, d):
 
 
 def counts(s, d):
-    return events(s, d).groupBy("learner_id").agg(F.count("*").alias("n_events"), F.count_distinct("session_id").alias("n_sessions"), origin_of(F.bool_or(F.col("origin") == "real"), F.bool_or(F.col("origin") == "synthetic")).alias("origin_label"))
+    return events(s, d).groupBy("learner_id").agg(F.count("*").alias("n_events"), F.count_distinct("session_id").alias("n_sessions"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), origin_of(F.bool_or(F.col("origin") == "real"), F.bool_or(F.col("origin") == "synthetic")).alias("origin_label"))
 
 
 def contexts(s, d):
@@ -57,17 +61,19 @@ def decided_last(s, d):
 
 
 def outcomes_last(s, d):
-    """Of each learner's last delivery the measures taken; nulls without a delivery."""
+    """Of each learner's last delivery the measures taken, and the interval of its windows; nulls without a delivery."""
     m = measured(s, d)
-    per = m.groupBy("learner_id", "intervention_id").agg(F.count("*").alias("measures"), F.count_if(F.col("status") == "measured").alias("measured"))
+    per = m.groupBy("learner_id", "intervention_id").agg(F.count("*").alias("measures"), F.count_if(F.col("status") == "measured").alias("measured"), F.max("delivered_us").alias("delivered_us"))
     per = per.join(E.intervention_response(m), "intervention_id")
-    return counts(s, d).select("learner_id").join(I.latest(per, "intervention_id"), "learner_id", "left")
+    per = per.withColumns({"from_us": F.col("delivered_us") - int(SPARSE.before * 1e6), "to_us": F.col("delivered_us") + int(SPARSE.after * 1e6) - 1})
+    return counts(s, d).select("learner_id").join(I.latest(per, "delivered_us", "intervention_id"), "learner_id", "left")
 
 
 def evaluations_last(s, d):
     """Of each learner the verdict on the last prediction that could be evaluated; null without one."""
     e = E.evaluate(truths(s, d)).where("verdict <> 'not_assessable'")
-    return counts(s, d).select("learner_id").join(I.latest(e, "predicted_us", "prediction_id").select("learner_id", "verdict"), "learner_id", "left")
+    last = I.latest(e, "predicted_us", "prediction_id").select("learner_id", "verdict", "predicted_us", "window_end", "model_version")
+    return counts(s, d).select("learner_id").join(last, "learner_id", "left")
 
 
 def stages(s, d):
@@ -78,8 +84,8 @@ def stages(s, d):
     has = sum((F.col(f).isNotNull().cast("int") for f in X.FEATURES), F.lit(0))
     r = saved(rollups(s, d))
     return {
-        "counts": counts(s, d), "rollups": r, "change": saved(change(s, d)), "fusion": saved(I.subject_fusion(r)), "states": saved(states(s, d)), "contexts": last,
-        "features": last.select("learner_id", has.alias("available"), F.lit(len(X.FEATURES)).alias("required")), "decisions": saved(decided_last(s, d)), "outcomes": saved(outcomes_last(s, d)), "evaluations": saved(evaluations_last(s, d)),
+        "events": events(s, d), "counts": saved(counts(s, d)), "rollups": r, "change": saved(change(s, d)), "fusion": saved(I.subject_fusion(r)), "states": saved(states(s, d)), "contexts": last,
+        "features": last.select("learner_id", "us", "elapsed_seconds", has.alias("available"), F.lit(len(X.FEATURES)).alias("required")), "decisions": saved(decided_last(s, d)), "outcomes": saved(outcomes_last(s, d)), "evaluations": saved(evaluations_last(s, d)),
     }
 
 
@@ -124,9 +130,38 @@ def questions(s, d):
     return table(s, d, "conversations").where("role = 'user'")
 
 
+def believed(s, d):
+    """Decisions whose verdict and confidence the uncertainty layer gives, decided and authorised."""
+    k = F.col("k")
+    base = decisions(s, d).withColumns({
+        "ece": F.when(k % 8 != 0, (k % 7) / 20.0), "evidence": k * k % 600, "refusal": F.when(k % 9 == 0, "absent:x"),
+        "maturity": F.when(k % 4 == 0, "new").when(k % 4 == 1, "early").when(k % 4 == 2, "developing").otherwise("established"),
+    })
+    j = U.assess_confidence(U.verdict(base), DEFAULT)
+    j = j.withColumn("confidence", F.when(F.col("confidence_value").isNotNull(), U.band(F.col("confidence_value"))))
+    return final(s, d, P.decide(j, deliveries(s, d), TYPES, SPARSE))
+
+
 def i18(s, d):
-    a = authorised(s, d).withColumn("confidence_value", F.col("probability") - 0.2).withColumn("binding", F.lit("evidence"))
-    return I.diagnose(a)
+    """Each decision's stage log: answers before it, its learner's largest drift, state, score, confidence, policy, authority, safety."""
+    b = saved(believed(s, d))
+    n = b.select("decision_id", "learner_id", F.col("decided_us").alias("us"), F.lit(0).alias("answer")).unionByName(
+        events(s, d).where("event_type = 'question_answered'").select(F.lit(None).cast("long").alias("decision_id"), "learner_id", "us", F.lit(1).alias("answer"))
+    )
+    upto = Window.partitionBy("learner_id").orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    answers_before = n.withColumn("answered", F.sum("answer").over(upto)).where("decision_id IS NOT NULL").select("decision_id", "answered")
+    drift = B.centre_drift(folded(s, d), ["learner_id"]).groupBy("learner_id").agg(F.max(F.abs("relative_drift")).alias("relative_drift"))
+    j = b.join(answers_before, "decision_id").join(drift, "learner_id", "left")
+    state = F.col("state")
+    fixed = lambda c: F.when(c.isNotNull(), F.format_string("%.4f", c))
+    log = I.stage_log(j, {
+        "events": {"answered": F.col("answered")}, "baseline": {"maturity": F.col("maturity"), "relative_drift": fixed(F.col("relative_drift"))},
+        "temporal": {"state": state, "character": F.when(state.isin("stable", "insufficient_data"), "flat").when(state == "slight_deviation", "isolated").otherwise("persistent")},
+        "prediction": {"refusal": F.col("refusal")},
+        "uncertainty": {"verdict": F.col("verdict"), "binding": F.col("binding"), "ceiling": fixed(F.col("confidence_value"))},
+        "policy": {"decision": F.col("decision"), "reason": F.col("reason")}, "authority": {"level": F.col("level")}, "safety": {"final_reason": F.col("final_reason")},
+    })
+    return I.diagnose(log)
 
 
 #: The chain's model by its numbers, what a row needs for it, and the label over two answers (learners have few).
@@ -168,7 +203,7 @@ QUERIES = {
     "i1_session_readings": lambda s, d: I.session_readings(events(s, d)).select("session_id", "answered", "n_correct", *r6("mean_response", "mean_difficulty")),
     "i2_subject_rollups": lambda s, d: rollups(s, d).select("learner_id", "subject", "answered", "last_us", "sessions", "sufficient", "stale", *r6("accuracy", "recent", "mean_difficulty")),
     "i3_subject_signal": lambda s, d: rollups(s, d).select("learner_id", "subject", "signal"),
-    "i4_classify_change": lambda s, d: change(s, d).select("learner_id", "sessions", "change", *r6("q1", "q4", "sigma", "early_response", "late_response")),
+    "i4_classify_change": lambda s, d: change(s, d).select("learner_id", "sessions", "change", *r6("q1", "q4", "sigma", "early_response", "late_response", "early_difficulty", "late_difficulty")),
     "i5_subject_fusion": lambda s, d: fusion(s, d).select("learner_id", "agreement", F.array_join("signals", ",").alias("signals")),
     "i6_evidence_table": lambda s, d: evidence(s, d),
     "i7_gap_table": lambda s, d: gaps(s, d).orderBy("priority", "gap_id"),
@@ -179,9 +214,12 @@ QUERIES = {
     "i11_asked_intent": lambda s, d: requests(s, d).select("request_id", I.classify_intent(F.col("question")).alias("intent")),
     "i12_sufficiency": lambda s, d: I.sufficiency(asked(s, d), evidence(s, d)).select("request_id", "sufficiency"),
     "i13_select_evidence": lambda s, d: selected(s, d).select("request_id", "evidence_id"),
-    "i14_answer_quality": lambda s, d: I.answer_quality(selected(s, d)),
+    "i14_answer_quality": lambda s, d: I.answer_quality(selected(s, d), asked(s, d)),
     "i15_answer_type": lambda s, d: I.answer_type(selected(s, d)).select("request_id", "answer_type", F.array_join("limitations", ",").alias("limitations")),
-    "i16_answer_questions": lambda s, d: answers(s, d).select("request_id", "status", "reason", F.sha2("answer", 256).alias("answer_sha")),
+    "i16_answer_questions": lambda s, d: answers(s, d).select(
+        "request_id", "status", "reason", F.sha2("answer", 256).alias("answer_sha"), "answer_type", "reliability", "confidence", F.array_join("limitations", ",").alias("limitations"), F.array_join("sources", ",").alias("sources"),
+        F.array_join("versions", ",").alias("versions"), "origin", F.array_join(F.transform("rests_on", lambda x: F.concat_ws("|", x["evidence_id"], x["n_events"].cast("string"), x["events_digest"])), ",").alias("rests_on"),
+    ),
     "i17_resolve_subject": lambda s, d: requests(s, d).select("request_id", F.array_join(I.resolve_subject(F.col("question"))[0], ",").alias("named"), I.resolve_subject(F.col("question"))[1].alias("scope")),
     "i18_diagnose": i18,
     "i19_pipeline": i19,
@@ -199,16 +237,16 @@ ru AS (
 sj AS (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY f, session_id) - 1 AS j, count(*) OVER (PARTITION BY learner_id) AS n FROM rd),
 qs AS (
   SELECT learner_id, count(*) AS sessions, avg(acc) FILTER (WHERE j < n // 4) AS z1, avg(acc) FILTER (WHERE j >= 0 * n // 4 AND j < 1 * n // 4) AS q1, avg(acc) FILTER (WHERE j >= 1 * n // 4 AND j < 2 * n // 4) AS q2, avg(acc) FILTER (WHERE j >= 2 * n // 4 AND j < 3 * n // 4) AS q3, avg(acc) FILTER (WHERE j >= 3 * n // 4) AS q4,
-    stddev_pop(acc) AS sigma, avg(mr) FILTER (WHERE j < n // 2) AS er, avg(mr) FILTER (WHERE j >= n // 2) AS lr FROM sj GROUP BY 1),
+    stddev_pop(acc) AS sigma, avg(mr) FILTER (WHERE j < n // 2) AS er, avg(mr) FILTER (WHERE j >= n // 2) AS lr, avg(md) FILTER (WHERE j < n // 2) AS ed, avg(md) FILTER (WHERE j >= n // 2) AS ldf FROM sj GROUP BY 1),
 chg AS (SELECT *, CASE WHEN sessions < 4 THEN 'insufficient_evidence' WHEN round(q1 - q2, 9) >= 0.12 AND round(q3 - q4, 9) <= -0.12 THEN 'recovering' WHEN round(q1 - q4, 9) >= 0.12 THEN 'declining' WHEN round(q4 - q1, 9) >= 0.12 THEN 'improving' WHEN sigma > 0.25 THEN 'volatile' ELSE 'stable' END AS change FROM qs),
 fu AS (SELECT learner_id, CASE WHEN NOT bool_or(sufficient) THEN 'unavailable' WHEN bool_or(sufficient AND signal = 'declining') AND bool_or(sufficient AND signal = 'improving') THEN 'contradictory' WHEN bool_or(sufficient AND signal = 'declining') THEN 'supporting' ELSE 'neutral' END AS agreement,
    coalesce(string_agg(subject || ':' || signal, ',' ORDER BY subject) FILTER (WHERE sufficient), '') AS signals FROM ru GROUP BY 1),
 ls AS (SELECT *, (least_n >= 3)::INT + (least_n >= 6)::INT + (least_n >= 10)::INT AS wm FROM st QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY us DESC) = 1),
-cn AS (SELECT learner_id, count(*) AS n, count(DISTINCT session_id) AS s, CASE WHEN count(DISTINCT origin) = 2 THEN 'mixed' ELSE min(origin) END AS o FROM ev GROUP BY 1),
+cn AS (SELECT learner_id, min(us) AS f, max(us) AS l, count(*) AS n, count(DISTINCT session_id) AS s, CASE WHEN count(DISTINCT origin) = 2 THEN 'mixed' ELSE min(origin) END AS o FROM ev GROUP BY 1),
 ctxl AS (SELECT *, (SELECT count(*) FROM long l WHERE l.session_id = f.session_id AND l.has) AS available FROM fin f QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY us DESC, event_id DESC) = 1),
 ld AS (SELECT *, CASE WHEN reason IS NULL THEN ['recap', 'micro_question', 'pause', 'reflection'][best + 1] END AS selected, split_part(f, '|', 1) AS verb FROM fina QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY decided_us DESC, decision_id DESC) = 1),
-lo AS (SELECT learner_id, m.intervention_id, count(*) AS n, count(*) FILTER (WHERE status = 'measured') AS k, any_value(response) AS r FROM meas m JOIN resp USING (intervention_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY m.intervention_id DESC) = 1),
-le AS (SELECT learner_id, verdict FROM evl WHERE verdict <> 'not_assessable' QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY pus DESC, prediction_id DESC) = 1),
+lo AS (SELECT m.learner_id, m.intervention_id, count(*) AS n, count(*) FILTER (WHERE status = 'measured') AS k, any_value(response) AS r, any_value(t) AS t FROM meas m JOIN resp USING (intervention_id) JOIN dels USING (intervention_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY m.learner_id ORDER BY any_value(t) DESC, m.intervention_id DESC) = 1),
+le AS (SELECT learner_id, verdict, pus, wend, model_version FROM evl WHERE verdict <> 'not_assessable' QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY pus DESC, prediction_id DESC) = 1),
 evi AS (
   SELECT 'context:' || learner_id || ':' AS evidence_id, learner_id, 'context' AS kind, 'derived' AS class, 'medium' AS reliability, 'session ' || session_id || ': ' || answer_count || ' recent answers, ' || event_count || ' events' AS statement, 'context' AS source, NULL AS subject FROM ctxl
   UNION ALL SELECT 'feature:' || learner_id || ':', learner_id, 'feature', 'derived', CASE WHEN available = 14 THEN 'high' ELSE 'medium' END, available || ' of 14 features available', 'features', NULL FROM ctxl
@@ -228,6 +266,20 @@ evi AS (
   UNION ALL SELECT 'change:' || learner_id || ':', learner_id, 'change', 'derived', 'medium', 'change ' || change, 'sessions', NULL FROM chg WHERE change <> 'insufficient_evidence'
   UNION ALL SELECT 'fusion:' || learner_id || ':', learner_id, 'fusion', 'derived', CASE WHEN agreement = 'contradictory' THEN 'low' ELSE 'medium' END, 'subjects are ' || agreement, 'rollup', NULL FROM fu WHERE agreement <> 'unavailable'
   UNION ALL SELECT 'temporal:' || learner_id || ':', learner_id, 'temporal', 'derived', CASE WHEN wm >= 2 THEN 'high' ELSE 'medium' END, 'state ' || state || ', ' || direction, 'baseline', NULL FROM ls WHERE state <> 'insufficient_data'),
+evs AS (
+  SELECT e.*, CASE class WHEN 'observed' THEN 'observed' WHEN 'derived' THEN 'derived_from_events' WHEN 'predicted' THEN 'model_output' WHEN 'system_generated' THEN 'decision_layer' ELSE 'none' END AS provenance,
+    CASE WHEN class = 'unavailable' THEN NULL WHEN kind IN ('context', 'feature') THEN c.us - CAST(round(c.elapsed * 1e6) AS BIGINT) WHEN kind = 'outcome' THEN o.t - 432000000000 WHEN kind = 'evaluation' THEN v.pus ELSE n.f END AS fu,
+    CASE WHEN class = 'unavailable' THEN NULL WHEN kind IN ('context', 'feature') THEN c.us WHEN kind = 'outcome' THEN o.t + 259200000000 - 1 WHEN kind = 'evaluation' THEN v.wend - 1 WHEN kind IN ('baseline', 'temporal') THEN s.us
+         WHEN kind = 'subject' THEN r.last_us WHEN kind IN ('prediction', 'uncertainty', 'policy', 'authority', 'intervention') THEN d.decided_us ELSE n.l END AS tu,
+    CASE WHEN kind = 'evaluation' AND class <> 'unavailable' THEN v.model_version ELSE source || '/1' END AS version
+  FROM evi e JOIN cn n USING (learner_id) LEFT JOIN ctxl c USING (learner_id) LEFT JOIN lo o USING (learner_id) LEFT JOIN le v USING (learner_id) LEFT JOIN ls s USING (learner_id) LEFT JOIN ld d USING (learner_id) LEFT JOIN ru r ON r.learner_id = e.learner_id AND r.subject = e.subject),
+lin AS (
+  SELECT learner_id, fu, tu, count(event_id) AS n_events, count(*) FILTER (WHERE origin = 'synthetic') AS syn, lower(lpad(hex(coalesce(bit_xor(CAST('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 15) AS BIGINT)), 0)), 15, '0')) AS dg
+  FROM (SELECT DISTINCT learner_id, fu, tu FROM evs WHERE fu IS NOT NULL AND tu IS NOT NULL) q LEFT JOIN ev USING (learner_id) WHERE us BETWEEN fu AND tu GROUP BY 1, 2, 3),
+evt AS (
+  SELECT e.*, coalesce(n_events, 0) AS n_events, CASE WHEN fu IS NULL OR tu IS NULL THEN NULL ELSE coalesce(dg, '000000000000000') END AS events_digest,
+    CASE WHEN coalesce(n_events, 0) = 0 THEN 'unknown' WHEN syn = n_events THEN 'synthetic' WHEN syn = 0 THEN 'real' ELSE 'mixed' END AS origin
+  FROM evs e LEFT JOIN lin USING (learner_id, fu, tu)),
 gp AS (
   SELECT g || ':' || learner_id || ':' || coalesce(subject, '') AS gap_id, learner_id, g AS gap, t AS gap_type, CAST(list_position(['missing', 'stale', 'low_coverage', 'low_quality', 'conflicting', 'unvalidated', 'not_applicable'], t) AS INTEGER) AS priority, subject
   FROM (
@@ -315,6 +367,49 @@ adm_i AS (SELECT p.prediction_id, p.learner_id, e.us, e.event_id FROM prd_i p JO
 
 _FIXED = _chain_sql()
 
+
+def _diagnosis_sql() -> str:
+    """The categories one by one, over decisions with the uncertainty layer's verdict and confidence."""
+    made = """dec0 AS (
+  SELECT event_id AS decision_id, learner_id, session_id, us AS decided_us, k, 0.5 + (k % 25) / 50.0 AS p, CASE WHEN k % 8 <> 0 THEN (k % 7) / 20.0 END AS ece, k * k % 600 AS evidence, CASE WHEN k % 9 = 0 THEN 'absent:x' END AS refusal,
+    ['new', 'early', 'developing', 'established'][k % 4 + 1] AS maturity, CAST([0.30, 0.50, 0.75, 1.0][k % 4 + 1] AS DOUBLE) AS mc,
+    CASE WHEN k % 10 = 0 THEN 'insufficient_data' WHEN k % 10 = 1 THEN 'stable' WHEN k % 10 < 5 THEN 'declining' WHEN k % 10 < 8 THEN 'high_deviation' ELSE 'increasing_deviation' END AS state, ['free_practice', 'graded_assessment', 'exam_hall', 'lab'][k % 4 + 1] AS context
+  FROM ev WHERE event_type = 'content_closed'),
+dec1 AS (SELECT *, CASE WHEN refusal IS NOT NULL THEN 'refused' WHEN ece IS NULL OR ece > 0.25 THEN 'unknown' WHEN evidence < 10 THEN 'insufficient_data' ELSE 'resolved' END AS verdict, CASE WHEN evidence < 10 THEN 0.0 WHEN evidence >= 500 THEN 1.0 ELSE 0.5 + 0.5 * ln(evidence / 10.0) / ln(50.0) END AS ec FROM dec0),
+dec2 AS (SELECT *, CASE WHEN verdict = 'resolved' THEN p END AS probability, CASE WHEN verdict = 'resolved' THEN least(p, 1 - ece, ec, mc) END AS cv FROM dec1),
+decs AS (
+  SELECT *, CASE WHEN cv >= 0.8 THEN 'high' WHEN cv >= 0.6 THEN 'medium' WHEN cv IS NOT NULL THEN 'low' ELSE 'none' END AS confidence, CASE WHEN cv >= 0.8 THEN 3 WHEN cv >= 0.6 THEN 2 WHEN cv IS NOT NULL THEN 1 ELSE 0 END AS crank,
+    CASE WHEN cv IS NULL OR p = cv THEN 'assertion' WHEN 1 - ece = cv THEN 'calibration' WHEN ec = cv THEN 'evidence' ELSE 'maturity' END AS binding FROM dec2),
+"""
+    tail = DEC[len(CANON) :]
+    tail = tail[: tail.index("decs AS (")] + made + tail[tail.index("pairs AS (") :]
+    tail = tail.replace("CASE confidence WHEN 'low' THEN 0.35", "CASE confidence WHEN 'none' THEN 0.0 WHEN 'low' THEN 0.35")
+    e = lambda *cells: "array_to_string(list_sort([" + ", ".join(f"'{n}=' || {v}" for n, v in cells) + "]), ',')"
+    answered, state, maturity, decision = ("events.answered", "answered"), ("temporal.state", "state"), ("baseline.maturity", "maturity"), ("policy.decision", "decision")
+    rows = [
+        ("input_rejected", "constraint", "events", e(answered), "answered = 0"),
+        ("insufficient_data", "constraint", "baseline", e(maturity), "maturity = 'new' AND state <> 'insufficient_data'"),
+        ("insufficient_data", "constraint", "baseline", e(state), "maturity <> 'new' AND state = 'insufficient_data'"),
+        ("insufficient_data", "constraint", "baseline", e(maturity, state), "maturity = 'new' AND state = 'insufficient_data'"),
+        ("baseline_adaptation", "caveat", "baseline", e(maturity, answered, ("baseline.relative_drift", "drift")), "maturity <> 'new' AND answered > 0 AND drift IS NOT NULL"),
+        ("temporal_state_logic", "caveat", "temporal", e(("temporal.character", "'flat'"), state, answered), "state = 'stable' AND answered > 0"),
+        ("prediction_refusal", "constraint", "prediction", e(("prediction.refusal", "refusal")), "refusal IS NOT NULL"),
+        ("uncertainty_limit", "constraint", "uncertainty", e(("uncertainty.verdict", "verdict"), ("uncertainty.binding", "binding"), ("uncertainty.ceiling", "printf('%.4f', cv)")), "verdict = 'resolved' AND binding <> 'assertion' AND CAST(printf('%.4f', cv) AS DOUBLE) < 1"),
+        ("uncertainty_limit", "constraint", "uncertainty", e(("uncertainty.verdict", "verdict")), "verdict <> 'resolved'"),
+        ("policy_restriction", "constraint", "policy", e(decision, ("policy.reason", "reason")), "reason <> 'not_resolved'"),
+        ("authority_restriction", "constraint", "authority", e(decision, ("authority.level", "level")), "reason IS NULL AND level <> 'allowed'"),
+        ("safety_restriction", "constraint", "safety", e(decision, ("safety.final_reason", "fr")), "reason IS NULL AND fr IN ('expired', 'action_not_permitted', 'high_impact')"),
+    ]
+    found = " UNION ALL ".join(f"SELECT decision_id, '{c}' AS category, '{k}' AS kind, '{s}' AS stage, {x} AS evidence FROM di WHERE {w}" for c, k, s, x, w in rows)
+    return FOLD + tail.rstrip() + f""", drf AS (
+  SELECT learner_id, max(abs(CASE WHEN abs(a) > 1e-12 THEN (b - a) / abs(a) END)) AS rel FROM (SELECT learner_id, dimension, arg_min(centre, n) AS a, arg_max(centre, n) AS b FROM fold GROUP BY 1, 2) GROUP BY 1),
+di AS (
+  SELECT f.*, split_part(f.f, '|', 2) AS fr, CASE WHEN reason IS NULL THEN 'intervene' ELSE 'no_intervention' END AS decision, printf('%.4f', rel) AS drift,
+    (SELECT count(*) FROM ev a WHERE a.learner_id = f.learner_id AND a.event_type = 'question_answered' AND a.us <= f.decided_us) AS answered
+  FROM fina f LEFT JOIN drf USING (learner_id)),
+dg AS ({found})
+SELECT * FROM dg UNION ALL SELECT decision_id, 'no_restriction', 'constraint', 'policy', '' FROM fina WHERE decision_id NOT IN (SELECT decision_id FROM dg WHERE kind = 'constraint')"""
+
 _INTENTSQL = "CASE " + " ".join("WHEN " + " OR ".join("contains(lower(text), '" + w.replace("'", "''") + "')" for w in ws) + f" THEN '{n}'" for n, ws in I.INTENTS) + " ELSE 'unknown' END"
 
 ORACLES = {
@@ -326,9 +421,9 @@ FROM fina f LEFT JOIN tru_i t ON t.prediction_id = f.decision_id""",
     "i1_session_readings": INT + "SELECT session_id, answered, n_correct, round(mr, 6) AS mean_response, round(md, 6) AS mean_difficulty FROM rd",
     "i2_subject_rollups": INT + "SELECT learner_id, subject, answered, last_us, sessions, sufficient, stale, round(accuracy, 6) AS accuracy, round(recent, 6) AS recent, round(mdif, 6) AS mean_difficulty FROM ru",
     "i3_subject_signal": INT + "SELECT learner_id, subject, signal FROM ru",
-    "i4_classify_change": INT + "SELECT learner_id, sessions, change, round(q1, 6) AS q1, round(q4, 6) AS q4, round(sigma, 6) AS sigma, round(er, 6) AS early_response, round(lr, 6) AS late_response FROM chg",
+    "i4_classify_change": INT + "SELECT learner_id, sessions, change, round(q1, 6) AS q1, round(q4, 6) AS q4, round(sigma, 6) AS sigma, round(er, 6) AS early_response, round(lr, 6) AS late_response, round(ed, 6) AS early_difficulty, round(ldf, 6) AS late_difficulty FROM chg",
     "i5_subject_fusion": INT + "SELECT learner_id, agreement, signals FROM fu",
-    "i6_evidence_table": INT + "SELECT * FROM evi",
+    "i6_evidence_table": INT + "SELECT evidence_id, learner_id, kind, class, reliability, statement, provenance, source, version, tu AS ts_us, subject, n_events, events_digest, origin FROM evt",
     "i7_gap_table": INT + "SELECT * FROM gp",
     "i8_visible_evidence": INT + "SELECT evidence_id, 'teacher' AS role FROM evi UNION ALL SELECT evidence_id, 'student' FROM evi WHERE kind IN ('event', 'context', 'provenance', 'subject')",
     "i9_restricted_gaps": INT + "SELECT DISTINCT learner_id, 'privilege_restricted' AS gap, kind FROM evi WHERE kind NOT IN ('event', 'context', 'provenance', 'subject')",
@@ -337,19 +432,26 @@ FROM fina f LEFT JOIN tru_i t ON t.prediction_id = f.decision_id""",
     "i11_asked_intent": INT + "SELECT request_id, intent FROM rq",
     "i12_sufficiency": INT + "SELECT request_id, suff AS sufficiency FROM su",
     "i13_select_evidence": INT + "SELECT request_id, evidence_id FROM sel",
-    "i14_answer_quality": INT + "SELECT request_id, ['low', 'medium', 'high'][g] AS reliability, CASE WHEN p THEN 'low' ELSE ['low', 'medium', 'high'][g] END AS confidence, n_evidence FROM (SELECT request_id, bool_or(class IN ('predicted', 'unavailable')) AS p, min(CASE reliability WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS g, count(*) AS n_evidence FROM sel GROUP BY 1)",
+    "i14_answer_quality": INT + "SELECT request_id, ['low', 'medium', 'high'][g] AS reliability, CASE WHEN p THEN 'low' ELSE ['low', 'medium', 'high'][g] END AS confidence, n_evidence FROM (SELECT request_id, bool_or(class IN ('predicted', 'unavailable')) AS p, min(CASE reliability WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS g, count(*) AS n_evidence FROM sel GROUP BY 1) UNION ALL SELECT request_id, 'low', 'unknown', 0 FROM au WHERE denial IS NULL AND request_id NOT IN (SELECT request_id FROM sel)",
     "i15_answer_type": INT + "SELECT request_id, CASE WHEN p THEN 'prediction' WHEN d AND o THEN 'mixed' WHEN d THEN 'inference' ELSE 'observation' END AS answer_type, array_to_string(list_filter([CASE WHEN l THEN 'low_reliability' END, CASE WHEN d THEN 'derived_from_log' END, CASE WHEN intent IN ('authority', 'autonomy') THEN 'scope_of_envelope' END], lambda x: x IS NOT NULL), ',') AS limitations FROM (SELECT request_id, intent, bool_or(class = 'predicted') AS p, bool_or(class = 'derived') AS d, bool_or(class = 'observed') AS o, bool_or(reliability = 'low') AS l FROM sel GROUP BY 1, 2)",
-    "i16_answer_questions": INT + """, body AS (SELECT request_id, string_agg(statement, chr(10) ORDER BY evidence_id) AS b FROM sel GROUP BY 1), gl AS (SELECT learner_id, string_agg(gap, chr(10) ORDER BY priority, gap_id) AS g FROM gp GROUP BY 1)
-SELECT a.request_id, CASE WHEN a.denial IS NOT NULL THEN 'denied' WHEN suff <> 'ok' THEN 'refused' ELSE 'answered' END AS status, CASE WHEN a.denial IS NOT NULL THEN a.denial WHEN suff <> 'ok' THEN suff END AS reason,
-  CASE WHEN a.denial IS NULL AND suff = 'ok' THEN sha256(CASE WHEN a.intent IN ('gaps', 'missing') THEN coalesce('Data gaps relevant to this question:' || chr(10) || g, 'No known data gaps for this learner.') ELSE 'Evidence:' || chr(10) || coalesce(b, '') END) END AS answer_sha
-FROM au a LEFT JOIN su s ON s.request_id = a.request_id LEFT JOIN body ON body.request_id = a.request_id LEFT JOIN gl ON gl.learner_id = a.learner_id""",
+    "i16_answer_questions": INT + """, gl AS (SELECT learner_id, string_agg(gap, chr(10) ORDER BY priority, gap_id) AS g FROM gp GROUP BY 1),
+body AS (
+  SELECT request_id, string_agg(s.statement, chr(10) ORDER BY evidence_id) AS b, bool_or(s.class = 'predicted') AS p, bool_or(s.class = 'derived') AS d, bool_or(s.class = 'observed') AS o, bool_or(s.class = 'unavailable') AS u, bool_or(s.reliability = 'low') AS lowest,
+    bool_or(s.reliability = 'medium') AS middling, array_to_string(list_sort(list(DISTINCT s.source)), ',') AS sources, array_to_string(list_sort(list(DISTINCT t.version)), ',') AS versions, list(DISTINCT t.origin) FILTER (WHERE t.origin <> 'unknown') AS origins,
+    string_agg(evidence_id || '|' || t.n_events || coalesce('|' || t.events_digest, ''), ',' ORDER BY evidence_id) AS rests_on
+  FROM sel s JOIN evt t USING (evidence_id) GROUP BY 1),
+ans AS (
+  SELECT a.request_id, a.intent, CASE WHEN a.denial IS NOT NULL THEN 'denied' WHEN suff <> 'ok' THEN 'refused' ELSE 'answered' END AS status, CASE WHEN a.denial IS NOT NULL THEN a.denial WHEN suff <> 'ok' THEN suff END AS reason, body.* EXCLUDE (request_id), g
+  FROM au a LEFT JOIN su s ON s.request_id = a.request_id LEFT JOIN body ON body.request_id = a.request_id LEFT JOIN gl ON gl.learner_id = a.learner_id),
+grade AS (SELECT *, CASE WHEN b IS NULL OR lowest THEN 'low' WHEN middling THEN 'medium' ELSE 'high' END AS worst FROM ans)
+SELECT request_id, status, reason, CASE WHEN status = 'answered' THEN sha256(CASE WHEN intent IN ('gaps', 'missing') THEN coalesce('Data gaps relevant to this question:' || chr(10) || g, 'No known data gaps for this learner.') ELSE 'Evidence:' || chr(10) || coalesce(b, '') END) END AS answer_sha,
+  CASE WHEN status = 'answered' AND b IS NOT NULL THEN CASE WHEN p THEN 'prediction' WHEN d AND o THEN 'mixed' WHEN d THEN 'inference' ELSE 'observation' END END AS answer_type,
+  CASE WHEN status = 'answered' THEN worst END AS reliability, CASE WHEN status = 'answered' THEN CASE WHEN b IS NULL THEN 'unknown' WHEN p OR u THEN 'low' ELSE worst END END AS confidence,
+  CASE WHEN status = 'answered' THEN array_to_string(list_filter([CASE WHEN lowest THEN 'low_reliability' END, CASE WHEN d THEN 'derived_from_log' END, CASE WHEN b IS NOT NULL AND intent IN ('autonomy', 'authority') THEN 'scope_of_envelope' END], lambda x: x IS NOT NULL), ',') END AS limitations,
+  CASE WHEN status = 'answered' THEN coalesce(sources, '') END AS sources, CASE WHEN status = 'answered' THEN coalesce(versions, '') END AS versions,
+  CASE WHEN status = 'answered' THEN CASE WHEN origins IS NULL OR len(origins) = 0 THEN 'unknown' WHEN len(origins) = 1 THEN origins[1] ELSE 'mixed' END END AS origin, CASE WHEN status = 'answered' THEN coalesce(rests_on, '') END AS rests_on
+FROM grade""",
     "i17_resolve_subject": INT + "SELECT request_id, CASE qn WHEN 4 THEN 'algebra' WHEN 5 THEN 'geometry,reading' WHEN 17 THEN 'maths,math,science' ELSE '' END AS named, CASE qn WHEN 4 THEN 'one' WHEN 5 THEN 'ambiguous' WHEN 17 THEN 'ambiguous' ELSE 'all' END AS scope FROM rq",
-    "i18_diagnose": DEC + """, dg AS (
-  SELECT decision_id, 'uncertainty' AS layer, 'constraint' AS role, verdict AS detail FROM lvl WHERE verdict <> 'resolved'
-  UNION ALL SELECT decision_id, 'confidence', 'caveat', 'evidence' FROM lvl WHERE verdict = 'resolved' AND probability - CAST(0.2 AS DOUBLE) < 0.6
-  UNION ALL SELECT decision_id, 'temporal', 'constraint', state FROM lvl WHERE state = 'insufficient_data'
-  UNION ALL SELECT decision_id, 'policy', 'constraint', reason FROM lvl WHERE reason IS NOT NULL AND reason <> 'not_resolved'
-  UNION ALL SELECT decision_id, 'authority', 'constraint', level FROM lvl WHERE level <> 'allowed')
-SELECT * FROM dg UNION ALL SELECT decision_id, 'none', 'caveat', 'no_restriction' FROM lvl WHERE decision_id NOT IN (SELECT decision_id FROM dg)""",
+    "i18_diagnose": _diagnosis_sql(),
 }
 ORACLES = {k: steady(v) for k, v in ORACLES.items()}

@@ -43,15 +43,15 @@ def memory(s, d):
     )
 
 
-def authorised(s, d):
-    a = A.clamp_authority(A.decayed_authority(memory(s, d), decided(s, d), SPARSE), SPARSE)
+def authorised(s, d, of=None):
+    a = A.clamp_authority(A.decayed_authority(memory(s, d), decided(s, d) if of is None else of, SPARSE), SPARSE)
     c = F.col("context")
     a = a.withColumns({"risk": F.when(c == "exam_hall", "high").when(c == "graded_assessment", "medium").otherwise("low"), "reversible": c != "exam_hall", "high_stakes": (c == "graded_assessment") & (F.col("k") % 3 == 0)})
     return A.authority_level(a, SPARSE)
 
 
-def final(s, d):
-    a = authorised(s, d).withColumn("expires_us", F.when(F.col("k") % 17 == 0, F.col("decided_us")).otherwise(F.col("decided_us") + int(SPARSE.expiry * 1e6))).withColumn("high_impact", F.col("k") % 6 == 0)
+def final(s, d, of=None):
+    a = authorised(s, d, of).withColumn("expires_us", F.when(F.col("k") % 17 == 0, F.col("decided_us")).otherwise(F.col("decided_us") + int(SPARSE.expiry * 1e6))).withColumn("high_impact", F.col("k") % 6 == 0)
     return A.final_action(a, SPARSE, permitted=("recap", "micro_question", "pause"))
 
 
