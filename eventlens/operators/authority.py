@@ -27,6 +27,15 @@ RESTRICTED = {
     "permanent_record_change": "records_manager",
     "credential_revocation": "registrar",
 }
+#: What is to be done, in order, to have a restricted action decided by the role that may.
+ESCALATION = {
+    "grade_modification": ("note the assessment and the mark asked for", "have the coordinator confirm the mark", "let the change be made in the gradebook"),
+    "high_stakes_recommendation": ("add the evidence and how certain it is", "have the advisor read the whole record", "keep the advisor's decision apart from the prediction"),
+    "external_communication": ("write down what would be said to whom", "have the services office make the contact", "note that the contact was only proposed"),
+    "data_export": ("list fields, recipient and legal basis", "have the protection officer approve", "let the governed export run"),
+    "permanent_record_change": ("state the entry and that it can't be contested", "have the records manager authorise it", "let the records system make it"),
+    "credential_revocation": ("note the right or qualification concerned", "have the registrar confirm", "let the identity provider revoke it"),
+}
 
 
 def _lookup(col: Column, values: dict[str, float], other: float) -> Column:
@@ -76,11 +85,19 @@ def authority_level(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 
 def action_permissions(df: DataFrame, keys: list[str]) -> DataFrame:
-    """A5: (keys, action, permission, approver): each restricted action is withheld, each default action permitted
-    or needs approval; none of those is listed for human_required."""
-    cells = [F.struct(F.lit(a).alias("action"), F.lit("withheld").alias("permission"), F.lit(r).alias("approver")) for a, r in RESTRICTED.items()]
+    """A5: (keys, action, permission, approver, reason, steps): each restricted action is withheld, with why and the way to
+    its approver; each default action is permitted or needs approval; none of those is listed for human_required.
+    ``level, reversible, high_stakes``."""
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    where = F.when(~F.col("reversible"), "irreversible").when(F.col("high_stakes"), "high_stakes").otherwise("never_autonomous")
+    grade = F.when(~F.col("high_stakes"), "never_self_service").otherwise(where)
+
+    def cell(action: str, permission: Column, approver: Column, reason: Column, steps: Column) -> Column:
+        return F.struct(F.lit(action).alias("action"), permission.alias("permission"), approver.alias("approver"), reason.alias("reason"), steps.alias("steps"))
+
+    cells = [cell(a, F.lit("withheld"), F.lit(r), grade if a == "grade_modification" else where, F.array(*map(F.lit, ESCALATION[a]))) for a, r in RESTRICTED.items()]
     own = F.when(F.col("level") == "allowed", "permitted").otherwise("needs_approval")
-    cells += [F.when(F.col("level") != "human_required", F.struct(F.lit(a).alias("action"), own.alias("permission"), F.lit(None).cast("string").alias("approver"))) for a in PERMITTED]
+    cells += [F.when(F.col("level") != "human_required", cell(a, own, text, text, none)) for a in PERMITTED]
     return df.select(*keys, F.inline(F.array_compact(F.array(*cells))))
 
 
@@ -115,6 +132,12 @@ def memory_counts(memory: DataFrame) -> DataFrame:
     return memory.groupingSets([["learner_id", "context", "outcome"], ["learner_id", "context"], ["learner_id"], []], "learner_id", "context", "outcome").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
+def memory_by_action(memory: DataFrame) -> DataFrame:
+    """A8 per action: entries of each learner, context, action and outcome, and of each action over all outcomes (outcome null)."""
+    keys = ["learner_id", "context", "action"]
+    return memory.groupingSets([[*keys, "outcome"], keys], *keys, "outcome").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
 def entry_json(cols: list[str]) -> Column:
     """Canonical JSON of an entry: sorted keys, nulls kept."""
     return F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"})

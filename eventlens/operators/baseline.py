@@ -248,8 +248,15 @@ def largest_mover(drift: DataFrame, keys: list[str]) -> DataFrame:
     return drift.where("relative_drift IS NOT NULL").groupBy(*keys).agg(F.max_by("dimension", F.struct(F.abs("relative_drift"), idx)).alias("dimension"))
 
 
-def baseline_profile(folded: DataFrame, rejected: DataFrame, keys: list[str], s: Settings = DEFAULT) -> DataFrame:
-    """The last state of each key and dimension, with maturity, basis and rejections."""
+def baseline_profile(folded: DataFrame, rejected: DataFrame, keys: list[str], s: Settings = DEFAULT, readings: DataFrame | None = None) -> DataFrame:
+    """The last state of each key and dimension, with maturity, basis and rejections.
+
+    ``readings(keys, us, origin_label)`` tells where each observation came from: adds ``origins``, the sorted labels
+    of those that the profile has taken in.
+    """
     last = folded.groupBy(*keys, "dimension").agg(F.max_by(F.struct("centre", "spread", "n", "retained", F.col("us").alias("updated_us")), "n").alias("p")).select(*keys, "dimension", "p.*")
     j = last.join(rejected.select(*keys, "dimension", "rejected"), [*keys, "dimension"], "left").na.fill(0, ["rejected"])
+    if readings is not None:
+        of = folded.select(*keys, "dimension", "us").join(readings.select(*keys, "us", "origin_label"), [*keys, "us"], "left")
+        j = j.join(of.groupBy(*keys, "dimension").agg(F.array_sort(F.collect_set("origin_label")).alias("origins")), [*keys, "dimension"], "left")
     return j.withColumns({"maturity": maturity(F.col("n"), s), "basis": basis(F.col("n"), s)})

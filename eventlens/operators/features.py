@@ -41,6 +41,10 @@ def _code(col: Column, groups: dict[str, tuple[str, ...]]) -> Column:
     return out.otherwise("other")
 
 
+#: Version of the definitions of single features, and of the set.
+FEATURE_VERSION, FEATURE_SET = "1", "1"
+
+
 def content_type_encoded(col: Column) -> Column:
     """F5."""
     return _code(col, {"question": (), "video": (), "reading": ("article", "text")})
@@ -107,7 +111,8 @@ def validate_feature_range(df: DataFrame) -> DataFrame:
 
 
 def features_long(df: DataFrame, keys: list[str]) -> DataFrame:
-    """F16: one row for each feature: name, value (text), availability and reason."""
+    """F16: one row for each feature: name, value (text), availability, reason, computed_us (the instant it describes) and
+    the versions of the feature and of the set."""
     rejected = F.col("out_of_range") if "out_of_range" in df.columns else F.array().cast("array<string>")
     cells = []
     for f, (_, _, need) in SPEC.items():
@@ -116,7 +121,7 @@ def features_long(df: DataFrame, keys: list[str]) -> DataFrame:
         state = F.when(F.col(f).isNull(), "insufficient_data").when(F.col("synthetic_only"), "synthetic_only").otherwise("available")
         value = F.col(f).cast("string") if f in CATEGORICAL else F.round(F.col(f).cast("double"), 6).cast("decimal(20,6)").cast("string")
         cells.append(F.struct(F.lit(f).alias("name"), value.alias("value"), state.alias("availability"), reason.alias("reason")))
-    return df.select(*keys, F.inline(F.array(*cells)))
+    return df.select(*keys, F.col("us").alias("computed_us"), F.lit(FEATURE_VERSION).alias("feature_version"), F.lit(FEATURE_SET).alias("feature_set"), F.inline(F.array(*cells)))
 
 
 def feature_coverage(long: DataFrame) -> DataFrame:

@@ -61,9 +61,21 @@ def outcome_class(col: Column) -> Column:
     return F.when(col.isNull() | (t == ""), "not_reported").when(t.isin(*RESPONSES), "response").when(t.isin(*NON_RESPONSES), "non_response").otherwise("unclassified")
 
 
-def history_as_of(deliveries: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Deliveries at or before each decision of their learner (one row for each pair)."""
-    return decisions.select("decision_id", "learner_id", "decided_us").join(deliveries, "learner_id").where(F.col("delivered_us") <= F.col("decided_us"))
+def history_as_of(deliveries: DataFrame, decisions: DataFrame, latest: int = 50) -> DataFrame:
+    """The latest deliveries at or before each decision of its learner: (decision_id, decided_us, back, delivery columns).
+
+    ``back`` counts from 1, the latest.  Each delivery carries the ``latest`` deliveries up to itself, and a
+    decision takes what the delivery before it carries: one sort of a learner's rows, not a join of every
+    decision with every delivery.  Counts over all of the past are in ``decision_history``.
+    """
+    cols = [c for c in deliveries.columns if c != "learner_id"]
+    upto = Window.partitionBy("learner_id").orderBy("delivered_us", "intervention_id").rowsBetween(1 - latest, Window.currentRow)
+    held = deliveries.select("learner_id", F.col("delivered_us").alias("_us"), F.lit(0).alias("_asks"), "intervention_id", F.collect_list(F.struct(*cols)).over(upto).alias("_held"))
+    asked = decisions.select("learner_id", F.col("decided_us").alias("_us"), F.lit(1).alias("_asks"), "decision_id", "decided_us")
+    w = Window.partitionBy("learner_id").orderBy("_us", "_asks", "intervention_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = held.unionByName(asked, allowMissingColumns=True).withColumn("_held", F.last("_held", True).over(w)).where("_asks = 1")
+    rows = both.select("decision_id", "learner_id", "decided_us", F.posexplode(F.reverse("_held")).alias("_at", "_d"))
+    return rows.select("decision_id", "learner_id", "decided_us", (F.col("_at") + 1).alias("back"), "_d.*")
 
 
 def streaks(deliveries: DataFrame) -> DataFrame:

@@ -75,7 +75,9 @@ QUERIES = {
     "b11_build_priors": lambda s, d: B.build_priors(accepted(s, d)).select("dimension", "n_reference", *r6("prior_centre", "prior_spread")),
     "b12_centre_drift": lambda s, d: B.centre_drift(folded(s, d), KEY).select("learner_id", "dimension", *r6("first_centre", "last_centre", "drift", "relative_drift")),
     "b12_largest_mover": lambda s, d: B.largest_mover(B.centre_drift(folded(s, d), KEY), KEY),
-    "b13_baseline_profile": lambda s, d: B.baseline_profile(folded(s, d), B.rejections(observations(s, d), KEY), KEY, SPARSE).select("learner_id", "dimension", *r6("centre", "spread"), "n", "retained", "updated_us", "rejected", "maturity", "basis"),
+    "b13_baseline_profile": lambda s, d: B.baseline_profile(folded(s, d), B.rejections(observations(s, d), KEY), KEY, SPARSE, end_of_session(features(s, d))).select(
+        "learner_id", "dimension", *r6("centre", "spread"), "n", "retained", "updated_us", "rejected", "maturity", "basis", F.array_join("origins", ",").alias("origins"),
+    ),
     "t1_recent_points": lambda s, d: T.recent_points(deviations(s, d), SPARSE).select("learner_id", "dimension", "us", F.size("points").alias("held"), F.size(T.measured(F.col("points"))).alias("measured")),
     "t2_sign_run": lambda s, d: T.tracks(deviations(s, d), SPARSE).select("learner_id", "us", "dimension", "run", *r6("run_mean")),
     "t3_change_per_observation": lambda s, d: T.tracks(deviations(s, d), SPARSE).select("learner_id", "us", "dimension", F.round(T.change_per_observation(F.col("zs")) + NUDGE, 6).alias("change")),
@@ -187,7 +189,7 @@ SELECT o_custkey, array_to_string(l, ',') AS kept FROM r WHERE len(l) <= 4""",
     "b11_build_priors": _PRIORS + "SELECT dimension, n_reference, round(prior_centre, 6) AS prior_centre, round(prior_spread, 6) AS prior_spread FROM priors",
     "b12_centre_drift": _DRIFT + "SELECT learner_id, dimension, round(first_centre, 6) AS first_centre, round(last_centre, 6) AS last_centre, round(drift, 6) AS drift, round(rel, 6) AS relative_drift FROM d2",
     "b12_largest_mover": _DRIFT + "SELECT learner_id, dimension FROM d2 WHERE rel IS NOT NULL QUALIFY row_number() OVER (PARTITION BY learner_id ORDER BY abs(rel) DESC, list_position(['accuracy', 'response_seconds', 'session_seconds', 'content_difficulty'], dimension)) = 1",
-    "b13_baseline_profile": FOLD + ", l AS (SELECT * FROM dev QUALIFY row_number() OVER (PARTITION BY learner_id, dimension ORDER BY n DESC) = 1), r AS (SELECT learner_id, dimension, count(*) FILTER (WHERE rejected) AS rejected FROM obs GROUP BY 1, 2) SELECT learner_id, dimension, round(centre, 6) AS centre, round(spread, 6) AS spread, CAST(n AS INTEGER) AS n, CAST(retained AS INTEGER) AS retained, us AS updated_us, rejected, ['new', 'early', 'developing', 'established'][(n >= 3)::INT + (n >= 6)::INT + (n >= 10)::INT + 1] AS maturity, ['population_prior', 'partial_personal', 'personal', 'personal'][(n >= 3)::INT + (n >= 6)::INT + (n >= 10)::INT + 1] AS basis FROM l LEFT JOIN r USING (learner_id, dimension)",
+    "b13_baseline_profile": FOLD + ", l AS (SELECT * FROM dev QUALIFY row_number() OVER (PARTITION BY learner_id, dimension ORDER BY n DESC) = 1), r AS (SELECT o.learner_id, dimension, count(*) FILTER (WHERE rejected) AS rejected, array_to_string(list_sort(list(DISTINCT f.origin_label) FILTER (WHERE NOT rejected)), ',') AS origins FROM obs o JOIN fin f ON f.learner_id = o.learner_id AND f.us = o.us GROUP BY 1, 2) SELECT learner_id, dimension, round(centre, 6) AS centre, round(spread, 6) AS spread, CAST(n AS INTEGER) AS n, CAST(retained AS INTEGER) AS retained, us AS updated_us, rejected, ['new', 'early', 'developing', 'established'][(n >= 3)::INT + (n >= 6)::INT + (n >= 10)::INT + 1] AS maturity, ['population_prior', 'partial_personal', 'personal', 'personal'][(n >= 3)::INT + (n >= 6)::INT + (n >= 10)::INT + 1] AS basis, origins FROM l LEFT JOIN r USING (learner_id, dimension)",
     "t1_recent_points": TRACK + "SELECT learner_id, dimension, us, CAST(len(points) AS INTEGER) AS held, CAST(len(list_filter(points, lambda q: q.z IS NOT NULL)) AS INTEGER) AS measured FROM pts",
     "t2_sign_run": TRACK + "SELECT learner_id, us, dimension, CAST(run AS INTEGER) AS run, round(run_mean, 6) AS run_mean FROM trk",
     "t3_change_per_observation": TRACK + "SELECT learner_id, us, dimension, CASE WHEN nz >= 2 THEN round((zs[nz] - zs[1]) / (nz - 1), 6) END AS change FROM trk",

@@ -57,7 +57,7 @@ QUERIES = {
     "f13_trajectory_encoded": _feature("trajectory_encoded"),
     "f14_baseline_maturity_encoded": _feature("baseline_maturity_encoded"),
     "f15_compute_features": f15,
-    "f16_features_long": lambda s, d: X.features_long(C.end_of_session(features(s, d)), ["session_id"]).select("session_id", "name", F.col("availability"), F.col("reason"), F.when(F.col("name").isin("session_event_count", "content_type_encoded", "intervention_cooldown_active"), F.col("value")).alias("value")),
+    "f16_features_long": lambda s, d: X.features_long(C.end_of_session(features(s, d)), ["session_id"]).select("session_id", "name", "computed_us", "feature_version", "feature_set", F.col("availability"), F.col("reason"), F.when(F.col("name").isin("session_event_count", "content_type_encoded", "intervention_cooldown_active"), F.col("value")).alias("value")),
     "f17_validate_feature_range": lambda s, d: X.validate_feature_range(C.end_of_session(features(s, d))).select("session_id", F.array_join("out_of_range", ",").alias("out_of_range"), F.round("session_elapsed_seconds", 6).alias("session_elapsed_seconds")),
     "f18_feature_coverage": lambda s, d: X.feature_coverage(X.features_long(C.end_of_session(features(s, d)), ["session_id"])),
     "f18_vector_coverage": lambda s, d: X.vector_coverage(C.end_of_session(features(s, d)), ["session_id"]),
@@ -165,7 +165,7 @@ SELECT event_id, array_to_string(l, ',') AS missing, array_to_string(list_filter
     "f15_compute_features": CTX + """SELECT session_id, round(elapsed, 6) AS session_elapsed_seconds, round(position, 6) AS session_position, CAST(event_count AS DOUBLE) AS session_event_count, round(content_difficulty, 6) AS content_difficulty, ct AS content_type_encoded,
   round(recent_accuracy, 6) AS performance_recent_accuracy, round(recent_response, 6) AS performance_recent_response_seconds, round(acc_trend, 6) AS performance_accuracy_trend, round(resp_trend, 6) AS performance_response_trend,
   CAST(ic AS DOUBLE) AS intervention_count, CAST(cool AS DOUBLE) AS intervention_cooldown_active, round(since, 6) AS intervention_seconds_since_last, trajectory AS trajectory_encoded, maturity AS baseline_maturity_encoded FROM fin""",
-    "f16_features_long": LONG + "SELECT * FROM lg",
+    "f16_features_long": LONG + "SELECT lg.*, fin.us AS computed_us, '1' AS feature_version, '1' AS feature_set FROM lg JOIN fin USING (session_id)",
     "f17_validate_feature_range": CTX + "SELECT session_id, CASE WHEN elapsed > 86400 THEN 'session_elapsed_seconds' ELSE '' END AS out_of_range, CASE WHEN elapsed <= 86400 THEN round(elapsed, 6) END AS session_elapsed_seconds FROM fin",
     "f18_feature_coverage": LONG + "SELECT coalesce(name, 'all') AS name, coalesce(availability, 'all') AS availability, count(*) AS n FROM lg GROUP BY CUBE (name, availability)",
     "f18_vector_coverage": LONG + "SELECT session_id, CAST(count(*) FILTER (WHERE availability <> 'insufficient_data') AS INTEGER) AS available_count, CAST(count(*) FILTER (WHERE availability = 'insufficient_data') AS INTEGER) AS insufficient_count FROM lg GROUP BY 1",

@@ -39,7 +39,7 @@ def memory(s, d):
     k = F.col("k")
     return events(s, d).where("event_type = 'intervention_completed'").select(
         "event_id", "learner_id", "session_id", pick(("free_practice", "graded_assessment", "exam_hall", "lab"), k % 4).alias("context"), pick(("improved", "disputed", "deteriorated", "no_response", "odd"), k % 5).alias("outcome"),
-        F.when(k % 3 == 0, 0.5).otherwise(1.0).alias("weight"), F.col("us").alias("recorded_us"),
+        F.when(k % 3 == 0, 0.5).otherwise(1.0).alias("weight"), F.col("us").alias("recorded_us"), pick(("recap", "micro_question", "pause"), k % 3).alias("action"),
     )
 
 
@@ -71,7 +71,9 @@ def chain(s, d):
 QUERIES = {
     "p1_delivery_history": lambda s, d: deliveries(s, d).select("intervention_id", "intervention_type", "session_id", "delivered_us", "outcome", "completed_us"),
     "p2_outcome_class": lambda s, d: events(s, d).select("event_id", P.outcome_class(F.concat(F.lit(" "), F.upper("outcome"))).alias("class")),
-    "p3_history_as_of": lambda s, d: P.history_as_of(deliveries(s, d), decisions(s, d)).groupBy("decision_id").agg(F.count("*").alias("n"), F.max("delivered_us").alias("last_us")),
+    "p3_history_as_of": lambda s, d: P.history_as_of(deliveries(s, d), decisions(s, d), 4).groupBy("decision_id").agg(
+        F.count("*").alias("n"), F.max("delivered_us").alias("last_us"), F.min("delivered_us").alias("first_us"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("back", "intervention_id"))), lambda x: x["intervention_id"].cast("string")), ",").alias("ids"),
+    ),
     "p4_deliveries_in_window": lambda s, d: history(s, d).select("decision_id", "in_window"),
     "p5_deliveries_in_session": lambda s, d: history(s, d).select("decision_id", "in_session", "total_delivered"),
     "p6_seconds_since_last": lambda s, d: history(s, d).select("decision_id", *r6("seconds_since_last")),
@@ -88,10 +90,11 @@ QUERIES = {
     "a2_confidence_cap": lambda s, d: decisions(s, d).select("decision_id", A.confidence_cap(F.when(F.col("k") % 5 != 0, F.col("confidence"))).alias("cap")),
     "a3_clamp_authority": lambda s, d: authorised(s, d).select("decision_id", "bound_by", *r6("authority")),
     "a4_authority_level": lambda s, d: authorised(s, d).select("decision_id", "level", F.array_join("level_reasons", ",").alias("reasons")),
-    "a5_action_permissions": lambda s, d: A.action_permissions(authorised(s, d), ["decision_id"]).where("action in ('recap', 'data_export', 'hint')"),
+    "a5_action_permissions": lambda s, d: A.action_permissions(authorised(s, d), ["decision_id"]).where("action in ('recap', 'data_export', 'grade_modification', 'hint')").select("decision_id", "action", "permission", "approver", "reason", F.array_join("steps", ";").alias("steps")),
     "a6_final_action": lambda s, d: final(s, d).select("decision_id", "final", "final_reason"),
     "a7_feedback_effects": lambda s, d: A.feedback_effects(feedback(s, d)).select("event_id", "status", "memory_outcome"),
     "a8_memory_counts": lambda s, d: A.memory_counts(memory(s, d)),
+    "a8_memory_by_action": lambda s, d: A.memory_by_action(memory(s, d)),
     "a9_hash_chain": lambda s, d: chain(s, d).select("learner_id", "place", "entry_hash"),
     "a10_verify_chain": lambda s, d: A.verify_chain(chain(s, d).withColumn("payload", F.when((F.col("place") == 5) & F.col("learner_id").endswith("7"), "changed").otherwise(F.col("payload"))), "learner_id"),
     "a11_retain_last_n": lambda s, d: A.retain_last_n(memory(s, d), "learner_id", "recorded_us", 5).select("event_id"),
@@ -164,7 +167,7 @@ _KINDS = "CASE reason WHEN 'probability_below_floor' THEN 0 WHEN 'state_insuffic
 ORACLES = {
     "p1_delivery_history": DEC + "SELECT intervention_id, intervention_type, session_id, delivered_us, outcome, completed_us FROM dels",
     "p2_outcome_class": CANON + "SELECT event_id, CASE outcome WHEN 'accepted' THEN 'response' WHEN 'other' THEN 'unclassified' ELSE CASE WHEN outcome IS NULL THEN 'not_reported' ELSE 'non_response' END END AS class FROM ev",
-    "p3_history_as_of": DEC + "SELECT decision_id, count(*) AS n, max(delivered_us) AS last_us FROM pairs GROUP BY 1",
+    "p3_history_as_of": DEC + "SELECT decision_id, count(*) AS n, max(delivered_us) AS last_us, min(delivered_us) AS first_us, array_to_string(list(intervention_id ORDER BY back), ',') AS ids FROM pairs WHERE back <= 4 GROUP BY 1",
     "p4_deliveries_in_window": DEC + "SELECT decision_id, in_window FROM hist",
     "p5_deliveries_in_session": DEC + "SELECT decision_id, in_session, total_delivered FROM hist",
     "p6_seconds_since_last": DEC + "SELECT decision_id, round(since, 6) AS seconds_since_last FROM hist",
@@ -194,7 +197,11 @@ SELECT decision_id, kind, binding, round(CAST(lim AS DOUBLE), 6) AS "limit", rou
     "a2_confidence_cap": DEC + "SELECT decision_id, CASE WHEN k % 5 = 0 THEN 0.0 WHEN confidence = 'low' THEN 0.35 WHEN confidence = 'medium' THEN 0.7 ELSE 1.0 END::DOUBLE AS cap FROM decs",
     "a3_clamp_authority": DEC + "SELECT decision_id, bound_by, round(authority, 6) AS authority FROM auth",
     "a4_authority_level": DEC + "SELECT decision_id, level, array_to_string(CASE WHEN len(human) > 0 THEN human ELSE lim END, ',') AS reasons FROM lvl",
-    "a5_action_permissions": DEC + "SELECT decision_id, 'data_export' AS action, 'withheld' AS permission, 'data_protection_officer' AS approver FROM lvl UNION ALL SELECT decision_id, unnest(['recap', 'hint']), CASE WHEN level = 'allowed' THEN 'permitted' ELSE 'needs_approval' END, NULL FROM lvl WHERE level <> 'human_required'",
+    "a5_action_permissions": DEC + f""", w AS (SELECT *, CASE WHEN context = 'exam_hall' THEN 'irreversible' WHEN context = 'graded_assessment' AND k % 3 = 0 THEN 'high_stakes' ELSE 'never_autonomous' END AS why, context = 'graded_assessment' AND k % 3 = 0 AS hs FROM lvl)
+SELECT decision_id, 'data_export' AS action, 'withheld' AS permission, 'data_protection_officer' AS approver, why AS reason, '{';'.join(A.ESCALATION['data_export'])}' AS steps FROM w
+UNION ALL SELECT decision_id, 'grade_modification', 'withheld', 'course_coordinator', CASE WHEN hs THEN why ELSE 'never_self_service' END, '{';'.join(A.ESCALATION['grade_modification'])}' FROM w
+UNION ALL SELECT decision_id, unnest(['recap', 'hint']), CASE WHEN level = 'allowed' THEN 'permitted' ELSE 'needs_approval' END, NULL, NULL, '' FROM lvl WHERE level <> 'human_required'""",
+    "a8_memory_by_action": DEC + ", m AS (SELECT m.*, ['recap', 'micro_question', 'pause'][k % 3 + 1] AS action FROM mem m JOIN (SELECT event_id, k FROM ev) USING (event_id)) SELECT learner_id, context, action, outcome, count(*) AS n, CAST(sum(weight) AS DOUBLE) AS weight FROM m GROUP BY GROUPING SETS ((learner_id, context, action, outcome), (learner_id, context, action))",
     "a6_final_action": DEC + "SELECT decision_id, split_part(f, '|', 1) AS final, split_part(f, '|', 2) AS final_reason FROM fina",
     "a7_feedback_effects": CANON + "SELECT event_id, CASE WHEN k % 9 = 0 OR k % 5 = 4 OR (k % 5 = 2 AND k % 4 = 0) THEN 'rejected' WHEN k % 5 = 0 THEN 'recorded' ELSE 'remembered' END AS status, CASE WHEN NOT (k % 9 = 0 OR k % 5 IN (0, 4) OR (k % 5 = 2 AND k % 4 = 0)) THEN 'disputed' END AS memory_outcome FROM ev WHERE event_type = 'interaction'",
     "a8_memory_counts": DEC + "SELECT learner_id, context, outcome, count(*) AS n, CAST(grouping(learner_id, context, outcome) AS INTEGER) AS level FROM mem GROUP BY GROUPING SETS ((learner_id, context, outcome), (learner_id, context), (learner_id), ())",

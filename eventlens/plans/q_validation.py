@@ -82,11 +82,16 @@ def s1(s, d):
 
 
 def s2(s, d):
+    """Two batches, the first one sent twice, and a third whose writer was lost before its entry."""
     path = shared_path(s, "log")
     e = raw(s, d).select("event_id", "session_id", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd").alias("event_date"))
-    S.append_event_log(e.where("event_date < '2024-01-15'"), path, "event_date")
-    S.append_event_log(e.where("event_date >= '2024-01-15'"), path, "event_date")
-    return s.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
+    early, late = e.where("event_date < '2024-01-15'"), e.where("event_date >= '2024-01-15'")
+    S.append_event_log(early, path, "b1", "event_date")
+    S.append_event_log(early, path, "b1", "event_date")
+    S.append_event_log(late, path, "b2", "event_date")
+    late.write.partitionBy("event_date").parquet(f"{path}/data/batch=b3/attempt=lost")
+    log = S.read_appended(s, path)
+    return log.groupBy(F.col("event_date").cast("string").alias("event_date"), F.col("batch").cast("string").alias("batch")).agg(F.count("*").alias("n"))
 
 
 def s3(s, d):
@@ -161,7 +166,7 @@ _BUCKET = "CAST('0x' || substr(sha256(CAST(seq AS VARCHAR)), 1, 15) AS BIGINT)"
 
 ORACLES = {
     "s1_read_event_log": "SELECT count(*) AS events, count(*) FILTER (WHERE event_id % 100 = 0) AS skipped_lines FROM events",
-    "s2_append_event_log": "SELECT strftime(ts, '%Y-%m-%d') AS event_date, count(*) AS n FROM events GROUP BY 1",
+    "s2_append_event_log": "SELECT strftime(ts, '%Y-%m-%d') AS event_date, CASE WHEN strftime(ts, '%Y-%m-%d') < '2024-01-15' THEN 'b1' ELSE 'b2' END AS batch, count(*) AS n FROM events GROUP BY 1, 2",
     "s3_parse_payload": RAW + """, miss AS (
   SELECT *, CASE WHEN k % 43 = 0 THEN CASE event_type WHEN 'question_started' THEN 'question_id' WHEN 'question_answered' THEN 'attempt_number,correct,question_id,response_seconds'
        WHEN 'content_opened' THEN 'content_id' WHEN 'content_closed' THEN 'content_id,time_open_seconds' WHEN 'interaction' THEN 'interaction_type'

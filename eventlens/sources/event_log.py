@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,10 +79,53 @@ def log_summary(log: DataFrame) -> DataFrame:
     return log.agg(F.count_if(~bad).alias("events"), F.count_if(bad).alias("skipped_lines"))
 
 
-def append_event_log(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """Appends a batch as Parquet, by day where ``partition`` names a column; nothing is rewritten."""
-    w = df.write.mode("append")
-    (w.partitionBy(partition) if partition else w).parquet(path)
+def append_event_log(df: DataFrame, path: str, batch: str, partition: str | None = None) -> bool:
+    """Appends a batch as Parquet, by day where ``partition`` names a column; nothing is rewritten.
+
+    A batch counts once: its rows go to an attempt of their own, and only then is the batch's entry
+    created in the manifest, which fails where there is one.  A repeated batch, or one whose writer was lost
+    halfway, leaves an attempt that no entry names, and readers pass it over.  Returns whether this attempt counts.
+    """
+    spark, attempt = df.sparkSession, uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        raise ValueError("a batch is named by letters, digits, _ and -")
+    if _exists(spark, f"{path}/manifest/{batch}.json"):
+        return False
+    w = df.write
+    (w.partitionBy(partition) if partition else w).parquet(f"{path}/data/batch={batch}/attempt={attempt}")
+    return _create(spark, f"{path}/manifest/{batch}.json", json.dumps({"batch": batch, "attempt": attempt}))
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of every batch in the manifest, with ``batch``; attempts that it doesn't name are pruned by their folders."""
+    kept = spark.read.schema("batch string, attempt string").json(f"{path}/manifest")
+    rows = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
+    same = (rows["batch"].cast("string") == kept["batch"]) & (rows["attempt"].cast("string") == kept["attempt"])
+    return rows.join(kept, same, "left_semi").drop("attempt")
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, files = _file(spark, path)
+    return files.exists(at)
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file that isn't there yet; False where another has come first."""
+    at, files = _file(spark, path)
+    try:
+        out = files.create(at, False)
+    except Exception:
+        if files.exists(at):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
 
 
 def export_json_lines(df: DataFrame) -> DataFrame:
