@@ -24,7 +24,7 @@ from eventlens.plans.q_baseline import FOLD, folded, history
 from eventlens.plans.q_context import CTX, LONG, features
 from eventlens.plans.q_models import ANSWER_FIT
 from eventlens.plans.q_outcomes import OUT, READING, measured, truths
-from eventlens.plans.q_policy import DEC, TYPES, decisions, deliveries, final
+from eventlens.plans.q_policy import DEC, TYPES, authorised, decisions, deliveries, final
 from eventlens.settings import DAY, DEFAULT, SPARSE
 from eventlens.sources.shared import saved
 
@@ -139,7 +139,9 @@ def believed(s, d):
     })
     j = U.assess_confidence(U.verdict(base), DEFAULT)
     j = j.withColumn("confidence", F.when(F.col("confidence_value").isNotNull(), U.band(F.col("confidence_value"))))
-    return final(s, d, P.decide(j, deliveries(s, d), TYPES, SPARSE))
+    a = authorised(s, d, P.decide(j, deliveries(s, d), TYPES, SPARSE))
+    a = a.withColumns({"expires_us": F.col("decided_us") + F.when(k % 3 == 0, 0).otherwise(int(SPARSE.expiry * 1e6)), "high_impact": k % 6 == 0})
+    return A.final_action(a, SPARSE, permitted=("recap", "micro_question", "pause"))
 
 
 def i18(s, d):
@@ -384,6 +386,7 @@ decs AS (
     tail = DEC[len(CANON) :]
     tail = tail[: tail.index("decs AS (")] + made + tail[tail.index("pairs AS (") :]
     tail = tail.replace("CASE confidence WHEN 'low' THEN 0.35", "CASE confidence WHEN 'none' THEN 0.0 WHEN 'low' THEN 0.35")
+    tail = tail.replace("WHEN k % 17 = 0 THEN 'refused|expired'", "WHEN k % 3 = 0 THEN 'refused|expired'")
     e = lambda *cells: "array_to_string(list_sort([" + ", ".join(f"'{n}=' || {v}" for n, v in cells) + "]), ',')"
     answered, state, maturity, decision = ("events.answered", "answered"), ("temporal.state", "state"), ("baseline.maturity", "maturity"), ("policy.decision", "decision")
     rows = [

@@ -80,7 +80,7 @@ def log_summary(log: DataFrame) -> DataFrame:
 
 
 def append_event_log(df: DataFrame, path: str, batch: str, partition: str | None = None) -> bool:
-    """Appends a batch as Parquet, by day where ``partition`` names a column; nothing is rewritten.
+    """Appends a batch as Parquet, by day where ``partition`` names a column (the same for all batches); nothing is rewritten.
 
     A batch counts once: its rows go to an attempt of their own, and only then is the batch's entry
     created in the manifest, which fails where there is one.  A repeated batch, or one whose writer was lost
