@@ -189,7 +189,9 @@ def test_uncertainty(spark):
 
 def test_change_over_quarters(spark):
     accs = [0.9, 0.9, 0.6, 0.6, 0.6, 0.6, 0.8, 0.8]
-    r = spark.createDataFrame([("a", f"s{i}", i, 10, int(a * 10), a, 1.0) for i, a in enumerate(accs)], "learner_id string, session_id string, first_us long, answered int, n_correct int, accuracy double, mean_response double")
+    r = spark.createDataFrame([("a", f"s{i}", i, 10, int(a * 10), a, 1.0, 0.1 * i) for i, a in enumerate(accs)], "learner_id string, session_id string, first_us long, answered int, n_correct int, accuracy double, mean_response double, mean_difficulty double")
+    halves = I.classify_change(r).first()
+    assert (halves["early_difficulty"], halves["late_difficulty"]) == (pytest.approx(0.15), pytest.approx(0.55))
     assert I.classify_change(r).first()["change"] == "recovering" and I.classify_change(r.limit(3)).first()["change"] == "insufficient_evidence"
 
 
