@@ -827,12 +827,14 @@ def test_pipeline_stages_with_null_and_repeated_keys(spark):
     t = " ".join(f"w{i}" for i in range(60))
     leak = table(spark, SF, "benchmark").where("text IS NOT NULL").first()["text"]
     rows = [(None, t), (None, t + " more"), (7, t), (7, "quite other words here"), (7, "quite other words here"), (9, "x y"), (None, "x y"), (None, None), (None, None), (4, leak), (4, "clean"), (None, leak)]
-    df = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _row string, _row_ int"  # names that stages would take
+    df = spark.createDataFrame([(i, x, "en", "s", 1, "mine", 8) for i, x in rows], kind)
     near = P.near_duplicates(spark, df, SF)
-    assert near.columns == df.columns
+    assert near.columns == df.columns and {(r["_row"], r["_row_"]) for r in near.collect()} == {("mine", 8)}
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in near.collect())
     assert got == sorted([("7", t), ("7", "quite other words here"), ("9", "x y"), ("None", "None"), ("None", "None"), ("4", leak), ("4", "clean")])
     clean = P.decontamination(spark, df, SF)
+    assert {(r["_row"], r["_row_"]) for r in clean.collect()} == {("mine", 8)}
     assert clean.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in clean.collect()) == sorted((str(i), str(x)) for i, x in rows if x != leak)
 
 
