@@ -24,6 +24,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(score_quality("text", model) >= 0.5)
 
 
+def spare(docs: DataFrame) -> str:
+    """A column name that the documents don't have."""
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at 0.8 or more: that of smallest doc_id.
 
@@ -34,18 +42,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not odd.limit(1).count():
         groups = jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
         return docs.join(groups.where("component_id = doc_id").select("doc_id"), "doc_id", "left_semi")
-    keyed = Scratch(spark, "numbered").keep(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = jaccard_components(keyed.select("_row", "text"), key="_row", width=5, percent=80).select("_row", "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    kept = keyed.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("least")).select("least._row")
-    return keyed.join(kept, "_row", "left_semi").drop("_row")
+    row = spare(docs)
+    keyed = Scratch(spark, "numbered").keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard_components(keyed.select(row, "text"), key=row, width=5, percent=80).select(row, "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    kept = keyed.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(F.min(order).alias("least")).select(f"least.{row}")
+    return keyed.join(kept, row, "left_semi").drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of any benchmark item; each row's own text decides, whatever its doc_id."""
-    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    found = contaminated_words(keyed.select("_row", "text"), table(spark, sf_dir, "benchmark"), key="_row")
-    return keyed.join(found.where("n_hit > 0").select("_row").distinct(), "_row", "left_anti").drop("_row")
+    row = spare(docs)
+    keyed = docs.withColumn(row, F.struct("doc_id", F.xxhash64("text").alias("h")))
+    found = contaminated_words(keyed.select(row, "text"), table(spark, sf_dir, "benchmark"), key=row)
+    return keyed.join(found.where("n_hit > 0").select(row).distinct(), row, "left_anti").drop(row)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
