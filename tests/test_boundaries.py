@@ -16,3 +16,8 @@ def test_accuracy_that_falls_by_the_tolerance(spark, settings, want):
     """0.8 - 0.75 is a little more than 0.05 in doubles: the sparse settings compare plainly, the default allows for that."""
     row = spark.createDataFrame([(0.8, 0.75, 5, 4)], "accuracy_before double, accuracy_after double, answers_before long, answers_after long")
     assert row.select(O.accuracy_measure(settings)["direction"]).first()[0] == want
+
+
+def test_direction_without_slack(spark):
+    got = spark.createDataFrame([(0.95, 1.0)], "b double, a double").select(O.direction_of(F.col("b"), F.col("a"), False, 0.05, SPARSE.slack), O.direction_of(F.col("b"), F.col("a"), False, 0.05)).first()
+    assert tuple(got) == ("improved", "no_change")
