@@ -72,7 +72,8 @@ def occlusion_contributions(df: DataFrame, keys: list[str], fitted: Fitted, leas
     """U8: keys, base probability, contributions (feature, delta; largest first) and omitted features.
 
     Each column in turn takes its training median; all rows are scored in one job.  Of a feature's columns, the one
-    that moves the probability most stands for it.
+    that moves the probability most stands for it.  Sizes count to 12 places, as the last bits of equal ones differ;
+    equal ones go by column and name.
     """
     from pyspark.ml.functions import vector_to_array
 
@@ -85,8 +86,9 @@ def occlusion_contributions(df: DataFrame, keys: list[str], fitted: Fitted, leas
     per = p.groupBy(*keys).agg(base.alias("base"), F.array_sort(F.collect_list(F.when(F.col("_i") >= 0, F.struct("_i", "p")))).alias("ps"))
     names = F.array(*[F.lit(c.split("=")[0]) for c in cols])
     each = per.select(*keys, "base", F.inline(F.transform("ps", lambda x: F.struct(F.get(names, x["_i"]).alias("feature"), x["_i"].alias("i"), (x["p"] - F.col("base")).alias("delta")))))
-    best = each.groupBy(*keys, "base", "feature").agg(F.max_by("delta", F.struct(F.abs("delta"), -F.col("i"))).alias("delta"))
-    item = F.struct((-F.abs("delta")).alias("order"), "feature", "delta")
+    size = F.round(F.abs("delta"), 12)
+    best = each.groupBy(*keys, "base", "feature").agg(F.max_by("delta", F.struct(size, -F.col("i"))).alias("delta"))
+    item = F.struct((-size).alias("order"), "feature", "delta")
     return best.groupBy(*keys, "base").agg(F.array_sort(F.collect_list(F.when(F.abs("delta") >= least, item))).alias("contributions"), F.array_sort(F.collect_list(F.when(F.abs("delta") < least, F.col("feature")))).alias("omitted"))
 
 

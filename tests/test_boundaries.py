@@ -21,3 +21,11 @@ def test_accuracy_that_falls_by_the_tolerance(spark, settings, want):
 def test_direction_without_slack(spark):
     got = spark.createDataFrame([(0.95, 1.0)], "b double, a double").select(O.direction_of(F.col("b"), F.col("a"), False, 0.05, SPARSE.slack), O.direction_of(F.col("b"), F.col("a"), False, 0.05)).first()
     assert tuple(got) == ("improved", "no_change")
+
+
+def test_contributions_that_differ_in_their_last_bits(spark):
+    """Equal to 12 places: by name."""
+    fitted = M.Logistic({"z": 0.3 + 1e-14, "a": 0.3}, 0.1).fitted({"z": 0.0, "a": 0.0})
+    explained = U.occlusion_contributions(spark.createDataFrame([(1, 1.0, 1.0)], "id int, z double, a double"), ["id"], fitted)
+    assert [c["feature"] for c in explained.first()["contributions"]] == ["a", "z"]
+    assert [c["feature"] for c in U.top_contributions(explained, 1).first()["contributions"]] == ["a"]
