@@ -57,6 +57,14 @@ def redact_columns(df: DataFrame, text: list[str]) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def fixed_places(col: Column, places: int) -> Column:
+    """The number with so many decimal places, rounded by its exact binary value and half to even, as C's printf does.
+
+    ``format_string`` rounds the shortest decimal that reads back as the number: 0.14625 is a little less than that.
+    """
+    return F.replace(F.format_number(col, places), F.lit(","), F.lit(""))
+
+
 def valid_version(col: Column) -> Column:
     """Upper-case name parts and a numbered version."""
     return F.coalesce(col.rlike("^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*_V[0-9]+$"), F.lit(False))

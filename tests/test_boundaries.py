@@ -29,3 +29,8 @@ def test_contributions_that_differ_in_their_last_bits(spark):
     explained = U.occlusion_contributions(spark.createDataFrame([(1, 1.0, 1.0)], "id int, z double, a double"), ["id"], fitted)
     assert [c["feature"] for c in explained.first()["contributions"]] == ["a", "z"]
     assert [c["feature"] for c in U.top_contributions(explained, 1).first()["contributions"]] == ["a"]
+
+
+@pytest.mark.parametrize("x", [0.14625, 3.24625, 0.03125, 0.09375, 12345.5, 1234567.00005, 0.0, 0.99995, 1e-9])
+def test_fixed_places_as_printf(spark, x):
+    assert spark.range(1).select(fixed_places(F.lit(x), 4)).first()[0] == f"{x:.4f}"
