@@ -34,3 +34,10 @@ def test_contributions_that_differ_in_their_last_bits(spark):
 @pytest.mark.parametrize("x", [0.14625, 3.24625, 0.03125, 0.09375, 12345.5, 1234567.00005, 0.0, 0.99995, 1e-9])
 def test_fixed_places_as_printf(spark, x):
     assert spark.range(1).select(fixed_places(F.lit(x), 4)).first()[0] == f"{x:.4f}"
+
+
+def test_all_deliveries_before_a_decision(spark):
+    gave = spark.createDataFrame([("a", i, 10 * i) for i in range(70)] + [("b", 99, 0)], "learner_id string, intervention_id long, delivered_us long")
+    asked = spark.createDataFrame([("a", 1, 690), ("a", 2, 689), ("b", 3, -1)], "learner_id string, decision_id long, decided_us long")
+    got = P.history_as_of(gave, asked).collect()
+    assert sorted((r["decision_id"], r["back"], r["intervention_id"]) for r in got) == sorted([(1, 70 - i, i) for i in range(70)] + [(2, 69 - i, i) for i in range(69)])
