@@ -1,11 +1,12 @@
 """Online forms of the batch operators; each refuses what arrives late, as the batch forms do.
 
-State is bounded for each key by the settings' retained values, points and answers.  Baseline, state and
-context keep theirs in ``transformWithState`` variables, which Spark holds in RocksDB (``keep_in_rocks``).
+State is bounded for each key by the settings' retained values, points and answers, and by the sessions that are open.
+Baseline, state and context keep theirs in ``transformWithState`` variables, which Spark holds in RocksDB (``keep_in_rocks``).
 """
 
 from __future__ import annotations
 
+import pickle
 import statistics
 from bisect import insort
 from collections.abc import Iterator
@@ -181,121 +182,152 @@ CONTEXT_OUT = (
 _CONTENT = {"question_started": "question", "video_started": "video", "content_opened": "content"}
 
 
+class _Session:
+    """A session's record while a run works on it; ``done`` is the first completion of each intervention, ``due`` the time when it ends."""
+
+    def __init__(self, state: tuple | None):
+        self.n, self.starts, self.first, self.last, self.mark, self.content, self.start, self.done, self.answers, self.due = state or (0, 0, None, None, None, None, None, {}, [], None)
+
+    def state(self) -> tuple:
+        return self.n, self.starts, self.first, self.last, self.mark, self.content, self.start, self.done, self.answers, self.due
+
+    def ended(self) -> bool:
+        return self.mark is not None and self.mark[2] == "session_ended"
+
+
 class _Context(StatefulProcessor):
-    """A session's context as order-free records: earliest, latest and newest of each kind by (us, event_id)."""
+    """The open sessions of a slot of learners: of each, order-free parts, the earliest, latest and newest of each kind by (us, event_id).
 
-    def __init__(self, s: Settings, idle_ms: int, id_kind: str, key_kind: str):
-        self.s, self.idle_ms, self.id_kind, self.key_kind = s, idle_ms, id_kind, key_kind
+    Each call to the state is a trip to the JVM and each key's rows are a batch of their own, so learners share
+    slots: a run reads and writes a slot once, and one timer waits for the first of its sessions that ends.
+    """
+
+    def __init__(self, s: Settings, idle_ms: int):
+        self.s, self.idle_ms = s, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        at = f"us long, id {self.id_kind}"
         self.handle = handle
-        self.progress = handle.getValueState("progress", f"n long, starts long, first struct<{_fields(at)},kind:string>, last struct<{_fields(at)}>, mark struct<{_fields(at)},kind:string>")
-        self.content = handle.getValueState("content", f"{at}, kind string, ref string, difficulty double")
-        self.start = handle.getValueState("start", f"{at}, kind string, intervention_id {self.key_kind}")
-        self.answers = handle.getListState("answers", f"{at}, correct int, seconds double")
-        self.completions = handle.getMapState("completions", f"intervention_id {self.key_kind}", f"{at}, outcome string")
+        # timer: when the slot is looked at again; sessions: their ``_Session.state()`` by (learner, session), pickled, since
+        # nested rows would go with their schema, one by one
+        self.open = handle.getValueState("open", "timer long, sessions binary")
+
+    def held(self) -> tuple[int | None, dict]:
+        got = self.open.get()
+        return (got[0], pickle.loads(got[1])) if got is not None else (None, {})
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, starts, first, last, mark = self.progress.get() if self.progress.exists() else (0, 0, None, None, None)
-        content = tuple(self.content.get()) if self.content.exists() else None
-        start = tuple(self.start.get()) if self.start.exists() else None
-        answers = [tuple(a) for a in self.answers.get()] if self.answers.exists() else []
-        first, last, mark = (tuple(x) if x is not None else None for x in (first, last, mark))
-        done: dict = {}
-        answered = moved = False
-        for r in rows:
-            at, kind = (r["us"], r["event_id"]), r["event_type"]
-            n += 1
-            first = min(first or (*at, kind), (*at, kind))
-            last = max(last or at, at)
+        timer, held = self.held()
+        met: dict[tuple, _Session] = {}
+        for slot, learner, session, _, us, event_id, kind, ref, number, word, correct, intervention in rows:
+            name, at = (learner, session), (us, event_id)
+            x = met.get(name)
+            if x is None:
+                x = met[name] = _Session(held.get(name))
+            x.n += 1
+            if x.first is None or (*at, kind) < x.first:
+                x.first = (*at, kind)
+            if x.last is None or at > x.last:
+                x.last = at
             if kind in ("session_started", "session_ended"):
-                mark = max(mark or (*at, kind), (*at, kind))
+                x.mark = max(x.mark or (*at, kind), (*at, kind))
             elif kind in _CONTENT:
-                record = (*at, _CONTENT[kind], r["question_id"] if kind == "question_started" else r["content_id"], r["difficulty"])
-                if content is None or at > content[:2]:
-                    content, moved = record, True
+                if x.content is None or at > x.content[:2]:
+                    x.content = (*at, _CONTENT[kind], ref, number)
             elif kind == "question_answered":
-                insort(answers, (*at, int(bool(r["correct"])), r["response_seconds"]), key=lambda a: a[:2])
-                del answers[: -self.s.recent_answers]
-                answered = True
+                insort(x.answers, (*at, int(bool(correct)), number), key=lambda a: a[:2])
+                del x.answers[: -self.s.recent_answers]
             elif kind == "intervention_started":
-                starts += 1
-                if start is None or at > start[:2]:
-                    start = (*at, r["intervention_type"], r["intervention_id"])
-            elif kind == "intervention_completed" and r["intervention_id"] is not None:
-                k = (r["intervention_id"],)
-                before = done.get(k) or (tuple(self.completions.getValue(k)) if self.completions.containsKey(k) else None)
-                done[k] = min(before, (*at, r["outcome"]), key=lambda d: d[:2]) if before else (*at, r["outcome"])
-        ended = mark is not None and mark[2] == "session_ended"
-        self.progress.update((n, starts, first, last, mark))
-        if moved:
-            self.content.update(content)
-        if start is not None:
-            self.start.update(start)
-        if answered:
-            self.answers.put(answers)
-        for k, d in done.items():
-            self.completions.updateValue(k, d)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        # an ended session waits only for what may still arrive late
-        self.handle.registerTimer(max(last[0] // 1000 + (1 if ended else self.idle_ms), timerValues.getCurrentWatermarkInMs() + 1))
-        yield self.row(key, n, starts, first, last, ended, content, start, answers, ended)
+                x.starts += 1
+                if x.start is None or at > x.start[:2]:
+                    x.start = (*at, word, intervention)
+            elif kind == "intervention_completed" and intervention is not None:
+                before = x.done.get(intervention)
+                if before is None or at < before[:2]:
+                    x.done[intervention] = (*at, word)
+        first = None
+        for name, x in met.items():
+            # an ended session waits only for what may still arrive late
+            x.due = max(x.last[0] // 1000 + (1 if x.ended() else self.idle_ms), timerValues.getCurrentWatermarkInMs() + 1)
+            first = x.due if first is None else min(first, x.due)
+            held[name] = x.state()
+            yield self.row(name, x, x.ended())
+        self.keep(timer, first, held)
+
+    def keep(self, timer: int | None, first: int | None, held: dict) -> None:
+        """Writes the slot; a timer is set where none would fire by ``first``."""
+        if first is not None and (timer is None or first < timer):
+            self.handle.registerTimer(first)
+            timer = first
+        self.open.update((timer, pickle.dumps(held, pickle.HIGHEST_PROTOCOL)))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        n, starts, first, last, mark = self.progress.get()
-        if mark is None or mark[2] != "session_ended":  # an ended one was reported as closed
-            content = tuple(self.content.get()) if self.content.exists() else None
-            start = tuple(self.start.get()) if self.start.exists() else None
-            yield self.row(key, n, starts, tuple(first), tuple(last), False, content, start, [tuple(a) for a in self.answers.get()] if self.answers.exists() else [], True)
-        for state in (self.progress, self.content, self.start, self.answers, self.completions):
-            state.clear()
-
-    def row(self, key: tuple, n, starts, first, last, ended, content, start, answers, closed) -> Row:
-        elapsed = (last[0] - first[0]) / 1e6
-        right, timed = sum(a[2] for a in answers), all(a[3] is not None for a in answers)
-        since = (last[0] - start[0]) / 1e6 if start else None
+        timer, held = self.held()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        if timer is None or timer > now:  # one that another came before
+            return
+        first = None
+        for name, state in list(held.items()):
+            x = _Session(state)
+            if x.due > now:
+                first = x.due if first is None else min(first, x.due)
+                continue
+            del held[name]
+            if not x.ended():  # an ended one was reported as closed
+                yield self.row(name, x, True)
+        if held:
+            self.keep(None, first, held)
+        else:
+            self.open.clear()
+
+    def row(self, name: tuple, x: _Session, closed: bool) -> Row:
+        done = x.done.get(x.start[3]) if x.start and x.start[3] is not None else None
+        elapsed = (x.last[0] - x.first[0]) / 1e6
+        right, timed = sum(a[2] for a in x.answers), all(a[3] is not None for a in x.answers)
+        since = (x.last[0] - x.start[0]) / 1e6 if x.start else None
         cool = since is not None and since < self.s.context_cooldown
-        outcome = None
-        if start and start[3] is not None and self.completions.containsKey((start[3],)):
-            outcome = self.completions.getValue((start[3],))[2]
+        n = len(x.answers)
         return Row(
-            learner_id=key[0], session_id=key[1], event_count=n, last_us=last[0], elapsed_seconds=elapsed, position=max(0.0, min(1.0, elapsed / self.s.expected_session)),
-            start_inferred=first[2] != "session_started", has_ended=ended, content_kind=content and content[2], content_ref=content and content[3], content_difficulty=content and content[4],
-            answer_count=len(answers), correct_count=right, recent_accuracy=right / len(answers) if answers else None,
-            recent_response=sum(a[3] for a in answers) / len(answers) if answers and timed else None,
-            interventions=starts, last_intervention_type=start and start[2], last_intervention_us=start and start[0], last_outcome=outcome, seconds_since_last=since,
-            in_cooldown=cool, cooldown_remaining=self.s.context_cooldown - since if cool else None, closed=closed,
+            learner_id=name[0], session_id=name[1], event_count=x.n, last_us=x.last[0], elapsed_seconds=elapsed, position=max(0.0, min(1.0, elapsed / self.s.expected_session)),
+            start_inferred=x.first[2] != "session_started", has_ended=x.ended(), content_kind=x.content and x.content[2], content_ref=x.content and x.content[3], content_difficulty=x.content and x.content[4],
+            answer_count=n, correct_count=right, recent_accuracy=right / n if n else None, recent_response=sum(a[3] for a in x.answers) / n if n and timed else None,
+            interventions=x.starts, last_intervention_type=x.start and x.start[2], last_intervention_us=x.start and x.start[0], last_outcome=done and done[2],
+            seconds_since_last=since, in_cooldown=cool, cooldown_remaining=self.s.context_cooldown - since if cool else None, closed=closed,
         )
 
     def close(self) -> None:
         pass
 
 
-def _fields(ddl: str) -> str:
-    return ",".join(x.strip().replace(" ", ":", 1) for x in ddl.split(","))
-
+#: Slots that learners share: a slot is read and written as a whole, so more of them suit more learners.
+SLOTS = 8192
 
-CONTEXT_IN = ("event_type", "question_id", "content_id", "difficulty", "correct", "response_seconds", "intervention_id", "intervention_type", "outcome")
+CONTEXT_IN = ("question_id", "content_id", "difficulty", "correct", "response_seconds", "intervention_id", "intervention_type", "outcome")
 
 
-def stream_context(stream: DataFrame, s: Settings = DEFAULT, idle_ms: int = 86_400_000, delay: str = "2 hours") -> DataFrame:
+def stream_context(stream: DataFrame, s: Settings = DEFAULT, idle_ms: int = 86_400_000, delay: str = "2 hours", slots: int = SLOTS) -> DataFrame:
     """ST4: events of known sessions -> the running context (C1 to C4) of each session that a batch touches.
 
     A row holds what the batch forms give at the last event of those that have arrived, in whatever
     order they came.  A session is reported as closed when session_ended is its last mark, and once the
     watermark of ``ts`` (``delay`` behind the newest) passes its last event by ``idle_ms``; then its
     state goes.  Events behind the watermark are dropped.  Timers expire sessions rather than a TTL, which
-    Spark offers for processing time only.  Sessions are keyed by learner_id and session_id.
+    Spark offers for processing time only.  Sessions are those of learner_id and session_id; state is dealt by
+    ``slots`` of learners (without a learner, of sessions), so their number is fixed for a checkpoint's life.
     """
     keep_in_rocks(stream.sparkSession)
     kinds = dict(stream.dtypes)
-    cols = [F.col(c) if c in kinds else F.lit(None).cast("string").alias(c) for c in CONTEXT_IN]
-    double = {c: F.col(c).cast("double") for c in ("difficulty", "response_seconds")}
-    events = stream.select("learner_id", "session_id", "ts", "us", "event_id", *cols).withColumns(double)
-    held = _Context(s, idle_ms, kinds["event_id"], kinds.get("intervention_id", "string"))
-    return events.withWatermark("ts", delay).groupBy("learner_id", "session_id").transformWithState(held, f"learner_id string, session_id string, {CONTEXT_OUT}", "Update", "EventTime")
+    given = {c: F.col(c) if c in kinds else F.lit(None).cast("string") for c in CONTEXT_IN}
+    is_ = lambda *t: F.col("event_type").isin(*t)
+    # what only some kinds have shares columns, each of which costs the worker a conversion
+    fields = {
+        "ref": F.when(is_("question_started"), given["question_id"].cast("string")).when(is_(*_CONTENT), given["content_id"].cast("string")),
+        "number": F.when(is_(*_CONTENT), given["difficulty"].cast("double")).when(is_("question_answered"), given["response_seconds"].cast("double")),
+        "word": F.when(is_("intervention_started"), given["intervention_type"]).when(is_("intervention_completed"), given["outcome"]),
+        "correct": F.when(is_("question_answered"), given["correct"]), "intervention_id": F.when(is_("intervention_started", "intervention_completed"), given["intervention_id"]),
+    }
+    slot = F.pmod(F.xxhash64(F.coalesce("learner_id", "session_id")), F.lit(slots)).cast("int").alias("slot")
+    events = stream.select(slot, "learner_id", "session_id", "ts", "us", "event_id", "event_type", *[c.alias(n) for n, c in fields.items()])
+    return events.withWatermark("ts", delay).groupBy("slot").transformWithState(_Context(s, idle_ms), f"learner_id string, session_id string, {CONTEXT_OUT}", "Update", "EventTime")
 
 
 def stream_sessions(stream: DataFrame, gap: str = "24 hours", delay: str = "2 hours") -> DataFrame:

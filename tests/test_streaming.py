@@ -146,3 +146,53 @@ def test_running_spread_against_sorting(spark):
     fold.add(None)
     fold.add(float("nan"))
     assert fold.n == 302 and fold.centre == pytest.approx(centre)
+
+
+class CountingHandle:
+    """A handle whose value state and timers are held here; each call counts."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class At:
+    def __init__(self, now):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+
+def test_context_calls_the_state_once_for_many_sessions():
+    """Rows of 200 sessions cost three calls; sessions end each at its own time, though one timer waits for all."""
+    handle = CountingHandle()
+    held = P._Context(DEFAULT, 1000)
+    held.init(handle)
+    row = lambda i, us, kind: (0, f"a{i % 50}" if i else None, f"s{i}", None, us, i, kind, None, None, None, True, None)
+    first = list(held.handleInputRows((0,), iter([row(i, i * 1_000_000, "question_answered") for i in range(200)]), At(-1)))
+    assert handle.calls == 3 and handle.timers == {1000} and len({(r["learner_id"], r["session_id"]) for r in first}) == 200
+    again = list(held.handleInputRows((0,), iter([row(0, 5_000_000, "interaction"), row(7, 8_000_000, "session_ended")]), At(-1)))
+    assert handle.calls == 5 and sorted((r["session_id"], r["event_count"], r["closed"]) for r in again) == [("s0", 2, False), ("s7", 2, True)]
+    ends = {f"s{i}": i * 1000 + 1000 for i in range(200)} | {"s0": 6000, "s7": 8001}
+    seen, now = {}, 0
+    while handle.timers:
+        now = min(handle.timers)
+        gone = list(held.handleExpiredTimer((0,), At(now), At(now)))
+        handle.timers.discard(now)
+        assert all(r["closed"] for r in gone)
+        seen |= {r["session_id"]: now for r in gone}
+    assert seen == {k: v for k, v in ends.items() if k != "s7"} and handle.value is None and now == 200_000
