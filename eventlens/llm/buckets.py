@@ -44,6 +44,24 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def fine_sketch(s: np.ndarray) -> bytes:
+    """A parity sketch of at least twice as many ranges as the set has elements, for sets that fill one of 64 * SKETCH."""
+    width = max(9, int(2 * len(s)).bit_length())
+    at = mix(s ^ _BASE) >> np.uint64(64 - width)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=1 << width) & 1).astype(np.uint8)).tobytes()
+
+
+def apart_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the Hamming distance of two sets from their fine sketches.
+
+    The wider one is folded: the parity of two neighbouring ranges is that of both bits together.
+    """
+    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (a, b))
+    least = min(len(x), len(y))
+    x, y = (v if len(v) == least else np.bitwise_xor.reduce(v.reshape(least, -1), axis=1) for v in (x, y))
+    return int(np.count_nonzero(x != y))
+
+
 def hot_buckets(sampled: DataFrame) -> list[int]:
     """The ``sig`` of the largest buckets, from one of HOT_SAMPLE members (see ``in_sample``): at most HOT_MOST."""
     counted = sampled.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST)
@@ -89,7 +107,8 @@ def link_in_waves(live: DataFrame, sets: DataFrame, links: DataFrame | None, per
     """(node, component) from the buckets ``live(sig, id)`` of ``sets(id, n, sketch, s)`` and links known before.
 
     Two members link when their sets' Jaccard similarity is at least ``percent``; the sizes and
-    sketches of a pair bound its distance from below, so most others end inside the join.
+    sketches of a pair bound its distance from below, so most others end inside the join, and larger ones
+    most of the rest before their sets are brought together.
     ``live`` and ``sets`` are tables of ``scratch``; both are dropped here.
     """
 
@@ -102,15 +121,30 @@ def link_in_waves(live: DataFrame, sets: DataFrame, links: DataFrame | None, per
                 out.append(enough(int(np.count_nonzero(both[1:] == both[:-1])), len(a) // 8, len(b) // 8, percent))
             yield pd.Series(out, dtype=bool)
 
+    @F.pandas_udf("binary")
+    def finely(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for sets in batches:
+            yield pd.Series([fine_sketch(np.frombuffer(s, np.uint64)) for s in sets], dtype=object)
+
+    @F.pandas_udf("boolean")
+    def close(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for left, right, sizes in batches:
+            yield pd.Series([(100 + percent) * apart_at_least(a, b) <= (100 - percent) * n for a, b, n in zip(left, right, sizes)], dtype=bool)
+
     parity = [f"k{i}" for i in range(SKETCH)]
     outer = sets.select("id", "n", *[F.get("sketch", F.lit(i)).alias(k) for i, k in enumerate(parity)])
     other = outer.select(*[F.col(x).alias(f"a{x}") for x in ("id", "n", *parity)])
     apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"a{k}"))) for k in parity), F.lit(0))
     may_link = (100 * F.least("n", "an") >= percent * F.greatest("n", "an")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("an")))
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        compared = pairs.join(side("b"), "b").join(side("a"), "a")
+        """The pairs that link.  Sets are large, so pairs meet as fine sketches first; sets in none of the rest don't move."""
+        some = lambda x: fine.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("f").alias(f"f{x}"))
+        near = pairs.join(some("b"), "b").join(some("a"), "a").select("a", "b", close("fa", "fb", F.col("na") + F.col("nb")).alias("ok"))
+        near = scratch.keep(near.where("ok").select("a", "b"))
+        scratch.forget_shuffles()
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")).join(near.select(x).distinct(), x, "left_semi")
+        compared = near.join(side("b"), "b").join(side("a"), "a")
         return compared.select("a", "b", linked("sa", "sb").alias("ok")).where("ok").select("a", "b")
 
     def opened(comps: DataFrame, pivots: int) -> DataFrame:
@@ -131,6 +165,8 @@ def link_in_waves(live: DataFrame, sets: DataFrame, links: DataFrame | None, per
         scratch.drop(sets)
         return components(links, scratch) if links is not None else live.select(F.col("id").alias("node"), F.col("id").alias("component"))
 
+    fine = scratch.keep(sets.select("id", "n", finely("s").alias("f")))
+
     # the first wave: each member meets its bucket's smallest.  A pair that links shares most of its buckets,
     # so pairs are made distinct first, and only then get their sketches
     least = live.groupBy("sig").agg(F.min("id").alias("aid"))
@@ -161,4 +197,5 @@ def link_in_waves(live: DataFrame, sets: DataFrame, links: DataFrame | None, per
         scratch.forget_shuffles()
         live, pivots = opened(comps, pivots), pivots * 64
     scratch.drop(sets)
+    scratch.drop(fine)
     return comps

@@ -280,3 +280,24 @@ def test_queries_against_brute_force(spark):
     assert set(rows["inertia"]) == {sum(d for _, _, d in want)}
     assert all(r.centroid_sha256 == sha(",".join(map(str, cents[r.cluster]))) for r in rows.itertuples())
     assert (pd.Series(rows.groupby("cluster")["distance"].sum()) == rows.groupby("cluster")["cluster_inertia"].first()).all()
+
+
+def test_fine_sketches_bound_the_distance_of_large_sets():
+    """Of sets that fill the small sketch, unlike ones are told apart by the fine one, and no bound exceeds the distance."""
+    import numpy as np
+
+    from eventlens.llm.buckets import apart_at_least, fine_sketch, parity_sketch
+
+    rng = np.random.default_rng(3)
+    for n, other in ((1, 1), (300, 2000), (2000, 2000), (2000, 2500), (5000, 5000)):
+        pool = np.unique(rng.integers(0, 1 << 63, n + other, np.uint64))
+        for share in (0.0, 0.6, 0.95, 1.0):
+            both = int(min(n, other) * share)
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:both], pool[n : n + other - both])))
+            distance = len(np.setxor1d(a, b))
+            bound = apart_at_least(fine_sketch(a), fine_sketch(b))
+            assert bound == apart_at_least(fine_sketch(b), fine_sketch(a)) <= distance
+            assert (bound == 0) == (distance == 0) or n < 300
+            if n == other == 2000 and share == 0.6:
+                small = int(np.bitwise_count(parity_sketch(a) ^ parity_sketch(b)).sum())
+                assert 180 * small <= 20 * (n + other) < 180 * bound  # at 80 % only the fine one rules the pair out
