@@ -17,7 +17,7 @@ from eventlens.operators import outcomes as O
 from eventlens.operators import policy as P
 from eventlens.operators import temporal as T
 from eventlens.operators import uncertainty as U
-from eventlens.operators.context import end_of_session
+from eventlens.operators.context import is_last
 from eventlens.settings import DEFAULT, Settings
 from eventlens.sources.shared import saved
 
@@ -35,11 +35,13 @@ class Learning:
     threshold: float = 0.5
 
 
-def labelled(past: DataFrame, vectors: DataFrame, how: Learning) -> DataFrame:
-    """Design rows of the answers before each learner's cut, with M1's label over the learner's answers, and ``holdout`` by learner."""
-    of_learner = past.withColumn("session_id", F.col("learner_id"))
-    label = M.next_k_drop_label(of_learner, back=how.back, ahead=how.ahead, skip=how.skip).select("event_id", "label")
-    rows = vectors.join(label, "event_id").select("learner_id", "event_id", "us", "label", *how.required)
+def labelled(vectors: DataFrame, how: Learning) -> DataFrame:
+    """Design rows of the answers before each learner's cut, with M1's label over the learner's answers, and ``holdout`` by learner.
+
+    The label is read beside the features of its own row: no join brings both together.
+    """
+    answers = vectors.select("learner_id", F.col("learner_id").alias("session_id"), "event_id", "us", "event_type", "correct", *how.required)
+    rows = M.next_k_drop_label(answers, back=how.back, ahead=how.ahead, skip=how.skip).select("learner_id", "event_id", "us", "label", *how.required)
     return M.group_holdout(M.encode_design(rows, how.required)[0], "learner_id", "us", how.every)
 
 
@@ -63,10 +65,10 @@ def scored(last: DataFrame, fitted: M.Fitted, required: tuple[str, ...]) -> Data
     return M.score(good, fitted).select("learner_id", "probability", "refusal").unionByName(refused)
 
 
-def remembered(past: DataFrame, cuts: DataFrame, history: DataFrame, contexts: DataFrame, s: Settings) -> DataFrame:
+def remembered(deliveries: DataFrame, past: DataFrame, cuts: DataFrame, history: DataFrame, contexts: DataFrame, s: Settings) -> DataFrame:
     """Authority memory: how learners responded to deliveries whose windows ended before the cut, in their context."""
-    m = O.measure_outcomes(timed(past), past, history, s)
-    each = m.groupBy("learner_id", "intervention_id", "delivered_us").agg(F.first("response_class").alias("response_class")).join(E.intervention_response(m), "intervention_id")
+    m = O.measure_outcomes(deliveries, past, history, s)
+    each = E.intervention_response(m, *[F.first(c).alias(c) for c in ("learner_id", "response_class", "delivered_us")])
     outcome = F.when(F.col("response") == "improvement", "improved").when(F.col("response") == "deterioration", "deteriorated").when(F.col("response_class") == "non_response", "no_response")
     each = each.select("learner_id", outcome.alias("outcome"), (F.col("delivered_us") + int(s.after * 1e6)).alias("recorded_us"))
     kept = each.join(cuts.select("learner_id", "cut_us"), "learner_id").where("recorded_us <= cut_us AND outcome IS NOT NULL")
@@ -97,15 +99,17 @@ def analyse(
     Without ``model`` one is trained on the answers before the cuts; either is calibrated on the
     learners held out, and its threshold is the decisions' own.  How learners responded before bounds authority.
     """
-    events = events.repartition("learner_id")
-    cuts = Q.decision_cut(events, min_after)
-    past = saved(Q.as_of(events, cuts).drop("cut_us"), "past")
-    every = saved(X.compute_features(past, s), "features")
-    vectors = end_of_session(every)
+    dealt = events.repartition("learner_id")
+    cuts = saved(Q.decision_cut(dealt, min_after), "cuts")
+    every = X.compute_features(Q.as_of(dealt, cuts).drop("cut_us"), s).withColumn("_last", is_last())
+    read = {*how.required, *(f for f, _, _ in B.DIMENSIONS.values())} - {*events.columns}
+    every = saved(every.select(*events.columns, *sorted(read), "_last"), "features")
+    past = every.select(*events.columns)
+    vectors = every.where("_last").drop("_last")
     folded = saved(B.winsorised_ewma(B.baseline_observations(vectors).where("NOT rejected"), ["learner_id", "dimension"], ["us"], "value", s), "folded")
     history = saved(T.state_history(B.deviations(folded, ["learner_id", "dimension"]), s), "history")
     state = T.temporal_state(history)
-    rows = saved(labelled(past, every, how), "labelled")
+    rows = saved(labelled(every, how), "labelled")
     model = model or fitted_before(rows, how)
     last = vectors.groupBy("learner_id").agg(F.max_by(F.struct("session_id", *how.required), F.struct("us", "event_id")).alias("v")).select("learner_id", "v.*")
     j = cuts.select("learner_id", F.col("cut_us").alias("decided_us")).join(last.select("learner_id", "session_id"), "learner_id").join(scored(last, model, how.required), "learner_id")
@@ -115,8 +119,10 @@ def analyse(
     j = j.withColumn("ece", F.lit(calibration(rows, model, s).first()["ece"]).cast("double"))
     j = U.assess_confidence(U.verdict(j, s), s)
     j = j.withColumn("confidence", F.when(F.col("confidence_value").isNotNull(), U.band(F.col("confidence_value"))))
-    decided = P.decide(j, P.delivery_history(past), catalogue, s)
-    memory = remembered(past, cuts, history, contexts, s)
+    j = saved(j, "assessed")
+    deliveries = saved(timed(past), "deliveries")
+    decided = saved(P.decide(j, deliveries, catalogue, s), "decided")
+    memory = saved(remembered(deliveries, past, cuts, history, contexts, s), "memory")
     held = A.authority_level(A.clamp_authority(A.decayed_authority(memory, decided, s), s), s)
     expires = F.coalesce("expires_us", F.col("decided_us") + int(s.expiry * 1e6))
     final = saved(A.delivery_status(A.final_action(held.withColumn("expires_us", expires), s, permitted=permitted)), "decisions")
