@@ -68,7 +68,7 @@ def scored(last: DataFrame, fitted: M.Fitted, required: tuple[str, ...]) -> Data
 def remembered(deliveries: DataFrame, past: DataFrame, cuts: DataFrame, history: DataFrame, contexts: DataFrame, s: Settings) -> DataFrame:
     """Authority memory: how learners responded to deliveries whose windows ended before the cut, in their context."""
     m = O.measure_outcomes(deliveries, past, history, s)
-    each = E.intervention_response(m, *[F.first(c).alias(c) for c in ("learner_id", "response_class", "delivered_us")])
+    each = E.intervention_response(m, of=("learner_id", "response_class", "delivered_us"))
     outcome = F.when(F.col("response") == "improvement", "improved").when(F.col("response") == "deterioration", "deteriorated").when(F.col("response_class") == "non_response", "no_response")
     each = each.select("learner_id", outcome.alias("outcome"), (F.col("delivered_us") + int(s.after * 1e6)).alias("recorded_us"))
     kept = each.join(cuts.select("learner_id", "cut_us"), "learner_id").where("recorded_us <= cut_us AND outcome IS NOT NULL")
