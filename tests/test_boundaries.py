@@ -7,7 +7,9 @@ from eventlens.functions.columns import fixed_places
 from eventlens.operators import models as M
 from eventlens.operators import outcomes as O
 from eventlens.operators import policy as P
+from eventlens.operators import temporal as T
 from eventlens.operators import uncertainty as U
+from eventlens.plans.q_baseline import FOLD, ORACLES
 from eventlens.settings import DEFAULT, SPARSE
 
 
@@ -41,3 +43,37 @@ def test_all_deliveries_before_a_decision(spark):
     asked = spark.createDataFrame([("a", 1, 690), ("a", 2, 689), ("b", 3, -1)], "learner_id string, decision_id long, decided_us long")
     got = P.history_as_of(gave, asked).collect()
     assert sorted((r["decision_id"], r["back"], r["intervention_id"]) for r in got) == sorted([(1, 70 - i, i) for i in range(70)] + [(2, 69 - i, i) for i in range(69)])
+
+
+#: 0.1 + 0.2 + 0.3 equals 0.2 + 0.2 + 0.2 in doubles, 0.3 + 0.2 + 0.1 is less: runs of equal mean when the oldest are added first.
+TIED = {"accuracy": [0.2, 0.2, 0.2], "response_seconds": [0.1, 0.2, 0.3]}
+
+
+def tied(spark, sign):
+    """Deviations of two dimensions whose means tie, so that dispersion decides; ``sign`` turns the second."""
+    rows = [("a", i * 1_000_000, d, z * (sign if d == "response_seconds" else 1), i + 1) for d, zs in TIED.items() for i, z in enumerate(zs)]
+    return spark.createDataFrame(rows, "learner_id string, us long, dimension string, z double, n int")
+
+
+def by_sql(name, dev):
+    """A query's SQL over the given deviations."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (learner_id VARCHAR, us BIGINT, dimension VARCHAR, z DOUBLE, n INTEGER)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?, ?, ?)", [tuple(r) for r in dev.collect()])
+    assert ORACLES[name].startswith(FOLD)
+    return sorted(con.execute("WITH dev AS (SELECT * FROM given)" + ORACLES[name][len(FOLD) :]).fetchall())
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_dominant_dimension_adds_a_run_as_its_sql(spark, sign):
+    dev = tied(spark, sign)
+    got = T.dominant_dimension(T.tracks(dev, SPARSE)).select("learner_id", "us", "dominant.dimension", "dominant.run").collect()
+    assert sorted(map(tuple, got)) == by_sql("t6_dominant_dimension", dev)
+    assert max(got, key=lambda r: r["us"])["dimension"] == "response_seconds"
+
+
+@pytest.mark.parametrize("zs,run", [([], 0), ([0.001], 0), ([1.0, 0.001, 2.0], 1), ([-1.0, 1.0, 2.0], 2), ([1.0, -0.001], 0), ([-3.0, -2.0, -1.0], 3), ([0.01, -0.01], 1)])
+def test_newest_run(spark, zs, run):
+    got = spark.createDataFrame([(zs,)], "zs array<double>").select(T.sign_run(F.col("zs"), SPARSE)["run"].alias("run"), T.sign_run(F.col("zs"), SPARSE)["total"].alias("total")).first()
+    assert tuple(got) == (run, sum(zs[len(zs) - run :], 0.0))
