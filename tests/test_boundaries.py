@@ -9,6 +9,7 @@ from eventlens.operators import outcomes as O
 from eventlens.operators import policy as P
 from eventlens.operators import temporal as T
 from eventlens.operators import uncertainty as U
+from eventlens.plans.canon import r6
 from eventlens.plans.q_baseline import FOLD, ORACLES
 from eventlens.settings import DEFAULT, SPARSE
 
@@ -73,6 +74,14 @@ def test_dominant_dimension_adds_a_run_as_its_sql(spark, sign):
     assert max(got, key=lambda r: r["us"])["dimension"] == "response_seconds"
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_evidence_is_that_of_the_dimension_its_sql_chooses(spark, sign):
+    dev = tied(spark, sign)
+    got = T.state_history(dev, SPARSE).select("learner_id", "us", "weakest_maturity", "observations", "evidence_run", *r6("evidence_seconds", "mean_z", "evidence_dispersion")).collect()
+    assert sorted(map(tuple, got)) == by_sql("t8_state_evidence", dev)
+    assert max(got, key=lambda r: r["us"])["evidence_dispersion"] == pytest.approx(0.14826)
+
+
 @pytest.mark.parametrize("zs,run", [([], 0), ([0.001], 0), ([1.0, 0.001, 2.0], 1), ([-1.0, 1.0, 2.0], 2), ([1.0, -0.001], 0), ([-3.0, -2.0, -1.0], 3), ([0.01, -0.01], 1)])
 def test_newest_run(spark, zs, run):
     got = spark.createDataFrame([(zs,)], "zs array<double>").select(T.sign_run(F.col("zs"), SPARSE)["run"].alias("run"), T.sign_run(F.col("zs"), SPARSE)["total"].alias("total")).first()
