@@ -92,7 +92,7 @@ def track(zs: list[float], s: Settings = DEFAULT) -> tuple[int, float, float, st
     slope = (base[-1] - base[0]) / (len(base) - 1) if len(base) >= 2 else None
     way = "insufficient_data" if slope is None else "stable" if slope == 0 else "worsening" if (slope > 0) == (base[-1] > 0) and base[-1] != 0 else "improving"
     mean = 0.0
-    for z in reversed(zs[len(zs) - run :]):  # newest first, as the batch form adds
+    for z in zs[len(zs) - run :]:  # one by one, oldest first, as the batch form and the SQL add; sum() compensates
         mean += z
     last = zs[-s.dispersion_points :]
     spread = 0.0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators import baseline as B
 from eventlens.operators import context as C
+from eventlens.operators import temporal as T
 from eventlens.settings import DEFAULT, SPARSE
 from eventlens.streaming import processors as P
 
@@ -121,6 +122,18 @@ def test_state_is_chosen_over_four_dimensions(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_streamed_state_adds_a_run_as_the_batch_form(spark, tmp_path, sign):
+    """0.1 + 0.2 + 0.3 equals 0.2 + 0.2 + 0.2 in doubles if the oldest is added first: then dispersion decides, over two runs too."""
+    kind = "learner_id string, us long, deviations array<struct<dimension:string,z:double>>"
+    rows = [("a", i + 1, [("accuracy", 0.2), ("response_seconds", sign * z)]) for i, z in enumerate((0.1, 0.2, 0.3))]
+    got = [r for run in runs(spark, str(tmp_path), [rows[:2], rows[2:]], kind, lambda x: P.stream_state(x, SPARSE)) for r in run]
+    dev = spark.createDataFrame([(k, us, d, z, us) for k, us, at in rows for d, z in at], "learner_id string, us long, dimension string, z double, n int")
+    want = T.state_history(dev, SPARSE).collect()
+    assert sorted((r["us"], r["dimension"], r["run"], r["to_state"], r["direction"]) for r in got) == sorted((r["us"], r["dimension"], r["evidence_run"], r["state"], r["direction"]) for r in want)
+    assert max(got, key=lambda r: r["us"])["dimension"] == "response_seconds"
+
+
 def test_running_spread_against_sorting(spark):
     rng = random.Random(2)
     for limit in (1, 2, 5, 6, 50):
